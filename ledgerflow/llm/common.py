@@ -65,6 +65,11 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def dealt(df: DataFrame, n: int) -> DataFrame:
+    """df in n partitions, each row in the one that its column part names."""
+    return df.repartitionById(n, F.pmod("part", F.lit(n)).cast("int"))
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)

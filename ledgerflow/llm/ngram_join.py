@@ -31,17 +31,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, map_arrow, partitions, written
+from .common import as_bytes, by_bytes, dealt, map_arrow, partitions, written
 from .packed import mixed, pack, split, steps, unpack, unsteps
 
 N = 5
 SIMILAR = (3, 4)  # as a fraction
 WORDS = 400_000
-ROUNDS = 8
+ROUNDS = 4
+SMALL = 500_000
 #: Pairs between components, for each posting, up to which all of them are compared.
 FEW = 4
 #: Links a round must find, for each node, for another round to be worth it.
-GAIN = 0.005
+GAIN = 0.02
 
 
 class Hashes(dict):
@@ -195,6 +196,15 @@ def _rows(out):
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["key", "doc_id", "n", "same", "tokens", "prefix", "alone"])
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
 def alike(x: np.ndarray, n: int, y: np.ndarray, m: int) -> bool:
     """x, y: the sorted tokens that the sets of n and m share with any document."""
     a, b = SIMILAR
@@ -204,9 +214,9 @@ def alike(x: np.ndarray, n: int, y: np.ndarray, m: int) -> bool:
     # Orders B and C: the first hashes of both, ascending and descending, must meet. A
     # token outside x and y is shared with none, so their ends are prefixes long enough.
     p, q = prefix(n), prefix(m)
-    if not len(np.intersect1d(x[:p], y[:q], True)) or not len(np.intersect1d(x[-p:], y[-q:], True)):
+    if not _common(x[:p], y[:q]) or not _common(x[-p:], y[-q:]):
         return False
-    same = len(np.intersect1d(x, y, True))
+    same = _common(x, y)
     return b * same >= a * (n + m - same)
 
 
@@ -222,11 +232,14 @@ def _verify(batches):
 
 
 def linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose sets are similar. A pivot's pairs are dealt by their
-    other node; large ones are split again by AQE when the pivot's set comes."""
+    """Those of pairs(a, b) whose sets are similar. Only the sets that pairs name travel:
+    up to SMALL pairs (16 bytes each) are broadcast to where the sets are."""
+    pairs = written(nodes.sparkSession, pairs, "pairs")
     own = nodes.select("key", "n", "tokens")
-    one = pairs.join(own.withColumnsRenamed({"key": "b", "n": "nb", "tokens": "tb"}), "b")
-    two = one.join(own.withColumnsRenamed({"key": "a", "n": "na", "tokens": "ta"}), "a")
+    near = F.broadcast if pairs.count() <= SMALL else lambda df: df
+    one = own.withColumnsRenamed({"key": "b", "n": "nb", "tokens": "tb"}).join(near(pairs), "b")
+    heads = own.withColumnsRenamed({"key": "a", "n": "na", "tokens": "ta"}).join(near(pairs.select("a").distinct()), "a", "left_semi")
+    two = one.join(heads, "a")
     return map_arrow(two.select("a", "na", "ta", "b", "nb", "tb"), _verify, "a bigint, b bigint")
 
 
@@ -251,9 +264,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
     two = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     repeat = not two.groupBy("doc_id").count().where("count > 1").isEmpty()
     parts = partitions(spark)
-    buckets = min(parts * 8, 4096)
-    by_token = map_arrow(two, _scatter(buckets, repeat), "part int, kind tinyint, blob binary").repartition(parts, "part")
-    by_doc = map_arrow(by_token, _counted(parts * 4), "part int, kind tinyint, blob binary").repartition(parts, "part")
+    by_token = dealt(map_arrow(two, _scatter(parts, repeat), "part int, kind tinyint, blob binary"), parts)
+    by_doc = dealt(map_arrow(by_token, _counted(parts), "part int, kind tinyint, blob binary"), parts)
     rows = written(spark, map_arrow(by_doc, _sets, KIND), "sets")
 
     # One node for each set; copies follow it.
@@ -276,9 +288,12 @@ def join_documents(docs: DataFrame) -> DataFrame:
         left = heads.agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()[0] or 0
         if not left:
             break
+        # Components only grow, so the tokens that are done stay done.
+        postings = written(spark, postings.join(heads.select("token"), "token"), "postings")
+        at = postings.withColumn("comp", F.col("key")) if comp is None else postings.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         last = left <= FEW * total or gained < GAIN * size or k == ROUNDS
         if last:
-            few = at.join(heads.select("token"), "token")
+            few = at
             other = few.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("comp").alias("cb"))
             pairs = few.join(other, "token").where("key < b and comp <> cb and 7 * least(rest, rb) >= 3 * (n + nb)").select(F.col("key").alias("a"), "b").distinct()
         else:
