@@ -31,11 +31,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, map_arrow, partitions, written
+from .common import as_bytes, by_bytes, dealt, map_arrow, partitions, written
 from .packed import mixed, pack, split, steps, unpack, unsteps
 
 LENGTH = 50
-SEED = 16
+SEED = 32
 WINDOW = LENGTH - SEED + 1
 PLACES = 28  # bits for a place in the bytes that are parsed at once
 NULL = -(1 << 63)
@@ -407,11 +407,10 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of each row."""
     spark = docs.sparkSession
     two = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    n = partitions(spark)
-    parts = buckets = min(n * 4, 8192)
-    seen = map_arrow(map_arrow(two, _phrases(buckets, parts), BLOBS).repartition(n, "part"), _decide(parts), BLOBS)
+    n = parts = buckets = partitions(spark)
+    seen = map_arrow(dealt(map_arrow(two, _phrases(buckets, parts), BLOBS), n), _decide(parts), BLOBS)
     told = written(spark, seen, "phrases")
     texts = map_arrow(two, _texts(parts), BLOBS)
-    some = map_arrow(told.unionByName(texts).repartition(n, "part"), _suffixes(buckets, parts), BLOBS)
-    also = map_arrow(some.repartition(n, "part"), _ordered(parts), BLOBS)
-    return map_arrow(told.unionByName(also).unionByName(texts).repartition(n, "part"), _removed(keep_text), RESULT + ", kept binary" * keep_text)
+    some = map_arrow(dealt(told.unionByName(texts), n), _suffixes(buckets, parts), BLOBS)
+    also = map_arrow(dealt(some, n), _ordered(parts), BLOBS)
+    return map_arrow(dealt(told.unionByName(also).unionByName(texts), n), _removed(keep_text), RESULT + ", kept binary" * keep_text)
