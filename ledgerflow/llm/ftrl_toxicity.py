@@ -128,8 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int
     return model["at"].to_numpy(), model["w"].to_numpy(), float(bias.iloc[0]) if len(bias) else -35.0
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str] | None = None) -> DataFrame:
-    """doc_id (and the columns of keep, untouched) with the score of each row of docs."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """doc_id (or the columns of keep, untouched) with the score of each row of docs, as `name`."""
     at, w, bias = model
     sent = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), w.astype(np.float32), bias))
     cols = keep if keep is not None else ["doc_id"]
@@ -144,11 +144,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
             hit = dense[x] != 0
             hits = np.unique(of[hit] << BITS | x[hit])  # each feature counts once in a text
             s = np.bincount(hits >> BITS, dense[hits & ((1 << BITS) - 1)], b.num_rows) + bias
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(c)) for c in cols), pa.array(_logistic(s))], [*cols, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(c)) for c in cols), pa.array(_logistic(s))], [*cols, name])
 
     rows = docs.select(*dict.fromkeys([*cols, "text"]))
     kinds = dict(rows.dtypes)
-    return map_arrow(rows, run, ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", score double")
+    return map_arrow(rows, run, ", ".join(f"`{c}` {kinds[c]}" for c in cols) + f", {name} double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

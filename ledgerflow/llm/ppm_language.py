@@ -101,7 +101,8 @@ class Model:
     def __init__(self, counts: dict[str, list[tuple[np.ndarray, np.ndarray]]]):
         self.langs = sorted(counts)
         L = len(self.langs)
-        self.keys = [np.unique(np.concatenate([counts[k][m][0] for k in self.langs])) for m in range(ORDER + 1)]
+        # Contexts count as grams of their own length: those before a text's start are no others.
+        self.keys = [np.unique(np.concatenate([x for k in self.langs for x in (counts[k][m][0], *(counts[k][m + 1][0] >> np.uint32(8) for _ in range(m < ORDER)))])) for m in range(ORDER + 1)]
         self.code = [np.zeros((len(k), L), np.float32) for k in self.keys]
         self.escape = [np.zeros((len(k), L), np.float32) for k in self.keys]
         self.root = np.zeros(L, np.float32)
