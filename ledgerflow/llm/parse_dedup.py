@@ -12,7 +12,7 @@ every suffix of 50 bytes goes into an order of its own, and the least document o
 suffixes decides. Both orders are made in parts, by hash, and each task first folds what
 it holds, so that a string that a third of all documents have leaves a task once.
 
-Strings are equal if their 64-bit hashes are (phrases: 74 bits of two hashes).
+Strings are equal if their 64-bit hashes are (phrases: by 64 bits, of two hashes).
 
 Cases: null counts as the empty text; texts under 50 bytes lose nothing; rows with the
 same doc_id never remove bytes of each other; a null doc_id is smaller than all others;
@@ -35,7 +35,7 @@ from .common import as_bytes, by_bytes, dealt, map_arrow, partitions, written
 from .packed import mixed, pack, split, steps, unpack, unsteps
 
 LENGTH = 50
-SEED = 32
+SEED = 24
 WINDOW = LENGTH - SEED + 1
 PLACES = 28  # bits for a place in the bytes that are parsed at once
 NULL = -(1 << 63)
@@ -120,8 +120,8 @@ class Parse:
         return at, mixed(self.strings(at, at + LENGTH))
 
     def pair(self) -> np.ndarray:
-        """24 bits of the trigger and 40 of the phrase."""
-        return self.trigger >> _U(40) << _U(40) | self.key >> _U(24)
+        """28 bits of the trigger and 36 of the phrase; the bucket holds more of the trigger."""
+        return self.trigger >> _U(36) << _U(36) | self.key >> _U(28)
 
 
 def _ids(b: pa.RecordBatch) -> np.ndarray:
@@ -219,7 +219,7 @@ def _decide(parts: int):
             order = np.argsort(d, kind="stable")
             k, d = k[order], d[order]
             later, _ = _first(k, d)
-            t = k >> _U(40)
+            t = k >> _U(36)
             order = np.argsort(t, kind="stable")
             new = np.ones(len(t), bool)
             new[1:] = t[order][1:] != t[order][:-1]
