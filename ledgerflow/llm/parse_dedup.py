@@ -265,6 +265,21 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     return ids, [raw[e - s:e] for s, e in zip(sizes.tolist(), ends.tolist())]
 
 
+def _merged(packs, most: int = 6 << 20):
+    """The documents of a part's packs, about `most` bytes of them at a time."""
+    ids, texts, size = [], [], 0
+    for _, blob in packs:
+        i, t = _unpacked(blob)
+        ids.append(i)
+        texts += t
+        size += sum(map(len, t))
+        if size >= most:
+            yield np.concatenate(ids), texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield np.concatenate(ids), texts
+
+
 def _told(blobs: list[bytes], *kinds):
     """Packed (key, document[, code]) of one part, by document."""
     if not blobs:
@@ -311,8 +326,7 @@ def _suffixes(buckets: int, parts: int):
             want = code == 2
             k, d = k[want], d[want]
             some = np.unique(d)
-            for _, blob in packs:
-                ids, texts = _unpacked(blob)
+            for ids, texts in _merged(packs):
                 pick = np.flatnonzero(np.isin(ids, some))
                 if not len(pick):
                     continue
@@ -368,8 +382,7 @@ def _removed(keep_text: bool):
             h, hd = _told([b for kind, b in told if kind == 3])
             some = np.unique(np.concatenate([d, hd]))
             full, want = code == 1, code == 2
-            for _, blob in packs:
-                ids, texts = _unpacked(blob)
+            for ids, texts in _merged(packs):
                 pick = np.flatnonzero(np.isin(ids, some))
                 spans: dict[int, tuple] = {}
                 p = Parse([texts[i] for i in pick]) if len(pick) else None
