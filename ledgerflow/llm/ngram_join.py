@@ -9,10 +9,11 @@ prefix left to search by; the others meet by the tokens of prefix A, pairs must
 pass B and C too, and what passes is decided by the exact size of the intersection.
 
 Copies of a set are one node. Where many nodes share a prefix token, no pairs are
-written out within them: in rounds, each token's pivot is compared with the others,
-linked nodes become one component, and tokens whose nodes are all in one component are
-done. When the pairs that are left between components are few against the postings,
-or rounds find few links, they are compared all, so no link between components is lost.
+written out within them: in rounds, a few pivots of each token and band of sizes, drawn
+anew for each token, are compared with the other nodes; linked nodes become one
+component, and tokens whose nodes are all in one component are done. When the pairs that
+are left between components are few against the postings, or after the last round, they
+are compared all, so no link between components is lost.
 
 Cases: words are split at white space of ASCII and A-Z is lower-cased; null and empty
 texts have no shingle and are components of their own; equal short texts are linked;
@@ -23,6 +24,7 @@ an empty table gives no rows; other columns are neither read nor returned.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -37,12 +39,14 @@ from .packed import mixed, pack, split, steps, unpack, unsteps
 N = 5
 SIMILAR = (3, 4)  # as a fraction
 WORDS = 400_000
-ROUNDS = 4
+#: Pivots of each token and band of sizes in each round, and with how many of those that
+#: it meets a node is compared; the pairs that rounds leave are compared in the end.
+ROUNDS = ((1, 8), (8, 32))
 SMALL = 500_000
+#: Sets of sizes within 4/3 are in one band or in two that follow each other.
+BAND = math.log(1.34)
 #: Pairs between components, for each posting, up to which all of them are compared.
 FEW = 4
-#: Links a round must find, for each node, for another round to be worth it.
-GAIN = 0.02
 
 
 class Hashes(dict):
@@ -258,6 +262,44 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("key", "comp")
 
 
+def _labelled(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
+    if comp is None:
+        return postings.withColumn("comp", F.col("key"))
+    return postings.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+
+
+def _band(shift: float = 0.0):
+    return F.floor(F.log("n") / BAND + shift)
+
+
+def _pivot_pairs(at: DataFrame, k: int, pivots: int, most: int) -> DataFrame:
+    """Each node with up to `most` of the pivots it shares most tokens with. A token's
+    pivots are the nodes of least hash, of those whose rest allows sets of their size."""
+    at = at.withColumn("band", _band(k % 2 / 2))
+
+    def drawn(i):
+        h = F.xxhash64("key", "token", F.lit(1000 * k + i))
+        return F.min(F.struct(h.alias("h"), F.struct("key", "n", "rest", "comp").alias("v")))
+
+    drawn_all = F.array_distinct(F.transform(F.array(*map(drawn, range(pivots))), lambda x: x["v"]))
+    heads = at.where("7 * rest >= 6 * n").groupBy("token", "band").agg(drawn_all.alias("p")).withColumn("p", F.explode("p"))
+    met = at.alias("o").join(heads.alias("h"), F.expr("o.token = h.token and o.band = h.band and o.comp <> h.p.comp and 7 * least(o.rest, h.p.rest) >= 3 * (o.n + h.p.n)"))
+    votes = met.groupBy("key", F.col("p.key").alias("a")).count()
+    best = votes.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "a")), False), 1, most).alias("v"))
+    best = best.select("key", F.explode("v.a").alias("a"))
+    return best.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+
+
+def _all_pairs(at: DataFrame) -> DataFrame:
+    """All pairs of nodes of two components that a token of prefix A allows. The larger
+    set looks for the smaller one in its own band of sizes and in the band below."""
+    small = at.where("7 * rest >= 6 * n").withColumn("band", _band()).alias("s")
+    large = at.withColumn("band", F.explode(F.array(_band(), _band() - 1))).alias("l")
+    met = large.join(small, F.expr("""l.token = s.token and l.band = s.band and l.comp <> s.comp
+        and (s.n < l.n or s.n = l.n and s.key < l.key) and 7 * least(s.rest, l.rest) >= 3 * (s.n + l.n)"""))
+    return met.select(F.least("l.key", "s.key").alias("a"), F.greatest("l.key", "s.key").alias("b")).distinct()
+
+
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
@@ -276,33 +318,23 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
     # `rest`: how many tokens a set has from this one on, in order A. The first token that
     # two sets share bounds their intersection by the smaller rest, which must reach
-    # 3/7 of n + m; the pair is searched by tokens that leave it so much.
+    # 3/7 of n + m; the pair is searched by tokens that leave it so much. So the smaller of
+    # the two has a rest of at least 6/7 of its size there.
     edges = comp = None
-    size = gained = nodes.count()
-    for k in range(ROUNDS + 1):
-        at = postings.withColumn("comp", F.col("key")) if comp is None else postings.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        # For each token: its pivot, and whether its nodes are still in several components.
-        pick = F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), "key", "n", "rest", "comp"))
-        heads = at.groupBy("token").agg(pick.alias("p"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y")
-        heads = written(spark, heads, "heads")
-        left = heads.agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()[0] or 0
+    for k in range(len(ROUNDS) + 1):
+        at = _labelled(postings, comp)
+        # The tokens whose nodes are still in several components.
+        open_ = at.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y")
+        open_ = written(spark, open_, "tokens")
+        left = open_.agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()[0] or 0
         if not left:
             break
         # Components only grow, so the tokens that are done stay done.
-        postings = written(spark, postings.join(heads.select("token"), "token"), "postings")
-        at = postings.withColumn("comp", F.col("key")) if comp is None else postings.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        last = left <= FEW * total or gained < GAIN * size or k == ROUNDS
-        if last:
-            few = at
-            other = few.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("comp").alias("cb"))
-            pairs = few.join(other, "token").where("key < b and comp <> cb and 7 * least(rest, rb) >= 3 * (n + nb)").select(F.col("key").alias("a"), "b").distinct()
-        else:
-            met = at.join(heads.select("token", "p"), "token").where("comp <> p.comp and 7 * least(rest, p.rest) >= 3 * (n + p.n)")
-            votes = met.groupBy("key", F.col("p.key").alias("a")).count()
-            best = votes.groupBy("key").agg(F.max(F.struct("count", "a")).alias("v"))
-            pairs = best.select(F.col("v.a").alias("a"), F.col("key").alias("b"))
+        postings = written(spark, postings.join(open_.select("token"), "token"), "postings")
+        last = left <= FEW * total or k == len(ROUNDS)
+        at = _labelled(postings, comp)
+        pairs = _all_pairs(at) if last else _pivot_pairs(at, k, *ROUNDS[k])
         new = written(spark, linked(pairs, nodes), "links")
-        gained = new.count()
         edges = new if edges is None else written(spark, edges.union(new), "links")
         comp = components(edges) if not edges.isEmpty() else None
         if last:
