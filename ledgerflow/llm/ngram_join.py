@@ -47,6 +47,8 @@ SMALL = 500_000
 BAND = math.log(1.34)
 #: Pairs between components, for each posting, up to which all of them are compared.
 FEW = 4
+#: Edges (16 bytes each) that one task turns into trees.
+TASK_EDGES = 1_000_000
 
 
 class Hashes(dict):
@@ -247,10 +249,42 @@ def linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_arrow(two.select("a", "na", "ta", "b", "nb", "tb"), _verify, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """key and the smallest key (comp) it reaches over edges(a, b); only keys with edges."""
+def _forest(batches):
+    """A spanning forest of a task's edges: each node with the smallest of its tree."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x in batches:
+        a.append(x.column("a").to_numpy(zero_copy_only=False))
+        b.append(x.column("b").to_numpy(zero_copy_only=False))
+    a, b = np.concatenate(a), np.concatenate(b)
+    keys, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[:len(a)], at[len(a):]
+    root = np.arange(len(keys))
+    while len(a):
+        # Hook the larger root of each edge below the smaller one, then shorten all paths.
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        a, b = root[a], root[b]
+        left = a != b
+        a, b = a[left], b[left]
+    if len(keys):
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys[root])], ["a", "b"])
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """key and the smallest key (comp) it reaches over edges(a, b); only keys with edges.
+    Tasks of up to about `task_edges` edges turn them into trees; if there was one task,
+    these are the components, else labels spread over the trees of all tasks."""
     spark = edges.sparkSession
-    both = written(spark, edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    tasks = -(-edges.count() // task_edges)
+    trees = map_arrow(edges.select("a", "b").coalesce(max(1, tasks)), _forest, "a bigint, b bigint")
+    if tasks <= 1:
+        return written(spark, trees.withColumnsRenamed({"a": "key", "b": "comp"}), "labels")
+    trees = written(spark, trees, "trees")
+    both = written(spark, trees.union(trees.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(spark, both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
@@ -311,8 +345,9 @@ def join_documents(docs: DataFrame) -> DataFrame:
     rows = written(spark, map_arrow(by_doc, _sets, KIND), "sets")
 
     # One node for each set; copies follow it.
-    owners = written(spark, rows.where("same is not null").groupBy("same", "n").agg(F.min("key").alias("key")), "owners")
-    nodes = written(spark, rows.join(owners.select("key").distinct(), "key", "left_semi").where("same is not null").dropDuplicates(["key"]), "nodes")
+    first = F.min_by(F.struct("key", "tokens", "prefix", "alone"), "key").alias("v")
+    nodes = written(spark, rows.where("same is not null").groupBy("same", "n").agg(first).select("same", "n", "v.*"), "nodes")
+    owners = nodes.select("same", "n", "key")
     postings = written(spark, nodes.select("key", "n", "alone", F.posexplode("prefix").alias("p", "token")).select("key", "n", "token", (F.col("n") - F.col("alone") - F.col("p")).alias("rest")), "postings")
     total = max(1, postings.count())
 
