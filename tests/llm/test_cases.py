@@ -186,6 +186,20 @@ def test_near_copies_with_many_rounds(spark, monkeypatch):
     assert got == {i: (len(s), comp[i]) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("task_edges", [1 << 20, 40])
+def test_components(spark, task_edges):
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-150, 150, (120, 2)) if a != b] + [(k, k + 1) for k in range(1000, 1100)] + [(7000, 7001)] * 3
+    up = {k: k for p in pairs for k in p}
+    for _ in range(len(pairs)):
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(9)
+    got = ngram_join.components(edges, task_edges).collect()
+    assert len(got) == len(up) and {r.key: r.comp for r in got} == up
+    assert ngram_join.components(edges.where("a > 9000"), task_edges).isEmpty()
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     d = spark.read.parquet(f"{sf}/documents.parquet")
