@@ -162,8 +162,9 @@ def _home(ids: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _phrases(buckets: int, parts: int):
-    """kind 0: (phrase, document) by trigger. kind 1: a document's phrases that a smaller
-    one has, or whose suffixes are wanted (2), by document."""
+    """kind 0: (phrase, document) by trigger; kind 4: those that stand for a hot trigger's.
+    kind 1: a document's phrases that a smaller one has, or whose suffixes are wanted (2),
+    by document."""
 
     def run(batches):
         for b in by_bytes(batches, "text", 6 << 20):
@@ -178,16 +179,17 @@ def _phrases(buckets: int, parts: int):
             _, back, count = np.unique(trig, return_inverse=True, return_counts=True)
             hot = count[back] >= HOT
             # Of those the first and last (the least and largest document) go by trigger too,
-            # so that the phrases of other batches meet them there.
+            # so that the phrases of other batches meet them there, as documents of the group
+            # even if a smaller document has these two: it need not have the others.
             outer = np.zeros(len(trig), bool)
             outer[np.unique(trig, return_index=True)[1]] = True
             outer[len(trig) - 1 - np.unique(trig[::-1], return_index=True)[1]] = True
             rows = []
             k, d = pair[keep], doc[keep]
             for part, x in split((trig % _U(buckets)).astype(np.int32)):
-                x = x[~hot[x] | outer[x]]
-                if len(x):
-                    rows.append((part, 0, pack(k[x], steps(d[x]))))
+                for kind, y in ((0, x[~hot[x]]), (4, x[hot[x] & outer[x]])):
+                    if len(y):
+                        rows.append((part, kind, pack(k[y], steps(d[y]))))
             tell_k = np.concatenate([pair[later], k[hot]])
             tell_d = np.concatenate([doc[later], d[hot]])
             code = np.concatenate([np.ones(int(later.sum()), np.uint8), np.full(int(hot.sum()), 2, np.uint8)])
@@ -209,15 +211,15 @@ def _decide(parts: int):
         held = defaultdict(list)
         for b in batches:
             for part, kind, blob in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("blob").to_pylist()):
-                if kind:
+                if kind == 1:
                     yield _blobs([(part, kind, blob)])
                 else:
                     k, d = unpack(blob, np.uint64, np.uint64)
-                    held[part].append((k, unsteps(d)))
+                    held[part].append((k, unsteps(d), np.full(len(k), kind == 4)))
         for part in list(held):
-            k, d = (np.concatenate(x) for x in zip(*held.pop(part)))
+            k, d, hot = (np.concatenate(x) for x in zip(*held.pop(part)))
             order = np.argsort(d, kind="stable")
-            k, d = k[order], d[order]
+            k, d, hot = k[order], d[order], hot[order]
             later, _ = _first(k, d)
             t = k >> _U(36)
             order = np.argsort(t, kind="stable")
@@ -226,10 +228,12 @@ def _decide(parts: int):
             group = np.empty(len(t), np.int64)
             group[order] = np.cumsum(new) - 1
             low, high = np.full(int(new.sum()), np.iinfo(np.int64).max), np.full(int(new.sum()), np.iinfo(np.int64).min)
-            # A group counts if phrases of two documents are left in it.
+            # A group counts if phrases of two documents are left in it, those that went out
+            # as hot included.
             left = ~later
-            np.minimum.at(low, group[left], d[left])
-            np.maximum.at(high, group[left], d[left])
+            there = left | hot
+            np.minimum.at(low, group[there], d[there])
+            np.maximum.at(high, group[there], d[there])
             wanted = left & (low[group] < high[group])
             some = later | wanted
             code = np.where(later, 1, 2).astype(np.uint8)[some]

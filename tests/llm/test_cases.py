@@ -153,6 +153,32 @@ def test_hot_phrases_are_compared(spark, monkeypatch):
     assert got[0] == 0 and all(got[k] >= len(line) for k in range(1, 40))
 
 
+def removed_by_force(rows):
+    seen, want = set(), {}
+    for i, t in sorted(rows):
+        b = t.encode()
+        own = [b[k:k + 50] for k in range(len(b) - 49)]
+        want[i] = len({k + j for k, x in enumerate(own) if x in seen for j in range(50)})
+        seen.update(own)
+    return want
+
+
+def test_grown_listing_with_equal_first_and_last_rows(spark):
+    rng = np.random.default_rng(7)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    small, grown = [], []
+    for s in range(30):
+        head, foot = letters(60), letters(26)
+        rows = [head + letters(80) for _ in range(62)]
+        rows[0] += foot
+        rows[-2] += foot  # the last row stands behind the same bytes in both
+        small.append((s, rows[0] + rows[-1]))
+        grown.append((1000 + s, "".join(rows)))
+    d = [spark.createDataFrame(x, "doc_id long, text string") for x in (small, grown)]
+    got = {r.doc_id: r.n_removed for r in parse_dedup.remove_repeats(d[0].unionByName(d[1])).collect()}
+    assert got == removed_by_force(small + grown)
+
+
 def test_near_copies_with_many_rounds(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FEW", 0)
     rng = np.random.default_rng(1)
