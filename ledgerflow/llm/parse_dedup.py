@@ -12,7 +12,7 @@ every suffix of 50 bytes goes into an order of its own, and the least document o
 suffixes decides. Both orders are made in parts, by hash, and each task first folds what
 it holds, so that a string that a third of all documents have leaves a task once.
 
-Strings are equal if their 64-bit hashes are (phrases: by 64 bits, of two hashes).
+Strings are equal if their 64-bit hashes are, and so are phrases.
 
 Cases: null counts as the empty text; texts under 50 bytes lose nothing; rows with the
 same doc_id never remove bytes of each other; a null doc_id is smaller than all others;
@@ -119,10 +119,6 @@ class Parse:
         at = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first - self.low[some], n)
         return at, mixed(self.strings(at, at + LENGTH))
 
-    def pair(self) -> np.ndarray:
-        """28 bits of the trigger and 36 of the phrase; the bucket holds more of the trigger."""
-        return self.trigger >> _U(36) << _U(36) | self.key >> _U(28)
-
 
 def _ids(b: pa.RecordBatch) -> np.ndarray:
     return np.asarray(b.column("doc_id").fill_null(NULL).to_numpy(zero_copy_only=False), np.int64)
@@ -172,8 +168,8 @@ def _phrases(buckets: int, parts: int):
             p = Parse(texts)
             if not len(p.low):
                 continue
-            pair, doc = p.pair(), ids[p.of]
-            later, once = _first(mixed(p.trigger ^ p.key * _BASE), doc)
+            key, doc = p.key, ids[p.of]
+            later, once = _first(key, doc)
             keep = ~later & once
             trig = p.trigger[keep]
             _, back, count = np.unique(trig, return_inverse=True, return_counts=True)
@@ -185,12 +181,13 @@ def _phrases(buckets: int, parts: int):
             outer[np.unique(trig, return_index=True)[1]] = True
             outer[len(trig) - 1 - np.unique(trig[::-1], return_index=True)[1]] = True
             rows = []
-            k, d = pair[keep], doc[keep]
+            # The high 32 bits of a trigger go along; the bucket holds the low ones.
+            k, d, t = key[keep], doc[keep], (trig >> _U(32)).astype(np.uint32)
             for part, x in split((trig % _U(buckets)).astype(np.int32)):
                 for kind, y in ((0, x[~hot[x]]), (4, x[hot[x] & outer[x]])):
                     if len(y):
-                        rows.append((part, kind, pack(k[y], steps(d[y]))))
-            tell_k = np.concatenate([pair[later], k[hot]])
+                        rows.append((part, kind, pack(k[y], steps(d[y]), t[y])))
+            tell_k = np.concatenate([key[later], k[hot]])
             tell_d = np.concatenate([doc[later], d[hot]])
             code = np.concatenate([np.ones(int(later.sum()), np.uint8), np.full(int(hot.sum()), 2, np.uint8)])
             order = np.argsort(tell_d, kind="stable")
@@ -214,14 +211,13 @@ def _decide(parts: int):
                 if kind == 1:
                     yield _blobs([(part, kind, blob)])
                 else:
-                    k, d = unpack(blob, np.uint64, np.uint64)
-                    held[part].append((k, unsteps(d), np.full(len(k), kind == 4)))
+                    k, d, t = unpack(blob, np.uint64, np.uint64, np.uint32)
+                    held[part].append((k, unsteps(d), t, np.full(len(k), kind == 4)))
         for part in list(held):
-            k, d, hot = (np.concatenate(x) for x in zip(*held.pop(part)))
+            k, d, t, hot = (np.concatenate(x) for x in zip(*held.pop(part)))
             order = np.argsort(d, kind="stable")
-            k, d, hot = k[order], d[order], hot[order]
+            k, d, t, hot = k[order], d[order], t[order], hot[order]
             later, _ = _first(k, d)
-            t = k >> _U(36)
             order = np.argsort(t, kind="stable")
             new = np.ones(len(t), bool)
             new[1:] = t[order][1:] != t[order][:-1]
@@ -337,7 +333,7 @@ def _suffixes(buckets: int, parts: int):
                 p = Parse([texts[i] for i in pick])
                 if not len(p.low):
                     continue
-                hit = np.flatnonzero(_in_docs(ids[pick], p.of, p.pair(), k, d) >= 0)
+                hit = np.flatnonzero(_in_docs(ids[pick], p.of, p.key, k, d) >= 0)
                 at, h = p.suffixes(hit)
                 doc = np.repeat(ids[pick][p.of[hit]], p.high[hit] - p.low[hit] + 1)
                 order = np.argsort(doc, kind="stable")
@@ -392,9 +388,8 @@ def _removed(keep_text: bool):
                 p = Parse([texts[i] for i in pick]) if len(pick) else None
                 if p is not None and len(p.low):
                     own = ids[pick]
-                    pair = p.pair()
-                    whole = _in_docs(own, p.of, pair, k[full], d[full]) >= 0
-                    part = np.flatnonzero((_in_docs(own, p.of, pair, k[want], d[want]) >= 0) & ~whole)
+                    whole = _in_docs(own, p.of, p.key, k[full], d[full]) >= 0
+                    part = np.flatnonzero((_in_docs(own, p.of, p.key, k[want], d[want]) >= 0) & ~whole)
                     at, s = p.suffixes(part)
                     of = np.repeat(p.of[part], p.high[part] - p.low[part] + 1)
                     at = at[_in_docs(own, of, s, h, hd) >= 0]

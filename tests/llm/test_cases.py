@@ -179,6 +179,19 @@ def test_grown_listing_with_equal_first_and_last_rows(spark):
     assert got == removed_by_force(small + grown)
 
 
+def test_phrases_whose_hashes_differ_in_low_bits_only(spark, monkeypatch):
+    class Low(parse_dedup.Parse):
+        def __init__(self, texts):
+            super().__init__(texts)
+            self.key = self.key & np.uint64((1 << 28) - 1)
+
+    monkeypatch.setattr(parse_dedup, "Parse", Low)
+    line = "this passage of more than fifty bytes stands in all of these documents, always the same."
+    rows = [(k, f"{'ab' * (k % 5)}{k} {line} {k * 7}") for k in range(20)]
+    got = {r.doc_id: r.n_removed for r in parse_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == removed_by_force(rows)
+
+
 def test_near_copies_with_many_rounds(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FEW", 0)
     rng = np.random.default_rng(1)
