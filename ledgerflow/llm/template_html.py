@@ -1,13 +1,11 @@
-"""HTML extraction by equivalence-class template deduction.
+"""HTML extraction by the tokens that a host's pages share.
 
 The pages of a host are token streams: an element is the token of its path (tags with
-their classes, from the root), a text block the token of its path and text. Tokens that
-occur equally often on each page share an occurrence vector; its signature is the xor of
-hash(page, count) over the pages, so that the vectors of a host of any size are made by
-a plain aggregation. Tokens of one signature are an equivalence class. A class is valid
-if it stands on SUPPORT of the host's pages (and on MIN_PAGES) and is closed under
-nesting: an element counts only if its parent's class is valid too. Valid classes nest
-into the host's template; blocks in it are boilerplate, and what lies between are slots.
+their classes, from the root), a text block the token of its path and text. A token is
+part of the host's template if it stands on SUPPORT of the host's different pages (and on
+MIN_PAGES); an element's parent stands wherever the element does. Blocks in the template
+are boilerplate, and what lies between are slots. Each token is judged by the number of
+its own pages: there are no equivalence classes, and no templates by type of page.
 
 The main slot of a page is its article (or main) element if it has one, else the
 smallest template element that holds most of the text left in the slots. From it go the
@@ -17,15 +15,16 @@ copies of articles aren't templates.
 
 Cases: null counts as empty html, which gives the empty text; a host that is unknown
 (null url) is a host of its own; a host with few pages has no template and is judged by
-its page alone; broken markup is closed as browsers do; rows that repeat count as pages
-of their own and get equal rows; an empty table gives no rows.
+its page alone; broken markup is closed as browsers do; rows that repeat, and pages of a
+host with equal html, count as one page and get equal texts, whatever their page_id is; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -200,35 +199,30 @@ def main_text(page: Page, template: frozenset) -> str:
 
 
 def _tokens(batches):
-    """host, token, pages, signature for what a few hundred pages have."""
+    """host, token, pages for what a few hundred pages have."""
     for b in by_bytes(batches, "html", 4 << 20):
         pages: Counter = Counter()
-        sums: dict = defaultdict(lambda: [0, 0])
-        for host, page_id, html in zip(b.column("host").to_pylist(), b.column("page_id").to_pylist(), as_bytes(b.column("html"))):
+        for host, html in zip(b.column("host").to_pylist(), as_bytes(b.column("html"))):
             page = Page(html.decode("utf-8", "replace"))
             el = page.elements
-            seen = Counter(x[2] for x in el[1:])
+            seen = {x[2] for x in el[1:]}
             seen.update(block_token(el[e][2], clean(t)) for e, t in page.blocks if not el[e][4])
-            seen[-1] = 1  # the page itself
-            for token, n in seen.items():
-                s = sums[host, token]
-                s[0] += 1
-                s[1] ^= zlib.crc32(b"%d" % n, (page_id or 0) & 0xFFFFFFFF) | zlib.crc32(b"%d %d" % (page_id or 0, n)) << 31
-        hosts, tokens = zip(*sums) if sums else ((), ())
-        values = [*sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64())], ["host", "token", "pages", "sig"])
+            seen.add(-1)  # the page itself
+            pages.update((host, token) for token in seen)
+        hosts, tokens = zip(*pages) if pages else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array([*pages.values()], pa.int64())], ["host", "token", "pages"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host and the tokens of its template. A token of it stands on SUPPORT of the pages,
     so a template is at most 1/SUPPORT times as long as the host's pages are on average."""
-    rows = map_arrow(pages.select("host", "page_id", "html"), _tokens, "host string, token bigint, pages bigint, sig bigint")
-    tokens = rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("sig").alias("sig"))
-    frequent = tokens.where(F.col("pages") >= MIN_PAGES)
-    classes = frequent.groupBy("host", "sig").agg(F.max("pages").alias("pages"), F.collect_list("token").alias("tokens"))
+    once = pages.select("host", F.coalesce("html", F.lit("")).alias("html")).distinct()
+    rows = map_arrow(once, _tokens, "host string, token bigint, pages bigint")
+    tokens = rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"))
     own = tokens.where("token = -1").select("host", F.col("pages").alias("_all"))
-    valid = classes.join(own, "host").where(F.col("pages") >= SUPPORT * F.col("_all"))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    frequent = tokens.where((F.col("pages") >= MIN_PAGES) & (F.col("token") != -1))
+    valid = frequent.join(own, "host").where(F.col("pages") >= SUPPORT * F.col("_all"))
+    return valid.groupBy("host").agg(F.collect_list("token").alias("tokens"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -237,7 +231,7 @@ def extract(pages: DataFrame) -> DataFrame:
     ship(spark)
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host"))
-    found = templates(rows.withColumn("page_id", F.col("page_id").cast("bigint"))).cache()
+    found = templates(rows).cache()
     size = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
     kinds = dict(rows.dtypes)
     schema = f"page_id {kinds['page_id']}, url string, text string, n_chars bigint"

@@ -317,6 +317,19 @@ def test_html(spark):
     assert none.count() == 0
 
 
+@pytest.mark.parametrize("times", [2, 4])
+@pytest.mark.parametrize("ids", [True, False])
+def test_html_of_rows_that_repeat(spark, times, ids):
+    body = lambda k: f"<body><div>Site</div><div><h1>Title {k}</h1><p>Body {k} " + "word " * 30 + f"</p><p>Shared by two: {k // 2}</p></div><div>Made by us</div>"
+    rows = [(k if ids else None, f"http://b.com/{k}", body(k)) for k in range(8)]
+    rows += [(100 if ids else None, "http://alone.com/", body(100))]
+    schema = "page_id long, url string, html string"
+    want = {r.url: r.text for r in template_html.extract(spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], schema)).collect()}
+    assert want["http://b.com/3"].endswith("Shared by two: 1") and "Site" not in want["http://b.com/3"] and "Body 100" in want["http://alone.com/"]
+    got = template_html.extract(spark.createDataFrame(rows * times, schema)).collect()
+    assert len(got) == times * len(rows) and {(r.url, r.text) for r in got} == set(want.items())
+
+
 def test_html_joined_templates_agree(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     a = sorted(map(tuple, template_html.extract(pages).collect()))
