@@ -164,12 +164,15 @@ SELECT node FROM r
 """
 
 
-def _sides(spark, sf_dir):
+def _sides(spark, sf_dir, most: int | None = 50):
+    """The first `most` orders of each side, or all. e05 and f10 take 50, as their SQL does."""
     o = table(spark, sf_dir, "orders")
     w = F.row_number()
     from pyspark.sql.window import Window
 
-    x = o.where("o_orderpriority in ('1-URGENT', '5-LOW')").withColumn("sample", w.over(Window.partitionBy("o_orderstatus", "o_orderpriority").orderBy("o_orderkey")).cast("bigint")).where("sample <= 50")
+    x = o.where("o_orderpriority in ('1-URGENT', '5-LOW')").withColumn("sample", w.over(Window.partitionBy("o_orderstatus", "o_orderpriority").orderBy("o_orderkey")).cast("bigint"))
+    if most is not None:
+        x = x.where(F.col("sample") <= most)
     pick = lambda p: x.where(F.col("o_orderpriority") == p).select("o_orderstatus", "sample", F.ceil("o_totalprice").cast("bigint").alias("bytes"))
     return pick("1-URGENT"), pick("5-LOW")
 
@@ -189,7 +192,11 @@ def f10_comparison(spark, sf_dir):
 
 
 def f11_bootstrap(spark, sf_dir):
-    return stats.bootstrap_by(stats.paired(*_sides(spark, sf_dir), ["o_orderstatus", "sample"], "bytes"), "o_orderstatus", ["sample"])
+    """Over all orders, n-th with n-th; the rest of the longer side has no pair and is counted."""
+    both = stats.paired_or_alone(*_sides(spark, sf_dir, None), ["o_orderstatus", "sample"], "bytes")
+    found = stats.bootstrap_by(both.where("base is not null and new is not null"), "o_orderstatus", ["sample"])
+    count = both.groupBy("o_orderstatus").agg(F.count_if(F.expr("base is not null and new is not null")).alias("pairs"), F.count_if(F.expr("base is null or new is null")).alias("unpaired"))
+    return count.join(found, "o_orderstatus", "left").select("o_orderstatus", "pairs", "unpaired", "value", "low", "high")
 
 
 def f06_percentiles(spark, sf_dir):

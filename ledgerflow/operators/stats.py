@@ -14,6 +14,8 @@ FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 LCG_FACTOR, LCG_STEP = 6364136223846793005, 1442695040888963407
 MASK = (1 << 64) - 1
 RESAMPLES = 4000
+#: Draws that are made at once, and tasks over which a group's resamples are dealt.
+PIECE, BLOCKS = 1 << 20, 16
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -31,6 +33,12 @@ def paired(base: DataFrame, new: DataFrame, keys: list[str], value: str) -> Data
     return both.withColumn("_ok", F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(F.lit("a sample has no pair")).cast("boolean"))).where("_ok").drop("_ok", "_nb", "_nn")
 
 
+def paired_or_alone(base: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row for each key of either side, with null for the side that lacks it."""
+    b, n = base.select(*keys, F.col(value).alias("base")), new.select(*keys, F.col(value).alias("new"))
+    return b.join(n, keys, "full")
+
+
 def compare(pairs: DataFrame, by: str) -> DataFrame:
     """Reduction of sums, over all (null group) and by group."""
     out = pairs.groupingSets([[], [F.col(by)]], F.col(by)).agg(F.count("*").alias("pairs"), F.sum("base").alias("base"), F.sum("new").alias("new"))
@@ -44,33 +52,67 @@ def seed(label: str) -> int:
     return max(h, 1)
 
 
-def draws(label: str, n: int, resamples: int = RESAMPLES, high: bool = False) -> np.ndarray:
-    """Indexes of each resample of n; high: from the high 32 bits of the state. The state
-    after k steps is A[k]*seed + B[k], so all of them are made at once."""
-    total = n * resamples
+def jumped(state: int, steps: int) -> int:
+    """The state that many steps on."""
+    a, b, fa, fb = 1, 0, LCG_FACTOR, LCG_STEP
+    while steps:
+        if steps & 1:
+            a, b = fa * a & MASK, fa * b + fb & MASK
+        fa, fb = fa * fa & MASK, fa * fb + fb & MASK
+        steps >>= 1
+    return a * state + b & MASK
+
+
+def draws_from(state: int, total: int, n: int, high: bool = False) -> np.ndarray:
+    """The next indexes below n. The state after k steps is A[k]*state + B[k], so all of
+    them are made at once."""
     a = np.cumprod(np.full(total, LCG_FACTOR, np.uint64))
     b = np.concatenate([np.ones(1, np.uint64), a[:-1]]).cumsum(dtype=np.uint64) * np.uint64(LCG_STEP)
-    state = a * np.uint64(seed(label)) + b
-    return ((state >> np.uint64(32) if high else state) % np.uint64(n)).astype(np.int64).reshape(resamples, n)
+    states = a * np.uint64(state) + b
+    return ((states >> np.uint64(32) if high else states) % np.uint64(n)).astype(np.int64)
+
+
+def draws(label: str, n: int, resamples: int = RESAMPLES, high: bool = False) -> np.ndarray:
+    """Indexes of each resample of n; high: from the high 32 bits of the state."""
+    return draws_from(seed(label), n * resamples, n, high).reshape(resamples, n)
+
+
+def share(b, n):
+    return np.where(b == 0, 0.0, 100.0 * (b - n) / np.where(b == 0, 1, b))
+
+
+def estimates(base: np.ndarray, new: np.ndarray, label: str, first: int, last: int, high: bool = False) -> np.ndarray:
+    """Reductions of the resamples from first to before last, PIECE draws at a time."""
+    n, start = len(base), seed(label)
+    sums, rows = np.zeros((2, last - first)), max(1, PIECE // n)
+    for r in range(first, last, rows):
+        m = min(rows, last - r)
+        for k in range(0, n, PIECE):  # more than once only if a resample is longer than that
+            w = min(PIECE, n - k)
+            at = draws_from(jumped(start, r * n + k), m * w, n, high).reshape(m, w)
+            sums[:, r - first:r - first + m] += base[at].sum(1), new[at].sum(1)
+    return share(*sums)
 
 
 def bootstrap(base: np.ndarray, new: np.ndarray, label: str, high: bool = False) -> tuple[float, float, float]:
     """Reduction and the ends of its 95 % interval."""
-    def share(b, n):
-        return np.where(b == 0, 0.0, 100.0 * (b - n) / np.where(b == 0, 1, b))
-
-    at = draws(label, len(base), RESAMPLES, high)
-    est = np.sort(share(base[at].sum(1), new[at].sum(1)))
+    est = np.sort(estimates(base, new, label, 0, RESAMPLES, high))
     k = lambda p: -(-RESAMPLES * p // 1000) - 1
     return float(share(base.sum(), new.sum())), float(est[k(25)]), float(est[k(975)])
 
 
 def bootstrap_by(pairs: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """by, value, low, high: each group's pairs (samples of one experiment) in one call."""
+    """by, value, low, high: each group's pairs (samples of one experiment). Its resamples
+    are dealt over BLOCKS tasks, of which each holds the group's pairs."""
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(order)
-        v, lo, hi = bootstrap(p["base"].to_numpy(float), p["new"].to_numpy(float), str(p[by].iloc[0]))
-        return pd.DataFrame({by: [p[by].iloc[0]], "value": [v], "low": [lo], "high": [hi]})
+        base, new, k = p["base"].to_numpy(float), p["new"].to_numpy(float), int(p["_block"].iloc[0])
+        est = estimates(base, new, str(p[by].iloc[0]), RESAMPLES * k // BLOCKS, RESAMPLES * (k + 1) // BLOCKS)
+        return pd.DataFrame({by: [p[by].iloc[0]], "value": [float(share(base.sum(), new.sum()))], "est": [est]})
 
     kind = dict(pairs.dtypes)[by]
-    return pairs.groupBy(by).applyInPandas(run, f"{by} {kind}, value double, low double, high double")
+    dealt = pairs.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    blocks = dealt.groupBy(by, "_block").applyInPandas(run, f"{by} {kind}, value double, est array<double>")
+    all_ = blocks.groupBy(by).agg(F.first("value").alias("value"), F.sort_array(F.flatten(F.collect_list("est"))).alias("est"))
+    rank = lambda p: F.element_at("est", -(-RESAMPLES * p // 1000))
+    return all_.select(by, "value", rank(25).alias("low"), rank(975).alias("high"))

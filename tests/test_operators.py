@@ -84,6 +84,37 @@ def test_draws_are_the_generator():
     assert v == lo == hi == 50.0
 
 
+@pytest.mark.parametrize("piece", [7, 50, 1 << 20])
+def test_resamples_in_blocks_are_the_same(spark, monkeypatch, piece):
+    rng = np.random.default_rng(2)
+    base, new = rng.integers(1, 1000, 23).astype(float), rng.integers(1, 1000, 23).astype(float)
+    at = stats.draws("x", 23)
+    est = np.sort(100.0 * (base[at].sum(1) - new[at].sum(1)) / base[at].sum(1))
+    want = (100.0 * (base.sum() - new.sum()) / base.sum(), est[99], est[3899])
+    monkeypatch.setattr(stats, "PIECE", piece)
+    assert stats.bootstrap(base, new, "x") == pytest.approx(want, rel=1e-12)
+    pairs = spark.createDataFrame([("x", k, float(b), float(n)) for k, (b, n) in enumerate(zip(base, new))], "g string, k long, base double, new double")
+    r = stats.bootstrap_by(pairs, "g", ["k"]).collect()
+    assert len(r) == 1 and tuple(r[0])[1:] == pytest.approx(want, rel=1e-12)
+
+
+def test_bootstrap_takes_all_orders(spark):
+    import duckdb
+
+    from ledgerflow import catalog
+
+    sf = "/root/testdata/sf0.001"
+    want = duckdb.sql(f"""
+        WITH s AS (SELECT o_orderstatus AS g, o_orderpriority AS p, row_number() OVER (PARTITION BY g, p ORDER BY o_orderkey) AS k, ceil(o_totalprice) AS v FROM '{sf}/orders.parquet'),
+        x AS (SELECT coalesce(a.g, b.g) AS g, a.v AS base, b.v AS new FROM (SELECT * FROM s WHERE p = '1-URGENT') a FULL JOIN (SELECT * FROM s WHERE p = '5-LOW') b ON a.g = b.g AND a.k = b.k)
+        SELECT g, count(*) FILTER (base + new IS NOT NULL), count(*) FILTER (base + new IS NULL), 100 * (sum(base) FILTER (new IS NOT NULL) - sum(new) FILTER (base IS NOT NULL)) / sum(base) FILTER (new IS NOT NULL) FROM x GROUP BY g""").fetchall()
+    got = {r.o_orderstatus: r for r in catalog.queries()["f11_bootstrap"](spark, sf).collect()}
+    assert len(got) == len(want) == 3
+    for g, pairs, unpaired, value in want:
+        assert (got[g].pairs, got[g].unpaired) == (pairs, unpaired) and pairs > 50
+        assert got[g].value == pytest.approx(value) and got[g].low < got[g].value < got[g].high
+
+
 def test_unpaired_sample_is_an_error(spark):
     a, b = (spark.createDataFrame([(k, 1) for k in n], "k long, v long") for n in ((1, 2), (1,)))
     with pytest.raises(Exception, match="no pair"):
