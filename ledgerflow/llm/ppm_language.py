@@ -9,7 +9,8 @@ each length: the code of a gram's last byte, and the escape of the gram as a con
 for all languages at once, so a text is scored in a few array operations.
 
 The trees are fitted on at most SAMPLE rows of each language (the least hashes of doc_id)
-of those that may be learned from; every text is scored whole.
+of those that may be learned from; every text is scored whole. All languages are
+learned, LANGUAGES of them in a model, and a text is scored by each model in turn.
 
 Cases: null or letterless texts are `und` with score 0; ties go to the first language by
 name; with no language to learn all are `und`; a null doc_id counts as the empty text in
@@ -30,7 +31,10 @@ from .common import by_bytes, crc_mod, map_arrow
 
 ORDER = 3
 SAMPLE = 300
-LANGUAGES = 256
+#: Languages of one model: a byte of text needs 4 bytes for each while it is scored.
+LANGUAGES = 16
+#: Sampled rows that may be broadcast; more are joined by a shuffle.
+SMALL = 500_000
 FOLDS, HELD_OUT = 3, 1
 LETTER = re.compile(r"[^\W\d_]")
 START = b"\n" * ORDER  # what stands before each text
@@ -162,11 +166,10 @@ class Model:
 
 def train(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample: int = SAMPLE) -> dict:
     may = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held_out))
-    langs = may.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = may.join(F.broadcast(langs.select("lang")), "lang").withColumn("_n", first).where(F.col("_n") <= sample).select("doc_id", "lang")
-    # At most sample*LANGUAGES pairs: bounded, so they may be sent to all.
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).where(F.col("text").isNotNull())
+    ids = may.withColumn("_n", first).where(F.col("_n") <= sample).select("doc_id", "lang").distinct()
+    few = may.select("lang").distinct().count() * sample <= SMALL
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids) if few else ids, ["doc_id", "lang"]).where(F.col("text").isNotNull())
 
     def run(key, t):
         grams = count([x.encode() for x in t.column("text").to_pylist()])
@@ -184,21 +187,24 @@ def train(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample:
 def identify(docs: DataFrame, counts: dict | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs."""
     counts = train(docs) if counts is None else counts
-    sent = docs.sparkSession.sparkContext.broadcast(Model(counts) if counts else None)
+    langs = sorted(counts)
+    blocks = [langs[k:k + LANGUAGES] for k in range(0, len(langs), LANGUAGES)]
+    sent = docs.sparkSession.sparkContext.broadcast([Model({x: counts[x] for x in b}) for b in blocks])
 
     def run(batches):
-        model = sent.value
+        models = sent.value
         for b in by_bytes(batches, "text", 1 << 20):
             texts = b.column("text").to_pylist()
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             at = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-            if at and model is not None:
-                bits = model.bits([texts[i].encode() for i in at])
+            if at and models:
+                some = [texts[i].encode() for i in at]
+                bits = np.hstack([m.bits(some) for m in models])
                 best = bits.argmin(axis=1)
                 odds = np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000.0))
                 score[at] = 1.0 / odds.sum(axis=1)
                 for i, k in zip(at, best):
-                    pred[i] = model.langs[k]
+                    pred[i] = langs[k]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pred), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")

@@ -251,6 +251,17 @@ def test_classifiers_on_held_out_rows(spark):
     assert np.mean([[p > q for q in neg] for p in pos]) > 0.95
 
 
+def test_all_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(ppm_language, "LANGUAGES", 2)
+    words = {f"l{j}": [f"{chr(97 + 4 * j)}{a}{chr(98 + 4 * j)}{b}" for a in "aeiou" for b in "xyz"] for j in range(5)}
+    rng = np.random.default_rng(4)
+    rows = [(1000 * j + k, x, " ".join(rng.choice(words[x], 12))) for j, x in enumerate(words) for k in range(30 - 5 * j)]
+    d = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    lang = {i: x for i, x, _ in rows}
+    got = {r.doc_id: r.lang_pred for r in ppm_language.identify(d).collect()}
+    assert got == lang
+
+
 def test_language_cases(spark):
     counts = {k: ppm_language.count([t.encode()]) for k, t in (("en", "the cat and the dog " * 20), ("de", "der hund und die katze " * 20))}
     d = spark.createDataFrame([(1, "the dog"), (2, "die katze"), (3, None), (4, "123 !"), (5, "")], "doc_id long, text string")
