@@ -373,6 +373,23 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} == {r.doc_id for r in rows}
 
 
+def test_pipeline_removes_rows_not_doc_ids(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+    base, other, clean = text(200), text(200), text(200)
+    rows = [(1, base), (2, base + " end"), (2, clean), (None, base + " tail"), (None, text(90)), (7, other), (7, other + " end"), (8, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, d, SF).collect()]
+    assert set(got) - {rows[5], rows[6]} == {rows[0], rows[2], rows[4], rows[7]} and len(got) == 5
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 60").first().text
+    leak = text(100) + " " + item + " " + text(100)
+    rows = [(5, leak), (5, clean), (None, leak + " x"), (None, clean), (6, text(150))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in corpus_pipeline.decontaminate(spark, d, SF).collect()} == {rows[1], rows[3], rows[4]}
+
+
 def test_pipeline_takes_odd_rows(spark):
     import corpus_pipeline
 
