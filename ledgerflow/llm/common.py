@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -42,10 +45,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset a temporary one, but on one
+    machine only: executors of a cluster would not see it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         sc = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = getattr(sc, "_ledgerflow_dir", None)
         if at is None:
             at = sc._ledgerflow_dir = tempfile.mkdtemp(prefix="ledgerflow-")
@@ -91,9 +97,71 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20
         yield b.slice(start)
 
 
+def _give_back() -> None:
+    """Free memory of this worker goes back to the system: workers are used again by other
+    tasks, beside which it would stay."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """df with _key, a hash of doc_id and text; rows that agree in both share it."""
+    return df.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), F.coalesce("text", F.lit(""))))
+
+
+def pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """text in pieces of about `most` bytes, cut at white space only."""
+    at = 0
+    while len(text) - at > most:
+        m = _SPACE.search(text, at + most)
+        if m is None:
+            break
+        yield text[at:m.start()]
+        at = m.end()
+    yield text[at:]
+
+
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+#: A group of more rows than this is hot: its rows are joined by broadcast or salted.
+HOT, SALTS, SMALL = 64, 32, 500_000
+
+
+def joined_by_group(rows: DataFrame, groups: DataFrame, by: str, size: str = "rows") -> DataFrame:
+    """rows left joined with groups(by, size, ...), which has one row for each group of more
+    than one row. Hot groups are few (at most rows / HOT): they are broadcast if they are at
+    most SMALL, else each stands under SALTS salts; so no task gets a whole hot group."""
+    hot = groups.where(F.col(size) > HOT)
+    cold = groups.where(F.col(size) <= HOT)
+    others = [c for c in groups.columns if c != by]
+    if hot.count() <= SMALL:
+        near = F.broadcast(hot.drop(size))
+        one = rows.join(near, by)
+        rest = rows.join(F.broadcast(hot.select(by)), by, "left_anti")
+    else:
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+        many = hot.drop(size).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.withColumn("_salt", salt)
+        one = salted.join(many, [by, "_salt"]).drop("_salt")
+        rest = salted.join(many.select(by, "_salt"), [by, "_salt"], "left_anti").drop("_salt")
+    two = rest.join(cold.drop(size), by, "left")
+    names = [*rows.columns, *(c for c in others if c != size)]
+    return one.select(names).unionByName(two.select(names))
 
 
 def as_bytes(values: pa.Array) -> list[bytes]:
