@@ -1,25 +1,31 @@
 """N-gram Jaccard join: prefix filters under several global orders, then exact counts.
 
-A document is the set of its distinct five-word shingles. Two documents of at least
-SIMILAR must share a token among the first n - ceil(SIMILAR*n) + 1 of each, under every
-global order of the tokens. Order A puts rare tokens first, by document counts over the
-whole corpus; orders B and C are ascending and descending hashes. A token that stands in
-one document only comes first in A and can't be shared, so most documents have no
-prefix left to search by; the others meet by the tokens of prefix A, pairs must then
-pass B and C too, and what passes is decided by the exact size of the intersection.
-
-Copies of a set are one node. Where many nodes share a prefix token, no pairs are
-written out within them: in rounds, a few pivots of each token and band of sizes, drawn
-anew for each token, are compared with the other nodes; linked nodes become one
-component, and tokens whose nodes are all in one component are done. When the pairs that
-are left between components are few against the postings, or after the last round, they
-are compared all, so no link between components is lost.
+A document is the set of its distinct five-word shingles (tokens, as 64-bit hashes). Two
+documents of at least SIMILAR must share a token among the first n - ceil(SIMILAR*n) + 1 of
+each, under every global order of the tokens. Order A puts rare tokens first, by document
+counts over the whole corpus; orders B and C are ascending and descending hashes. A token
+that stands in one document only comes first in A and can't be shared, so most documents
+have no prefix left to search by. The others meet by the tokens of prefix A; of the pairs
+that meet, only those whose prefixes B and C overlap too are left, before any whole set
+is fetched; what passes is decided by the exact size of the intersection.
+
+Copies of a set are one node: sets are equal if 128 bits of their content are. Where many
+nodes share a prefix token, no pairs are written out within them: in rounds, a few pivots
+of each token and band of sizes, drawn anew for each token, are compared with the other
+nodes; linked nodes become one component, and tokens whose nodes are all in one component
+are done. When the pairs that are left between components are few against the postings, or
+after the last round, they are compared all, so no link between components is lost.
+
+Tokens that FREQUENT of a sample's documents have stand last in A and skip the count, so
+no task holds their postings; which tokens these are changes the order, never the result.
 
 Cases: words are split at white space of ASCII and A-Z is lower-cased; null and empty
-texts have no shingle and are components of their own; equal short texts are linked;
-rows that repeat a doc_id are linked only if their sets are (then component_id is that
-doc_id or a smaller one); a null doc_id gets no component_id unless linked with others;
-an empty table gives no rows; other columns are neither read nor returned.
+texts have no shingle and are components of their own; equal short texts are linked, and
+sets of one shingle are linked only if its words are equal by 128 bits; rows that repeat a
+doc_id are linked only if their sets are (then component_id is that doc_id or a smaller
+one); a null doc_id gets no component_id unless linked with others; an empty table gives
+no rows; texts of any length are taken whole; columns other than doc_id and text are
+neither read nor returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, dealt, map_arrow, partitions, written
+from .common import as_bytes, by_bytes, dealt, joined_by_group, map_arrow, partitions, written
 from .packed import mixed, pack, split, steps, unpack, unsteps
 
 N = 5
@@ -47,6 +53,8 @@ SMALL = 500_000
 BAND = math.log(1.34)
 #: Pairs between components, for each posting, up to which all of them are compared.
 FEW = 4
+#: Documents of the sample and how many of them make a token a frequent one.
+SAMPLE, FREQUENT = 2_000, 20
 #: Edges (16 bytes each) that one task turns into trees.
 TASK_EDGES = 1_000_000
 
@@ -63,8 +71,9 @@ class Hashes(dict):
         return h
 
 
-def shingles(texts: list[bytes], words: Hashes, n: int = N) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingles(texts: list[bytes], words: Hashes, n: int = N) -> tuple[list[np.ndarray], list[bytes]]:
+    """The sorted distinct shingle hashes of each text, and 128 bits of that set: of the words
+    themselves if the set has one shingle."""
     tokens = [t.lower().split() for t in texts]
     sizes = np.array([*map(len, tokens)], np.int64)
     flat = np.fromiter((h for t in tokens for h in map(words.__getitem__, t)), np.uint64, int(sizes.sum()))
@@ -72,16 +81,17 @@ def shingles(texts: list[bytes], words: Hashes, n: int = N) -> list[np.ndarray]:
     for k in range(n):
         rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + flat[k:k + len(rolled)]
     rolled = mixed(rolled)
-    out, at = [], 0
-    for m in sizes.tolist():
+    out, same, at = [], [], 0
+    for own, m in zip(tokens, sizes.tolist()):
         if m >= n:
             out.append(np.unique(rolled[at:at + m - n + 1]))
         elif m:
             out.append(np.array([xxhash.xxh3_64_intdigest(flat[at:at + m].tobytes(), seed=m)], np.uint64))
         else:
             out.append(rolled[:0])
+        same.append(xxhash.xxh3_128_digest(b" ".join(own[:n])) if len(out[-1]) == 1 else xxhash.xxh3_128_digest(out[-1].tobytes(), seed=len(out[-1])))
         at += m
-    return out
+    return out, same
 
 
 def prefix(n: np.ndarray | int):
@@ -90,27 +100,52 @@ def prefix(n: np.ndarray | int):
     return n - -(-a * n // b) + 1
 
 
-def _scatter(buckets: int, ids_repeat: bool):
-    """From documents: packed (token, document) by token bucket, and packed documents."""
+def _frequent(two: DataFrame) -> np.ndarray:
+    """Tokens that FREQUENT documents of a sample have: at most its tokens / FREQUENT."""
+    chosen = two.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
 
     def run(batches):
         words = Hashes()
+        for b in by_bytes(batches, "text", 2 << 20):
+            sets, _ = shingles(as_bytes(b.column("text")), words)
+            token, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    rows = map_arrow(two.join(F.broadcast(chosen), "doc_id").select("text"), run, "token bigint, n bigint")
+    got = rows.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("token").toPandas()
+    return np.sort(got["token"].to_numpy(np.int64).view(np.uint64))
+
+
+def _scatter(buckets: int, ids_repeat: bool, sent):
+    """From documents: packed (token, document) by token bucket (kind 0), of frequent tokens
+    (2), and packed documents (1): key, id, size, identity, the last token of prefix B and
+    the first of prefix C."""
+
+    def run(batches):
+        words, frequent = Hashes(), sent.value
         for b in by_bytes(batches, "text", 6 << 20):
             texts = as_bytes(b.column("text"))
             ids = np.asarray(b.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), np.int64)
             keys = ids
             if ids_repeat:
                 keys = np.array([xxhash.xxh3_64_intdigest(t, seed=int(i) & (1 << 64) - 1) for i, t in zip(ids, texts)], np.uint64).view(np.int64)
-            sets = shingles(texts, words)
+            sets, same = shingles(texts, words)
             n = np.array([*map(len, sets)], np.int64)
+            low = np.array([x[prefix(len(x)) - 1] if len(x) else 0 for x in sets], np.uint64)
+            high = np.array([x[len(x) - prefix(len(x))] if len(x) else 0 for x in sets], np.uint64)
             token = np.concatenate(sets)
             key = np.repeat(keys, n)
-            rows = split((token % np.uint64(buckets)).astype(np.int32))
+            often = np.zeros(len(token), bool)
+            if len(frequent):
+                often = frequent[np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)] == token
             home = int(mixed(ids[:1].view(np.uint64))[0] % np.uint64(buckets))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p for p, _ in rows] + [home], pa.int32()), pa.array([0] * len(rows) + [1], pa.int8()),
-                 pa.array([pack((token[x] >> np.uint64(32)).astype(np.uint32), steps(key[x])) for _, x in rows] + [pack(keys, ids, n)], pa.binary())],
-                ["part", "kind", "blob"])
+            identity = np.frombuffer(b"".join(same), np.uint64).reshape(-1, 2)
+            rows = [(home, 1, pack(keys, ids, n, identity[:, 0], identity[:, 1], low, high))]
+            if often.any():
+                rows.append((home, 2, pack(token[often], steps(key[often]))))
+                token, key = token[~often], key[~often]
+            rows += [(p, 0, pack(token[x], steps(key[x]))) for p, x in split((token % np.uint64(buckets)).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int8(), pa.binary()))], ["part", "kind", "blob"])
 
     return run
 
@@ -123,27 +158,30 @@ def _counted(parts: int):
         held = defaultdict(list)
         for b in batches:
             for part, kind, blob in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("blob").to_pylist()):
-                if kind == 0:
-                    t, k = unpack(blob, np.uint32, np.uint64)
-                    held[part].append((t, unsteps(k)))
+                if kind == 1:
+                    keys, *rest = unpack(blob, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint64)
+                    yield from send(keys, 1, *rest)
+                    continue
+                t, k = unpack(blob, np.uint64, np.uint64)
+                k = unsteps(k)
+                if kind == 2:
+                    order = np.argsort(k, kind="stable")
+                    yield from send(k[order], 0, t[order], np.full(len(t), (1 << 32) - 1, np.uint32))
                 else:
-                    keys, ids, n = unpack(blob, np.int64, np.int64, np.int64)
-                    yield from send(keys, 1, ids, n)
+                    held[part].append((t, k))
         for part in list(held):
             lists = held.pop(part)
             t, k = (np.concatenate(x) for x in zip(*lists))
+            del lists
             order = np.argsort(t, kind="stable")
             t, k = t[order], k[order]
-            first = np.flatnonzero(np.diff(t, prepend=t[0] ^ np.uint32(1)))
+            first = np.flatnonzero(np.diff(t, prepend=t[0] ^ np.uint64(1)))
             count = np.diff(first, append=len(t))
-            df = np.repeat(count, count)
+            df = np.repeat(np.minimum(count, (1 << 32) - 2).astype(np.uint32), count)
             often = df > 1
-            # The order of a token: its count, saturated, then the token itself.
-            rank = np.minimum(df[often], (1 << 20) - 1).astype(np.uint64) << np.uint64(44)
-            token = np.uint64(part) << np.uint64(32) | t[often].astype(np.uint64)
-            k, rank = k[often], rank | (token & np.uint64((1 << 44) - 1))
+            t, k, df = t[often], k[often], df[often]
             order = np.argsort(k, kind="stable")
-            yield from send(k[order], 0, rank[order])
+            yield from send(k[order], 0, t[order], df[order])
 
     def send(keys, kind, *cols):
         rows = split((mixed(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int32))
@@ -154,42 +192,44 @@ def _counted(parts: int):
     return run
 
 
-KIND = "key bigint, doc_id bigint, n bigint, same bigint, tokens binary, prefix array<bigint>, alone bigint"
+KIND = "key bigint, doc_id bigint, n bigint, same binary, tokens binary, prefix array<bigint>, alone bigint, b array<int>, c array<int>"
 
 
 def _sets(batches):
     """From packed documents and counts: a row for each document; those that can have a
-    partner with the tokens they share with any, and the shared part of prefix A."""
+    partner with the tokens they share with any, the shared part of prefix A, and 32 bits of
+    those of prefixes B and C."""
     docs, found = defaultdict(list), defaultdict(list)
     for b in batches:
         for part, kind, blob in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("blob").to_pylist()):
             if kind:
-                k, i, n = unpack(blob, np.uint64, np.int64, np.int64)
-                docs[part].append((unsteps(k), i, n))
+                k, *rest = unpack(blob, np.uint64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint64)
+                docs[part].append((unsteps(k), *rest))
             else:
-                k, r = unpack(blob, np.uint64, np.uint64)
-                found[part].append((unsteps(k), r))
+                k, t, df = unpack(blob, np.uint64, np.uint64, np.uint32)
+                found[part].append((unsteps(k), t, df))
     for part in list(docs):
-        keys, ids, n = (np.concatenate(x) for x in zip(*docs.pop(part)))
+        keys, ids, n, s1, s2, low, high = (np.concatenate(x) for x in zip(*docs.pop(part)))
         lists = found.pop(part, [])
-        k, r = (np.concatenate(x) for x in zip(*lists)) if lists else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        k, t, df = (np.concatenate(x) for x in zip(*lists)) if lists else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        del lists
         order = np.argsort(k, kind="stable")
-        k, r = k[order], r[order]
+        k, t, df = k[order], t[order], df[order]
         lo, hi = np.searchsorted(k, keys, "left"), np.searchsorted(k, keys, "right")
+        same = np.stack([s1, s2], 1)
         out: list = []
-        for key, i, m, x, y in zip(keys.tolist(), ids.tolist(), n.tolist(), lo.tolist(), hi.tolist()):
-            tokens = first = same = alone = None
+        for j, (key, i, m, x, y) in enumerate(zip(keys.tolist(), ids.tolist(), n.tolist(), lo.tolist(), hi.tolist())):
+            tokens = first = alone = own_same = in_b = in_c = None
             room = prefix(m) - (m - (y - x)) if m else 0
             if y > x and room > 0:
-                own = np.unique(r[x:y])  # rows that repeat count once
+                own, at = np.unique(t[x:y], return_index=True)  # rows that repeat count once
                 room = prefix(m) - (m - len(own))
                 if room > 0:
-                    first, alone = own[:room].astype(np.int64), m - len(own)
-                    t = np.sort(own & np.uint64((1 << 44) - 1))
-                    # A set that has a token of its own is a copy of no other.
-                    own_key = b"" if len(own) == m else b"%d" % key
-                    tokens, same = pack(steps(t.astype(np.int64))), xxhash.xxh3_64_intdigest(own_key + t.tobytes(), seed=m) - (1 << 63)
-            out.append((key, None if i == -(1 << 63) else i, m, same, tokens, first, alone))
+                    rare = df[x:y][at]
+                    first, alone = own[np.lexsort((own, rare))[:room]].view(np.int64), m - len(own)
+                    in_b, in_c = (own[z].astype(np.uint32).view(np.int32) for z in (own <= low[j], own >= high[j]))
+                    tokens, own_same = pack(steps(own.view(np.int64))), same[j].tobytes()
+            out.append((key, None if i == -(1 << 63) else i, m, own_same, tokens, first, alone, in_b, in_c))
             if len(out) == 2000:
                 yield _rows(out)
                 out = []
@@ -198,8 +238,8 @@ def _sets(batches):
 
 
 def _rows(out):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["key", "doc_id", "n", "same", "tokens", "prefix", "alone"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["key", "doc_id", "n", "same", "tokens", "prefix", "alone", "b", "c"])
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -212,15 +252,11 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def alike(x: np.ndarray, n: int, y: np.ndarray, m: int) -> bool:
-    """x, y: the sorted tokens that the sets of n and m share with any document."""
+    """x, y: the sorted tokens that the sets of n and m share with any document. The sets
+    are of different nodes; sets of one shingle each then differ."""
     a, b = SIMILAR
     least, most = (n, m) if n < m else (m, n)
-    if b * least < a * most:
-        return False
-    # Orders B and C: the first hashes of both, ascending and descending, must meet. A
-    # token outside x and y is shared with none, so their ends are prefixes long enough.
-    p, q = prefix(n), prefix(m)
-    if not _common(x[:p], y[:q]) or not _common(x[-p:], y[-q:]):
+    if b * least < a * most or most == 1:
         return False
     same = _common(x, y)
     return b * same >= a * (n + m - same)
@@ -231,22 +267,31 @@ def _verify(batches):
         keep, last, x = [], None, None
         for i, (k, t, n, u, m) in enumerate(zip(*(b.column(c).to_pylist() for c in ("a", "ta", "na", "tb", "nb")))):
             if k != last:
-                last, x = k, unsteps(unpack(t, np.uint64)[0])
-            if alike(x, n, unsteps(unpack(u, np.uint64)[0]), m):
+                last, x = k, unsteps(unpack(t, np.uint64)[0]).view(np.uint64)
+            if alike(x, n, unsteps(unpack(u, np.uint64)[0]).view(np.uint64), m):
                 keep.append(i)
         yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(keep, pa.int64())), b.column("b").take(pa.array(keep, pa.int64()))], ["a", "b"])
 
 
-def linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose sets are similar. Only the sets that pairs name travel:
-    up to SMALL pairs (16 bytes each) are broadcast to where the sets are."""
-    pairs = written(nodes.sparkSession, pairs, "pairs")
-    own = nodes.select("key", "n", "tokens")
+def _of_both(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs(a, b) with columns of both nodes, as a_... and b_...: only the nodes that pairs
+    name travel, and up to SMALL pairs (16 bytes each) are broadcast to where these are."""
     near = F.broadcast if pairs.count() <= SMALL else lambda df: df
-    one = own.withColumnsRenamed({"key": "b", "n": "nb", "tokens": "tb"}).join(near(pairs), "b")
-    heads = own.withColumnsRenamed({"key": "a", "n": "na", "tokens": "ta"}).join(near(pairs.select("a").distinct()), "a", "left_semi")
-    two = one.join(heads, "a")
-    return map_arrow(two.select("a", "na", "ta", "b", "nb", "tb"), _verify, "a bigint, b bigint")
+    of = lambda side: nodes.select(F.col("key").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+    one = of("b").join(near(pairs), "b")
+    heads = of("a").join(near(pairs.select("a").distinct()), "a", "left_semi")
+    return one.join(heads, "a")
+
+
+def linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of pairs(a, b), which prefix A allows, that prefixes B and C allow too and whose
+    sets are similar. The prefixes are compared first: they are a fourth of a set's size."""
+    spark = nodes.sparkSession
+    pairs = written(spark, pairs, "pairs")
+    met = _of_both(pairs, nodes, ["b", "c"]).where(F.arrays_overlap("a_b", "b_b") & F.arrays_overlap("a_c", "b_c"))
+    met = written(spark, met.select("a", "b"), "met")
+    two = _of_both(met, nodes, ["n", "tokens"]).select("a", F.col("a_n").alias("na"), F.col("a_tokens").alias("ta"), "b", F.col("b_n").alias("nb"), F.col("b_tokens").alias("tb"))
+    return map_arrow(two, _verify, "a bigint, b bigint")
 
 
 def _forest(batches):
@@ -340,14 +385,16 @@ def join_documents(docs: DataFrame) -> DataFrame:
     two = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     repeat = not two.groupBy("doc_id").count().where("count > 1").isEmpty()
     parts = partitions(spark)
-    by_token = dealt(map_arrow(two, _scatter(parts, repeat), "part int, kind tinyint, blob binary"), parts)
+    sent = spark.sparkContext.broadcast(_frequent(two))
+    by_token = dealt(map_arrow(two, _scatter(parts, repeat, sent), "part int, kind tinyint, blob binary"), parts)
     by_doc = dealt(map_arrow(by_token, _counted(parts), "part int, kind tinyint, blob binary"), parts)
     rows = written(spark, map_arrow(by_doc, _sets, KIND), "sets")
+    sent.destroy()
 
     # One node for each set; copies follow it.
-    first = F.min_by(F.struct("key", "tokens", "prefix", "alone"), "key").alias("v")
-    nodes = written(spark, rows.where("same is not null").groupBy("same", "n").agg(first).select("same", "n", "v.*"), "nodes")
-    owners = nodes.select("same", "n", "key")
+    first = F.min_by(F.struct("key", "n", "tokens", "prefix", "alone", "b", "c"), "key").alias("v")
+    least = F.min("doc_id").alias("least")
+    nodes = written(spark, rows.where("same is not null").groupBy("same").agg(first, least, F.count("*").alias("rows")).select("same", "least", "rows", "v.*"), "nodes")
     postings = written(spark, nodes.select("key", "n", "alone", F.posexplode("prefix").alias("p", "token")).select("key", "n", "token", (F.col("n") - F.col("alone") - F.col("p")).alias("rest")), "postings")
     total = max(1, postings.count())
 
@@ -374,10 +421,17 @@ def join_documents(docs: DataFrame) -> DataFrame:
         comp = components(edges) if not edges.isEmpty() else None
         if last:
             break
-    node_comp = owners.select("same", "n", F.col("key").alias("node"))
+    # Components of nodes, then of rows: rows follow their set, sets their component. Only
+    # sets of several rows or components of several sets need a join.
+    of = nodes.select("same", "key", "rows", "least")
     if comp is not None:
-        node_comp = node_comp.join(comp.withColumnRenamed("key", "node"), "node", "left").withColumn("node", F.coalesce("comp", "node")).drop("comp")
-    named = rows.select("key", "doc_id", "n", "same").join(node_comp, ["same", "n"], "left")
-    smallest = named.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    return (named.join(smallest, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")))
+        of = written(spark, of.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "nodes")
+        whole = of.groupBy("comp").agg(F.min("least").alias("_least"), F.count("*").alias("sets")).where("sets > 1")
+        of = joined_by_group(of, written(spark, whole, "components"), "comp", "sets").withColumn("least", F.coalesce("_least", "least"))
+    else:
+        of = of.withColumn("_least", F.lit(None).cast("bigint"))
+    several = written(spark, of.where("rows > 1 or _least is not null").select("same", "rows", "least"), "members")
+    own = rows.select("doc_id", "n", "same")
+    alone = own.where("same is null").withColumn("least", F.lit(None).cast("bigint"))
+    out = joined_by_group(own.where("same is not null"), several, "same", "rows").unionByName(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))

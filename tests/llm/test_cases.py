@@ -225,6 +225,25 @@ def test_near_copies_with_many_rounds(spark, monkeypatch):
     assert got == {i: (len(s), comp[i]) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("parts", [1, 4, 8])
+def test_words_whose_hashes_share_low_bits_are_not_linked(spark, parts):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        words = "q128393 q436697 q399983 q507287 q615713 q154155 Q128393".split()
+        got = ngram_join.join_documents(spark.createDataFrame([*enumerate(words)], "doc_id long, text string")).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {k: (1, k % 6) for k in range(7)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_sets_of_one_shingle_need_equal_words(monkeypatch):
+    one = np.array([5], np.uint64)
+    assert not ngram_join.alike(one, 1, one, 1)
+    two = np.arange(8, dtype=np.uint64)
+    assert ngram_join.alike(two[:6], 6, two, 8) and not ngram_join.alike(two[:5], 5, two, 8)
+
+
 @pytest.mark.parametrize("task_edges", [1 << 20, 40])
 def test_components(spark, task_edges):
     rng = np.random.default_rng(5)
