@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -25,13 +24,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, by_bytes, map_arrow
+from .common import as_bytes, by_bytes, kept, map_arrow
 
 #: Pieces of the pattern, chunks between spaces and pairs of ids that a worker keeps
 #: with what was found; each starts anew beyond that. Longer pieces aren't kept.
-PIECES = 500_000
-CHUNKS = 300_000
-PAIRS = 500_000
+PIECES = 300_000
+CHUNKS = 200_000
+PAIRS = 300_000
 LONG = 100
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
@@ -138,7 +137,7 @@ class Bpe:
                 if last < 0:
                     fits = True
                 else:
-                    fits = pairs.get(key := last << 20 | token)
+                    fits = pairs.get(key := last << 32 | token)
                     if fits is None:
                         if len(pairs) >= PAIRS:
                             pairs.clear()
@@ -201,9 +200,12 @@ class Bpe:
         return b"".join([words[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-@lru_cache(maxsize=2)
 def _loaded(lines: bytes, pattern: str) -> Bpe:
-    return Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}, pattern)
+    """The tables and what was found with them stay for the next tasks of this operator."""
+    def make():
+        return Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}, pattern)
+
+    return kept(__name__, (lines, pattern), make)
 
 
 def encoded(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool = False) -> DataFrame:
@@ -215,7 +217,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool = Fals
 
     def run(batches):
         bpe = _loaded(sent.value, pattern)
-        for b in by_bytes(batches, "text", 8 << 20):
+        for b in by_bytes(batches, "text", 2 << 20):
             ids = [bpe.encode(t or "") for t in b.column("text").to_pylist()]
             cols = [
                 b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import functools
 import os
 import re
 import shutil
@@ -107,11 +106,28 @@ def _give_back() -> None:
         pass  # another C library
 
 
+_KEPT: dict = {}
+
+
+def kept(owner: str, key, make: Callable):
+    """What make() gives, once for the tasks of an operator that follow each other in this
+    worker; the first task of another operator drops it."""
+    if (owner, key) not in _KEPT:
+        _KEPT[owner, key] = make()
+    return _KEPT[owner, key]
+
+
+def _drop_others(owner: str) -> None:
+    for k in [k for k in _KEPT if k[0] != owner]:
+        del _KEPT[k]
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
+    owner = f.__module__
 
-    @functools.wraps(f)
     def run(batches):
+        _drop_others(owner)
         try:
             yield from f(batches)
         finally:

@@ -9,8 +9,8 @@ have no prefix left to search by. The others meet by the tokens of prefix A; of
 that meet, only those whose prefixes B and C overlap too are left, before any whole set
 is fetched; what passes is decided by the exact size of the intersection.
 
-Copies of a set are one node: sets are equal if 128 bits of their content are. Where many
-nodes share a prefix token, no pairs are written out within them: in rounds, a few pivots
+Copies of a set are one node, whose key is 64 bits of a hash of the set; if other 64 bits
+tell that two sets share a key, all is done again under another seed. Where many nodes share a prefix token, no pairs are written out within them: in rounds, a few pivots
 of each token and band of sizes, drawn anew for each token, are compared with the other
 nodes; linked nodes become one component, and tokens whose nodes are all in one component
 are done. When the pairs that are left between components are few against the postings, or
@@ -71,7 +71,7 @@ class Hashes(dict):
         return h
 
 
-def shingles(texts: list[bytes], words: Hashes, n: int = N) -> tuple[list[np.ndarray], list[bytes]]:
+def shingles(texts: list[bytes], words: Hashes, n: int = N, seed: int = 0) -> tuple[list[np.ndarray], list[bytes]]:
     """The sorted distinct shingle hashes of each text, and 128 bits of that set: of the words
     themselves if the set has one shingle."""
     tokens = [t.lower().split() for t in texts]
@@ -89,7 +89,7 @@ def shingles(texts: list[bytes], words: Hashes, n: int = N) -> tuple[list[np.nda
             out.append(np.array([xxhash.xxh3_64_intdigest(flat[at:at + m].tobytes(), seed=m)], np.uint64))
         else:
             out.append(rolled[:0])
-        same.append(xxhash.xxh3_128_digest(b" ".join(own[:n])) if len(out[-1]) == 1 else xxhash.xxh3_128_digest(out[-1].tobytes(), seed=len(out[-1])))
+        same.append(xxhash.xxh3_128_digest(b" ".join(own[:n]), seed=seed) if len(out[-1]) == 1 else xxhash.xxh3_128_digest(out[-1].tobytes(), seed=seed))
         at += m
     return out, same
 
@@ -100,8 +100,9 @@ def prefix(n: np.ndarray | int):
     return n - -(-a * n // b) + 1
 
 
-def _frequent(two: DataFrame) -> np.ndarray:
-    """Tokens that FREQUENT documents of a sample have: at most its tokens / FREQUENT."""
+def _frequent(two: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that FREQUENT documents of a sample have, and in how many of it they stand: at
+    most the sample's tokens / FREQUENT."""
     chosen = two.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
 
     def run(batches):
@@ -112,72 +113,79 @@ def _frequent(two: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
     rows = map_arrow(two.join(F.broadcast(chosen), "doc_id").select("text"), run, "token bigint, n bigint")
-    got = rows.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).select("token").toPandas()
-    return np.sort(got["token"].to_numpy(np.int64).view(np.uint64))
+    got = rows.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).toPandas()
+    token = got["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.minimum(got["n"].to_numpy(np.int64)[order] + (1 << 31), (1 << 32) - 1).astype(np.uint32)
 
 
-def _scatter(buckets: int, ids_repeat: bool, sent):
-    """From documents: packed (token, document) by token bucket (kind 0), of frequent tokens
-    (2), and packed documents (1): key, id, size, identity, the last token of prefix B and
-    the first of prefix C."""
+BLOBS = "part int, kind tinyint, blob binary"
+
+
+def _blobs(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int8(), pa.binary()))], ["part", "kind", "blob"])
+
+
+def _scatter(buckets: int, seed: int, sent):
+    """From documents, packed: (token, set) by token bucket (kind 0), those of frequent tokens
+    (2), documents (1: id, size and key of its set), and sets (3: key, size, more bits, the last
+    token of prefix B and the first of prefix C). A set goes once for a batch."""
 
     def run(batches):
-        words, frequent = Hashes(), sent.value
-        for b in by_bytes(batches, "text", 6 << 20):
-            texts = as_bytes(b.column("text"))
+        words, (frequent, often_in) = Hashes(), sent.value
+        for b in by_bytes(batches, "text", 4 << 20):
             ids = np.asarray(b.column("doc_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), np.int64)
-            keys = ids
-            if ids_repeat:
-                keys = np.array([xxhash.xxh3_64_intdigest(t, seed=int(i) & (1 << 64) - 1) for i, t in zip(ids, texts)], np.uint64).view(np.int64)
-            sets, same = shingles(texts, words)
+            sets, same = shingles(as_bytes(b.column("text")), words, seed=seed)
             n = np.array([*map(len, sets)], np.int64)
-            low = np.array([x[prefix(len(x)) - 1] if len(x) else 0 for x in sets], np.uint64)
-            high = np.array([x[len(x) - prefix(len(x))] if len(x) else 0 for x in sets], np.uint64)
-            token = np.concatenate(sets)
-            key = np.repeat(keys, n)
-            often = np.zeros(len(token), bool)
-            if len(frequent):
-                often = frequent[np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)] == token
-            home = int(mixed(ids[:1].view(np.uint64))[0] % np.uint64(buckets))
             identity = np.frombuffer(b"".join(same), np.uint64).reshape(-1, 2)
-            rows = [(home, 1, pack(keys, ids, n, identity[:, 0], identity[:, 1], low, high))]
-            if often.any():
-                rows.append((home, 2, pack(token[often], steps(key[often]))))
-                token, key = token[~often], key[~often]
-            rows += [(p, 0, pack(token[x], steps(key[x]))) for p, x in split((token % np.uint64(buckets)).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int8(), pa.binary()))], ["part", "kind", "blob"])
+            keys = np.ascontiguousarray(identity[:, 0]).view(np.int64)
+            home = int(mixed(ids[:1].view(np.uint64))[0] % np.uint64(buckets))
+            rows = [(home, 1, pack(ids, n, keys))]
+            _, once = np.unique(keys, return_index=True)
+            once = once[n[once] > 0]
+            if len(once):
+                some = [sets[i] for i in once.tolist()]
+                low = np.array([x[prefix(len(x)) - 1] for x in some], np.uint64)
+                high = np.array([x[len(x) - prefix(len(x))] for x in some], np.uint64)
+                rows.append((home, 3, pack(steps(keys[once]), n[once], identity[once, 1], low, high)))
+                token, key = np.concatenate(some), np.repeat(keys[once], n[once])
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
+                    hit = frequent[at] == token
+                    if hit.any():
+                        rows.append((home, 2, pack(steps(key[hit]), token[hit], often_in[at[hit]])))
+                        token, key = token[~hit], key[~hit]
+                rows += [(p, 0, pack(token[x], steps(key[x]))) for p, x in split((token % np.uint64(buckets)).astype(np.int32))]
+            yield _blobs(rows)
 
     return run
 
 
 def _counted(parts: int):
-    """From token buckets: packed (document, token, count) of the tokens that two documents
-    or more have, by document; documents pass through."""
+    """From token buckets: packed (set, token, count) of the tokens that stand twice or more,
+    by set (kind 0), and sets (3); documents (1) pass through."""
 
     def run(batches):
         held = defaultdict(list)
         for b in batches:
             for part, kind, blob in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("blob").to_pylist()):
-                if kind == 1:
-                    keys, *rest = unpack(blob, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint64)
-                    yield from send(keys, 1, *rest)
-                    continue
-                t, k = unpack(blob, np.uint64, np.uint64)
-                k = unsteps(k)
-                if kind == 2:
-                    order = np.argsort(k, kind="stable")
-                    yield from send(k[order], 0, t[order], np.full(len(t), (1 << 32) - 1, np.uint32))
+                if kind == 0:
+                    held[part].append(blob)
+                elif kind == 1:
+                    yield _blobs([(part, kind, blob)])
+                elif kind == 2:
+                    k, *rest = unpack(blob, np.uint64, np.uint64, np.uint32)
+                    yield from send(unsteps(k), 0, *rest)
                 else:
-                    held[part].append((t, k))
+                    k, *rest = unpack(blob, np.uint64, np.int64, np.uint64, np.uint64, np.uint64)
+                    yield from send(unsteps(k), 3, *rest)
         for part in list(held):
-            lists = held.pop(part)
-            t, k = (np.concatenate(x) for x in zip(*lists))
-            del lists
+            t, k = (np.concatenate(x) for x in zip(*(unpack(blob, np.uint64, np.uint64)[:1] + [unsteps(unpack(blob, np.uint64, np.uint64)[1])] for blob in held.pop(part))))
             order = np.argsort(t, kind="stable")
             t, k = t[order], k[order]
             first = np.flatnonzero(np.diff(t, prepend=t[0] ^ np.uint64(1)))
             count = np.diff(first, append=len(t))
-            df = np.repeat(np.minimum(count, (1 << 32) - 2).astype(np.uint32), count)
+            df = np.repeat(np.minimum(count, (1 << 31) - 1).astype(np.uint32), count)
             often = df > 1
             t, k, df = t[often], k[often], df[often]
             order = np.argsort(k, kind="stable")
@@ -186,60 +194,70 @@ def _counted(parts: int):
     def send(keys, kind, *cols):
         rows = split((mixed(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int32))
         for i in range(0, len(rows), 200):
-            some = rows[i:i + 200]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int32()), pa.array([kind] * len(some), pa.int8()), pa.array([pack(steps(keys[x]), *(c[x] for c in cols)) for _, x in some], pa.binary())], ["part", "kind", "blob"])
+            yield _blobs([(p, kind, pack(steps(keys[x]), *(c[x] for c in cols))) for p, x in rows[i:i + 200]])
 
     return run
 
 
-KIND = "key bigint, doc_id bigint, n bigint, same binary, tokens binary, prefix array<bigint>, alone bigint, b array<int>, c array<int>"
+COLUMNS = (("key", "bigint", pa.int64()), ("doc_id", "bigint", pa.int64()), ("n", "bigint", pa.int64()), ("kind", "tinyint", pa.int8()), ("tokens", "binary", pa.binary()), ("prefix", "array<bigint>", pa.list_(pa.int64())),
+           ("alone", "bigint", pa.int64()), ("b", "array<int>", pa.list_(pa.int32())), ("c", "array<int>", pa.list_(pa.int32())))
+KIND = ", ".join(f"{name} {kind}" for name, kind, _ in COLUMNS)
+
+
+def _rows(*columns) -> pa.RecordBatch:
+    n = len(columns[0])
+    arrays = [c if isinstance(c, pa.Array) else pa.array([None] * n if c is None else c, t) for c, (_, _, t) in zip(columns, COLUMNS)]
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _, _ in COLUMNS])
 
 
 def _sets(batches):
-    """From packed documents and counts: a row for each document; those that can have a
-    partner with the tokens they share with any, the shared part of prefix A, and 32 bits of
-    those of prefixes B and C."""
-    docs, found = defaultdict(list), defaultdict(list)
+    """Rows of documents (kind 1), and of the sets that can have a partner (0) with the tokens
+    they share with any, the shared part of prefix A, and 32 bits of those of prefixes B and C.
+    A row of kind 2 says that two sets have one key."""
+    sets, found = defaultdict(list), defaultdict(list)
     for b in batches:
         for part, kind, blob in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("blob").to_pylist()):
-            if kind:
-                k, *rest = unpack(blob, np.uint64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint64)
-                docs[part].append((unsteps(k), *rest))
+            if kind == 1:
+                ids, n, keys = unpack(blob, np.int64, np.int64, np.int64)
+                yield _rows(keys, pa.array(ids, mask=ids == -(1 << 63)), n, np.ones(len(n), np.int8), *[None] * 5)
+            elif kind == 3:
+                k, *rest = unpack(blob, np.uint64, np.int64, np.uint64, np.uint64, np.uint64)
+                sets[part].append((unsteps(k), *rest))
             else:
                 k, t, df = unpack(blob, np.uint64, np.uint64, np.uint32)
                 found[part].append((unsteps(k), t, df))
-    for part in list(docs):
-        keys, ids, n, s1, s2, low, high = (np.concatenate(x) for x in zip(*docs.pop(part)))
+    for part in list(sets):
+        keys, n, more, low, high = (np.concatenate(x) for x in zip(*sets.pop(part)))
+        order = np.lexsort((more, keys))
+        keys, n, more, low, high = (x[order] for x in (keys, n, more, low, high))
+        if ((keys[1:] == keys[:-1]) & (more[1:] != more[:-1])).any():
+            yield _rows([0], None, None, [2], *[None] * 5)
+        keys, at = np.unique(keys, return_index=True)
+        n, low, high = n[at], low[at], high[at]
         lists = found.pop(part, [])
-        k, t, df = (np.concatenate(x) for x in zip(*lists)) if lists else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        if not lists:
+            continue
+        k, t, df = (np.concatenate(x) for x in zip(*lists))
         del lists
         order = np.argsort(k, kind="stable")
         k, t, df = k[order], t[order], df[order]
         lo, hi = np.searchsorted(k, keys, "left"), np.searchsorted(k, keys, "right")
-        same = np.stack([s1, s2], 1)
         out: list = []
-        for j, (key, i, m, x, y) in enumerate(zip(keys.tolist(), ids.tolist(), n.tolist(), lo.tolist(), hi.tolist())):
-            tokens = first = alone = own_same = in_b = in_c = None
-            room = prefix(m) - (m - (y - x)) if m else 0
-            if y > x and room > 0:
-                own, at = np.unique(t[x:y], return_index=True)  # rows that repeat count once
-                room = prefix(m) - (m - len(own))
-                if room > 0:
-                    rare = df[x:y][at]
-                    first, alone = own[np.lexsort((own, rare))[:room]].view(np.int64), m - len(own)
-                    in_b, in_c = (own[z].astype(np.uint32).view(np.int32) for z in (own <= low[j], own >= high[j]))
-                    tokens, own_same = pack(steps(own.view(np.int64))), same[j].tobytes()
-            out.append((key, None if i == -(1 << 63) else i, m, own_same, tokens, first, alone, in_b, in_c))
-            if len(out) == 2000:
-                yield _rows(out)
+        for j, (key, m, x, y) in enumerate(zip(keys.tolist(), n.tolist(), lo.tolist(), hi.tolist())):
+            if y == x:
+                continue
+            own, at = np.unique(t[x:y], return_index=True)  # sets of several batches count once
+            room = prefix(m) - (m - len(own))
+            if room <= 0:
+                continue
+            first = own[np.lexsort((own, df[x:y][at]))[:room]].view(np.int64)
+            in_b, in_c = (own[z].astype(np.uint32).view(np.int32) for z in (own <= low[j], own >= high[j]))
+            out.append((key, None, m, 0, pack(steps(own.view(np.int64))), first, m - len(own), in_b, in_c))
+            if len(out) == 1000:
+                yield _rows(*zip(*out))
                 out = []
         if out:
-            yield _rows(out)
-
-
-def _rows(out):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["key", "doc_id", "n", "same", "tokens", "prefix", "alone", "b", "c"])
+            yield _rows(*zip(*out))
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -383,18 +401,18 @@ def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
     two = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    repeat = not two.groupBy("doc_id").count().where("count > 1").isEmpty()
-    parts = partitions(spark)
+    parts, seed = partitions(spark), 0
     sent = spark.sparkContext.broadcast(_frequent(two))
-    by_token = dealt(map_arrow(two, _scatter(parts, repeat, sent), "part int, kind tinyint, blob binary"), parts)
-    by_doc = dealt(map_arrow(by_token, _counted(parts), "part int, kind tinyint, blob binary"), parts)
-    rows = written(spark, map_arrow(by_doc, _sets, KIND), "sets")
+    while True:
+        by_token = dealt(map_arrow(two, _scatter(parts, seed, sent), BLOBS), parts)
+        by_set = dealt(map_arrow(by_token, _counted(parts), BLOBS), parts)
+        rows = written(spark, map_arrow(by_set, _sets, KIND), "sets")
+        if rows.where("kind = 2").isEmpty():
+            break
+        seed += 1
     sent.destroy()
 
-    # One node for each set; copies follow it.
-    first = F.min_by(F.struct("key", "n", "tokens", "prefix", "alone", "b", "c"), "key").alias("v")
-    least = F.min("doc_id").alias("least")
-    nodes = written(spark, rows.where("same is not null").groupBy("same").agg(first, least, F.count("*").alias("rows")).select("same", "least", "rows", "v.*"), "nodes")
+    nodes = rows.where("kind = 0").drop("kind", "doc_id")
     postings = written(spark, nodes.select("key", "n", "alone", F.posexplode("prefix").alias("p", "token")).select("key", "n", "token", (F.col("n") - F.col("alone") - F.col("p")).alias("rest")), "postings")
     total = max(1, postings.count())
 
@@ -421,17 +439,17 @@ def join_documents(docs: DataFrame) -> DataFrame:
         comp = components(edges) if not edges.isEmpty() else None
         if last:
             break
-    # Components of nodes, then of rows: rows follow their set, sets their component. Only
-    # sets of several rows or components of several sets need a join.
-    of = nodes.select("same", "key", "rows", "least")
-    if comp is not None:
-        of = written(spark, of.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "nodes")
-        whole = of.groupBy("comp").agg(F.min("least").alias("_least"), F.count("*").alias("sets")).where("sets > 1")
-        of = joined_by_group(of, written(spark, whole, "components"), "comp", "sets").withColumn("least", F.coalesce("_least", "least"))
+    # Rows follow their set, sets their component. Only sets of several rows, or components
+    # of several sets, need a join.
+    own = rows.where("kind = 1").select("doc_id", "n", "key")
+    of = own.where("n > 0").groupBy("key").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least"))
+    if comp is None:
+        several = of.where("rows > 1")
     else:
-        of = of.withColumn("_least", F.lit(None).cast("bigint"))
-    several = written(spark, of.where("rows > 1 or _least is not null").select("same", "rows", "least"), "members")
-    own = rows.select("doc_id", "n", "same")
-    alone = own.where("same is null").withColumn("least", F.lit(None).cast("bigint"))
-    out = joined_by_group(own.where("same is not null"), several, "same", "rows").unionByName(alone)
+        of = written(spark, of.join(comp.withColumnRenamed("key", "_node"), F.col("key") == F.col("_node"), "left").drop("_node"), "nodes")
+        whole = of.where("comp is not null").groupBy("comp").agg(F.min("least").alias("_least"), F.count("*").alias("sets"))
+        joined = joined_by_group(of.where("comp is not null"), written(spark, whole, "components"), "comp", "sets")
+        several = joined.select("key", "rows", F.coalesce("_least", "least").alias("least")).unionByName(of.where("comp is null and rows > 1").drop("comp"))
+    several = written(spark, several, "members")
+    out = joined_by_group(own.where("n > 0"), several, "key", "rows").unionByName(own.where("n = 0").withColumn("least", F.lit(None).cast("bigint")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
