@@ -14,7 +14,9 @@ learned, LANGUAGES of them in a model, and a text is scored by each model in tur
 
 Cases: null or letterless texts are `und` with score 0; ties go to the first language by
 name; with no language to learn all are `und`; a null doc_id counts as the empty text in
-the fold's hash; rows that repeat give equal rows; an empty table gives no rows.
+the fold's hash; rows that repeat give equal rows; an empty table gives no rows; texts of
+any length are scored whole, in pieces of PIECE bytes that carry the context before them;
+columns other than doc_id, text and lang are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_bytes, crc_mod, map_arrow
+from .common import as_bytes, by_bytes, crc_mod, map_arrow, partitions
 
 ORDER = 3
 SAMPLE = 300
 #: Languages of one model: a byte of text needs 4 bytes for each while it is scored.
 LANGUAGES = 16
+#: Bytes of a text that are counted or scored at once, and parts of a language's rows of
+#: which each finds its least hashes on its own.
+PIECE, SALTS = 1 << 18, 32
 #: Sampled rows that may be broadcast; more are joined by a shuffle.
 SMALL = 500_000
 FOLDS, HELD_OUT = 3, 1
@@ -49,20 +54,45 @@ def _grams(data: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
-def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts, each after START, and the places where they begin."""
-    data = np.frombuffer(b"".join([p for t in texts for p in (START, t)]), np.uint8)
-    sizes = np.array([len(t) + ORDER for t in texts], np.int64)
+def _pieces(texts: list[bytes]):
+    """Groups of (text, context, piece) of about PIECE bytes: all texts, cut where they are
+    long; a piece's context is START or the ORDER bytes before it."""
+    some, size = [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t)), PIECE):
+            some.append((i, (START + t[:at])[-ORDER:] if at < ORDER else t[at - ORDER:at], t[at:at + PIECE]))
+            size += len(some[-1][2])
+            if size >= PIECE:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
+def _joined(some: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces, each after its context, and the places where these begin."""
+    data = np.frombuffer(b"".join([p for _, c, t in some for p in (c, t)]), np.uint8)
+    sizes = np.array([len(t) + ORDER for _, _, t in some], np.int64)
     return data, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
 
 
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams and counts of parts as one."""
+    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
 def count(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For m of 1 to ORDER+1 the grams that end inside a text, and how often."""
-    data, starts = _joined(texts)
-    inside = np.ones(len(data), bool)
-    for k in range(ORDER):
-        inside[starts + k] = False
-    return [np.unique(_grams(data, m)[inside], return_counts=True) for m in range(1, ORDER + 2)]
+    found: list[list] = [[] for _ in range(ORDER + 1)]
+    for some in _pieces(texts):
+        data, starts = _joined(some)
+        inside = np.ones(len(data), bool)
+        for k in range(ORDER):
+            inside[starts + k] = False
+        for m in range(1, ORDER + 2):
+            found[m - 1] = [added([*found[m - 1], np.unique(_grams(data, m)[inside], return_counts=True)])]
+    return [x[0] if x else (np.zeros(0, np.uint32), np.zeros(0, np.int64)) for x in found]
 
 
 class Table:
@@ -138,7 +168,13 @@ class Model:
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """The code length of each text in each language."""
-        data, starts = _joined(texts)
+        out = np.zeros((len(texts), len(self.langs)))
+        for some in _pieces(texts):
+            np.add.at(out, np.array([i for i, _, _ in some]), self._bits(some))
+        return out
+
+    def _bits(self, some: list[tuple[int, bytes, bytes]]) -> np.ndarray:
+        data, starts = _joined(some)
         grams = _grams(data, ORDER + 1)
         cost = np.zeros((len(data), len(self.langs)), np.float32)
         left = np.arange(len(data))
@@ -166,21 +202,28 @@ class Model:
 
 def train(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, sample: int = SAMPLE) -> dict:
     may = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held_out))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = may.withColumn("_n", first).where(F.col("_n") <= sample).select("doc_id", "lang").distinct()
-    few = may.select("lang").distinct().count() * sample <= SMALL
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids) if few else ids, ["doc_id", "lang"]).where(F.col("text").isNotNull())
-
-    def run(key, t):
-        grams = count([x.encode() for x in t.column("text").to_pylist()])
-        return pa.table({"lang": [key[0].as_py()] * len(grams), "m": pa.array(range(len(grams)), pa.int32()), "keys": pa.array([g.tobytes() for g, _ in grams], pa.binary()), "n": pa.array([n.astype(np.int64).tobytes() for _, n in grams], pa.binary())})
-
-    from .common import ship
-    ship(docs.sparkSession)
-    found = rows.groupBy("lang").applyInArrow(run, "lang string, m int, keys binary, n binary").collect()
+    # The least hashes of each part of a language, then of these: no task gets a whole language.
+    parted = may.withColumn("_h", F.xxhash64("doc_id")).withColumn("_part", F.pmod("_h", F.lit(SALTS)))
+    few = parted.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_part").orderBy("_h", "doc_id"))).where(F.col("_n") <= sample)
+    ids = few.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_n") <= sample).select("doc_id", "lang").distinct()
+    small = may.select("lang").distinct().count() * sample <= SMALL
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids) if small else ids, ["doc_id", "lang"]).where(F.col("text").isNotNull())
+
+    def run(batches):
+        for b in by_bytes(batches, "text"):
+            texts: dict = {}
+            for lang, t in zip(b.column("lang").to_pylist(), as_bytes(b.column("text"))):
+                texts.setdefault(lang, []).append(t)
+            for lang, some in texts.items():
+                grams = count(some)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(range(len(grams)), pa.int32()), pa.array([g.tobytes() for g, _ in grams], pa.binary()), pa.array([n.astype(np.int64).tobytes() for _, n in grams], pa.binary())], ["lang", "m", "keys", "n"])
+
+    # Distinct grams of a bounded sample, added up as they come.
     counts: dict = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["m"])):
-        counts.setdefault(r["lang"], []).append((np.frombuffer(r["keys"], np.uint32), np.frombuffer(r["n"], np.int64)))
+    for r in map_arrow(rows.coalesce(partitions(docs.sparkSession)), run, "lang string, m int, keys binary, n binary").toLocalIterator():
+        part = (np.frombuffer(r["keys"], np.uint32), np.frombuffer(r["n"], np.int64))
+        known = counts.setdefault(r["lang"], [None] * (ORDER + 1))
+        known[r["m"]] = part if known[r["m"]] is None else added([known[r["m"]], part])
     return counts
 
 
