@@ -8,10 +8,16 @@ distrust it *received* is at least MARGIN of what it received in all, and at lea
 LEAST of one host's even share; its own seed counts for others only, since a rule
 about /de/ says nothing of the rest of a host.
 
+Each row says what its verdict rests on: `rule`, `rank` (its host received trust or
+distrust over links) or `none`: no link of other hosts reached it, so it is allowed.
+Relative links lead to their own host and tell nothing about it.
+
 Cases: a null url, or one without ://, has an empty host and path, fits no rule and is
 allowed; a null html has no links; hosts without links receive nothing and are allowed;
 of equally long fitting rules a block rule wins; rows that repeat get equal rows (and
-their links count again); an empty table gives no rows; other columns are not read.
+their links count again); html of any length is searched whole by Spark's expressions; an
+empty table gives no rows; columns other than page_id, url and html are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,15 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import joined_by_group, written
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
 ROUNDS = 12
 MARGIN = 0.5
 LEAST = 0.01
-#: Rows of host verdicts that may be broadcast (under 100 bytes each); beyond that they are joined by a shuffle.
-SMALL = 100_000
 LINK = r"(?i)<(?:a|area)\s[^>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/\"'?#\s>]+)"
 
 
@@ -88,7 +92,8 @@ def host_scores(pages: DataFrame, judged: DataFrame) -> DataFrame | None:
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict (and distrusted) for each row of pages."""
+    """page_id, host, path, rule, verdict, distrusted, evidence, trust and distrust of each
+    row of pages (trust and distrust in shares of one host's even share; null without any)."""
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -96,12 +101,14 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
               .withColumn("rule", name).withColumn("rule_verdict", verdict).drop("url"))
     scores = host_scores(pages, judged)
     if scores is None:
-        return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"), F.lit(False).alias("distrusted"))
-    scores = written(spark, scores, "scores")
-    share = LEAST / max(1, scores.count())
-    bad = scores.where((F.col("distrust") >= share) & (F.col("distrust") >= MARGIN * (F.col("trust") + F.col("distrust")))).select("host", F.lit(True).alias("_bad"))
-    if bad.count() <= SMALL:
-        bad = F.broadcast(bad)
-    out = judged.join(bad, "host", "left")
-    method = F.when(F.col("_bad"), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), F.coalesce("_bad", F.lit(False)).alias("distrusted"))
+        out = judged.withColumns({"trust": F.lit(None).cast("double"), "distrust": F.lit(None).cast("double")})
+    else:
+        scores = written(spark, scores, "scores")
+        even = float(max(1, scores.count()))
+        # A host of many pages is joined by broadcast or salted.
+        sizes = judged.groupBy("host").agg(F.count("*").alias("rows"))
+        groups = sizes.join(scores, "host").select("host", "rows", (F.col("trust") * even).alias("trust"), (F.col("distrust") * even).alias("distrust"))
+        out = joined_by_group(judged, written(spark, groups, "hosts"), "host")
+    bad = F.coalesce((F.col("distrust") >= LEAST) & (F.col("distrust") >= MARGIN * (F.col("trust") + F.col("distrust"))), F.lit(False))
+    evidence = F.when(F.col("rule").isNotNull(), "rule").when(F.col("trust") + F.col("distrust") > 0, "rank").otherwise("none")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), bad.alias("distrusted"), evidence.alias("evidence"), "trust", "distrust")
