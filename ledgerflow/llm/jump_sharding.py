@@ -5,7 +5,8 @@ each straight into itself. All of it is SQL expressions: one narrow shuffle for
 
 Law ``key``: shard = jump(key of doc_id, n). Cases: a null doc_id has a key of its own
 (all such rows share a shard); a null text has size 16 and the crc32 of nothing (0);
-rows that repeat get slots of their own; an empty table gives no rows; further columns
+rows that repeat get slots of their own (many null or repeated doc_ids with different texts
+are numbered in several tasks); an empty table gives no rows; further columns
 of the input are neither read nor returned.
 """
 
@@ -62,12 +63,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         key.bitwiseAND(F.lit(_MASK)).alias("_lo"),
     ).withColumns({"shard": jump(F.col("_hi"), F.col("_lo"), shards), "grown_shard": jump(F.col("_hi"), F.col("_lo"), shards + 1)})
 
-    # Slots: every shard is cut into parts by the key, parts are numbered on their own,
-    # and the sizes of the parts before give where each part begins.
+    # Slots: every shard is cut into parts by a hash of the key and the text, parts are
+    # numbered on their own, and the sizes of the parts before give where each part begins.
     n = docs.count()
     parts = max(1, math.ceil(n / (shards * SLOT_ROWS)))
-    part = F.pmod(F.col("_lo"), F.lit(parts)).cast("int").alias("_part")
-    narrow = docs.select(F.shiftrightunsigned(key, 32).alias("_hi"), key.bitwiseAND(F.lit(_MASK)).alias("_lo"))
+    part = F.pmod(F.xxhash64("_lo", "text_crc32", "size"), F.lit(parts)).cast("int").alias("_part")
+    narrow = rows.select("_hi", "_lo", "text_crc32", "size") if parts > 1 else rows.select("_hi", "_lo", F.lit(0).alias("text_crc32"), F.lit(0).alias("size"))
     counts = narrow.groupBy(jump(F.col("_hi"), F.col("_lo"), shards).alias("shard"), part).count()
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
