@@ -1,23 +1,32 @@
-"""HTML extraction by the tokens that a host's pages share.
+"""HTML extraction by templates that are deduced from equivalence classes of tokens.
 
 The pages of a host are token streams: an element is the token of its path (tags with
-their classes, from the root), a text block the token of its path and text. A token is
-part of the host's template if it stands on SUPPORT of the host's different pages (and on
-MIN_PAGES); an element's parent stands wherever the element does. Blocks in the template
-are boilerplate, and what lies between are slots. Each token is judged by the number of
-its own pages: there are no equivalence classes, and no templates by type of page.
-
-The main slot of a page is its article (or main) element if it has one, else the
-smallest template element that holds most of the text left in the slots. From it go the
-elements that HTML or their class and id name as menus, asides, forms, adverts and so on.
-Texts inside an article element are kept even where many pages of the host share them:
-copies of articles aren't templates.
+their classes, from the root), a text block the token of its path and text. How often a
+token stands on each page is its occurrence vector; tokens of a host with equal vectors
+are an equivalence class (vectors are compared by sums over pages of hashes of page and
+count, so no vector is ever collected).
+
+A class counts if it is frequent: on MIN_PAGES pages at least, its elements on BRANCH of the
+pages that have the parent element (so types of pages have templates of their own), its
+texts on SUPPORT of those that have their element (within an article element on INSIDE of
+INSIDE_PAGES or more: passages that articles share aren't template); if its texts are the
+smaller part of its pages' text (copies of a page are no template); if its tokens stand in
+one order on all its pages; and if it nests: between two tokens of any class that stands
+once on a page lies all of it or nothing. The classes that are left are the host's
+template; what lies between their tokens are the slots.
+
+From a page the template's texts go, wherever they stand. The main slot is the article (or
+main) element if there is one, else the smallest template element that holds most of the
+text left in the slots. From it go the elements that HTML or their class and id name as
+menus, asides, forms, adverts and so on.
 
 Cases: null counts as empty html, which gives the empty text; a host that is unknown
 (null url) is a host of its own; a host with few pages has no template and is judged by
-its page alone; broken markup is closed as browsers do; rows that repeat, and pages of a
-host with equal html, count as one page and get equal texts, whatever their page_id is; an
-empty table gives no rows.
+its page alone; broken markup is closed as browsers do; rows that repeat count as pages of
+their own and get equal texts, whatever their page_id is (a page that repeats often has
+the larger part of its text in one class, and keeps it); html of any length is parsed
+whole, one page at a time; an empty table gives no rows; columns other than page_id, url
+and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +34,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from html import unescape
 
 import numpy as np
@@ -32,11 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, map_arrow, ship
+from .common import SALTS, as_bytes, by_bytes, map_arrow, ship, written
 from .link_trust import host_and_path
 
-SUPPORT, MIN_PAGES = 0.5, 3
-#: Tokens of all templates that may be broadcast (8 bytes each); else pages are joined to them.
+SUPPORT, MIN_PAGES, BRANCH = 0.5, 3, 0.1
+INSIDE, INSIDE_PAGES = 0.8, 8
+SHARED = 0.5  # of its pages' text, for the texts of a class
+#: Tokens of all templates that may be broadcast (17 bytes each); else pages are joined to them.
 SMALL = 2_000_000
 MOST = 0.6  # of a page's slot text, for the main slot of a page without article
 
@@ -164,9 +176,170 @@ def block_token(path: int, text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace"), path) | 1 << 32
 
 
-def main_text(page: Page, template: frozenset) -> str:
+class Template:
+    """tokens of a host's classes, sorted; of each its class and whether it stands once on a page."""
+
+    def __init__(self, tokens=(), classes=(), once=()):
+        order = np.argsort(np.asarray(tokens, np.int64), kind="stable")
+        self.of = dict(zip(np.asarray(tokens, np.int64)[order].tolist(), np.asarray(classes, np.int64)[order].tolist()))
+        self.once = {c for c, o in zip(classes, once) if o} - {c for c, o in zip(classes, once) if not o}
+
+    def __contains__(self, token: int) -> bool:
+        return token in self.of
+
+
+def tokens_of(page: Page) -> list[tuple[int, int, int, bool]]:
+    """The page's tokens in their order: token, the token it needs (its parent's path, or a
+    text's element), length of text, and whether it is a text within an article."""
+    el, out, at = page.elements, [], 1
+    for e, raw in page.blocks:
+        while at <= e:
+            out.append((el[at][2], el[el[at][0]][2], 0, False))
+            at += 1
+        t = clean(raw)
+        if t:
+            out.append((block_token(el[e][2], t), el[e][2], len(t), el[e][4]))
+    out += [(el[k][2], el[el[k][0]][2], 0, False) for k in range(at, len(el))]
+    return out
+
+
+def _mix(page: int, n: int) -> int:
+    return zlib.crc32(b"%d %d" % (page, n)) << 31 ^ zlib.crc32(b"%d.%d" % (n, page))
+
+
+OCCURRENCES = "host string, token bigint, needs bigint, pages bigint, most int, chars bigint, inside boolean, page_chars bigint, high bigint, low bigint"
+
+
+def _occurrences(batches):
+    """For each token of a few hundred pages: on how many it stands and how often at most, the
+    length of its text and of its pages' text, and the sums of its vector."""
+    for b in by_bytes(batches, "html", 4 << 20):
+        found: dict = {}
+        for host, html in zip(b.column("host").to_pylist(), as_bytes(b.column("html"))):
+            tokens = tokens_of(Page(html.decode("utf-8", "replace")))
+            page, total = zlib.crc32(html) << 32 | zlib.crc32(html, 7), sum(t[2] for t in tokens)
+            count = Counter(t[0] for t in tokens)
+            for token, needs, chars, inside in {t[0]: t for t in tokens}.values():
+                n = count[token]
+                v = _mix(page, n)
+                was = found.get((host, token))
+                if was is None:
+                    found[host, token] = [needs, 1, n, chars, inside, total, v >> 32, v & 0xFFFFFFFF]
+                else:
+                    was[1] += 1
+                    was[2] = max(was[2], n)
+                    was[5] += total
+                    was[6] += v >> 32
+                    was[7] += v & 0xFFFFFFFF
+            root = found.setdefault((host, 0), [0, 0, 1, 0, False, 0, 0, 0])
+            root[1] += 1
+        cols = [*zip(*((*k, *v) for k, v in found.items()))] or [()] * 10
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in OCCURRENCES.split(", ")])
+
+
+def candidates(pages: DataFrame) -> DataFrame:
+    """host, class, token, once: the frequent classes, not yet tested on pages. Tokens of too
+    few pages go before anything is gathered by host."""
+    sums = [F.sum(c).alias(c) for c in ("pages", "page_chars", "high", "low")]
+    rows = map_arrow(pages.select("host", "html"), _occurrences, OCCURRENCES)
+    tokens = rows.groupBy("host", "token").agg(*sums, F.max("most").alias("most"), *(F.first(c).alias(c) for c in ("needs", "chars", "inside")))
+    frequent = written(pages.sparkSession, tokens.where(F.col("pages") >= MIN_PAGES), "tokens")
+    over = frequent.select("host", F.col("token").alias("needs"), F.col("pages").alias("_all"))
+    share = F.col("pages") / F.col("_all")
+    enough = F.when(F.col("chars") == 0, share >= BRANCH).when(F.col("inside"), (share >= INSIDE) & (F.col("pages") >= INSIDE_PAGES)).otherwise(share >= SUPPORT)
+    common = frequent.where("token <> 0").join(over, ["host", "needs"]).where(enough)
+    name = F.xxhash64("pages", "high", "low").alias("class")
+    common = common.select("host", "token", "pages", "chars", "page_chars", (F.col("most") == 1).alias("once"), name)
+    # Elements have no text of their own, so a class is judged by its texts.
+    known = common.groupBy("host", "class").agg(F.sum("chars").alias("_own"), (F.first("page_chars") / F.first("pages")).alias("_page")).where(F.col("_own") <= SHARED * F.col("_page"))
+    return common.join(known, ["host", "class"], "left_semi").select("host", "class", "token", "once")
+
+
+def tested(page: Page, template: Template) -> list[tuple[int, int, bool]]:
+    """Each class on this page: a hash of its tokens' order, and whether it nests."""
+    first: dict = {}
+    last: dict = {}
+    order: dict = {}
+    at: dict = {}
+    for k, (token, *_) in enumerate(tokens_of(page)):
+        c = template.of.get(token)
+        if c is None:
+            continue
+        if token not in order:
+            order[token] = c
+        first.setdefault(c, k)
+        last[c] = k
+        if c in template.once:
+            at.setdefault(c, []).append(k)
+    hashes: dict = {}
+    for token, c in order.items():
+        hashes[c] = zlib.crc32(b"%d" % token, hashes.get(c, 0))
+    frames = {a: np.array(places) for a, places in at.items()}
+    out = []
+    for c, h in hashes.items():
+        # All of c lies in one slot of each frame, or around it: no token of c in between.
+        nests = all(a == c or np.searchsorted(x, first[c]) == np.searchsorted(x, last[c]) or c in frames and np.searchsorted(frames[c], x[0]) == np.searchsorted(frames[c], x[-1]) for a, x in frames.items())
+        out.append((c, h, nests))
+    return out
+
+
+def _with_templates(rows: DataFrame, found: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """work(batch, a template for each row) over rows(host, html, ...). found(host, class, token,
+    once) is broadcast up to SMALL tokens; else each host's stand under SALTS salts."""
+    if found.count() <= SMALL:
+        by_host: dict = {}
+        for r in found.groupBy("host").agg(*(F.collect_list(c).alias(c) for c in ("token", "class", "once"))).toLocalIterator():
+            by_host[r["host"]] = (np.array(r["token"], np.int64), np.array(r["class"], np.int64), np.array(r["once"], bool))
+        sent = rows.sparkSession.sparkContext.broadcast(by_host)
+
+        def run(batches):
+            known: dict = {}
+
+            def get(h):
+                if h not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[h] = Template(*(x.tolist() for x in sent.value.get(h, ())))
+                return known[h]
+
+            for b in by_bytes(batches, "html", 4 << 20):
+                yield work(b, [get(h) for h in b.column("host").to_pylist()])
+
+        return map_arrow(rows, run, schema)
+
+    def run_joined(batches):
+        for b in by_bytes(batches, "html", 4 << 20):
+            yield work(b, [Template(t or (), c or (), o or ()) for t, c, o in zip(*(b.column(x).to_pylist() for x in ("_token", "_class", "_once")))])
+
+    many = found.groupBy("host").agg(*(F.collect_list(c).alias(f"_{c}") for c in ("token", "class", "once"))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+    return map_arrow(salted.join(many, ["host", "_salt"], "left").drop("_salt"), run_joined, schema)
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, class, token, once of the valid classes of each host."""
+    spark = pages.sparkSession
+    found = written(spark, candidates(pages), "classes")
+
+    def work(b, known):
+        seen: dict = {}
+        for host, html, template in zip(b.column("host").to_pylist(), as_bytes(b.column("html")), known):
+            if template.of:
+                for c, h, nests in tested(Page(html.decode("utf-8", "replace")), template):
+                    low, high, ok = seen.get((host, c), (h, h, True))
+                    seen[host, c] = min(low, h), max(high, h), ok and nests
+        cols = [*zip(*((*k, *v) for k, v in seen.items()))] or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["host", "class", "low", "high", "nests"])
+
+    shown = _with_templates(pages.select("host", "html"), found, work, "host string, class bigint, low bigint, high bigint, nests boolean")
+    valid = shown.groupBy("host", "class").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("nests").alias("nests")).where("low = high and nests").select("host", "class")
+    return written(spark, found.join(valid, ["host", "class"], "left_semi").select("host", "class", "token", "once"), "templates")
+
+
+def main_text(page: Page, template: Template) -> str:
     el = page.elements
-    found = [(e, t) for e, raw in page.blocks if not el[e][3] and (t := clean(raw))]
+    found = [(e, t) for e, raw in page.blocks if not el[e][3] and (t := clean(raw)) and block_token(el[e][2], t) not in template]
     mass: Counter = Counter()
     tops: Counter = Counter()
     for e, t in found:
@@ -179,13 +352,12 @@ def main_text(page: Page, template: frozenset) -> str:
         # The article; of several the longest.
         top = max(tops, key=lambda x: (tops[x], -x))
     else:
-        found = [(e, t) for e, t in found if block_token(el[e][2], t) not in template]
         for e, t in found:
             while e >= 0:
                 mass[e] += len(t)
                 e = el[e][0]
         total = mass[0]
-        inner = [x for x in mass if mass[x] >= MOST * total and (x == 0 or not template or el[x][2] in template)]
+        inner = [x for x in mass if mass[x] >= MOST * total and (x == 0 or not template.of or el[x][2] in template)]
         top = max(inner, key=lambda x: (-mass[x], x), default=0) if not inner else min(inner, key=lambda x: (mass[x], -x))
         if el[top][1] in ("p", "h1", "h2", "h3", "li", "td"):
             top = max(el[top][0], 0)
@@ -198,71 +370,14 @@ def main_text(page: Page, template: frozenset) -> str:
     return "\n".join(t for e, t in found if inside(e))
 
 
-def _tokens(batches):
-    """host, token, pages for what a few hundred pages have."""
-    for b in by_bytes(batches, "html", 4 << 20):
-        pages: Counter = Counter()
-        for host, html in zip(b.column("host").to_pylist(), as_bytes(b.column("html"))):
-            page = Page(html.decode("utf-8", "replace"))
-            el = page.elements
-            seen = {x[2] for x in el[1:]}
-            seen.update(block_token(el[e][2], clean(t)) for e, t in page.blocks if not el[e][4])
-            seen.add(-1)  # the page itself
-            pages.update((host, token) for token in seen)
-        hosts, tokens = zip(*pages) if pages else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array([*pages.values()], pa.int64())], ["host", "token", "pages"])
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """host and the tokens of its template. A token of it stands on SUPPORT of the pages,
-    so a template is at most 1/SUPPORT times as long as the host's pages are on average."""
-    once = pages.select("host", F.coalesce("html", F.lit("")).alias("html")).distinct()
-    rows = map_arrow(once, _tokens, "host string, token bigint, pages bigint")
-    tokens = rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"))
-    own = tokens.where("token = -1").select("host", F.col("pages").alias("_all"))
-    frequent = tokens.where((F.col("pages") >= MIN_PAGES) & (F.col("token") != -1))
-    valid = frequent.join(own, "host").where(F.col("pages") >= SUPPORT * F.col("_all"))
-    return valid.groupBy("host").agg(F.collect_list("token").alias("tokens"))
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages."""
-    spark = pages.sparkSession
-    ship(spark)
+    ship(pages.sparkSession)
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host"))
-    found = templates(rows).cache()
-    size = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    kinds = dict(rows.dtypes)
-    schema = f"page_id {kinds['page_id']}, url string, text string, n_chars bigint"
 
-    def pack(b, texts):
+    def work(b, known):
+        texts = [main_text(Page(x.decode("utf-8", "replace")), t) for x, t in zip(as_bytes(b.column("html")), known)]
         return pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    if size <= SMALL:
-        sent = spark.sparkContext.broadcast({r["host"]: np.array(r["tokens"], np.int64) for r in found.collect()})
-        found.unpersist()
-
-        def run(batches):
-            known: dict = {}
-            for b in by_bytes(batches, "html", 4 << 20):
-                texts = []
-                for h, html in zip(b.column("host").to_pylist(), as_bytes(b.column("html"))):
-                    if h not in known:
-                        if len(known) > 1000:
-                            known.clear()
-                        known[h] = frozenset(sent.value.get(h, ()))
-                    texts.append(main_text(Page(html.decode("utf-8", "replace")), known[h]))
-                yield pack(b, texts)
-
-        return map_arrow(rows, run, schema)
-
-    def run_joined(batches):
-        for b in by_bytes(batches, "html", 4 << 20):
-            tokens = b.column("tokens").to_pylist()
-            yield pack(b, [main_text(Page(x.decode("utf-8", "replace")), frozenset(t or ())) for x, t in zip(as_bytes(b.column("html")), tokens)])
-
-    salt = 32  # a host's template stands under each salt, so its pages are dealt to as many tasks
-    many = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    joined = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(salt)).cast("int")).join(many, ["host", "_salt"], "left")
-    return map_arrow(joined.select("page_id", "url", "html", "tokens"), run_joined, schema)
+    return _with_templates(rows, templates(rows), work, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars bigint")

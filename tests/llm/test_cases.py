@@ -450,6 +450,65 @@ def test_html_of_rows_that_repeat(spark, times, ids):
     assert len(got) == times * len(rows) and {(r.url, r.text) for r in got} == set(want.items())
 
 
+def classes_by_force(htmls):
+    """Equal occurrence vectors, written out."""
+    vectors = defaultdict(dict)
+    for k, h in enumerate(htmls):
+        for t, *_ in template_html.tokens_of(template_html.Page(h)):
+            vectors[t][k] = vectors[t].get(k, 0) + 1
+    groups = defaultdict(set)
+    for t, v in vectors.items():
+        groups[tuple(sorted(v.items()))].add(t)
+    return groups
+
+
+def test_classes_are_those_of_the_vectors(spark):
+    page = lambda k: f"<body><div id=top>Site</div><ul>{'<li>x</li>' * (k % 3)}</ul><div><p>Body {k}</p></div>{'<b>odd</b>' * (k % 2)}<div>Made by us</div></body>"
+    htmls = [page(k) for k in range(9)]
+    rows = spark.createDataFrame([("h", h) for h in htmls], "host string, html string").repartition(4)
+    got = defaultdict(set)
+    for r in template_html.candidates(rows).collect():
+        got[r["class"]].add(r.token)
+    want = classes_by_force(htmls)
+    assert got and all(any(g <= w for w in want.values()) for g in got.values())
+    assert len({next(v for v, w in want.items() if g <= w) for g in got.values()}) == len(got)
+
+
+def test_templates_of_page_types_and_within_articles(spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 9000, n))
+    rows, want = [], {}
+    shared = text(12)
+    for k in range(30):
+        body = [text(30), text(25)] + [shared] * (k % 10 == 0)
+        want[k] = "\n".join([f"Title {k}", *body])
+        kind = f"<div class=box{k % 3}>Own words of type {k % 3}</div>"
+        rows.append((k, "http://a.com/", f"<body>{kind}<article><h1>Title {k}</h1>" + "".join(f"<p>{t}</p>" for t in body) + "<p>Write to us if you liked it</p></article></body>"))
+    plain = [(100 + k, "http://b.com/", f"<body><div>Welcome to type {k % 2}</div><section class=t{k % 2}><em>Always {k % 2}</em><div><p>{(t := text(40))}</p></div></section></body>", t) for k in range(12)]
+    want |= {i: t for i, _, _, t in plain}
+    schema = "page_id long, url string, html string"
+    got = {r.page_id: r.text for r in template_html.extract(spark.createDataFrame(rows + [r[:3] for r in plain], schema)).collect()}
+    assert got == want
+
+
+def test_classes_in_other_orders_or_across_slots_are_no_template(spark):
+    of = lambda *x: template_html.Page("<body>" + "".join(f"<div class={c}>t{c}</div>" for c in x) + "</body>")
+    token = {c: template_html.tokens_of(of(c))[1][0] for c in "abcd"}
+    one = template_html.Template([token[c] for c in "abcd"], [1, 1, 2, 2], [True] * 4)
+    by = lambda *x: {c: (h, n) for c, h, n in template_html.tested(of(*x), one)}
+    assert by("a", "b", "c", "d")[1] == by("a", "c", "d", "b")[1] and by("a", "c", "d", "b")[2][1]
+    assert by("a", "b")[1][0] != by("b", "a")[1][0]
+    assert not by("a", "c", "b", "d")[1][1] and not by("a", "c", "b", "d")[2][1]
+
+
+def test_html_of_odd_rows(spark):
+    long = "<article>" + "<p>" + "word " * 300_000 + "</p></article>"
+    rows = [(1, "http://x.org/", long, "t", 1), (1, "http://x.org/", long, None, None), (None, None, "<p>a</p>", "t", None), (None, None, "<p>a</p>", "t", None), (2, "http://x.org/", "", None, 3)]
+    got = sorted(((r.page_id, r.text, r.n_chars) for r in template_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, host int")).collect()), key=str)
+    whole = ("word " * 300_000).strip()
+    assert got == sorted([(1, whole, len(whole))] * 2 + [(None, "a", 1)] * 2 + [(2, "", 0)], key=str)
+
+
 def test_html_joined_templates_agree(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     a = sorted(map(tuple, template_html.extract(pages).collect()))
