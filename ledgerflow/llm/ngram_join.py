@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bytes, dealt, joined_by_group, map_arrow, partitions, written
+from .common import SALTS, as_bytes, by_bytes, dealt, joined_by_group, map_arrow, partitions, written
 from .packed import mixed, pack, split, steps, unpack, unsteps
 
 N = 5
@@ -51,6 +51,8 @@ ROUNDS = ((8, 32),)
 SMALL = 500_000
 #: Sets of sizes within 4/3 are in one band or in two that follow each other.
 BAND = math.log(1.34)
+#: Nodes of a token beyond which they are dealt to SALTS tasks.
+HOT_TOKEN = 1_000
 #: Pairs between components, for each posting, up to which all of them are compared.
 FEW = 4
 #: Documents of the sample and how many of them make a token a frequent one.
@@ -362,7 +364,7 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
 def _labelled(postings: DataFrame, comp: DataFrame | None) -> DataFrame:
     if comp is None:
         return postings.withColumn("comp", F.col("key"))
-    return postings.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    return postings.join(comp.withColumnRenamed("key", "node"), F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "key")).drop("node")
 
 
 def _band(shift: float = 0.0):
@@ -372,15 +374,19 @@ def _band(shift: float = 0.0):
 def _pivot_pairs(at: DataFrame, k: int, pivots: int, most: int) -> DataFrame:
     """Each node with up to `most` of the pivots it shares most tokens with. A token's
     pivots are the nodes of least hash, of those whose rest allows sets of their size."""
-    at = at.withColumn("band", _band(k % 2 / 2))
+    # A hot token's few pivots stand under each salt, so its nodes meet them in many tasks.
+    hot = F.col("c") > HOT_TOKEN
+    salt = F.when(hot, F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int")
+    at = at.withColumn("band", _band(k % 2 / 2)).withColumn("salt", salt)
 
     def drawn(i):
         h = F.xxhash64("key", "token", F.lit(1000 * k + i))
         return F.min(F.struct(h.alias("h"), F.struct("key", "n", "rest", "comp").alias("v")))
 
     drawn_all = F.array_distinct(F.transform(F.array(*map(drawn, range(pivots))), lambda x: x["v"]))
-    heads = at.where("7 * rest >= 6 * n").groupBy("token", "band").agg(drawn_all.alias("p")).withColumn("p", F.explode("p"))
-    met = at.alias("o").join(heads.alias("h"), F.expr("o.token = h.token and o.band = h.band and o.comp <> h.p.comp and 7 * least(o.rest, h.p.rest) >= 3 * (o.n + h.p.n)"))
+    heads = at.where("7 * rest >= 6 * n").groupBy("token", "band").agg(drawn_all.alias("p"), F.first("c").alias("c")).withColumn("p", F.explode("p"))
+    heads = heads.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    met = at.alias("o").join(heads.alias("h"), F.expr("o.token = h.token and o.band = h.band and o.salt = h.salt and o.comp <> h.p.comp and 7 * least(o.rest, h.p.rest) >= 3 * (o.n + h.p.n)"))
     votes = met.groupBy("key", F.col("p.key").alias("a")).count()
     best = votes.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "a")), False), 1, most).alias("v"))
     best = best.select("key", F.explode("v.a").alias("a"))
@@ -430,7 +436,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
         if not left:
             break
         # Components only grow, so the tokens that are done stay done.
-        postings = written(spark, postings.join(open_.select("token"), "token"), "postings")
+        postings = written(spark, postings.drop("c").join(open_.select("token", "c"), "token"), "postings")
         last = left <= FEW * total or k == len(ROUNDS)
         at = _labelled(postings, comp)
         pairs = _all_pairs(at) if last else _pivot_pairs(at, k, *ROUNDS[k])
