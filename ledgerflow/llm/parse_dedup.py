@@ -3,21 +3,27 @@
 A rolling hash over SEED bytes triggers phrases: the trigger of a 50-byte string is the
 least hash in it (the leftmost of equals), and the starts that share a trigger are one
 phrase, from its first start to 49 bytes beyond its last. What a phrase is depends on
-its own bytes alone, so a text that repeats is parsed alike wherever it stands.
-
-The distinct phrases are the dictionary. Its suffixes, in the order of the corpus, are
-looked at only as far as repeats reach: a phrase that a smaller document has whole is
-removed at once; of phrases that share a trigger with another document's but differ,
-every suffix of 50 bytes goes into an order of its own, and the least document of equal
-suffixes decides. Both orders are made in parts, by hash, and each task first folds what
-it holds, so that a string that a third of all documents have leaves a task once.
-
-Strings are equal if their 64-bit hashes are, and so are phrases.
+its own bytes alone, so a text that repeats is parsed alike wherever it stands, and equal
+50-byte strings stand in phrases of one trigger, at one distance from it.
+
+1. Phrases go by trigger, as hashes. Those whose trigger two documents have are live.
+2. The dictionary: the distinct live phrases of each part of the documents, as bytes, with
+   the least document of the part that has each (the parse, as far as order needs it).
+3. For each trigger the suffix array of its phrases (suffixes of 50 bytes and more, by their
+   bytes) gives the classes of equal 50-byte strings; with the documents of the parse these
+   stand in corpus order, whose first is the string's owner. A phrase that is alone under its
+   trigger needs no order: all its strings have its least document.
+4. Owners go back to the parts, where a string goes if its owner is a smaller document.
+
+Strings of different phrases are equal only if their bytes are; phrases are the same if 64
+bits of the trigger and 64 of the phrase are, and where phrases of two parts meet their
+bytes are compared (a difference fails the query, so no byte goes unseen).
 
 Cases: null counts as the empty text; texts under 50 bytes lose nothing; rows with the
 same doc_id never remove bytes of each other; a null doc_id is smaller than all others;
-documents of any length are parsed whole; an empty table gives no rows; other columns
-are neither read nor returned.
+texts of any length are parsed whole, in pieces of PIECE bytes that overlap by 49; an empty
+table gives no rows; columns other than doc_id and text are neither read nor returned,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +43,11 @@ from .packed import mixed, pack, split, steps, unpack, unsteps
 LENGTH = 50
 SEED = 24
 WINDOW = LENGTH - SEED + 1
-PLACES = 28  # bits for a place in the bytes that are parsed at once
+#: Bytes that are parsed at once (some 60 bytes of arrays each): texts are cut, short ones put
+#: together. PLACES: bits for a place among them.
+PIECE, PLACES = 4 << 20, 28
+#: Starts of 50-byte strings that are ordered at once, by whole triggers.
+ORDERED = 200_000
 NULL = -(1 << 63)
 _U = np.uint64
 _BYTE = np.random.default_rng(50).integers(1, 1 << 63, 256, np.uint64) * _U(2) + _U(1)
@@ -76,6 +86,7 @@ class Parse:
         empty = np.zeros(0, np.int64)
         self.of = self.low = self.high = empty
         self.trigger = self.key = empty.astype(np.uint64)
+        self.data, self.off = data, empty
         self.sums = self.down = None
         if n < LENGTH:
             return
@@ -107,28 +118,34 @@ class Parse:
         self.high = np.flatnonzero(last & inside)
         self.of = np.searchsorted(ends, self.low, "right")
         self.trigger = h[at[self.low]]
+        self.off = at[self.low] - self.low  # how far behind its start the trigger stands
         self.key = mixed(self.strings(self.low, self.high + LENGTH) + (self.high - self.low).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
     def strings(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return (self.sums[high] - self.sums[low]) * self.down[low]
 
-    def suffixes(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The starts in some of the phrases, and the hash of the string at each."""
-        n = self.high[some] - self.low[some] + 1
-        first = np.cumsum(n) - n
-        at = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first - self.low[some], n)
-        return at, mixed(self.strings(at, at + LENGTH))
-
 
 def _ids(b: pa.RecordBatch) -> np.ndarray:
     return np.asarray(b.column("doc_id").fill_null(NULL).to_numpy(zero_copy_only=False), np.int64)
 
 
-def _by_id(b: pa.RecordBatch) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    ids = _ids(b)
-    order = np.argsort(ids, kind="stable")
-    texts = as_bytes(b.column("text"))
-    return ids[order], [texts[i] for i in order], order
+def _parses(ids: np.ndarray, texts: list[bytes]):
+    """The parse of all texts, about PIECE bytes at a time: of each piece its text's index,
+    where in the text it begins, and the Parse of the pieces. Texts come by ascending id."""
+    of, base, some, size = [], [], [], 0
+    for i in np.argsort(ids, kind="stable").tolist():
+        t = texts[i]
+        for at in range(0, max(1, len(t) - LENGTH + 1), PIECE):
+            part = t if len(t) <= PIECE else t[at:at + PIECE + LENGTH - 1]
+            of.append(i)
+            base.append(at)
+            some.append(part)
+            size += len(part)
+            if size >= PIECE:
+                yield np.array(of), base, Parse(some)
+                of, base, some, size = [], [], [], 0
+    if some:
+        yield np.array(of), base, Parse(some)
 
 
 def _first(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,52 +174,54 @@ def _home(ids: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(ids.view(np.uint64)) % _U(parts)).astype(np.int32)
 
 
+def _identity(p: Parse) -> np.ndarray:
+    return mixed(p.key ^ mixed(p.trigger))
+
+
 def _phrases(buckets: int, parts: int):
-    """kind 0: (phrase, document) by trigger; kind 4: those that stand for a hot trigger's.
-    kind 1: a document's phrases that a smaller one has, or whose suffixes are wanted (2),
-    by document."""
+    """kind 0: (phrase, document) by trigger, of each phrase its least and largest document;
+    kind 4: those that stand for a hot trigger's. kind 1: a document's live phrases, by document."""
 
     def run(batches):
-        for b in by_bytes(batches, "text", 6 << 20):
-            ids, texts, _ = _by_id(b)
-            p = Parse(texts)
-            if not len(p.low):
-                continue
-            key, doc = p.key, ids[p.of]
-            later, once = _first(key, doc)
-            keep = ~later & once
-            trig = p.trigger[keep]
-            _, back, count = np.unique(trig, return_inverse=True, return_counts=True)
-            hot = count[back] >= HOT
-            # Of those the first and last (the least and largest document) go by trigger too,
-            # so that the phrases of other batches meet them there, as documents of the group
-            # even if a smaller document has these two: it need not have the others.
-            outer = np.zeros(len(trig), bool)
-            outer[np.unique(trig, return_index=True)[1]] = True
-            outer[len(trig) - 1 - np.unique(trig[::-1], return_index=True)[1]] = True
-            rows = []
-            # The high 32 bits of a trigger go along; the bucket holds the low ones.
-            k, d, t = key[keep], doc[keep], (trig >> _U(32)).astype(np.uint32)
-            for part, x in split((trig % _U(buckets)).astype(np.int32)):
-                for kind, y in ((0, x[~hot[x]]), (4, x[hot[x] & outer[x]])):
-                    if len(y):
-                        rows.append((part, kind, pack(k[y], steps(d[y]), t[y])))
-            tell_k = np.concatenate([key[later], k[hot]])
-            tell_d = np.concatenate([doc[later], d[hot]])
-            code = np.concatenate([np.ones(int(later.sum()), np.uint8), np.full(int(hot.sum()), 2, np.uint8)])
-            order = np.argsort(tell_d, kind="stable")
-            tell_k, tell_d, code = tell_k[order], tell_d[order], code[order]
-            for part, x in split(_home(tell_d, parts)):
-                rows.append((part, 1, pack(tell_k[x], steps(tell_d[x]), code[x])))
-            if rows:
-                yield _blobs(rows)
+        for b in by_bytes(batches, "text", PIECE):
+            ids = _ids(b)
+            for of, _, p in _parses(ids, as_bytes(b.column("text"))):
+                if len(p.low):
+                    rows = [*parsed(_identity(p), ids[of][p.of], p.trigger)]
+                    for i in range(0, len(rows), 500):
+                        yield _blobs(rows[i:i + 500])
+
+    def parsed(key, doc, trigger):
+        later, once = _first(key, doc)
+        follows, _ = _first(key[::-1], -doc[::-1] - 1)  # whether a larger document has the key
+        follows = follows[::-1]
+        keep = once & ~(later & follows)
+        trig = trigger[keep]
+        _, back, count = np.unique(trig, return_inverse=True, return_counts=True)
+        hot = count[back] >= HOT
+        # Of those the first and last (the least and largest document) go by trigger too, so
+        # that the phrases of other batches meet them there.
+        outer = np.zeros(len(trig), bool)
+        outer[np.unique(trig, return_index=True)[1]] = True
+        outer[len(trig) - 1 - np.unique(trig[::-1], return_index=True)[1]] = True
+        k, d = key[keep], doc[keep]
+        high = (trig >> _U(32)).astype(np.uint32)  # the bucket holds the low bits of a trigger
+        for part, x in split((trig % _U(buckets)).astype(np.int32)):
+            for kind, y in ((0, x[~hot[x]]), (4, x[hot[x] & outer[x]])):
+                if len(y):
+                    yield part, kind, pack(k[y], steps(d[y]), high[y], trig[y].astype(np.uint32))
+        known = once & later & follows
+        tell_k, tell_d = np.concatenate([key[known], k[hot]]), np.concatenate([doc[known], d[hot]])
+        order = np.argsort(tell_d, kind="stable")
+        tell_k, tell_d = tell_k[order], tell_d[order]
+        for part, x in split(_home(tell_d, parts)):
+            yield part, 1, pack(tell_k[x], steps(tell_d[x]))
 
     return run
 
 
 def _decide(parts: int):
-    """From triggers' buckets: which phrases a smaller document has (1), and which share a
-    trigger with another document's (2); kind 1 passes."""
+    """From triggers' buckets: the phrases whose trigger two documents have, by document."""
 
     def run(batches):
         held = defaultdict(list)
@@ -211,30 +230,19 @@ def _decide(parts: int):
                 if kind == 1:
                     yield _blobs([(part, kind, blob)])
                 else:
-                    k, d, t = unpack(blob, np.uint64, np.uint64, np.uint32)
-                    held[part].append((k, unsteps(d), t, np.full(len(k), kind == 4)))
+                    k, d, t, low = unpack(blob, np.uint64, np.uint64, np.uint32, np.uint32)
+                    held[part].append((k, unsteps(d), t.astype(np.uint64) << _U(32) | low.astype(np.uint64), np.full(len(k), kind == 4)))
         for part in list(held):
             k, d, t, hot = (np.concatenate(x) for x in zip(*held.pop(part)))
+            _, group = np.unique(t, return_inverse=True)
+            low, high = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
+            np.minimum.at(low, group, d)
+            np.maximum.at(high, group, d)
+            live = ~hot & (low[group] < high[group])
+            k, d = k[live], d[live]
             order = np.argsort(d, kind="stable")
-            k, d, t, hot = k[order], d[order], t[order], hot[order]
-            later, _ = _first(k, d)
-            order = np.argsort(t, kind="stable")
-            new = np.ones(len(t), bool)
-            new[1:] = t[order][1:] != t[order][:-1]
-            group = np.empty(len(t), np.int64)
-            group[order] = np.cumsum(new) - 1
-            low, high = np.full(int(new.sum()), np.iinfo(np.int64).max), np.full(int(new.sum()), np.iinfo(np.int64).min)
-            # A group counts if phrases of two documents are left in it, those that went out
-            # as hot included.
-            left = ~later
-            there = left | hot
-            np.minimum.at(low, group[there], d[there])
-            np.maximum.at(high, group[there], d[there])
-            wanted = left & (low[group] < high[group])
-            some = later | wanted
-            code = np.where(later, 1, 2).astype(np.uint8)[some]
-            k, d = k[some], d[some]
-            rows = [(q, 1, pack(k[x], steps(d[x]), code[x])) for q, x in split(_home(d, parts))]
+            k, d = k[order], d[order]
+            rows = [(q, 1, pack(k[x], steps(d[x]))) for q, x in split(_home(d, parts))]
             for i in range(0, len(rows), 200):
                 yield _blobs(rows[i:i + 200])
 
@@ -246,9 +254,8 @@ def _texts(parts: int):
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for b in by_bytes(batches, "text", 6 << 20):
-            ids, texts, _ = _by_id(b)
-            rows = []
+        for b in by_bytes(batches, "text", PIECE):
+            ids, texts, rows = _ids(b), as_bytes(b.column("text")), []
             for q, x in split(_home(ids, parts)):
                 sizes = np.array([len(texts[i]) for i in x], np.int64)
                 rows.append((q, 2, pack(ids[x], sizes) + squeeze(b"".join([texts[i] for i in x]))))
@@ -265,7 +272,7 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     return ids, [raw[e - s:e] for s, e in zip(sizes.tolist(), ends.tolist())]
 
 
-def _merged(packs, most: int = 6 << 20):
+def _merged(packs, most: int = PIECE):
     """The documents of a part's packs, about `most` bytes of them at a time."""
     ids, texts, size = [], [], 0
     for _, blob in packs:
@@ -280,22 +287,8 @@ def _merged(packs, most: int = 6 << 20):
         yield np.concatenate(ids), texts
 
 
-def _told(blobs: list[bytes], *kinds):
-    """Packed (key, document[, code]) of one part, by document."""
-    if not blobs:
-        return [np.zeros(0, k) for k in (np.uint64, np.int64, *kinds)]
-    cols = [np.concatenate(x) for x in zip(*(_one(b, kinds) for b in blobs))]
-    order = np.lexsort((cols[0], cols[1]))
-    return [c[order] for c in cols]
-
-
-def _one(blob, kinds):
-    k, d, *rest = unpack(blob, np.uint64, np.uint64, *kinds)
-    return [k, unsteps(d), *rest]
-
-
 def _groups(batches):
-    """Parts of a task, one after the other: what was told of it, and its texts."""
+    """Parts of a task, one after the other: what was told of it, and its texts (compressed)."""
     held, texts = defaultdict(list), defaultdict(list)
     for b in batches:
         for part, kind, blob in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("blob").to_pylist()):
@@ -304,102 +297,196 @@ def _groups(batches):
         yield part, held.pop(part, []), texts.pop(part)
 
 
-def _in_docs(ids: np.ndarray, of: np.ndarray, key: np.ndarray, told_k: np.ndarray, told_d: np.ndarray) -> np.ndarray:
-    """For each (ids[of], key) its place among the told pairs, or -1."""
-    if not len(told_k) or not len(key):
-        return np.full(len(key), -1)
-    # Both sides as one hash of the pair; told pairs are few against 2^64.
-    have = mixed(told_k ^ mixed(told_d.view(np.uint64)))
-    want = mixed(key ^ mixed(ids[of].view(np.uint64)))
-    order = np.argsort(have, kind="stable")
-    at = np.minimum(np.searchsorted(have[order], want), len(have) - 1)
-    return np.where(have[order][at] == want, order[at], -1)
+def _place(have: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """For each of want its place in have, which is sorted, or -1."""
+    if not len(have) or not len(want):
+        return np.full(len(want), -1)
+    at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+    return np.where(have[at] == want, at, -1)
 
 
-def _suffixes(buckets: int, parts: int):
-    """kind 0: (suffix, document) by suffix, of the wanted phrases. kind 1: those that a
-    smaller document of the same task has, by document."""
+def _rows_of(data: np.ndarray, at: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """Rows of `width` bytes: the size bytes of data at each place, then zeros."""
+    span = np.arange(width)
+    rows = data[np.minimum(at[:, None] + span, max(0, len(data) - 1))]
+    rows[span >= size[:, None]] = 0
+    return rows
 
-    def run(batches):
-        for _, told, packs in _groups(batches):
-            k, d, code = _told([b for _, b in told], np.uint8)
-            want = code == 2
-            k, d = k[want], d[want]
-            some = np.unique(d)
-            for ids, texts in _merged(packs):
-                pick = np.flatnonzero(np.isin(ids, some))
-                if not len(pick):
-                    continue
-                p = Parse([texts[i] for i in pick])
-                if not len(p.low):
-                    continue
-                hit = np.flatnonzero(_in_docs(ids[pick], p.of, p.key, k, d) >= 0)
-                at, h = p.suffixes(hit)
-                doc = np.repeat(ids[pick][p.of[hit]], p.high[hit] - p.low[hit] + 1)
-                order = np.argsort(doc, kind="stable")
-                h, doc = h[order], doc[order]
-                later, once = _first(h, doc)
-                rows = [(q, 0, pack(h[x], steps(doc[x]))) for keep in [np.flatnonzero(~later & once)] for q, y in split((h[keep] % _U(buckets)).astype(np.int32)) for x in [keep[y]]]
-                tell = np.flatnonzero(later & once)
-                rows += [(q, 1, pack(h[x], steps(doc[x]))) for q, y in split(_home(doc[tell], parts)) for x in [tell[y]]]
-                for i in range(0, len(rows), 500):
-                    yield _blobs(rows[i:i + 500])
 
-    return run
+WIDTH = LENGTH + WINDOW - 1
 
 
-def _ordered(parts: int):
-    """From suffixes' buckets: those that a smaller document has, by document."""
+def _dictionary(buckets: int):
+    """kind 0: a part's live phrases by trigger: bytes, and the least document that has each.
+    kind 5: its documents that have any."""
 
     def run(batches):
-        held = defaultdict(list)
-        for b in batches:
-            for part, kind, blob in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("blob").to_pylist()):
-                if kind:
-                    yield _blobs([(part, 3, blob)])
-                else:
-                    held[part].append(_one(blob, ()))
-        for part in list(held):
-            h, d = (np.concatenate(x) for x in zip(*held.pop(part)))
-            order = np.argsort(d, kind="stable")
-            h, d = h[order], d[order]
-            later, _ = _first(h, d)
-            h, d = h[later], d[later]
-            rows = [(q, 3, pack(h[x], steps(d[x]))) for q, x in split(_home(d, parts))]
-            for i in range(0, len(rows), 500):
-                yield _blobs(rows[i:i + 500])
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for part, told, packs in _groups(batches):
+            if not told:
+                continue
+            k, d = (np.concatenate(x) for x in zip(*((k, unsteps(d)) for k, d in (unpack(blob, np.uint64, np.uint64) for _, blob in told))))
+            pairs = np.sort(mixed(k ^ mixed(d.view(np.uint64))))
+            some = np.unique(d)
+            yield _blobs([(part, 5, pack(steps(some)))])
+            for ids, texts in _merged(packs):
+                pick = np.flatnonzero(_place(some, ids) >= 0)
+                for of, _, p in _parses(ids[pick], [texts[i] for i in pick]):
+                    if not len(p.low):
+                        continue
+                    doc, key = ids[pick][of][p.of], _identity(p)
+                    live = np.flatnonzero(_place(pairs, mixed(key ^ mixed(doc.view(np.uint64)))) >= 0)
+                    live = live[np.unique(key[live], return_index=True)[1]]  # documents ascend
+                    size = p.high[live] - p.low[live] + LENGTH
+                    rows = []
+                    for q, x in split((p.trigger[live] % _U(buckets)).astype(np.int32)):
+                        y = live[x]
+                        order = np.argsort(doc[y], kind="stable")
+                        x, y = x[order], y[order]
+                        flat = _rows_of(p.data, p.low[y], size[x], WIDTH)
+                        text = flat[np.arange(WIDTH) < size[x][:, None]].tobytes()
+                        rows.append((q, 0, pack(np.full(len(y), part, np.int32), key[y], p.trigger[y], steps(doc[y]), size[x].astype(np.uint8), p.off[y].astype(np.uint8)) + squeeze(text)))
+                    for i in range(0, len(rows), 500):
+                        yield _blobs(rows[i:i + 500])
 
     return run
 
 
+def _entries(blob: bytes):
+    part, key, trigger, doc, size, off = unpack(blob, np.int32, np.uint64, np.uint64, np.uint64, np.uint8, np.uint8)
+    size = size.astype(np.int64)
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + 30 * len(part):], max_output_size=max(1, int(size.sum()))), np.uint8)
+    return part, key, trigger, unsteps(doc), off.astype(np.int64), size, _rows_of(data, np.cumsum(size) - size, size, WIDTH)
+
+
+def owners(trigger: np.ndarray, doc: np.ndarray, off: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct phrases by ascending trigger: the owners of all their 50-byte strings, and
+    where those of each phrase begin. The suffix array of each trigger's phrases: suffixes by
+    distance to the trigger and bytes; neighbours that agree in 50 bytes are one string."""
+    n = size - LENGTH + 1
+    begin = np.cumsum(n) - n
+    out = np.repeat(doc, n)
+    new = np.ones(len(trigger), bool)
+    new[1:] = trigger[1:] != trigger[:-1]
+    group = np.cumsum(new) - 1
+    several = np.flatnonzero(np.bincount(group)[group] > 1)
+    total = np.cumsum(n[several])
+    low = 0
+    while low < len(several):
+        high = int(np.searchsorted(total, (total[low - 1] if low else 0) + ORDERED, "right"))
+        high = max(high, low + 1)
+        while high < len(several) and group[several[high]] == group[several[high - 1]]:
+            high += 1
+        some = several[low:high]
+        low = high
+        m = n[some]
+        phrase = np.repeat(some, m)
+        start = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        text = np.zeros((len(start), 56), np.uint8)
+        text[:, :LENGTH] = rows[phrase[:, None], start[:, None] + np.arange(LENGTH)]
+        words = text.view(">u8").astype(np.uint64)
+        place = group[phrase] * 64 + off[phrase] - start
+        order = np.lexsort((*words.T[::-1], place))
+        words, place = words[order], place[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (place[1:] != place[:-1]) | (words[1:] != words[:-1]).any(1)
+        least = np.minimum.reduceat(doc[phrase[order]], np.flatnonzero(first))
+        out[begin[phrase[order]] + start[order]] = least[np.cumsum(first) - 1]
+    return out, begin
+
+
+def _ordered(batches):
+    """From triggers' buckets: the owners of the strings of each part's phrases: kind 3 where a
+    phrase has one owner, kind 6 where its strings have several, by part; kind 5 passes."""
+    held = defaultdict(list)
+    for b in batches:
+        for part, kind, blob in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("blob").to_pylist()):
+            if kind == 5:
+                yield _blobs([(part, kind, blob)])
+            else:
+                held[part].append(blob)
+    for bucket in list(held):
+        part, key, trigger, doc, off, size, rows = (np.concatenate(x) for x in zip(*map(_entries, held.pop(bucket))))
+        order = np.lexsort((doc, key, trigger))
+        part, key, trigger, doc, off, size, rows = (x[order] for x in (part, key, trigger, doc, off, size, rows))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (trigger[1:] != trigger[:-1])
+        at, entry = np.flatnonzero(new), np.cumsum(new) - 1
+        if (rows != rows[at][entry]).any():
+            raise ValueError("two phrases have the same hashes")
+        own, begin = owners(trigger[at], doc[at], off[at], size[at], rows[at])
+        n = size[at] - LENGTH + 1
+        low, high = np.minimum.reduceat(own, begin), np.maximum.reduceat(own, begin)
+        one = low == high
+        for q, x in split(part):
+            x = x[np.unique(entry[x], return_index=True)[1]]  # a part's phrase once
+            e = entry[x]
+            a, z = e[one[e]], e[~one[e]]
+            out = []
+            if len(a):
+                out.append((q, 3, pack(key[at[a]], steps(low[a]))))
+            if len(z):
+                places = np.repeat(begin[z] - (np.cumsum(n[z]) - n[z]), n[z]) + np.arange(int(n[z].sum()))
+                blob = pack(key[at[z]], n[z].astype(np.uint8))
+                out.append((q, 6, len(blob).to_bytes(4, "little") + blob + pack(steps(own[places]))))
+            yield _blobs(out)
+
+
+def _owned(told: list):
+    """Phrases of one part, sorted, and of each how many owners it has (one: of all its strings)
+    and where they stand among all owners."""
+    keys, counts, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for kind, blob in told:
+        if kind == 3:
+            k, o = unpack(blob, np.uint64, np.uint64)
+            n = np.ones(len(k), np.int64)
+        elif kind == 6:
+            at = 4 + int.from_bytes(blob[:4], "little")
+            k, n = unpack(blob[4:at], np.uint64, np.uint8)
+            (o,) = unpack(blob[at:], np.uint64)
+        else:
+            continue
+        keys.append(k)
+        counts.append(n.astype(np.int64))
+        own.append(unsteps(o))
+    k, n, o = (np.concatenate(x) for x in (keys, counts, own))
+    order = np.argsort(k, kind="stable")
+    return k[order], n[order], (np.cumsum(n) - n)[order], o
+
+
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
 def _removed(keep_text: bool):
     def run(batches):
         for _, told, packs in _groups(batches):
-            k, d, code = _told([b for kind, b in told if kind == 1], np.uint8)
-            h, hd = _told([b for kind, b in told if kind == 3])
-            some = np.unique(np.concatenate([d, hd]))
-            full, want = code == 1, code == 2
+            key, count, begin, own = _owned(told)
+            some = np.unique(np.concatenate([np.zeros(0, np.int64), *(unsteps(unpack(blob, np.uint64)[0]) for kind, blob in told if kind == 5)]))
             for ids, texts in _merged(packs):
-                pick = np.flatnonzero(np.isin(ids, some))
-                spans: dict[int, tuple] = {}
-                p = Parse([texts[i] for i in pick]) if len(pick) else None
-                if p is not None and len(p.low):
-                    own = ids[pick]
-                    whole = _in_docs(own, p.of, p.key, k[full], d[full]) >= 0
-                    part = np.flatnonzero((_in_docs(own, p.of, p.key, k[want], d[want]) >= 0) & ~whole)
-                    at, s = p.suffixes(part)
-                    of = np.repeat(p.of[part], p.high[part] - p.low[part] + 1)
-                    at = at[_in_docs(own, of, s, h, hd) >= 0]
+                pick = np.flatnonzero(_place(some, ids) >= 0)
+                spans: dict[int, np.ndarray] = {}
+                for of, base, p in _parses(ids[pick], [texts[i] for i in pick]) if len(pick) else ():
+                    if not len(p.low):
+                        continue
+                    doc, at = ids[pick][of][p.of], _place(key, _identity(p))
+                    hit = np.flatnonzero(at >= 0)
+                    n = np.where(count[at[hit]] == 1, 1, p.high[hit] - p.low[hit] + 1)
+                    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    gone = own[np.repeat(begin[at[hit]], n) + step] < np.repeat(doc[hit], n)
+                    whole = np.repeat(count[at[hit]] == 1, n)
+                    first = (np.repeat(p.low[hit], n) + step)[gone]
+                    last = np.where(whole, np.repeat(p.high[hit], n), np.repeat(p.low[hit], n) + step)[gone] + LENGTH
                     # Covered bytes: +1 where a string begins, -1 behind its end.
                     edge = np.zeros(int(p.sizes.sum()) + 1, np.int32)
-                    np.add.at(edge, np.concatenate([p.low[whole], at]), 1)
-                    np.add.at(edge, np.concatenate([p.high[whole], at]) + LENGTH, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    for j, i in enumerate(pick.tolist()):
-                        spans[i] = gone[p.begin[j]:p.begin[j] + p.sizes[j]]
+                    np.add.at(edge, first, 1)
+                    np.add.at(edge, last, -1)
+                    covered = np.cumsum(edge[:-1]) > 0
+                    for j, (i, low) in enumerate(zip(pick[of].tolist(), base)):
+                        g = covered[p.begin[j]:p.begin[j] + p.sizes[j]]
+                        if len(g) == len(texts[i]):
+                            spans[i] = g
+                        else:
+                            spans.setdefault(i, np.zeros(len(texts[i]), bool))[low:low + len(g)] |= g
                 out = []
                 for i, t in enumerate(texts):
                     g = spans.get(i)
@@ -420,9 +507,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     two = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     n = parts = buckets = partitions(spark)
-    seen = map_arrow(dealt(map_arrow(two, _phrases(buckets, parts), BLOBS), n), _decide(parts), BLOBS)
-    told = written(spark, seen, "phrases")
+    live = map_arrow(dealt(map_arrow(two, _phrases(buckets, parts), BLOBS), n), _decide(parts), BLOBS)
     texts = map_arrow(two, _texts(parts), BLOBS)
-    some = map_arrow(dealt(told.unionByName(texts), n), _suffixes(buckets, parts), BLOBS)
-    also = map_arrow(dealt(some, n), _ordered(parts), BLOBS)
-    return map_arrow(dealt(told.unionByName(also).unionByName(texts), n), _removed(keep_text), RESULT + ", kept binary" * keep_text)
+    words = map_arrow(dealt(live.unionByName(texts), n), _dictionary(buckets), BLOBS)
+    order = map_arrow(dealt(words, n), _ordered, BLOBS)
+    return map_arrow(dealt(order.unionByName(texts), n), _removed(keep_text), RESULT + ", kept binary" * keep_text)

@@ -179,17 +179,41 @@ def test_grown_listing_with_equal_first_and_last_rows(spark):
     assert got == removed_by_force(small + grown)
 
 
-def test_phrases_whose_hashes_differ_in_low_bits_only(spark, monkeypatch):
-    class Low(parse_dedup.Parse):
-        def __init__(self, texts):
-            super().__init__(texts)
-            self.key = self.key & np.uint64((1 << 28) - 1)
-
-    monkeypatch.setattr(parse_dedup, "Parse", Low)
-    line = "this passage of more than fifty bytes stands in all of these documents, always the same."
-    rows = [(k, f"{'ab' * (k % 5)}{k} {line} {k * 7}") for k in range(20)]
-    got = {r.doc_id: r.n_removed for r in parse_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == removed_by_force(rows)
+def test_owners_against_brute_force():
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 100, 140).astype(np.uint8)
+    phrases = []
+    for trigger in range(6):
+        for _ in range(trigger + 1):
+            low, high = int(rng.integers(30, 44)), int(rng.integers(44, 56))  # around the trigger at 56
+            b = base.copy()
+            b[rng.integers(0, 140, trigger // 2)] = 120
+            phrases.append((trigger, int(rng.integers(0, 9)), 56 - low, b[low:high + 50].tobytes()))
+    rows = np.zeros((len(phrases), parse_dedup.WIDTH), np.uint8)
+    for r, x in zip(rows, phrases):
+        r[:len(x[3])] = np.frombuffer(x[3], np.uint8)
+    t, d, o, size = (np.array(x) for x in zip(*((t, d, o, len(b)) for t, d, o, b in phrases)))
+    own, begin = parse_dedup.owners(t, d, o, size, rows)
+    least: dict = {}
+    for t_, d_, o_, b in phrases:
+        for s_ in range(len(b) - 49):
+            k = (t_, o_ - s_, b[s_:s_ + 50])
+            least[k] = min(least.get(k, 99), d_)
+    for (t_, d_, o_, b), at in zip(phrases, begin.tolist()):
+        assert own[at:at + len(b) - 49].tolist() == [least[t_, o_ - s_, b[s_:s_ + 50]] for s_ in range(len(b) - 49)]
+
+
+def test_long_texts_are_parsed_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    letters = lambda n: "".join(rng.choice(list("abcdef"), n))
+    text = letters(3000)
+    rows = [(1, text), (2, letters(1000) + text[700:2600] + letters(90)), (3, text[:60]), (3, text[:60]), (4, letters(400)), (5, "")]
+    want = removed_by_force(rows)
+    for piece in (4 << 20, 300, 77):
+        monkeypatch.setattr(parse_dedup, "PIECE", piece)
+        monkeypatch.setattr(parse_dedup, "ORDERED", 100)
+        got = {r.doc_id: r.n_removed for r in parse_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == want
 
 
 def test_near_copies_with_many_rounds(spark, monkeypatch):
