@@ -47,7 +47,7 @@ SIMILAR = (3, 4)  # as a fraction
 WORDS = 400_000
 #: Pivots of each token and band of sizes in each round, and with how many of those that
 #: it meets a node is compared; the pairs that rounds leave are compared in the end.
-ROUNDS = ((8, 32),)
+ROUNDS = ((8, 8), (8, 8))
 SMALL = 500_000
 #: Sets of sizes within 4/3 are in one band or in two that follow each other.
 BAND = math.log(1.34)
