@@ -6,7 +6,8 @@ phrase, from its first start to 49 bytes beyond its last. What a phrase is depen
 its own bytes alone, so a text that repeats is parsed alike wherever it stands, and equal
 50-byte strings stand in phrases of one trigger, at one distance from it.
 
-1. Phrases go by trigger, as hashes. Those whose trigger two documents have are live.
+1. Triggers go by 40 bits of their hash and the bucket (a chance meeting only makes more
+   phrases live). Phrases whose trigger two documents have are live.
 2. The dictionary: the distinct live phrases of each part of the documents, as bytes, with
    the least document of the part that has each (the parse, as far as order needs it).
 3. For each trigger the suffix array of its phrases (suffixes of 50 bytes and more, by their
@@ -53,8 +54,7 @@ _U = np.uint64
 _BYTE = np.random.default_rng(50).integers(1, 1 << 63, 256, np.uint64) * _U(2) + _U(1)
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
-#: Phrases of one trigger in one batch from which on their suffixes go out at once.
-HOT = 48
+_STARTS = _U(0xD6E8FEB86659FD93)
 
 
 class Powers:
@@ -119,7 +119,7 @@ class Parse:
         self.of = np.searchsorted(ends, self.low, "right")
         self.trigger = h[at[self.low]]
         self.off = at[self.low] - self.low  # how far behind its start the trigger stands
-        self.key = mixed(self.strings(self.low, self.high + LENGTH) + (self.high - self.low).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        self.key = mixed(self.strings(self.low, self.high + LENGTH) + (self.high - self.low).astype(np.uint64) * _STARTS)
 
     def strings(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return (self.sums[high] - self.sums[low]) * self.down[low]
@@ -148,21 +148,6 @@ def _parses(ids: np.ndarray, texts: list[bytes]):
         yield np.array(of), base, Parse(some)
 
 
-def _first(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """key, doc with docs ascending: whether a smaller doc has the key; whether it is the
-    first of its doc that has it."""
-    order = np.argsort(key, kind="stable")
-    k, d = key[order], doc[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    least = d[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))] if len(k) else d
-    once = new.copy()
-    once[1:] |= d[1:] != d[:-1]
-    later, lone = np.empty(len(k), bool), np.empty(len(k), bool)
-    later[order], lone[order] = d > least, once
-    return later, lone
-
-
 BLOBS = "part int, kind tinyint, blob binary"
 
 
@@ -178,50 +163,51 @@ def _identity(p: Parse) -> np.ndarray:
     return mixed(p.key ^ mixed(p.trigger))
 
 
-def _phrases(buckets: int, parts: int):
-    """kind 0: (phrase, document) by trigger, of each phrase its least and largest document;
-    kind 4: those that stand for a hot trigger's. kind 1: a document's live phrases, by document."""
+def _brief(trigger: np.ndarray, buckets: int) -> np.ndarray:
+    """40 bits of a trigger and its bucket: what tells whether it is live."""
+    return (trigger >> _U(24) << _U(24)) | trigger % _U(buckets)
+
+
+def _triggers(buckets: int, parts: int):
+    """kind 0: (trigger, document) by trigger, of a trigger the least document; kind 4: the same
+    where two documents of the batch have it. kind 1: a document's live triggers, by document."""
 
     def run(batches):
         for b in by_bytes(batches, "text", PIECE):
             ids = _ids(b)
             for of, _, p in _parses(ids, as_bytes(b.column("text"))):
                 if len(p.low):
-                    rows = [*parsed(_identity(p), ids[of][p.of], p.trigger)]
+                    rows = [*parsed(p.trigger, ids[of][p.of])]
                     for i in range(0, len(rows), 500):
                         yield _blobs(rows[i:i + 500])
 
-    def parsed(key, doc, trigger):
-        later, once = _first(key, doc)
-        follows, _ = _first(key[::-1], -doc[::-1] - 1)  # whether a larger document has the key
-        follows = follows[::-1]
-        keep = once & ~(later & follows)
-        trig = trigger[keep]
-        _, back, count = np.unique(trig, return_inverse=True, return_counts=True)
-        hot = count[back] >= HOT
-        # Of those the first and last (the least and largest document) go by trigger too, so
-        # that the phrases of other batches meet them there.
-        outer = np.zeros(len(trig), bool)
-        outer[np.unique(trig, return_index=True)[1]] = True
-        outer[len(trig) - 1 - np.unique(trig[::-1], return_index=True)[1]] = True
-        k, d = key[keep], doc[keep]
-        high = (trig >> _U(32)).astype(np.uint32)  # the bucket holds the low bits of a trigger
-        for part, x in split((trig % _U(buckets)).astype(np.int32)):
-            for kind, y in ((0, x[~hot[x]]), (4, x[hot[x] & outer[x]])):
-                if len(y):
-                    yield part, kind, pack(k[y], steps(d[y]), high[y], trig[y].astype(np.uint32))
-        known = once & later & follows
-        tell_k, tell_d = np.concatenate([key[known], k[hot]]), np.concatenate([doc[known], d[hot]])
-        order = np.argsort(tell_d, kind="stable")
-        tell_k, tell_d = tell_k[order], tell_d[order]
-        for part, x in split(_home(tell_d, parts)):
-            yield part, 1, pack(tell_k[x], steps(tell_d[x]))
+    def parsed(trigger, doc):
+        order = np.argsort(trigger, kind="stable")  # documents ascend
+        t, d = trigger[order], doc[order]
+        new = np.ones(len(t), bool)
+        new[1:] = t[1:] != t[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(t)) - 1
+        live = d[first] < d[last]
+        for kind, at in ((0, first[~live]), (4, first[live])):
+            at = at[np.argsort(d[at], kind="stable")]
+            own_t, own_d = t[at], d[at]
+            for part, x in split((own_t % _U(buckets)).astype(np.int32)):
+                yield part, kind, pack((own_t[x] >> _U(24)).astype(np.uint32), (own_t[x] >> _U(56)).astype(np.uint8), steps(own_d[x]))
+        once = new.copy()
+        once[1:] |= d[1:] != d[:-1]
+        some = once & np.repeat(live, last - first + 1)
+        t, d = t[some], d[some]
+        order = np.argsort(d, kind="stable")
+        t, d = _brief(t[order], buckets), d[order]
+        for part, x in split(_home(d, parts)):
+            yield part, 1, pack(t[x], steps(d[x]))
 
     return run
 
 
 def _decide(parts: int):
-    """From triggers' buckets: the phrases whose trigger two documents have, by document."""
+    """From triggers' buckets: those that two documents have, by document."""
 
     def run(batches):
         held = defaultdict(list)
@@ -230,19 +216,22 @@ def _decide(parts: int):
                 if kind == 1:
                     yield _blobs([(part, kind, blob)])
                 else:
-                    k, d, t, low = unpack(blob, np.uint64, np.uint64, np.uint32, np.uint32)
-                    held[part].append((k, unsteps(d), t.astype(np.uint64) << _U(32) | low.astype(np.uint64), np.full(len(k), kind == 4)))
+                    low, high, d = unpack(blob, np.uint32, np.uint8, np.uint64)
+                    held[part].append((high.astype(np.uint64) << _U(56) | low.astype(np.uint64) << _U(24) | _U(part), unsteps(d), np.full(len(low), kind == 4)))
         for part in list(held):
-            k, d, t, hot = (np.concatenate(x) for x in zip(*held.pop(part)))
-            _, group = np.unique(t, return_inverse=True)
-            low, high = np.full(group.max() + 1, np.iinfo(np.int64).max), np.full(group.max() + 1, np.iinfo(np.int64).min)
-            np.minimum.at(low, group, d)
-            np.maximum.at(high, group, d)
-            live = ~hot & (low[group] < high[group])
-            k, d = k[live], d[live]
+            t, d, told = (np.concatenate(x) for x in zip(*held.pop(part)))
+            order = np.lexsort((d, t))
+            t, d, told = t[order], d[order], told[order]
+            new = np.ones(len(t), bool)
+            new[1:] = t[1:] != t[:-1]
+            first = np.flatnonzero(new)
+            size = np.diff(first, append=len(t))
+            live = (d[first] < d[first + size - 1]) | np.logical_or.reduceat(told, first)
+            some = np.repeat(live, size) & ~told
+            t, d = t[some], d[some]
             order = np.argsort(d, kind="stable")
-            k, d = k[order], d[order]
-            rows = [(q, 1, pack(k[x], steps(d[x]))) for q, x in split(_home(d, parts))]
+            t, d = t[order], d[order]
+            rows = [(q, 1, pack(t[x], steps(d[x]))) for q, x in split(_home(d, parts))]
             for i in range(0, len(rows), 200):
                 yield _blobs(rows[i:i + 200])
 
@@ -317,11 +306,11 @@ WIDTH = LENGTH + WINDOW - 1
 
 
 def _dictionary(buckets: int):
-    """kind 0: a part's live phrases by trigger: bytes, and the least document that has each.
-    kind 5: its documents that have any."""
+    """kind 0: a part's live phrases by trigger: bytes, the least document that has each, and
+    whether others of the part do. kind 5: its documents that have any."""
 
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for part, told, packs in _groups(batches):
             if not told:
                 continue
@@ -334,29 +323,49 @@ def _dictionary(buckets: int):
                 for of, _, p in _parses(ids[pick], [texts[i] for i in pick]):
                     if not len(p.low):
                         continue
-                    doc, key = ids[pick][of][p.of], _identity(p)
-                    live = np.flatnonzero(_place(pairs, mixed(key ^ mixed(doc.view(np.uint64)))) >= 0)
-                    live = live[np.unique(key[live], return_index=True)[1]]  # documents ascend
+                    doc = ids[pick][of][p.of]
+                    live = np.flatnonzero(_place(pairs, mixed(_brief(p.trigger, buckets) ^ mixed(doc.view(np.uint64)))) >= 0)
+                    _, first, back = np.unique(_identity(p)[live], return_index=True, return_inverse=True)
+                    most = np.full(len(first), np.iinfo(np.int64).min)
+                    np.maximum.at(most, back, doc[live])
+                    live = live[first]  # documents ascend
+                    several = most > doc[live]
                     size = p.high[live] - p.low[live] + LENGTH
                     rows = []
                     for q, x in split((p.trigger[live] % _U(buckets)).astype(np.int32)):
+                        x = x[np.argsort(doc[live[x]], kind="stable")]
                         y = live[x]
-                        order = np.argsort(doc[y], kind="stable")
-                        x, y = x[order], y[order]
                         flat = _rows_of(p.data, p.low[y], size[x], WIDTH)
                         text = flat[np.arange(WIDTH) < size[x][:, None]].tobytes()
-                        rows.append((q, 0, pack(np.full(len(y), part, np.int32), key[y], p.trigger[y], steps(doc[y]), size[x].astype(np.uint8), p.off[y].astype(np.uint8)) + squeeze(text)))
+                        rows.append((q, 0, pack(np.full(len(y), part, np.int32), steps(doc[y]), (size[x] * 2 + several[x]).astype(np.uint8), p.off[y].astype(np.uint8)) + squeeze(text)))
                     for i in range(0, len(rows), 500):
                         yield _blobs(rows[i:i + 500])
 
     return run
 
 
+def _sum(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The rolling sum over n of each row's values from its place on."""
+    out, up = np.zeros(len(values), np.uint64), Powers.to(n)[0]
+    line = np.arange(len(values))
+    for k in range(n):
+        out += values[line, np.minimum(at + k, values.shape[1] - 1)] * up[k]
+    return out
+
+
 def _entries(blob: bytes):
-    part, key, trigger, doc, size, off = unpack(blob, np.int32, np.uint64, np.uint64, np.uint64, np.uint8, np.uint8)
-    size = size.astype(np.int64)
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + 30 * len(part):], max_output_size=max(1, int(size.sum()))), np.uint8)
-    return part, key, trigger, unsteps(doc), off.astype(np.int64), size, _rows_of(data, np.cumsum(size) - size, size, WIDTH)
+    """part, identity, trigger, document, whether there are others, offset, size and bytes of
+    each phrase; its hashes are made anew from its bytes."""
+    part, doc, both, off = unpack(blob, np.int32, np.uint64, np.uint8, np.uint8)
+    size, several = both.astype(np.int64) >> 1, (both & 1).astype(bool)
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + 14 * len(part):], max_output_size=max(1, int(size.sum()))), np.uint8)
+    rows = _rows_of(data, np.cumsum(size) - size, size, WIDTH)
+    values = _BYTE[rows]
+    values[np.arange(WIDTH) >= size[:, None]] = 0
+    off = off.astype(np.int64)
+    trigger = mixed(_sum(values, off, SEED))
+    key = mixed(_sum(values, np.zeros(len(size), np.int64), WIDTH) + (size - LENGTH).astype(np.uint64) * _STARTS)
+    return part, mixed(key ^ mixed(trigger)), trigger, unsteps(doc), several, off, size, rows
 
 
 def owners(trigger: np.ndarray, doc: np.ndarray, off: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -406,9 +415,9 @@ def _ordered(batches):
             else:
                 held[part].append(blob)
     for bucket in list(held):
-        part, key, trigger, doc, off, size, rows = (np.concatenate(x) for x in zip(*map(_entries, held.pop(bucket))))
+        part, key, trigger, doc, several, off, size, rows = (np.concatenate(x) for x in zip(*map(_entries, held.pop(bucket))))
         order = np.lexsort((doc, key, trigger))
-        part, key, trigger, doc, off, size, rows = (x[order] for x in (part, key, trigger, doc, off, size, rows))
+        part, key, trigger, doc, several, off, size, rows = (x[order] for x in (part, key, trigger, doc, several, off, size, rows))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (trigger[1:] != trigger[:-1])
         at, entry = np.flatnonzero(new), np.cumsum(new) - 1
@@ -418,7 +427,10 @@ def _ordered(batches):
         n = size[at] - LENGTH + 1
         low, high = np.minimum.reduceat(own, begin), np.maximum.reduceat(own, begin)
         one = low == high
-        for q, x in split(part):
+        # A phrase that its owner alone has in a part loses nothing there.
+        told = np.flatnonzero(several | ~one[entry] | (low[entry] != doc))
+        for q, x in split(part[told]):
+            x = told[x]
             x = x[np.unique(entry[x], return_index=True)[1]]  # a part's phrase once
             e = entry[x]
             a, z = e[one[e]], e[~one[e]]
@@ -507,7 +519,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     two = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     n = parts = buckets = partitions(spark)
-    live = map_arrow(dealt(map_arrow(two, _phrases(buckets, parts), BLOBS), n), _decide(parts), BLOBS)
+    live = map_arrow(dealt(map_arrow(two, _triggers(buckets, parts), BLOBS), n), _decide(parts), BLOBS)
     texts = map_arrow(two, _texts(parts), BLOBS)
     words = map_arrow(dealt(live.unionByName(texts), n), _dictionary(buckets), BLOBS)
     order = map_arrow(dealt(words, n), _ordered, BLOBS)

@@ -145,8 +145,7 @@ def test_repeats_against_brute_force(spark):
     assert got == want
 
 
-def test_hot_phrases_are_compared(spark, monkeypatch):
-    monkeypatch.setattr(parse_dedup, "HOT", 2)
+def test_hot_phrases_are_compared(spark):
     line = "this passage of more than fifty bytes stands in all of these documents, always the same."
     d = spark.createDataFrame([(k, f"{'ab' * (k % 5)}{k} {line} {k * 7}") for k in range(40)], "doc_id long, text string").repartition(6)
     got = {r.doc_id: r.n_removed for r in parse_dedup.remove_repeats(d).collect()}
