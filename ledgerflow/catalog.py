@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import graph, pages, reduce, retention, stats
+from .operators import events as E
+from .operators import graph, pages, parsers, reduce, retention, stats
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -21,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- Diagnostics out of events -------------------------------------------------------
 
+#: One message for each rule of quality.
+MESSAGES = ["failure", "Test failed: //a:b", "TEST TIMED OUT: //a:b", "ROOT_CAUSE is x", "Error executing root_cause", "thread panicked at a.rs", "Assertion x failed", "test was incomplete: y", "test result was unavailable: z"]
+
+
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error and purchase events as diagnostics of their user: a stand-in for an event stream."""
     e = table(spark, sf_dir, "events").where("event_type in ('error', 'purchase', 'signup')")
@@ -29,28 +34,31 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("inv"), F.col("event_id").alias("ordinal"),
         F.when(F.col("event_type") == "signup", "warning").otherwise("error").alias("severity"),
         F.when(F.col("event_type") == "error", "compilation").when(F.col("event_type") == "purchase", "action").otherwise("test").alias("category"),
-        F.concat(F.lit("failure "), (k % 3).cast("string")).alias("message"),
+        F.element_at(F.array(*map(F.lit, MESSAGES)), (k % len(MESSAGES) + 1).cast("int")).alias("message"),
         F.when(k % 2 == 0, F.concat(F.lit("src/f"), (k % 4).cast("string"))).alias("path"),
-        F.when(k % 2 == 0, k % 5).alias("line"),
+        F.when(k % 2 == 0, k % 5).alias("line"), F.when(k % 2 == 0, k % 3).alias("col_no"),
         F.concat(F.lit("//app:t"), (k % 2).cast("string")).alias("target"), F.col("event_type").alias("action"),
         F.lit(1).cast("bigint").alias("repetition_count"))
 
 
-_DIAG = """
+_DIAG = f"""
 k AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type IN ('error', 'purchase', 'signup')),
 d AS (SELECT user_id AS inv, event_id AS ordinal,
   CASE event_type WHEN 'signup' THEN 'warning' ELSE 'error' END AS severity,
   CASE event_type WHEN 'error' THEN 'compilation' WHEN 'purchase' THEN 'action' ELSE 'test' END AS category,
-  'failure ' || CAST(k % 3 AS VARCHAR) AS message,
-  CASE WHEN k % 2 = 0 THEN 'src/f' || CAST(k % 4 AS VARCHAR) END AS path, CASE WHEN k % 2 = 0 THEN k % 5 END AS line,
+  ([{', '.join(repr(m) for m in MESSAGES)}])[k % {len(MESSAGES)} + 1] AS message,
+  CASE WHEN k % 2 = 0 THEN 'src/f' || CAST(k % 4 AS VARCHAR) END AS path, CASE WHEN k % 2 = 0 THEN k % 5 END AS line, CASE WHEN k % 2 = 0 THEN k % 3 END AS col_no,
   '//app:t' || CAST(k % 2 AS VARCHAR) AS target, event_type AS action FROM k),
-g AS (SELECT inv, severity, category, message, path, line, CASE WHEN category = 'action' THEN NULL ELSE target END AS t, action,
+g AS (SELECT inv, severity, category, message, path, line, col_no, CASE WHEN category = 'action' THEN NULL ELSE target END AS t, action,
   CAST(least(count(*), 4294967295) AS BIGINT) AS repetition_count, min(ordinal) AS ordinal, min(target) AS low, count(DISTINCT target) AS kinds
   FROM d GROUP BY ALL),
-f AS (SELECT inv, severity, category, message, path, line, action, repetition_count, ordinal,
+f AS (SELECT inv, severity, category, message, path, line, col_no, action, repetition_count, ordinal,
   CASE WHEN category = 'action' THEN CASE WHEN kinds = 1 THEN low END ELSE t END AS target FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY inv ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END,
-  CASE category WHEN 'compilation' THEN 0 WHEN 'test' THEN 1 ELSE 5 END, CASE WHEN path IS NOT NULL THEN 0 ELSE 1 END, ordinal) - 1 AS rank FROM f)
+  CASE category WHEN 'compilation' THEN 0 WHEN 'test' THEN 1 ELSE 5 END, CASE WHEN path IS NOT NULL OR (contains(lower(message), 'root_cause') AND NOT contains(lower(message), 'error executing')) THEN 0
+    WHEN category = 'test' AND (contains(lower(message), 'panicked at') OR (contains(lower(message), 'assertion') AND contains(lower(message), ' failed'))) THEN 1
+    WHEN regexp_matches(lower(message), '^(test failed:|test timed out:|test was incomplete:|test result was unavailable:)') THEN 3
+    WHEN contains(lower(message), 'error executing') THEN 2 ELSE 1 END, ordinal) - 1 AS rank FROM f)
 """
 
 
@@ -63,17 +71,19 @@ def h01_rank(spark, sf_dir):
 
 
 def root_causes(spark, sf_dir):
-    """F03, H01, H02 and G04a: the flagship. 300 bytes, so that the budget is felt."""
-    out = reduce.root_causes(diagnostics(spark, sf_dir), items=20, most=300)
-    return out.select("inv", "rank", "severity", "category", "message", "path", "line", "target", "action", "repetition_count")
+    """F03, H01, H02 and G04a: the flagship. 200 bytes, so that the budget is felt."""
+    out = reduce.root_causes(diagnostics(spark, sf_dir), items=20, most=200)
+    return out.select("inv", "rank", "severity", "category", "message", "path", "line", "col_no", "target", "action", "repetition_count", "truncated")
 
 
 _BUDGET = """
-, s AS (SELECT *, CAST(strlen(message) + 64 AS BIGINT) AS size FROM r WHERE rank < 20),
-w AS (SELECT inv, rank, CASE WHEN size <= 300 THEN size ELSE 0 END AS used, size <= 300 AS kept FROM s WHERE rank = 0
-  UNION ALL SELECT s.inv, s.rank, CASE WHEN w.used + s.size <= 300 THEN w.used + s.size ELSE w.used END, w.used + s.size <= 300
-  FROM w JOIN s ON s.inv = w.inv AND s.rank = w.rank + 1)
-SELECT s.inv, s.rank, severity, category, message, path, line, target, action, repetition_count FROM s JOIN w ON s.inv = w.inv AND s.rank = w.rank WHERE kept
+, s AS (SELECT *, CAST(strlen(message) AS BIGINT) AS size FROM r WHERE rank < 20),
+w AS (SELECT inv, rank, CASE WHEN size <= 200 THEN size ELSE 0 END AS used, size <= 200 AS kept FROM s WHERE rank = 0
+  UNION ALL SELECT s.inv, s.rank, CASE WHEN w.used + s.size <= 200 THEN w.used + s.size ELSE w.used END, w.used + s.size <= 200
+  FROM w JOIN s ON s.inv = w.inv AND s.rank = w.rank + 1),
+n AS (SELECT inv, count(*) AS n FROM r GROUP BY inv), m AS (SELECT inv, count(*) AS m FROM w WHERE kept GROUP BY inv)
+SELECT s.inv, s.rank, severity, category, message, path, line, col_no, target, action, repetition_count, n > m AS truncated
+FROM s JOIN w ON s.inv = w.inv AND s.rank = w.rank JOIN n ON n.inv = s.inv JOIN m ON m.inv = s.inv WHERE kept
 """
 
 
@@ -88,7 +98,11 @@ def g05_keep_first(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+    return _split(table(spark, sf_dir, "documents"))
+
+
+def _split(docs):
+    d = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
     return d.select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
@@ -104,7 +118,9 @@ def f04_line_counts(spark, sf_dir):
 
 
 def d01_filter(spark, sf_dir):
-    return _lines(spark, sf_dir).where(T.contains_ignore_case(F.col("line"), "THE OF")).select("doc_id", "ordinal")
+    # A text without the words has no line with them: texts go before they are split.
+    some = table(spark, sf_dir, "documents").where(T.contains_ignore_case(F.col("text"), "THE OF"))
+    return _split(some).where(T.contains_ignore_case(F.col("line"), "THE OF")).select("doc_id", "ordinal")
 
 
 def g03_context(spark, sf_dir):
@@ -228,7 +244,91 @@ def h14_head_and_tail(spark, sf_dir):
 
 def d06_wildcard(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return p.where(T.wildcard(F.col("p_type"), "*E*S*") | T.wildcard(F.col("p_name"), "a...")).select("p_partkey")
+    return p.where(T.wildcard(F.col("p_type"), "*E*N*") | T.wildcard(F.col("p_name"), "p...")).select("p_partkey")
+
+
+def _compiler_lines(spark, sf_dir):
+    """Events as lines of compilers' output, one shape for each event_id mod 8."""
+    k, i = F.col("event_id") % 8, F.col("event_id")
+    n = lambda c: c.cast("string")
+    said = F.concat(F.lit("no "), F.col("event_type"))
+    shapes = [F.concat(F.lit("src/a"), n(i % 7), F.lit(".cc:"), n(i % 90), F.lit(":"), n(i % 11), F.lit(": error: "), said),
+              F.concat(F.lit("src/b"), n(i % 7), F.lit(".cpp("), n(i % 90), F.lit("): warning C4"), n(i % 9), F.lit(": "), said),
+              F.concat(F.lit("ui/c.ts("), n(i % 90), F.lit(","), n(i % 11), F.lit("): error TS2"), n(i % 9), F.lit(": "), said),
+              F.concat(F.lit("D.java:"), n(i % 90), F.lit(": warning: "), said), F.concat(F.lit("e.go:"), n(i % 90), F.lit(":"), n(i % 11), F.lit(": "), said),
+              F.concat(F.lit("f.proto:"), n(i % 90), F.lit(":1: "), said), F.concat(F.lit("error[E"), n(i % 9), F.lit("]: "), said), F.concat(F.lit("all is well with "), said)]
+    line = shapes[-1]
+    for j, shape in enumerate(shapes[:-1]):
+        line = F.when(k == j, shape).otherwise(line)
+    return table(spark, sf_dir, "events").select("event_id", line.alias("line"))
+
+
+_COMPILER_LINES = """lines AS (SELECT event_id, CASE event_id % 8
+  WHEN 0 THEN concat('src/a', event_id % 7, '.cc:', event_id % 90, ':', event_id % 11, ': error: no ', event_type)
+  WHEN 1 THEN concat('src/b', event_id % 7, '.cpp(', event_id % 90, '): warning C4', event_id % 9, ': no ', event_type)
+  WHEN 2 THEN concat('ui/c.ts(', event_id % 90, ',', event_id % 11, '): error TS2', event_id % 9, ': no ', event_type)
+  WHEN 3 THEN concat('D.java:', event_id % 90, ': warning: no ', event_type) WHEN 4 THEN concat('e.go:', event_id % 90, ':', event_id % 11, ': no ', event_type)
+  WHEN 5 THEN concat('f.proto:', event_id % 90, ':1: no ', event_type) WHEN 6 THEN concat('error[E', event_id % 9, ']: no ', event_type)
+  ELSE concat('all is well with no ', event_type) END AS line FROM events)"""
+
+
+def k20_compilers(spark, sf_dir):
+    """K20, K22 (head), K23, K24 (head), K25 and K28 over lines of all shapes."""
+    return parsers.parsed(_compiler_lines(spark, sf_dir)).drop("line")
+
+
+def _parsed_sql() -> str:
+    case = lambda g, cast: " ".join(f"WHEN parser = '{k}' THEN " + (f"CAST(nullif(regexp_extract(line, '{p}', {x[g]}), '') AS {cast})" if x[g] else f"'{s}'" if g == 3 else "NULL") for k, (p, x, s) in parsers.PARSERS.items())
+    name = " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{k}'" for k, (p, _, _) in parsers.PARSERS.items())
+    return (f"WITH {_COMPILER_LINES}, p AS (SELECT *, CASE {name} END AS parser FROM lines) SELECT event_id, parser, CASE {case(0, 'VARCHAR')} END AS path, CASE {case(1, 'BIGINT')} END AS line_no, "
+            f"CASE {case(2, 'BIGINT')} END AS col_no, CASE WHEN contains(CASE {case(3, 'VARCHAR')} END, 'warning') THEN 'warning' ELSE 'error' END AS severity, CASE {case(4, 'VARCHAR')} END AS message FROM p WHERE parser IS NOT NULL")
+
+
+def k07_fallback(spark, sf_dir):
+    x = F.col("line")
+    d = diagnostics(spark, sf_dir).select(F.col("ordinal").alias("event_id"), F.concat(F.col("message"), F.lit(" "), F.element_at(F.array(*map(F.lit, HINTS)), (F.col("ordinal") % len(HINTS) + 1).cast("int"))).alias("line"))
+    return d.select("event_id", parsers.fallback_category(x).alias("category"), parsers.fallback_severity(x).alias("severity")).where("category is not null")
+
+
+HINTS = ["", "no such package", "visibility ERROR", "analysis failed", "missing strict dependencies", "warning: no such target", "error[E1]"]
+
+
+def k09_regex(spark, sf_dir):
+    return parsers.regex_diagnostics(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "[0-9]+", 3)
+
+
+def d01_prefix(spark, sf_dir):
+    return table(spark, sf_dir, "orders").where(T.starts_with_ignore_case(F.col("o_orderpriority"), "1-URG")).select("o_orderkey")
+
+
+def _of_events(f):
+    return lambda spark, sf_dir: f(table(spark, sf_dir, "events"))
+
+
+#: The queries whose SQL is below, as operators.
+OPERATORS = {
+    "c01_aborted": _of_events(lambda e: e.where("event_type = 'error'").select(F.col("event_id").alias("ordinal"), F.lit("error").alias("severity"), E.aborted_category(F.col("event_id") % 9).alias("category"))),
+    "c02_failed_action": _of_events(lambda e: e.where("value < 20").select(F.col("event_id").alias("ordinal"), E.action_message(F.col("event_type"), F.col("user_id") % 40).alias("message"), F.nullif("event_type", F.lit("view")).alias("action"))),
+    "c06_test_status": _of_events(lambda e: e.select("event_id", E.test_status(F.col("event_id") % 9).alias("status"))),
+    "c09_first_options": _of_events(lambda e: reduce.keep_first(e.where("event_type = 'signup'"), ["user_id"], ["event_id"]).select("user_id", F.col("event_id").alias("first_id"))),
+    "c10_last_finished": _of_events(lambda e: E.last_of(e.where("event_type = 'purchase'"), "user_id", "event_id").select("user_id", "event_id", "event_type")),
+    "c17_run_outcome": lambda spark, sf_dir: table(spark, sf_dir, "orders").select("o_orderkey", E.run_outcome(F.when(F.col("o_orderstatus") == "P", "cancelled").when(F.col("o_orderstatus") == "F", "succeeded"), F.col("o_totalprice") > 300000, F.col("o_orderkey") % 11 == 0).alias("outcome")),
+    "d19_transitions": _of_events(lambda e: E.legal_steps(e, "user_id", "event_id", "event_type", {"view": ("click", "error", "signup"), "click": ("purchase", "view")}, "view").select("user_id", "event_id", "legal")),
+    "e11_weights": lambda spark, sf_dir: E.weighted_units(table(spark, sf_dir, "orders"), "o_orderpriority", F.col("o_orderkey") % 100, F.col("o_custkey") % 100, [0, 25, 100]),
+    "f01_target_counts": _of_events(lambda e: E.target_counts(e, "user_id", "event_type", "event_id", F.col("value") > 50)),
+    "f02_test_counts": _of_events(lambda e: reduce.test_counts(e.select(F.col("user_id").alias("inv"), F.when(F.col("event_type") == "view", "passed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "flaky").otherwise("incomplete").alias("status"))).select(F.col("inv").alias("user_id"), "passed", "failed", "flaky", "incomplete")),
+    "f23_waits": _of_events(lambda e: E.waited(e, "user_id", "event_id", F.col("event_type") == "signup")),
+    "g01_ordinals": _of_events(lambda e: E.ordinals(e, "user_id", "event_id").select("event_id", "ordinal")),
+    "g02_context_tokens": lambda spark, sf_dir: E.charged(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.length("text")).select("conv_id", "turn", "charged"),
+    "g07_contiguity": lambda spark, sf_dir: E.contiguous(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "contiguous"),
+    "g09_attempts": _of_events(lambda e: E.attempts(e, "user_id", "event_id", F.col("event_type") == "purchase").select("user_id", "event_id", "attempt")),
+    "g10_forward_fill": _of_events(lambda e: E.filled(e, "user_id", "event_id", F.when(F.col("event_type") == "signup", F.col("event_id")), "current_file").select("user_id", "event_id", "current_file")),
+    "h13_samples": _of_events(lambda e: E.sample_of(e, "user_id", "event_id", 3).select("user_id", "event_id")),
+    "i04_missing": lambda spark, sf_dir: E.missing(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("key")), "key"),
+    "i05_repeated_names": _of_events(lambda e: E.repeated(e.select(F.concat("event_type", F.lit(" "), (F.col("user_id") % 50).cast("string")).alias("name")), "name")),
+    "j24_ttl": lambda spark, sf_dir: table(spark, sf_dir, "orders").select("o_orderkey", E.extended_expiry(F.col("o_orderkey"), F.col("o_orderkey") + 10000, F.col("o_orderkey") + F.col("o_custkey")).alias("expires")),
+    "d09_evidence_priority": lambda spark, sf_dir: _lines(spark, sf_dir).select("doc_id", "ordinal", E.evidence_priority(F.col("line")).alias("priority")),
+}
 
 
 #: One statement for both engines: name -> SQL.
@@ -242,7 +342,6 @@ SHARED = {
     "c13_vertical_split": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
     "c17_run_outcome": "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'output_limit' WHEN o_orderstatus = 'P' THEN 'cancelled' WHEN o_orderkey % 11 = 0 THEN 'timed_out' WHEN o_orderstatus = 'F' THEN 'succeeded' ELSE 'program_failed' END AS outcome FROM orders",
     "d03_ledger_filters": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'",
-    "d09_evidence_priority": "SELECT doc_id, CASE WHEN contains(x, 'root_cause') OR contains(x, 'panicked at') THEN 0 WHEN contains(x, 'error:') OR contains(x, 'fatal:') THEN 1 WHEN contains(x, 'failed:') OR contains(x, 'failure') THEN 2 END AS priority FROM (SELECT doc_id, translate(text, %s) AS x FROM documents) t" % UP,
     "d11_age": "SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1995-01-01 00:00:00'",
     "d19_transitions": "SELECT user_id, event_id, CASE WHEN was IS NULL THEN event_type = 'view' WHEN was = 'view' THEN event_type IN ('click', 'error', 'signup') WHEN was = 'click' THEN event_type IN ('purchase', 'view') ELSE false END AS legal FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) t",
     "e06_hydrate": "SELECT o.o_orderkey, c.c_name, coalesce(c.c_mktsegment, '') AS segment FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey",
@@ -261,8 +360,8 @@ SHARED = {
     "h13_samples": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) t WHERE n <= 3",
     "i01_distinct_first": "SELECT url, min(page_id) AS page_id FROM pages GROUP BY url",
     "i02_ordered_union": "SELECT 0 AS source_rank, n_nationkey AS id FROM nation UNION ALL SELECT 1, r_regionkey FROM region",
-    "i04_missing": "SELECT s_suppkey FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity > 49",
-    "i05_repeated_names": "SELECT c_name FROM customer GROUP BY c_name HAVING count(*) > 1",
+    "i04_missing": "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
+    "i05_repeated_names": "SELECT concat(event_type, ' ', CAST(user_id % 50 AS STRING)) AS name FROM events GROUP BY ALL HAVING count(*) > 1",
     "j24_ttl": "SELECT o_orderkey, greatest(o_orderkey + 10000, o_orderkey + o_custkey + greatest(10000, 1)) AS expires FROM orders",
 }
 
@@ -289,7 +388,20 @@ _OWN = {
     "f05_coverage": (f05_coverage, "SELECT l_partkey, count(*) AS found, count(*) FILTER (l_quantity > 25) AS hit, round(100.0 * count(*) FILTER (l_quantity > 25) / CAST(count(*) AS DOUBLE), 6) AS percent FROM lineitem GROUP BY GROUPING SETS ((), (l_partkey))"),
     "e03_anti": (e03_anti, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "h14_head_and_tail": (h14_head_and_tail, "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'error') WHERE n <= 2 UNION ALL SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_type <> 'error') WHERE n <= 3"),
-    "d06_wildcard": (d06_wildcard, "SELECT p_partkey FROM part WHERE regexp_matches(p_type, '^.*E.*S.*$') OR starts_with(p_name, 'a')"),
+    "d09_evidence_priority": (OPERATORS["d09_evidence_priority"], "WITH " + _LINES + f""", x AS (SELECT doc_id, ordinal, translate(trim(line, ' '), {UP}) AS x FROM l)
+SELECT doc_id, ordinal, CASE WHEN x IN ('failure:', 'failures:') OR (starts_with(x, 'test ') AND ends_with(x, '... ok')) THEN NULL
+  WHEN contains(x, 'root_cause') OR contains(x, 'panicked at') OR (contains(x, 'assertion') AND contains(x, ' failed')) THEN 0
+  WHEN contains(x, 'error:') OR contains(x, 'fatal:') OR contains(x, 'no such target') OR contains(x, 'no such package') OR contains(x, 'undefined reference') OR contains(x, 'missing strict dependencies') OR starts_with(x, 'error ')
+    OR (contains(x, '.go: import of "') AND ends_with(x, '"')) THEN 1
+  WHEN contains(x, 'failed:') OR contains(x, 'failure') OR starts_with(x, 'test result: failed') OR (starts_with(x, 'test ') AND ends_with(x, '... failed')) THEN 2 END AS priority FROM x"""),
+    "k20_compilers": (k20_compilers, _parsed_sql()),
+    "k07_fallback": (k07_fallback, "WITH " + _DIAG.split("g AS (")[0].rstrip().rstrip(",") + f""", x AS (SELECT ordinal AS event_id, lower(message || ' ' || ([{', '.join(repr(h) for h in HINTS)}])[ordinal % {len(HINTS)} + 1]) AS x FROM d),
+y AS (SELECT event_id, CASE WHEN contains(x, 'root_cause') AND NOT contains(x, 'error:') AND NOT contains(x, 'error[') THEN 'test' WHEN contains(x, 'no such package') OR contains(x, 'no such target') THEN 'loading'
+  WHEN contains(x, 'visibility') AND contains(x, 'error') THEN 'visibility' WHEN contains(x, 'analysis') AND (contains(x, 'error') OR contains(x, 'fail')) THEN 'analysis' WHEN contains(x, 'missing strict dependencies') THEN 'compilation' END AS category,
+  CASE WHEN contains(x, 'warning:') THEN 'warning' ELSE 'error' END AS severity FROM x) SELECT * FROM y WHERE category IS NOT NULL"""),
+    "k09_regex": (k09_regex, "SELECT doc_id, CAST(unnest(generate_series(0, len(m) - 1)) AS INTEGER) AS n, unnest(m) AS match FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+')[1:3] AS m FROM documents) WHERE len(m) > 0"),
+    "d01_prefix": (d01_prefix, "SELECT o_orderkey FROM orders WHERE starts_with(lower(o_orderpriority), '1-urg')"),
+    "d06_wildcard": (d06_wildcard, "SELECT p_partkey FROM part WHERE regexp_matches(p_type, '^.*E.*N.*$') OR starts_with(p_name, 'p')"),
 }
 
 
@@ -304,7 +416,7 @@ def _sql(statement: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {k: partial(_sql, v) for k, v in SHARED.items()} | {k: f for k, (f, _) in _OWN.items()}
+    return {k: OPERATORS.get(k) or partial(_sql, v) for k, v in SHARED.items()} | {k: f for k, (f, _) in _OWN.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -41,18 +41,30 @@ def bounded(c: Column, most: int) -> Column:
     return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(_cut(c, most), F.lit("…")))
 
 
-def compact_path(c: Column, workspace: str) -> Column:
-    path = F.replace(F.trim(c, F.lit("\"'")), F.lit("\\"), F.lit("/"))
-    path = F.regexp_replace(path, f"^{workspace}/", "")
-    path = F.regexp_replace(path, r"^.*\.runfiles/_main/", "")
-    path = F.regexp_replace(path, r"^.*/execroot/[^/]+/", "")
-    return F.regexp_replace(path, r"^(\./)+", "")
-
-
-def redact(c: Column, patterns: list[str]) -> Column:
+def compact_path(c: Column, workspace: str | None = None) -> Column:
+    """A path from the workspace on: without quotes, with forward slashes, and without what
+    stands before a runfiles or execution root. The first rule that fits is the only one."""
+    path = F.replace(F.trim(c, F.lit('"')), F.lit("\\"), F.lit("/"))
+    if workspace:
+        path = F.regexp_replace(path, r"^\Q" + workspace.rstrip("/") + r"/\E", "")
+    path = F.regexp_replace(path, r"^(?:<WORKSPACE>|<workspace>)/", "")
+    files = r"^(?s:.*)\.runfiles/_main/"
+    old = r"^(?s:.*)\.runfiles/__main__/"
+    root = r"^(?s:.*)/execroot/[^/]*/"
+    last = r"^(?s:.*)/execroot/(?!(?s:.*)/execroot/)[^/]*/"
+    return (F.when(path.rlike(files), F.regexp_replace(path, files, "")).when(path.rlike(old), F.regexp_replace(path, old, ""))
+            .when(path.rlike(root), F.regexp_replace(path, last, "")).otherwise(F.regexp_replace(path, r"^\./", "")))
+
+
+def redact(c: Column, patterns: list[str], most: int | None = None) -> Column:
+    """Matches of each pattern in turn become a fixed word; the result has at most `most` bytes."""
     for p in patterns:
         c = F.regexp_replace(c, p, "[REDACTED]")
-    return c
+    return c if most is None else cut_bytes(c, most)
+
+
+def starts_with_ignore_case(c: Column, prefix: str) -> Column:
+    return ascii_lower(c).startswith(prefix.translate(str.maketrans(UPPER, LOWER)))
 
 
 def ratio_percent(part: Column, whole: Column) -> Column:
@@ -84,7 +96,7 @@ def rfc3339(ms: Column) -> Column:
 def wildcard(c: Column, pattern: str) -> Column:
     """`prefix...` matches by prefix; `*` any run of characters; else equality."""
     if pattern.endswith("..."):
-        return c.startswith(pattern[:-3].rstrip("/"))
+        return c.startswith(pattern[:-3])
     quoted = "".join(".*" if p == "*" else "\\Q" + p + "\\E" for p in _pieces(pattern))
     return c.rlike(f"^(?s:{quoted})$")
 

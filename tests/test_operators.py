@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ledgerflow.functions import text as T
-from ledgerflow.operators import graph, pages, reduce, retention, stats
+from ledgerflow.operators import events, graph, pages, parsers, reduce, retention, stats
 from ledgerflow.sources.frames import Decoder, frame, read_frames
 from pyspark.sql import functions as F
 
@@ -22,8 +22,9 @@ def test_text(spark):
     assert one(spark, T.strip_terminal, "\x1b[31mred\x1b[0m\nold\rnew\nx\r\n") == ["red\nnew\nx\n"]
     assert one(spark, T.ascii_lower, "ÀBC") == ["Àbc"]
     assert one(spark, lambda c: T.wildcard(c, "//app/*:test"), "//app/lib:test", "//other/lib:test") == [True, False]
-    assert one(spark, lambda c: T.wildcard(c, "//app/..."), "//app/lib:core", "//ap") == [True, False]
-    assert one(spark, lambda c: T.compact_path(c, "/w"), "/w/a/b.cc", "x/execroot/_main/a.cc", "./c", "q.runfiles/_main/d") == ["a/b.cc", "a.cc", "c", "d"]
+    assert one(spark, lambda c: T.wildcard(c, "//app/..."), "//app/lib:core", "//ap", "//apple", "//app:t") == [True, False, False, False]
+    assert one(spark, lambda c: T.compact_path(c, "/w"), "/w/a/b.cc", "x/execroot/_main/a.cc", "./c", "q.runfiles/_main/d", '"<WORKSPACE>/e.cc"', "a.runfiles/__main__/b.runfiles/__main__/f", "./././g", "r\\\\h", "/opt/src/main.go", "'q'") == ["a/b.cc", "a.cc", "c", "d", "e.cc", "f", "././g", "r//h", "/opt/src/main.go", "'q'"]
+    assert one(spark, lambda c: T.redact(c, ["s"], 10), "ssss", "ok", None) == ["[REDACTED]", "ok", None]
     assert one(spark, lambda c: T.seconds_to_ms(c.cast("double")), "-1", "NaN", "Infinity", "1.25") == [None, None, None, 1250]
     assert one(spark, lambda c: T.base64url(c.cast("binary")), "??>") == ["Pz8-"]
     assert one(spark, T.uuid7_ms, "0188bac7-4afa-78aa-bc3b-bd1eef28d881") == [0x0188BAC74AFA]
@@ -160,3 +161,20 @@ def test_streaming_decode_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.ordinal, bytes(r.frame)) for r in spark.table("decoded").collect()) == [(k - 1, bytes([k]) * k) for k in range(1, 30)]
+
+
+def test_rules_of_null_columns(spark):
+    assert one(spark, lambda c: events.test_status(c.cast("int")), None, "5", "8") == ["incomplete", "incomplete", "failed"]
+    assert one(spark, lambda c: events.action_message(c, F.lit(None)), None, "", "Link") == ["Bazel action failed", "Bazel action failed", "Link action failed"]
+    assert one(spark, events.evidence_priority, None, "failures:", "test a ... ok", "TEST a ... FAILED", "Error: x", "assertion `a` failed", 'b.go: import of "c"') == [None, None, None, 2, 1, 0, 1]
+
+
+def test_parsers(spark):
+    lines = ["a.cc:3:4: fatal error: x.h missing", "b.cpp(7): error C2065: y", "c.ts:1:2 - warning TS9: z", "D.java:5: error: w", "e.go:1:2: undefined: v", '  File "f.py", line 9', "error[E0308]: mismatched", "ld: undefined reference to `g'", "fine", None]
+    got = parsers.parsed(spark.createDataFrame([(x,) for x in lines], "line string")).drop("line").collect()
+    assert [tuple(r) for r in got] == [
+        ("clang", "a.cc", 3, 4, "error", "x.h missing"), ("msvc", "b.cpp", 7, None, "error", "C2065: y"), ("typescript_pretty", "c.ts", 1, 2, "warning", "TS9: z"), ("java", "D.java", 5, None, "error", "w"),
+        ("go", "e.go", 1, 2, "error", "undefined: v"), ("python", "f.py", 9, None, "error", None), ("rust", None, None, None, "error", "mismatched"), ("linker", None, None, None, "error", "undefined reference to `g'")]
+    assert parsers.regex_diagnostics(spark.createDataFrame([("ab" * 9,)], "t string"), "t", "a", 4).count() == 4
+    with pytest.raises(ValueError):
+        parsers.regex_diagnostics(spark.createDataFrame([], "t string"), "t", "a", 1001)
