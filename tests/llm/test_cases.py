@@ -582,9 +582,27 @@ def test_pipeline_removes_rows_not_doc_ids(spark):
 
 
 def test_pipeline_takes_odd_rows(spark):
+    """Each stage on nulls, repeats, long texts and columns of its own names: all columns stay,
+    and each text that isn't judged keeps a row."""
     import corpus_pipeline
 
-    d = odd(spark)
-    for _, stage in corpus_pipeline.STAGES:
-        d = stage(spark, d, SF).cache()
-        assert d.count() >= 1
+    d = odd(spark).selectExpr("*", "text as _sha", "doc_id as _key", "1 as _toxic", "2 as _same")
+    out = d
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, SF).cache()
+        assert out.columns == d.columns and out.where("not _sha <=> text or not _key <=> doc_id or _toxic <> 1 or _same <> 2").isEmpty()
+        if name == "exact_dedup":
+            kept = [(r.text or "").encode().lower() for r in out.collect()]
+            assert len(kept) == len(set(kept)) and set(kept) <= {(r.text or "").encode().lower() for r in d.collect()}
+    assert corpus_pipeline.encode(spark, out, SF).count() == out.count()
+
+
+def test_pipeline_takes_an_empty_table(spark):
+    import corpus_pipeline
+
+    d = empty(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, SF)
+        assert d.count() == 0 and d.columns == empty(spark).columns
+
+
