@@ -8,18 +8,16 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_builds
 from .functions import text as T
 from .operators import events as E
-from .operators import graph, pages, parsers, reduce, retention, stats
+from .operators import graph, outcomes, pages, parsers, reduce, retention, stats
+from .sources.tables import table
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- Diagnostics out of events -------------------------------------------------------
 
 #: One message for each rule of quality.
@@ -309,6 +307,10 @@ def _of_events(f):
 OPERATORS = {
     "c01_aborted": _of_events(lambda e: e.where("event_type = 'error'").select(F.col("event_id").alias("ordinal"), F.lit("error").alias("severity"), E.aborted_category(F.col("event_id") % 9).alias("category"))),
     "c02_failed_action": _of_events(lambda e: e.where("value < 20").select(F.col("event_id").alias("ordinal"), E.action_message(F.col("event_type"), F.col("user_id") % 40).alias("message"), F.nullif("event_type", F.lit("view")).alias("action"))),
+    "c04_test_result": _of_events(lambda e: e.select("event_id", outcomes.test_result(F.lit("//a"), F.when(F.col("event_type") == "view", "passed").otherwise("failed"), F.when(F.col("value") < 10, -1).otherwise(F.col("event_id") % 1000), F.col("user_id") % 3, F.col("event_id") % 4).alias("t")).select("event_id", "t.attempts", "t.shard", "t.duration_ms", "t.reason")),
+    "c13_vertical_split": lambda spark, sf_dir: table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"),
+    "d03_ledger_filters": lambda spark, sf_dir: table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")).select("o_orderkey"),
+    "i01_distinct_first": lambda spark, sf_dir: reduce.keep_first(table(spark, sf_dir, "pages").select("url", "page_id"), ["url"], ["page_id"]),
     "c06_test_status": _of_events(lambda e: e.select("event_id", E.test_status(F.col("event_id") % 9).alias("status"))),
     "c09_first_options": _of_events(lambda e: reduce.keep_first(e.where("event_type = 'signup'"), ["user_id"], ["event_id"]).select("user_id", F.col("event_id").alias("first_id"))),
     "c10_last_finished": _of_events(lambda e: E.last_of(e.where("event_type = 'purchase'"), "user_id", "event_id").select("user_id", "event_id", "event_type")),
@@ -416,8 +418,8 @@ def _sql(statement: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {k: OPERATORS.get(k) or partial(_sql, v) for k, v in SHARED.items()} | {k: f for k, (f, _) in _OWN.items()}
+    return {k: OPERATORS.get(k) or partial(_sql, v) for k, v in SHARED.items()} | {k: f for k, (f, _) in (_OWN | catalog_builds.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v.replace(" AS STRING)", " AS VARCHAR)").replace(") IGNORE NULLS", " IGNORE NULLS)") for k, v in SHARED.items()} | {k: s for k, (_, s) in _OWN.items() if s}
+    return {k: v.replace(" AS STRING)", " AS VARCHAR)").replace(") IGNORE NULLS", " IGNORE NULLS)") for k, v in SHARED.items()} | {k: s for k, (_, s) in (_OWN | catalog_builds.QUERIES).items() if s}

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import reduction_percent
 
@@ -101,13 +102,13 @@ def bootstrap(base: np.ndarray, new: np.ndarray, label: str, high: bool = False)
     return float(share(base.sum(), new.sum())), float(est[k(25)]), float(est[k(975)])
 
 
-def bootstrap_by(pairs: DataFrame, by: str, order: list[str]) -> DataFrame:
+def bootstrap_by(pairs: DataFrame, by: str, order: list[str], high: bool = False) -> DataFrame:
     """by, value, low, high: each group's pairs (samples of one experiment). Its resamples
     are dealt over BLOCKS tasks, of which each holds the group's pairs."""
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(order)
         base, new, k = p["base"].to_numpy(float), p["new"].to_numpy(float), int(p["_block"].iloc[0])
-        est = estimates(base, new, str(p[by].iloc[0]), RESAMPLES * k // BLOCKS, RESAMPLES * (k + 1) // BLOCKS)
+        est = estimates(base, new, str(p[by].iloc[0]), RESAMPLES * k // BLOCKS, RESAMPLES * (k + 1) // BLOCKS, high)
         return pd.DataFrame({by: [p[by].iloc[0]], "value": [float(share(base.sum(), new.sum()))], "est": [est]})
 
     kind = dict(pairs.dtypes)[by]
@@ -116,3 +117,36 @@ def bootstrap_by(pairs: DataFrame, by: str, order: list[str]) -> DataFrame:
     all_ = blocks.groupBy(by).agg(F.first("value").alias("value"), F.sort_array(F.flatten(F.collect_list("est"))).alias("est"))
     rank = lambda p: F.element_at("est", -(-RESAMPLES * p // 1000))
     return all_.select(by, "value", rank(25).alias("low"), rank(975).alias("high"))
+
+
+def bootstrap_clusters(pairs: DataFrame, by: str, cluster: str) -> DataFrame:
+    """As bootstrap_by, but whole clusters are drawn: each adds all its pairs, so that only
+    its sums go to the draws, in order of the clusters' keys."""
+    sums = pairs.groupBy(by, cluster).agg(F.sum("base").alias("base"), F.sum("new").alias("new"))
+    return bootstrap_by(sums, by, [cluster], high=True)
+
+
+#: Places of a percentile p among n sorted values, counted from 0, by the name of the rule.
+PLACES = {
+    "nearest": lambda n, p: F.greatest(F.ceil(n * p / 100) - 1, F.lit(0)),
+    "lower": lambda n, p: F.floor((n - 1) * p / 100),
+    "rounded": lambda n, p: F.floor((n - 1) * p / 100 + 0.5),
+}
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+    """by, n and for each name of wanted the value at that rule's place. Equal values are
+    counted before they are sorted; nulls don't count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by)
+    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    x = counts.withColumn("_upto", upto).withColumn("_n", F.sum("_c").over(w))
+    pick = [F.min(F.when(F.col("_upto") > PLACES[rule](F.col("_n"), F.lit(p)), F.col(value))).alias(name) for name, (rule, p) in wanted.items()]
+    return x.groupBy(*by).agg(F.max("_n").alias("n"), *pick)
+
+
+def arms(pairs: DataFrame, by: str) -> DataFrame:
+    """Two arms of paired rounds: interpolating medians of each and of the improvements in
+    percent, and the least improvement. A base of 0 counts as no improvement."""
+    better = reduction_percent(F.col("base").cast("double"), F.col("new").cast("double"))
+    return pairs.groupBy(by).agg(F.count("*").alias("rounds"), F.median("base").alias("base_median"), F.median("new").alias("new_median"), F.round(F.median(better), 6).alias("median_improvement"), F.round(F.min(better), 6).alias("least_improvement"))

@@ -178,3 +178,55 @@ def test_parsers(spark):
     assert parsers.regex_diagnostics(spark.createDataFrame([("ab" * 9,)], "t string"), "t", "a", 4).count() == 4
     with pytest.raises(ValueError):
         parsers.regex_diagnostics(spark.createDataFrame([], "t string"), "t", "a", 1001)
+
+
+def test_build_lines(spark):
+    from ledgerflow.operators import build_lines as B
+
+    def of(parser, *lines):
+        return [r and tuple(r) for r in one(spark, parser, *lines)]
+
+    assert of(B.inline, "ERROR: /w/execroot/m/a.bzl:3: in x.bzl:4:5: bad", "a.bzl:x: y", "a/BUILD:7:", "\tWORKSPACE:1: y", "x\\BUILD:1:2: warning: z", "INFO: a.bzl:1: y", "a.bzl:99999999999: y", "", None) == [
+        ("a.bzl:3: in x.bzl", 4, 5, "error", "loading", "bad"), None, None, None, ("x/BUILD", 1, 2, "warning", "loading", "warning: z"), None, None, None, None]
+    assert of(B.lint, "🚨 a.ts:1:2 · t · r — m", "ℹ a.ts:1 — m", "⚠️ a.ts:1 ·  · r — m", "🚨 a.ts — m", "🚨 a.ts:1 —  ", None) == [
+        ("a.ts", 1, 2, "error", "compilation", "t [r]: m"), ("a.ts", 1, None, "note", "compilation", "m"), ("a.ts", 1, None, "warning", "compilation", "[r]: m"), None, None, None]
+    assert of(B.strict_dependency, 'x.go: import of "y"', 'x.go: import of ""', 'x.py: import of "y"', None)[1:] == [None, None, None]
+    assert of(B.traceback_location, 'File "a/BUILD", line 3', 'File "aBUILD", line 3', 'File "a.bzl", line x', None) == [("a/BUILD", 3, None), None, None, None]
+    lines = ["Error: early", "ERROR: Traceback (most recent call last):", '\tFile "a.bzl", line 3, column 4, in f', '\tFile "b.py", line 9', "Error in fail: x", "Error in fail: y",
+             "c.bzl:1: analysis of target //x", "Traceback (most recent call last):", "Error in z", None]
+    got = B.tracebacks(spark.createDataFrame([("i", k, x) for k, x in enumerate(lines)], "inv string, ordinal int, line string"), "inv").orderBy("ordinal").collect()
+    assert [(r.ordinal, r.path, r.line, r.col_no, r.category) for r in got] == [(0, None, None, None, "loading"), (4, "a.bzl", 3, 4, "loading"), (5, None, None, None, "loading"), (8, None, None, None, "analysis")]
+
+
+def test_outcomes(spark):
+    from ledgerflow.operators import outcomes as O
+
+    assert one(spark, O.log_key, "//a/b:c", "@r//a:c", "@r//:c", "//a", "a:b:c") == ["a/b/c", "a/c", "c", "a", "a/b:c"]
+    files = spark.createDataFrame([("/o/testlogs/a/b/c/test.log",), ("/o/testlogs/a",), ("testlogs/a/x",), ("C:\\o\\testlogs\\a\\x",), (None,), ("/o/testlogs/testlogs/a/x",)], "uri string")
+    tests = spark.createDataFrame([("//a/b:c",), ("//a",), (None,)], "label string")
+    assert sorted(tuple(r) for r in O.with_artifacts(tests, files).collect()) == [("//a", "/o/testlogs/a/b/c/test.log"), ("//a", "/o/testlogs/testlogs/a/x"), ("//a", "C:\\o\\testlogs\\a\\x"), ("//a/b:c", "/o/testlogs/a/b/c/test.log")]
+    d = spark.createDataFrame([("//a", "x"), (None, None), ("//b", "y"), ("//c", None)], "target string, action string")
+    assert [tuple(r) for r in O.unsuppressed(d, spark.createDataFrame([("//a",), (None,)], "l string"), "l", ["//c*"], ["y"]).collect()] == [(None, None)]
+
+
+def test_records(spark):
+    from ledgerflow.sources import text_records as R
+
+    assert one(spark, R.rows_in, "", None, "a", "a\n", "a\nb", "\n") == [0, 0, 1, 1, 2, 1]
+    assert [bytes(x) for x in one(spark, lambda c: R.tail(c.cast("binary"), 3), "abcdef", "ab", None)] == [b"def", b"ab", b""]
+    lines = spark.createDataFrame([("r", k, x) for k, x in enumerate(["DA:1,1", "SF:a", "DA:1,0", "DA:2,18446744073709551615", "BRDA:x", "SF:b", "DA:1,0", "SF:a", "DA:3,1"])], "run string, ordinal int, line string")
+    assert sorted(((r.path or "", r.found, r.hit, r.percent) for r in R.lcov(lines, "run").collect())) == [("", 4, 2, 50.0), ("a", 3, 2, 66.666667), ("b", 1, 0, 0.0)]
+    with pytest.raises(Exception, match="no number"):
+        R.lcov(spark.createDataFrame([("r", 0, "SF:a"), ("r", 1, "DA:1,x")], "run string, ordinal int, line string"), "run").collect()
+
+
+def test_clusters_and_percentiles(spark):
+    rows = [("x", c, float(10 * c + k), float(3 * c + k)) for c in range(1, 6) for k in range(3)]
+    base, new = (np.array([sum(r[j] for r in rows if r[1] == c) for c in range(1, 6)]) for j in (2, 3))
+    got = stats.bootstrap_clusters(spark.createDataFrame(rows, "g string, c long, base double, new double"), "g", "c").collect()
+    assert tuple(got[0])[1:] == pytest.approx(stats.bootstrap(base, new, "x", high=True))
+    for n in (1, 2, 7, 40):
+        values = sorted((k * 37) % 11 for k in range(n))
+        df = spark.createDataFrame([("a", v) for v in values] + [("a", None)], "g string, v long")
+        r = stats.percentiles(df, ["g"], "v", {"a": ("nearest", 95), "c": ("lower", 95), "d": ("rounded", 95), "e": ("lower", 50)}).collect()[0]
+        assert tuple(r)[1:] == (n, values[-(-n * 95 // 100) - 1], values[(n - 1) * 95 // 100], values[int((n - 1) * 0.95 + 0.5)], values[(n - 1) // 2])
