@@ -7,6 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import catalog_builds
 from .functions import text as T
@@ -165,49 +166,51 @@ SELECT id, CASE WHEN NOT go THEN 'keep' WHEN protected THEN 'prune' ELSE 'delete
 
 
 def e01_closure(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey < 500")
-    n = 500
+    """What part 1 reaches over two edges of every part, by keys mod the number of parts."""
+    p = table(spark, sf_dir, "part")
+    n = p.count()
     edges = p.select(F.lit(0).alias("inv"), F.col("p_partkey").alias("parent"), F.explode(F.array((F.col("p_partkey") * 7 + 1) % n, (F.col("p_partkey") * 3) % n)).alias("child"))
     return graph.closure(spark.createDataFrame([(0, 1)], "inv int, node bigint"), edges).select("node").distinct()
 
 
 _CLOSURE = """
-WITH RECURSIVE e AS (SELECT p_partkey AS parent, unnest([(p_partkey * 7 + 1) % 500, (p_partkey * 3) % 500]) AS child FROM part WHERE p_partkey < 500),
+WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS parent, unnest([(p_partkey * 7 + 1) % n, (p_partkey * 3) % n]) AS child FROM part, n),
 r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT child FROM e JOIN r ON e.parent = r.node)
 SELECT node FROM r
 """
 
 
-def _sides(spark, sf_dir, most: int | None = 50):
-    """The first `most` orders of each side, or all. e05 and f10 take 50, as their SQL does."""
-    o = table(spark, sf_dir, "orders")
-    w = F.row_number()
-    from pyspark.sql.window import Window
-
-    x = o.where("o_orderpriority in ('1-URGENT', '5-LOW')").withColumn("sample", w.over(Window.partitionBy("o_orderstatus", "o_orderpriority").orderBy("o_orderkey")).cast("bigint"))
-    if most is not None:
-        x = x.where(F.col("sample") <= most)
+def _sides(spark, sf_dir):
+    """All orders of two priorities, numbered within their status: n-th goes with n-th."""
+    x = table(spark, sf_dir, "orders").where("o_orderpriority in ('1-URGENT', '5-LOW')")
+    x = x.withColumn("sample", F.row_number().over(Window.partitionBy("o_orderstatus", "o_orderpriority").orderBy("o_orderkey")).cast("bigint"))
     pick = lambda p: x.where(F.col("o_orderpriority") == p).select("o_orderstatus", "sample", F.ceil("o_totalprice").cast("bigint").alias("bytes"))
     return pick("1-URGENT"), pick("5-LOW")
 
 
+def _pairs(spark, sf_dir):
+    """The samples that both sides have. e05 tells of the rest, which is no error here."""
+    return stats.paired_or_alone(*_sides(spark, sf_dir), ["o_orderstatus", "sample"], "bytes")
+
+
 _SIDES = """
 s AS (SELECT o_orderstatus, o_orderpriority, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS sample, CAST(ceil(o_totalprice) AS BIGINT) AS bytes FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')),
-p AS (SELECT a.o_orderstatus, a.sample, a.bytes AS base, b.bytes AS new FROM s a JOIN s b ON a.o_orderstatus = b.o_orderstatus AND a.sample = b.sample AND a.o_orderpriority = '1-URGENT' AND b.o_orderpriority = '5-LOW' WHERE a.sample <= 50)
+x AS (SELECT coalesce(a.o_orderstatus, b.o_orderstatus) AS o_orderstatus, coalesce(a.sample, b.sample) AS sample, a.bytes AS base, b.bytes AS new FROM (SELECT * FROM s WHERE o_orderpriority = '1-URGENT') a FULL JOIN (SELECT * FROM s WHERE o_orderpriority = '5-LOW') b ON a.o_orderstatus = b.o_orderstatus AND a.sample = b.sample),
+p AS (SELECT * FROM x WHERE base IS NOT NULL AND new IS NOT NULL)
 """
 
 
 def e05_pairs(spark, sf_dir):
-    return stats.paired(*_sides(spark, sf_dir), ["o_orderstatus", "sample"], "bytes")
+    return _pairs(spark, sf_dir)
 
 
 def f10_comparison(spark, sf_dir):
-    return stats.compare(stats.paired(*_sides(spark, sf_dir), ["o_orderstatus", "sample"], "bytes"), "o_orderstatus")
+    return stats.compare(_pairs(spark, sf_dir).where("base is not null and new is not null"), "o_orderstatus")
 
 
 def f11_bootstrap(spark, sf_dir):
     """Over all orders, n-th with n-th; the rest of the longer side has no pair and is counted."""
-    both = stats.paired_or_alone(*_sides(spark, sf_dir, None), ["o_orderstatus", "sample"], "bytes")
+    both = _pairs(spark, sf_dir)
     found = stats.bootstrap_by(both.where("base is not null and new is not null"), "o_orderstatus", ["sample"])
     count = both.groupBy("o_orderstatus").agg(F.count_if(F.expr("base is not null and new is not null")).alias("pairs"), F.count_if(F.expr("base is null or new is null")).alias("unpaired"))
     return count.join(found, "o_orderstatus", "left").select("o_orderstatus", "pairs", "unpaired", "value", "low", "high")
@@ -230,8 +233,6 @@ def e03_anti(spark, sf_dir):
 
 
 def h14_head_and_tail(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     head = Window.partitionBy("user_id").orderBy("event_id")
     tail = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
@@ -311,6 +312,12 @@ OPERATORS = {
     "c13_vertical_split": lambda spark, sf_dir: table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"),
     "d03_ledger_filters": lambda spark, sf_dir: table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")).select("o_orderkey"),
     "i01_distinct_first": lambda spark, sf_dir: reduce.keep_first(table(spark, sf_dir, "pages").select("url", "page_id"), ["url"], ["page_id"]),
+    "e06_hydrate": lambda spark, sf_dir: E.hydrated(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("key")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_name", F.col("c_mktsegment").alias("segment")), "key", {"segment": F.lit("")}).drop("key"),
+    "e08_merge_max": lambda spark, sf_dir: E.merged_max(*[table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == s).select(F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("bigint").alias("merged")) for s in "OF"], "id", ["merged"]),
+    "d11_age": lambda spark, sf_dir: table(spark, sf_dir, "orders").where(F.col("o_orderdate") <= F.lit("1995-01-01").cast("timestamp")).select("o_orderkey"),
+    "f21_gates": lambda spark, sf_dir: E.gates(table(spark, sf_dir, "orders"), "o_orderpriority", [F.col("o_totalprice") > 0, F.col("o_totalprice") < 1_000_000]),
+    "i02_ordered_union": lambda spark, sf_dir: E.in_turn([table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")), table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"))]),
+    "f07_summary": lambda spark, sf_dir: E.solve_summary(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id"), "lang", F.col("quality"), F.col("n_chars")).withColumnRenamed("per_solve", "chars_per_solve"),
     "c06_test_status": _of_events(lambda e: e.select("event_id", E.test_status(F.col("event_id") % 9).alias("status"))),
     "c09_first_options": _of_events(lambda e: reduce.keep_first(e.where("event_type = 'signup'"), ["user_id"], ["event_id"]).select("user_id", F.col("event_id").alias("first_id"))),
     "c10_last_finished": _of_events(lambda e: E.last_of(e.where("event_type = 'purchase'"), "user_id", "event_id").select("user_id", "event_id", "event_type")),
@@ -347,7 +354,7 @@ SHARED = {
     "d11_age": "SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1995-01-01 00:00:00'",
     "d19_transitions": "SELECT user_id, event_id, CASE WHEN was IS NULL THEN event_type = 'view' WHEN was = 'view' THEN event_type IN ('click', 'error', 'signup') WHEN was = 'click' THEN event_type IN ('purchase', 'view') ELSE false END AS legal FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) t",
     "e06_hydrate": "SELECT o.o_orderkey, c.c_name, coalesce(c.c_mktsegment, '') AS segment FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey",
-    "e08_merge_max": "SELECT a.l_orderkey AS id, greatest(a.q, b.q) AS merged FROM (SELECT l_orderkey, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey) a JOIN (SELECT l_orderkey, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_linenumber = 2 GROUP BY l_orderkey) b ON a.l_orderkey = b.l_orderkey",
+    "e08_merge_max": "SELECT a.l_orderkey AS id, greatest(a.q, b.q) AS merged FROM (SELECT l_orderkey, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_orderkey) a JOIN (SELECT l_orderkey, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey) b ON a.l_orderkey = b.l_orderkey",
     "e11_weights": "SELECT p.o_orderpriority, w.w, CAST(sum(100 * (p.o_orderkey % 100) + w.w * (p.o_custkey % 100)) AS BIGINT) AS units FROM orders p CROSS JOIN (SELECT 0 AS w UNION ALL SELECT 25 UNION ALL SELECT 100) w GROUP BY p.o_orderpriority, w.w",
     "f01_target_counts": "SELECT user_id, count(*) AS requested, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS succeeded, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS failed FROM (SELECT user_id, event_type, value > 50 AS ok, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) t WHERE n = 1 GROUP BY user_id",
     "f02_test_counts": "SELECT user_id, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS passed, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS flaky, CAST(sum(CASE WHEN event_type IN ('signup', 'purchase') THEN 1 ELSE 0 END) AS BIGINT) AS incomplete FROM events GROUP BY user_id",
@@ -383,7 +390,7 @@ _OWN = {
     "h05_ordinal_page": (h05_ordinal_page, "SELECT * FROM (SELECT event_id AS ordinal, event_type, value FROM events WHERE event_id > 99 ORDER BY event_id LIMIT 400) WHERE event_type = 'error' ORDER BY ordinal LIMIT 20"),
     "g06_retention": (g06_retention, _RETENTION),
     "e01_closure": (e01_closure, _CLOSURE),
-    "e05_pairs": (e05_pairs, "WITH " + _SIDES + "SELECT * FROM p"),
+    "e05_pairs": (e05_pairs, "WITH " + _SIDES + "SELECT * FROM x"),
     "f10_comparison": (f10_comparison, "WITH " + _SIDES + "SELECT o_orderstatus, count(*) AS pairs, CAST(sum(base) AS BIGINT) AS base, CAST(sum(new) AS BIGINT) AS new, round(100.0 * (CAST(sum(base) AS DOUBLE) - sum(new)) / sum(base), 6) AS reduction FROM p GROUP BY GROUPING SETS ((), (o_orderstatus))"),
     "f11_bootstrap": (f11_bootstrap, None),
     "f06_percentiles": (f06_percentiles, "SELECT o_orderpriority, count(*) AS n, quantile_disc(CAST(ceil(o_totalprice) AS BIGINT), 0.5) AS median, quantile_disc(CAST(ceil(o_totalprice) AS BIGINT), 0.95) AS p95 FROM orders GROUP BY o_orderpriority"),

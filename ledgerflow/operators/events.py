@@ -124,3 +124,39 @@ def repeated(df: DataFrame, name: str) -> DataFrame:
 def weighted_units(df: DataFrame, by: str, fresh: Column, cached: Column, weights: list[int]) -> DataFrame:
     """by, w, units: 100 * fresh + w * cached for each weight of a short list."""
     return df.withColumn("w", F.explode(F.array(*map(F.lit, weights)))).groupBy(by, "w").agg(F.sum(100 * fresh + F.col("w") * cached).cast("bigint").alias("units"))
+
+
+def hydrated(headers: DataFrame, details: DataFrame, key: str, absent: dict[str, Column]) -> DataFrame:
+    """Each header with its details; of absent ones the columns in `absent` get its values."""
+    out = headers.join(details, key, "left")
+    return out.withColumns({c: F.coalesce(F.col(c), v) for c, v in absent.items()})
+
+
+def merged_max(a: DataFrame, b: DataFrame, key: str, counters: list[str]) -> DataFrame:
+    """Of keys in both, each counter's greatest value. Either side may hold a key often."""
+    sides = [x.groupBy(key).agg(*[F.max(c).alias(c) for c in counters]).withColumn("_side", F.lit(k)) for k, x in enumerate((a, b))]
+    both = sides[0].unionByName(sides[1]).groupBy(key).agg(F.count("*").alias("_n"), *[F.max(c).alias(c) for c in counters])
+    return both.where("_n = 2").drop("_n")
+
+
+def gates(df: DataFrame, by: str, rules: list[Column]) -> DataFrame:
+    """by, pass: whether every row keeps every rule; a null keeps none."""
+    ok = F.lit(True)
+    for r in rules:
+        ok = ok & F.coalesce(r, F.lit(False))
+    return df.groupBy(by).agg(F.bool_and(ok).alias("pass"))
+
+
+def in_turn(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts, each with the rank of the part it came from."""
+    out = [p.select(F.lit(k).alias("source_rank"), *p.columns) for k, p in enumerate(parts)]
+    first, *rest = out
+    for p in rest:
+        first = first.unionByName(p)
+    return first
+
+
+def solve_summary(df: DataFrame, by: str, solved: Column, cost: Column) -> DataFrame:
+    """by, attempts, solves, solve_percent, and the cost of a solve (null if there is none)."""
+    x = df.groupBy(by).agg(F.count("*").alias("attempts"), F.sum(solved).cast("bigint").alias("solves"), F.sum(cost).cast("double").alias("_cost"))
+    return x.select(by, "attempts", "solves", F.round(100.0 * F.col("solves") / F.col("attempts"), 6).alias("solve_percent"), F.round(F.col("_cost") / F.nullif(F.col("solves"), F.lit(0)), 6).alias("per_solve"))
