@@ -1,10 +1,8 @@
 """All queries of the engine's own operators on the driver's tables, with SQL that says
-the same. Queries in SHARED are one statement that Spark and DuckDB read alike."""
+the same. SHARED is the SQL of the queries in OPERATORS."""
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,7 +13,6 @@ from .operators import events as E
 from .operators import graph, outcomes, pages, parsers, reduce, retention, stats
 from .sources.tables import table
 
-TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
@@ -340,7 +337,7 @@ OPERATORS = {
 }
 
 
-#: One statement for both engines: name -> SQL.
+#: SQL of the queries above, in which STRING stands for the engine's type of texts.
 SHARED = {
     "c01_aborted": "SELECT event_id AS ordinal, 'error' AS severity, CASE WHEN event_id % 9 = 5 THEN 'loading' WHEN event_id % 9 = 6 THEN 'analysis' ELSE 'bazel' END AS category FROM events WHERE event_type = 'error'",
     "c02_failed_action": "SELECT event_id AS ordinal, concat(coalesce(nullif(event_type, ''), 'Bazel'), ' action failed with exit code ', CAST(user_id % 40 AS STRING)) AS message, nullif(event_type, 'view') AS action FROM events WHERE value < 20",
@@ -414,18 +411,8 @@ y AS (SELECT event_id, CASE WHEN contains(x, 'root_cause') AND NOT contains(x, '
 }
 
 
-def _sql(statement: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statement over this folder's tables, which are named in it as {name}."""
-    import re
-
-    names = {n for n in TABLES if re.search(rf"\b(FROM|JOIN) {n}\b", statement)}
-    frames = {f"t_{n}": table(spark, sf_dir, n) for n in names}
-    named = re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m: f"{m[1]} {{t_{m[2]}}}" if m[2] in names else m[0], statement)
-    return spark.sql(named, **frames)
-
-
 def queries() -> dict:
-    return {k: OPERATORS.get(k) or partial(_sql, v) for k, v in SHARED.items()} | {k: f for k, (f, _) in (_OWN | catalog_builds.QUERIES).items()}
+    return {k: OPERATORS[k] for k in SHARED} | {k: f for k, (f, _) in (_OWN | catalog_builds.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:

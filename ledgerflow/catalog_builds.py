@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import text as T
 from .operators import build_lines as B
 from .operators import events as E
 from .operators import outcomes as O
-from .operators import policy, stats
+from .operators import pages, policy, stats
 from .sources import text_records
 from .sources.tables import table
 
@@ -170,7 +171,54 @@ def f12_clusters(spark, sf_dir):
     return stats.bootstrap_clusters(o, "o_orderpriority", "task")
 
 
+# --- Pages, runs and streams ---------------------------------------------------------
+
+_STATE = "CASE event_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'starting' WHEN 2 THEN 'running' WHEN 3 THEN 'succeeded' ELSE 'failed' END AS state"
+
+
+def h06_scanned_page(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("ordinal"), "event_type")
+    return pages.scanned_page(e, 20, 99, F.col("event_type") == "error", 400)
+
+
+def g08_legal_runs(spark, sf_dir):
+    return E.legal_runs(table(spark, sf_dir, "events").selectExpr("event_id - event_id % 5 AS run", "event_id", _STATE).where("event_id % 5 < 4 or run % 2 = 0"), "run", "event_id", "state")
+
+
+def e14_routed(spark, sf_dir):
+    k = F.col("event_id")
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run"))
+    return E.routed(table(spark, sf_dir, "events").select("event_id", "user_id"), known, "run", F.when(k % 3 == 0, k % 997), F.col("user_id"), "event_id").select("event_id", "run", "verdict")
+
+
+def e15_first_there(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    parts = [e.where(c).select("user_id", "event_id") for c in ("event_type = 'signup' and value > 50", "event_type = 'error' and value > 80")]
+    return E.first_there([*parts, e.select("user_id", F.lit(-1).cast("bigint").alias("event_id")).distinct()], "user_id")
+
+
+def f16_measured(spark, sf_dir):
+    return E.measured(table(spark, sf_dir, "events"), "user_id", "event_type", ["error", "view"], F.octet_length("props"))
+
+
+def d16_passed_on(spark, sf_dir):
+    env = F.expr("map('HOME', event_type, CASE event_id % 3 WHEN 0 THEN 'PATH' WHEN 1 THEN 'Path' ELSE 'SECRET' END, 'x', 'LANG', 'y')")
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(policy.passed_on(env, ("LANG",)))), ",").alias("names"))
+
+
+def j21_versions(spark, sf_dir):
+    x = F.expr("CASE event_id % 3 WHEN 0 THEN concat('bazel ', event_id % 9, '.', user_id, '.1-pre') WHEN 1 THEN 'bazel x' ELSE concat('owner', chr(10), 'pid=', event_id, chr(10), 'pid=1') END")
+    return table(spark, sf_dir, "events").select("event_id", T.tool_version(x).alias("v"), T.lock_pid(x).alias("pid")).select("event_id", "v.version", "v.major", "pid")
+
+
 QUERIES = {
+    "h06_scanned_page": (h06_scanned_page, "WITH r AS (SELECT event_id AS ordinal, event_type, event_type = 'error' AS hit FROM events WHERE event_id > 99 ORDER BY event_id LIMIT 401), n AS (SELECT *, row_number() OVER (ORDER BY ordinal) AS k, count(*) FILTER (hit) OVER (ORDER BY ordinal) AS h FROM r), s AS (SELECT min(ordinal) AS stop FROM n WHERE k > 400 OR (hit AND h > 20)), p AS (SELECT n.*, stop FROM n, s WHERE stop IS NULL OR ordinal < stop) SELECT ordinal, event_type, hit, stop IS NOT NULL AS truncated, CASE WHEN stop IS NOT NULL THEN max(ordinal) OVER () END AS next FROM p"),
+    "g08_legal_runs": (g08_legal_runs, "SELECT event_id - event_id % 5 AS run, count(*) AS steps, min(event_id % 5) = 0 AND count(*) = max(event_id % 5) - min(event_id % 5) + 1 AND max(event_id % 5) < 4 AS legal FROM events WHERE event_id % 5 < 4 OR (event_id - event_id % 5) % 2 = 0 GROUP BY ALL"),
+    "e14_routed": (e14_routed, "WITH x AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 997 ELSE user_id END AS run FROM events) SELECT event_id, run, CASE WHEN run NOT IN (SELECT c_custkey FROM customer) THEN 'not_found' WHEN row_number() OVER (PARTITION BY run ORDER BY event_id) > 1 THEN 'already_exists' ELSE 'ok' END AS verdict FROM x"),
+    "e15_first_there": (e15_first_there, "WITH p AS (SELECT 0 AS part, user_id, event_id FROM events WHERE event_type = 'signup' AND value > 50 UNION ALL SELECT 1, user_id, event_id FROM events WHERE event_type = 'error' AND value > 80 UNION ALL SELECT DISTINCT 2, user_id, -1 FROM events) SELECT part, user_id, event_id FROM p QUALIFY part = min(part) OVER (PARTITION BY user_id)"),
+    "f16_measured": (f16_measured, "SELECT user_id, count(*) AS events, CAST(coalesce(sum(strlen(props)), 0) AS BIGINT) AS bytes, count(*) FILTER (event_type = 'error') AS error_events, CAST(coalesce(sum(strlen(props)) FILTER (event_type = 'error'), 0) AS BIGINT) AS error_bytes, count(*) FILTER (event_type = 'view') AS view_events, CAST(coalesce(sum(strlen(props)) FILTER (event_type = 'view'), 0) AS BIGINT) AS view_bytes FROM events GROUP BY user_id"),
+    "d16_passed_on": (d16_passed_on, "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'HOME,LANG,PATH' ELSE 'HOME,LANG' END AS names FROM events"),
+    "j21_versions": (j21_versions, "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN concat(event_id % 9, '.', user_id, '.1-pre') END AS version, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 9 AS INTEGER) END AS major, CASE WHEN event_id % 3 = 2 THEN event_id END AS pid FROM events"),
     "k02_inline": (_parsed(B.inline), f"WITH {_INLINE} SELECT event_id, {_PLACE}, severity, category, trim(r.said) AS message FROM i WHERE fits"),
     "k04_wrapper": (_parsed(B.wrapper), f"WITH l AS (SELECT event_id, {_LINE} AS line FROM events) SELECT event_id, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS BIGINT) AS line, CAST(NULL AS BIGINT) AS col_no, CASE event_id % 15 WHEN 1 THEN 'warning' ELSE 'error' END AS severity, CASE event_id % 15 WHEN 1 THEN 'compilation' ELSE 'visibility' END AS category, line AS message FROM l WHERE event_id % 15 IN (1, 14)"),
     "k03_tracebacks": (lambda spark, sf_dir: B.tracebacks(_lines(spark, sf_dir), "user_id", "event_id"), _TRACEBACKS),

@@ -106,3 +106,24 @@ def _pieces(pattern: str) -> list[str]:
     for k, part in enumerate(pattern.split("*")):
         out += (["*"] if k else []) + ([part] if part else [])
     return out
+
+
+def workspace_named(c: Column, workspace: str) -> Column:
+    """The workspace's path becomes a fixed word, wherever it stands."""
+    return F.replace(c, F.lit(workspace), F.lit("<workspace>"))
+
+
+def padded_names(c: Column) -> Column:
+    """The name of the workspace that was padded to keep a length becomes the plain one."""
+    return F.regexp_replace(c, "<WORKSPACE>_*", "<workspace>")
+
+
+def tool_version(c: Column) -> Column:
+    """version and major of `bazel 7.4.1`; null if the text isn't of that form."""
+    p = r"^bazel ((\d+)\S*)"
+    return F.when(c.rlike(p), F.struct(F.regexp_extract(c, p, 1).alias("version"), F.regexp_extract(c, p, 2).try_cast("int").alias("major")))
+
+
+def lock_pid(c: Column) -> Column:
+    """The number of the first line `pid=N` of a text, or null."""
+    return F.nullif(F.regexp_extract(c, r"(?m)^pid=(\d+)\s*$", 1), F.lit("")).try_cast("bigint")

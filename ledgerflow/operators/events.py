@@ -160,3 +160,29 @@ def solve_summary(df: DataFrame, by: str, solved: Column, cost: Column) -> DataF
     """by, attempts, solves, solve_percent, and the cost of a solve (null if there is none)."""
     x = df.groupBy(by).agg(F.count("*").alias("attempts"), F.sum(solved).cast("bigint").alias("solves"), F.sum(cost).cast("double").alias("_cost"))
     return x.select(by, "attempts", "solves", F.round(100.0 * F.col("solves") / F.col("attempts"), 6).alias("solve_percent"), F.round(F.col("_cost") / F.nullif(F.col("solves"), F.lit(0)), 6).alias("per_solve"))
+
+
+def legal_runs(df: DataFrame, by: str, order: str, state: str, edges: dict[str, tuple] = EDGES, first: str = "queued") -> DataFrame:
+    """by, steps, legal: whether all of a run's states follow the edges of a run's life."""
+    return legal_steps(df, by, order, state, edges, first).groupBy(by).agg(F.count("*").alias("steps"), F.bool_and(F.coalesce("legal", F.lit(False))).alias("legal"))
+
+
+def routed(streams: DataFrame, known: DataFrame, key: str, header: Column, own: Column, order: str) -> DataFrame:
+    """streams with key (the header's, else its own) and verdict: not_found if no run has the
+    key, already_exists if an earlier stream of the key is there, else ok."""
+    x = streams.withColumn(key, F.coalesce(header, own)).join(known.select(key).distinct().withColumn("_known", F.lit(True)), key, "left")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return x.withColumn("verdict", F.when(F.col("_known").isNull(), "not_found").when(nth > 1, "already_exists").otherwise("ok")).drop("_known")
+
+
+def first_there(parts: list[DataFrame], by: str) -> DataFrame:
+    """Of each group the rows of the first part that has any; `part` is its number."""
+    rows = in_turn(parts).withColumnRenamed("source_rank", "part")
+    best = rows.groupBy(by).agg(F.min("part").alias("_best"))
+    return rows.join(best, by).where("part = _best").drop("_best")
+
+
+def measured(df: DataFrame, by: str, kind: str, kinds: list[str], size: Column) -> DataFrame:
+    """by, events and bytes of all, and of each named kind."""
+    each = [c for k in kinds for c in (F.count_if(F.col(kind) == k).alias(f"{k}_events"), F.coalesce(F.sum(F.when(F.col(kind) == k, size)), F.lit(0)).cast("bigint").alias(f"{k}_bytes"))]
+    return df.groupBy(by).agg(F.count("*").alias("events"), F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"), *each)

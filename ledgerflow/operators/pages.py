@@ -8,6 +8,7 @@ import struct
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def newest_first(df: DataFrame, ms: str, key: str, limit: int, after: tuple | None = None, where: Column | None = None, scan: int | None = None) -> DataFrame:
@@ -30,6 +31,21 @@ def by_ordinal(df: DataFrame, limit: int, after: int = -1, where: Column | None
     return rows.orderBy(order).limit(limit)
 
 
+def scanned_page(df: DataFrame, limit: int, after: int, where: Column, scan: int, order: str = "ordinal") -> DataFrame:
+    """The rows that a page reads, with `hit` (part of the page), `truncated` (more may follow)
+    and `next` (the last row that was read, if so). It reads at most `scan` rows beyond
+    `after` and ends before a hit that finds the page full, so a page may be empty and still
+    have a next one. Only scan + 1 rows, taken by top-k, meet in one task."""
+    rows = df.where(F.col(order) > after).orderBy(order).limit(scan + 1).withColumn("hit", F.coalesce(where, F.lit(False)))
+    w = Window.partitionBy(F.lit(0)).orderBy(order)
+    x = rows.withColumn("_k", F.row_number().over(w)).withColumn("_hits", F.sum(F.col("hit").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("_ends", (F.col("_k") > scan) | (F.col("hit") & (F.col("_hits") > limit)))
+    x = x.withColumn("_over", F.max("_ends").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("truncated", F.max("_ends").over(Window.partitionBy(F.lit(0))))
+    read = x.where(~F.col("_over"))
+    last = F.max(order).over(Window.partitionBy(F.lit(0)))
+    return read.withColumn("next", F.when(F.col("truncated"), last)).drop("_k", "_hits", "_ends", "_over")
+
+
 def context(*parts: str) -> bytes:
     """16 bytes that tie a cursor to the query it came from."""
     raw = b"".join(struct.pack("<Q", len(p.encode())) + p.encode() for p in parts)

@@ -230,3 +230,38 @@ def test_clusters_and_percentiles(spark):
         df = spark.createDataFrame([("a", v) for v in values] + [("a", None)], "g string, v long")
         r = stats.percentiles(df, ["g"], "v", {"a": ("nearest", 95), "c": ("lower", 95), "d": ("rounded", 95), "e": ("lower", 50)}).collect()[0]
         assert tuple(r)[1:] == (n, values[-(-n * 95 // 100) - 1], values[(n - 1) * 95 // 100], values[int((n - 1) * 0.95 + 0.5)], values[(n - 1) // 2])
+
+
+def test_scanned_pages_follow_without_gap(spark):
+    rows = [(k, k % 4 == 1) for k in range(23)]
+    df = spark.createDataFrame([*rows, (23, None)], "ordinal long, v boolean")
+    for limit, scan in ((2, 100), (100, 3), (1, 1)):
+        seen, hits, after = [], [], -1
+        while True:
+            page = pages.scanned_page(df, limit, after, F.col("v"), scan).orderBy("ordinal").collect()
+            assert len(page) <= scan and sum(r.hit for r in page) <= limit
+            seen, hits = seen + [r.ordinal for r in page], hits + [r.ordinal for r in page if r.hit]
+            if not page or not page[-1].truncated:
+                break
+            assert page[-1].next == page[-1].ordinal
+            after = page[-1].next
+        assert seen == list(range(24)) and hits == [k for k, v in rows if v]
+
+
+def test_rules_of_runs_and_streams(spark):
+    from ledgerflow.operators import policy
+
+    assert one(spark, policy.command_verdict, "build", "clean", "zip", None) == ["ok", "denied", "unsupported", "unsupported"]
+    assert one(spark, lambda c: policy.arguments_verdict(F.array(c), 1, 5, 9), "abc", "-s=1", "a\0b", "abcdef") == [None, "reserved", "invalid", "too_long"]
+    assert one(spark, policy.holds_secret, "gho_" + "a" * 20, "C:\\Users\\me", "x", None) == [True, True, False, None]
+    assert one(spark, T.lock_pid, "a\npid=7\n", "pid=x", "xpid=3", None) == [7, None, None, None]
+    assert one(spark, T.padded_names, "<WORKSPACE>___/a", None) == ["<workspace>/a", None]
+    assert one(spark, lambda c: T.workspace_named(c, "/w.x"), "/w.x/a /wyx", None) == ["<workspace>/a /wyx", None]
+    runs = [("a", k, s) for k, s in enumerate(("queued", "starting", "running", "failed"))] + [("b", 0, "running"), ("c", 0, "queued"), ("c", 1, None)]
+    got = events.legal_runs(spark.createDataFrame(runs, "run string, k int, state string"), "run", "k", "state").collect()
+    assert {r.run: r.legal for r in got} == {"a": True, "b": False, "c": False}
+    streams = spark.createDataFrame([(0, "x", "y"), (1, None, "x"), (2, None, None)], "k int, head string, own string")
+    got = events.routed(streams, spark.createDataFrame([("x",), ("x",)], "run string"), "run", F.col("head"), F.col("own"), "k").collect()
+    assert sorted((r.k, r.verdict) for r in got) == [(0, "ok"), (1, "already_exists"), (2, "not_found")]
+    a, b = (spark.createDataFrame([(1, k), (1, 5), (k, 9)], "id int, n int") for k in (2, 3))
+    assert [tuple(r) for r in events.merged_max(a, b, "id", ["n"]).collect()] == [(1, 5)]
