@@ -8,10 +8,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, ftrl_toxicity, jump_sharding, latent_decontam, link_trust, ngram_join, parse_dedup, ppm_language, template_html, trie_dedup
+from . import byte_bpe, ftrl_toxicity, jump_sharding, latent_decontam, link_trust, ngram_join, parse_dedup, piece_bpe, ppm_language, template_html, trie_dedup
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_toxicity, op3_ngram_join, op4_language, op5_decontamination, op6_url_filter, op7_suffix_dedup, op8_html_extraction, op9_exact_dedup, op10_sharding, pipeline)
+    own = (op1_byte_bpe, op2_toxicity, op3_ngram_join, op4_language, op5_decontamination, op6_url_filter, op7_suffix_dedup, op8_html_extraction, op9_exact_dedup, op10_sharding, op11_sentencepiece, pipeline)
     return {f.__name__: f for f in own}
 
 
