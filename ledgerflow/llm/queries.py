@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, ftrl_toxicity, jump_sharding, latent_decontam, link_trust, ngram_join, parse_dedup, piece_bpe, ppm_language, template_html, trie_dedup
+from . import byte_bpe, ftrl_toxicity, jump_sharding, latent_decontam, link_trust, merkle_manifest, ngram_join, parse_dedup, piece_bpe, ppm_language, template_html, trie_dedup
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -60,6 +60,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.proofs(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_toxicity, op3_ngram_join, op4_language, op5_decontamination, op6_url_filter, op7_suffix_dedup, op8_html_extraction, op9_exact_dedup, op10_sharding, op11_sentencepiece, pipeline)
+    own = (op1_byte_bpe, op2_toxicity, op3_ngram_join, op4_language, op5_decontamination, op6_url_filter, op7_suffix_dedup, op8_html_extraction, op9_exact_dedup, op10_sharding, op11_sentencepiece, op12_merkle_manifest, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -98,9 +102,51 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.y) AS component_i
 FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
 
+_OP12 = r"""
+WITH RECURSIVE low AS (
+  SELECT *, coalesce('1' || lang, '0') AS tree,
+         CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b:
+           list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 3 = 0
+         THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other
+  FROM documents),
+named AS (
+  SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM low),
+leaves AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS found,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS place
+  FROM named),
+nodes AS (
+  SELECT tree, 0 AS up, place, count(*) OVER (PARTITION BY tree) AS n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT tree, up + 1, place // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY place)) FROM nodes WHERE n > 1 GROUP BY tree, up, place // 8, (n + 7) // 8),
+subroots AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS spot, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS up, spot AS place, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT up + 1, place // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY place)) FROM tops WHERE n > 1 GROUP BY up, place // 8, (n + 7) // 8),
+runs AS (
+  SELECT tree, up, place // 8 AS run, list(h ORDER BY place) AS hs FROM nodes WHERE n > 1 GROUP BY tree, up, place // 8),
+tops_runs AS (
+  SELECT up, place // 8 AS run, list(h ORDER BY place) AS hs FROM tops WHERE n > 1 GROUP BY up, place // 8),
+steps AS (
+  SELECT l.doc_id, up, (place // pow(8, up)::BIGINT) % 8 AS k, hs FROM leaves l JOIN runs r ON r.tree = l.tree AND r.run = place // pow(8, up + 1)::BIGINT
+  UNION ALL
+  SELECT l.doc_id, 100 + up, (spot // pow(8, up)::BIGINT) % 8, hs FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN tops_runs r ON r.run = spot // pow(8, up + 1)::BIGINT),
+witness AS (
+  SELECT doc_id, list(array_to_string(hs[1:k], '') || '|' || array_to_string(hs[k + 2:], '') ORDER BY up) AS w FROM steps GROUP BY doc_id),
+folds AS (
+  SELECT l.doc_id, leaf, subroot, (SELECT h FROM tops WHERE n = 1) AS root,
+         sha256(replace(array_to_string(coalesce(w, []), ''), '|', '')) AS proof_sha256,
+         list_reduce(list_prepend(found, coalesce(w, [])), lambda node, run: sha256(replace(run, '|', node))) AS folded_root
+  FROM leaves l JOIN subroots s ON s.tree = l.tree LEFT JOIN witness w ON w.doc_id = l.doc_id)
+SELECT *, folded_root = root AS verified FROM folds
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op3_ngram_join": _OP3, "op9_exact_dedup": _OP9}
+    own = {"op3_ngram_join": _OP3, "op9_exact_dedup": _OP9, "op12_merkle_manifest": _OP12}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -101,7 +101,7 @@ def test_rows(spark):
         want.append((r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(LIBRARY.decode(ids).encode()).hexdigest(), True))
     assert sorted(map(str, [tuple(r)[:5] for r in got])) == sorted(map(str, want))
     back = piece_bpe.decoded(spark.createDataFrame([(r.doc_id, r.ids) for r in got], "doc_id long, ids array<int>"), P.path(queries.PIECES)).collect()
-    assert sorted(map(str, back)) == sorted(str(type(back[0])(r.doc_id, LIBRARY.decode(r.ids))) for r in got)
+    assert sorted(str(tuple(r)) for r in back) == sorted(str((r.doc_id, LIBRARY.decode(r.ids))) for r in got)
     assert piece_bpe.encoded(empty(spark), P.path(queries.PIECES)).count() == 0
 
 
