@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, ftrl_toxicity, jump_sharding, latent_decontam, link_trust, merkle_manifest, ngram_join, parse_dedup, piece_bpe, ppm_language, template_html, trie_dedup
+from . import byte_bpe, ftrl_toxicity, jump_sharding, latent_decontam, link_trust, merkle_manifest, ngram_join, parse_dedup, piece_bpe, ppm_language, template_html, trie_dedup, whitening
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -64,6 +64,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.proofs(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_toxicity, op3_ngram_join, op4_language, op5_decontamination, op6_url_filter, op7_suffix_dedup, op8_html_extraction, op9_exact_dedup, op10_sharding, op11_sentencepiece, op12_merkle_manifest, pipeline)
+    own = (op1_byte_bpe, op2_toxicity, op3_ngram_join, op4_language, op5_decontamination, op6_url_filter, op7_suffix_dedup, op8_html_extraction, op9_exact_dedup, op10_sharding, op11_sentencepiece, op12_merkle_manifest, op13_whitening, pipeline)
     return {f.__name__: f for f in own}
 
 
