@@ -14,7 +14,8 @@ tell that two sets share a key, all is done again under another seed. Where many
 of each token and band of sizes, drawn anew for each token, are compared with the other
 nodes; linked nodes become one component, and tokens whose nodes are all in one component
 are done. When the pairs that are left between components are few against the postings, or
-after the last round, they are compared all, so no link between components is lost.
+after the last round, they are compared all but for those whose parities of tokens differ
+in too many bits for similar sets, so no link between components is lost.
 
 Tokens that FREQUENT of a sample's documents have stand last in A and skip the count, so
 no task holds their postings; which tokens these are changes the order, never the result.
@@ -57,6 +58,8 @@ HOT_TOKEN = 1_000
 FEW = 4
 #: Documents of the sample and how many of them make a token a frequent one.
 SAMPLE, FREQUENT = 2_000, 20
+#: Bits that bound from below in how many tokens two sets differ.
+BITS = 512
 #: Edges (16 bytes each) that one task turns into trees.
 TASK_EDGES = 1_000_000
 
@@ -201,8 +204,15 @@ def _counted(parts: int):
     return run
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """BITS bits, as longs: whether an odd number of the tokens falls on each. The bits in
+    which two sets differ are at most the tokens in which they do."""
+    odd = np.bincount((tokens % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 COLUMNS = (("key", "bigint", pa.int64()), ("doc_id", "bigint", pa.int64()), ("n", "bigint", pa.int64()), ("kind", "tinyint", pa.int8()), ("tokens", "binary", pa.binary()), ("prefix", "array<bigint>", pa.list_(pa.int64())),
-           ("alone", "bigint", pa.int64()), ("b", "array<int>", pa.list_(pa.int32())), ("c", "array<int>", pa.list_(pa.int32())))
+           ("alone", "bigint", pa.int64()), ("b", "array<int>", pa.list_(pa.int32())), ("c", "array<int>", pa.list_(pa.int32())), ("bits", "array<bigint>", pa.list_(pa.int64())))
 KIND = ", ".join(f"{name} {kind}" for name, kind, _ in COLUMNS)
 
 
@@ -221,7 +231,7 @@ def _sets(batches):
         for part, kind, blob in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("blob").to_pylist()):
             if kind == 1:
                 ids, n, keys = unpack(blob, np.int64, np.int64, np.int64)
-                yield _rows(keys, pa.array(ids, mask=ids == -(1 << 63)), n, np.ones(len(n), np.int8), *[None] * 5)
+                yield _rows(keys, pa.array(ids, mask=ids == -(1 << 63)), n, np.ones(len(n), np.int8), *[None] * 6)
             elif kind == 3:
                 k, *rest = unpack(blob, np.uint64, np.int64, np.uint64, np.uint64, np.uint64)
                 sets[part].append((unsteps(k), *rest))
@@ -233,7 +243,7 @@ def _sets(batches):
         order = np.lexsort((more, keys))
         keys, n, more, low, high = (x[order] for x in (keys, n, more, low, high))
         if ((keys[1:] == keys[:-1]) & (more[1:] != more[:-1])).any():
-            yield _rows([0], None, None, [2], *[None] * 5)
+            yield _rows([0], None, None, [2], *[None] * 6)
         keys, at = np.unique(keys, return_index=True)
         n, low, high = n[at], low[at], high[at]
         lists = found.pop(part, [])
@@ -254,7 +264,7 @@ def _sets(batches):
                 continue
             first = own[np.lexsort((own, df[x:y][at]))[:room]].view(np.int64)
             in_b, in_c = (own[z].astype(np.uint32).view(np.int32) for z in (own <= low[j], own >= high[j]))
-            out.append((key, None, m, 0, pack(steps(own.view(np.int64))), first, m - len(own), in_b, in_c))
+            out.append((key, None, m, 0, pack(steps(own.view(np.int64))), first, m - len(own), in_b, in_c, parities(own)))
             if len(out) == 1000:
                 yield _rows(*zip(*out))
                 out = []
@@ -393,13 +403,20 @@ def _pivot_pairs(at: DataFrame, k: int, pivots: int, most: int) -> DataFrame:
     return best.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
 
 
-def _all_pairs(at: DataFrame) -> DataFrame:
-    """All pairs of nodes of two components that a token of prefix A allows. The larger
-    set looks for the smaller one in its own band of sizes and in the band below."""
+def _all_pairs(at: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs of nodes of two components that a token of prefix A allows, and that their
+    parities don't rule out: similar sets of n and m differ in (n + m) / 7 tokens at most, and
+    they differ in those that stand in one of them alone and in a token for each bit that
+    differs. The larger set looks for the smaller one in its own band of sizes and in the band
+    below."""
+    bits = [F.get("bits", k).alias(f"x{k}") for k in range(BITS // 64)]
+    at = at.join(nodes.select(F.col("key").alias("_node"), "alone", *bits), F.col("key") == F.col("_node")).drop("_node")
+    differ = " + ".join(f"bit_count(l.x{k} ^ s.x{k})" for k in range(BITS // 64))
     small = at.where("7 * rest >= 6 * n").withColumn("band", _band()).alias("s")
     large = at.withColumn("band", F.explode(F.array(_band(), _band() - 1))).alias("l")
-    met = large.join(small, F.expr("""l.token = s.token and l.band = s.band and l.comp <> s.comp
-        and (s.n < l.n or s.n = l.n and s.key < l.key) and 7 * least(s.rest, l.rest) >= 3 * (s.n + l.n)"""))
+    met = large.join(small, F.expr(f"""l.token = s.token and l.band = s.band and l.comp <> s.comp
+        and (s.n < l.n or s.n = l.n and s.key < l.key) and 7 * least(s.rest, l.rest) >= 3 * (s.n + l.n)
+        and 7 * (l.alone + s.alone + {differ}) <= l.n + s.n"""))
     return met.select(F.least("l.key", "s.key").alias("a"), F.greatest("l.key", "s.key").alias("b")).distinct()
 
 
@@ -439,7 +456,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
         postings = written(spark, postings.drop("c").join(open_.select("token", "c"), "token"), "postings")
         last = left <= FEW * total or k == len(ROUNDS)
         at = _labelled(postings, comp)
-        pairs = _all_pairs(at) if last else _pivot_pairs(at, k, *ROUNDS[k])
+        pairs = _all_pairs(at, nodes) if last else _pivot_pairs(at, k, *ROUNDS[k])
         new = written(spark, linked(pairs, nodes), "links")
         edges = new if edges is None else written(spark, edges.union(new), "links")
         comp = components(edges) if not edges.isEmpty() else None
