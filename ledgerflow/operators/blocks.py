@@ -14,7 +14,7 @@ then gathered by (log, form, block), never more than the form's reach of lines."
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +52,8 @@ class Form:
     #: Whether every line of a block that plays no role is a note.
     free: bool = False
     category: str = "compilation"
-    needs: tuple[str, ...] = field(default=())
+    #: Roles of which a block has one, if it is to count.
+    needs: tuple[str, ...] = ()
 
 
 _ERROR = r"(?:Error|Exception|Exit|Interrupt)"
@@ -69,7 +70,8 @@ FORMS = {
     "java_test": Form((
         Line("open", r'^(?:Exception in thread "[^"]*" )?((?:[a-z][\w$]*\.)+[A-Z][\w$]*' + _ERROR + r"(?:: .*?)?)\s*$", texts=(1,)),
         Line("at", r"^\s+at (?!javax?\.|jdk\.|sun\.|junit\.|org\.junit\.)((?:[a-z][\w$]*\.)*)[A-Z][\w$]*(?:[.$][\w$<>]+)*\(([\w$]+\.java):(\d+)\)\s*$", 2, 3, texts=(1,)),
-        Line("close", _BLANK)), category="test"),
+        Line("frame", r"^\s+at [^()\s]+\(.*\)\s*$"),
+        Line("close", _BLANK)), category="test", needs=("at", "frame")),
     "frame": Form((
         Line("open", r"^\s+[x×] (.+?)\s*$", texts=(1,)),
         Line("at", r"^\s*(?:,-|╭─)\[(.+):(\d+):(\d+)\]\s*$", 1, 2, 3),
@@ -164,8 +166,8 @@ def gathered(lines: DataFrame, by: str, forms: dict[str, Form], order: str = "or
     x = x.withColumn("rows", F.transform("rows", lambda r: r["row"]))
     need = F.lit(True)
     for k, form in forms.items():
-        for what in form.needs:
-            has = F.col("carried").isNotNull() if what == "carry" else F.exists("rows", lambda r: r["role"] == what)
+        if form.needs:
+            has = F.exists("rows", lambda r: r["role"].isin(*form.needs)) | (F.col("carried").isNotNull() if "carry" in form.needs else F.lit(False))
             need = need & ((F.col("form") != k) | has)
     return x.where(need)
 

@@ -46,9 +46,10 @@ def parsed(lines: DataFrame, line: str = "line", parsers: dict = PARSERS) -> Dat
 
 def fallback_category(line: Column) -> Column:
     """The category of a line that no parser knows, by keywords; null if none stands in it."""
-    x = ascii_lower(line)
+    x = ascii_lower(F.regexp_replace(line, r"^\s+|\s+$", ""))
     has = lambda w: F.contains(x, F.lit(w))
-    return (F.when(has("root_cause") & ~has("error:") & ~has("error["), "test").when(has("no such package") | has("no such target"), "loading")
+    passed = x.startswith("test ") & x.endswith(" ... ok")
+    return (F.when(passed, None).when(has("root_cause") & ~has("error:") & ~has("error["), "test").when(has("no such package") | has("no such target"), "loading")
             .when(has("visibility") & has("error"), "visibility").when(has("analysis") & (has("error") | has("fail")), "analysis").when(has("missing strict dependencies"), "compilation"))
 
 

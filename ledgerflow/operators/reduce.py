@@ -85,6 +85,14 @@ def root_causes(df: DataFrame, items: int = 20, most: int = 4096) -> DataFrame:
     return within_bytes(rank(deduplicate(df)), F.octet_length("message"), most, items)
 
 
+def finalized(df: DataFrame, items: int = 20, most: int = 4096) -> DataFrame:
+    """root_causes with the run's headline, which is its first diagnostic, and a hint where
+    some were left out. At most `items` rows of each run are sorted a second time."""
+    first = Window.partitionBy("inv").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = root_causes(df, items, most)
+    return out.withColumn("headline", F.concat(F.lit("Bazel failed: "), F.first("message").over(first))).withColumn("inspect_hint", F.when(F.col("truncated"), "diagnostics"))
+
+
 def context_matches(df: DataFrame, hit: Column, order: str = "ordinal", label: str = "label") -> DataFrame:
     """Rows that hit, and neighbours (by position) with the same label."""
     w = Window.partitionBy("inv").orderBy(order)
