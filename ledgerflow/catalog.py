@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import catalog_builds
+from . import catalog_builds, catalog_logs
 from .functions import text as T
 from .operators import events as E
 from .operators import graph, outcomes, pages, parsers, reduce, retention, stats
@@ -259,25 +259,15 @@ def _compiler_lines(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", line.alias("line"))
 
 
-_COMPILER_LINES = """lines AS (SELECT event_id, CASE event_id % 8
-  WHEN 0 THEN concat('src/a', event_id % 7, '.cc:', event_id % 90, ':', event_id % 11, ': error: no ', event_type)
-  WHEN 1 THEN concat('src/b', event_id % 7, '.cpp(', event_id % 90, '): warning C4', event_id % 9, ': no ', event_type)
-  WHEN 2 THEN concat('ui/c.ts(', event_id % 90, ',', event_id % 11, '): error TS2', event_id % 9, ': no ', event_type)
-  WHEN 3 THEN concat('D.java:', event_id % 90, ': warning: no ', event_type) WHEN 4 THEN concat('e.go:', event_id % 90, ':', event_id % 11, ': no ', event_type)
-  WHEN 5 THEN concat('f.proto:', event_id % 90, ':1: no ', event_type) WHEN 6 THEN concat('error[E', event_id % 9, ']: no ', event_type)
-  ELSE concat('all is well with no ', event_type) END AS line FROM events)"""
-
-
 def k20_compilers(spark, sf_dir):
     """K20, K22 (head), K23, K24 (head), K25 and K28 over lines of all shapes."""
     return parsers.parsed(_compiler_lines(spark, sf_dir)).drop("line")
 
 
-def _parsed_sql() -> str:
-    case = lambda g, cast: " ".join(f"WHEN parser = '{k}' THEN " + (f"CAST(nullif(regexp_extract(line, '{p}', {x[g]}), '') AS {cast})" if x[g] else f"'{s}'" if g == 3 else "NULL") for k, (p, x, s) in parsers.PARSERS.items())
-    name = " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{k}'" for k, (p, _, _) in parsers.PARSERS.items())
-    return (f"WITH {_COMPILER_LINES}, p AS (SELECT *, CASE {name} END AS parser FROM lines) SELECT event_id, parser, CASE {case(0, 'VARCHAR')} END AS path, CASE {case(1, 'BIGINT')} END AS line_no, "
-            f"CASE {case(2, 'BIGINT')} END AS col_no, CASE WHEN contains(CASE {case(3, 'VARCHAR')} END, 'warning') THEN 'warning' ELSE 'error' END AS severity, CASE {case(4, 'VARCHAR')} END AS message FROM p WHERE parser IS NOT NULL")
+_PARSED = """SELECT event_id, CASE s WHEN 0 THEN 'clang' WHEN 1 THEN 'msvc' WHEN 2 THEN 'typescript' WHEN 3 THEN 'java' WHEN 4 THEN 'go' WHEN 5 THEN 'protobuf' ELSE 'rust' END AS parser,
+  CASE s WHEN 0 THEN concat('src/a', event_id % 7, '.cc') WHEN 1 THEN concat('src/b', event_id % 7, '.cpp') WHEN 2 THEN 'ui/c.ts' WHEN 3 THEN 'D.java' WHEN 4 THEN 'e.go' WHEN 5 THEN 'f.proto' END AS path,
+  CASE WHEN s < 6 THEN event_id % 90 END AS line_no, CASE WHEN s IN (0, 2, 4) THEN event_id % 11 WHEN s = 5 THEN 1 END AS col_no, CASE WHEN s IN (1, 3) THEN 'warning' ELSE 'error' END AS severity,
+  concat(CASE s WHEN 1 THEN concat('C4', event_id % 9, ': ') WHEN 2 THEN concat('TS2', event_id % 9, ': ') ELSE '' END, 'no ', event_type) AS message FROM (SELECT *, event_id % 8 AS s FROM events) WHERE s < 7"""
 
 
 def k07_fallback(spark, sf_dir):
@@ -400,7 +390,7 @@ SELECT doc_id, ordinal, CASE WHEN x IN ('failure:', 'failures:') OR (starts_with
   WHEN contains(x, 'error:') OR contains(x, 'fatal:') OR contains(x, 'no such target') OR contains(x, 'no such package') OR contains(x, 'undefined reference') OR contains(x, 'missing strict dependencies') OR starts_with(x, 'error ')
     OR (contains(x, '.go: import of "') AND ends_with(x, '"')) THEN 1
   WHEN contains(x, 'failed:') OR contains(x, 'failure') OR starts_with(x, 'test result: failed') OR (starts_with(x, 'test ') AND ends_with(x, '... failed')) THEN 2 END AS priority FROM x"""),
-    "k20_compilers": (k20_compilers, _parsed_sql()),
+    "k20_compilers": (k20_compilers, _PARSED),
     "k07_fallback": (k07_fallback, "WITH " + _DIAG.split("g AS (")[0].rstrip().rstrip(",") + f""", x AS (SELECT ordinal AS event_id, lower(message || ' ' || ([{', '.join(repr(h) for h in HINTS)}])[ordinal % {len(HINTS)} + 1]) AS x FROM d),
 y AS (SELECT event_id, CASE WHEN contains(x, 'root_cause') AND NOT contains(x, 'error:') AND NOT contains(x, 'error[') THEN 'test' WHEN contains(x, 'no such package') OR contains(x, 'no such target') THEN 'loading'
   WHEN contains(x, 'visibility') AND contains(x, 'error') THEN 'visibility' WHEN contains(x, 'analysis') AND (contains(x, 'error') OR contains(x, 'fail')) THEN 'analysis' WHEN contains(x, 'missing strict dependencies') THEN 'compilation' END AS category,
@@ -412,8 +402,8 @@ y AS (SELECT event_id, CASE WHEN contains(x, 'root_cause') AND NOT contains(x, '
 
 
 def queries() -> dict:
-    return {k: OPERATORS[k] for k in SHARED} | {k: f for k, (f, _) in (_OWN | catalog_builds.QUERIES).items()}
+    return {k: OPERATORS[k] for k in SHARED} | {k: f for k, (f, _) in (_OWN | catalog_builds.QUERIES | catalog_logs.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v.replace(" AS STRING)", " AS VARCHAR)").replace(") IGNORE NULLS", " IGNORE NULLS)") for k, v in SHARED.items()} | {k: s for k, (_, s) in (_OWN | catalog_builds.QUERIES).items() if s}
+    return {k: v.replace(" AS STRING)", " AS VARCHAR)").replace(") IGNORE NULLS", " IGNORE NULLS)") for k, v in SHARED.items()} | {k: s for k, (_, s) in (_OWN | catalog_builds.QUERIES | catalog_logs.QUERIES).items() if s}

@@ -3,8 +3,8 @@ source frames, exceptions with their stack, failures of test frameworks.
 
 Each form says which role a line may play in it. `open` begins a block at its line; `close`
 ends it; `at`, `note` and the like are details inside; `carry` is remembered for the blocks
-that open later (a test's name, the last place of a traceback), until `drop`, and where the
-form consumes it, until the next block opened. Forms don't see each other's blocks, so blocks
+that open later (the last place of a traceback), as is `name`, which ends a block too, until
+`drop`, which does so as well, and where the form consumes it, until the next block opened. Forms don't see each other's blocks, so blocks
 of different forms may interleave, and a block that never ends is cut by its reach.
 
 Lines have numbers without gaps in their log. One window over (log, chunk) tells each line
@@ -56,6 +56,7 @@ class Form:
     needs: tuple[str, ...] = ()
 
 
+CARRIED, ENDS = ("carry", "name"), ("close", "drop", "name")
 _ERROR = r"(?:Error|Exception|Exit|Interrupt)"
 _BLANK = r"^\s*$"
 FORMS = {
@@ -97,14 +98,14 @@ FORMS = {
         Line("open", r"^thread '([^']+)'.* panicked at (.+):(\d+):(\d+):\s*$", 2, 3, 4, texts=(1,)),
         Line("close", r"^\s*$|^note: |^stack backtrace:")), reach=30, free=True, category="test"),
     "gtest": Form((
-        Line("carry", r"^\[ RUN      \] (\S+)\s*$", texts=(1,)),
+        Line("name", r"^\[ RUN      \] (\S+)\s*$", texts=(1,)),
         Line("open", r"^unknown file: Failure\s*$"),
         Line("open", r"^(\S.*?):(\d+): Failure\s*$", 1, 2),
         Line("drop", r"^\[  FAILED  \]|^\[       OK \]"),
         Line("close", r"^\s*$|^\[")), reach=30, free=True, category="test", needs=("carry",)),
     "go": Form((
-        Line("carry", r"^\s*=== (?:RUN|CONT|NAME)\s+(\S+)\s*$", texts=(1,)),
-        Line("carry", r"^\s*--- (?:FAIL|PASS|SKIP): (\S+) \(", texts=(1,)),
+        Line("name", r"^\s*=== (?:RUN|CONT|NAME)\s+(\S+)\s*$", texts=(1,)),
+        Line("name", r"^\s*--- (?:FAIL|PASS|SKIP): (\S+) \(", texts=(1,)),
         Line("open", r"^\s+([^\s:/]+\.go):(\d+):(?: (.*?))?\s*$", 1, 2, texts=(3,)),
         Line("note", r"^\s{8,}(\S.*?)\s*$", texts=(1,)),
         Line("close", r"^")), reach=30, category="test", needs=("carry",)),
@@ -147,10 +148,10 @@ def gathered(lines: DataFrame, by: str, forms: dict[str, Form], order: str = "or
     cols = {}
     for k, form in forms.items():
         r = F.col(f"_r_{k}")
-        bounds = F.when(r["role"].isin("open", "close"), F.struct(r["ordinal"].alias("ordinal"), (r["role"] == "open").alias("live")))
-        kept = F.when(r["role"].isin("carry", "drop", *(["open"] if form.consumes else [])), r)
+        bounds = F.when(r["role"].isin("open", *ENDS), F.struct(r["ordinal"].alias("ordinal"), (r["role"] == "open").alias("live")))
+        kept = F.when(r["role"].isin(*CARRIED, "drop", *(["open"] if form.consumes else [])), r)
         cols[f"_b_{k}"] = F.last(bounds, ignorenulls=True).over(upto) if form.reach else bounds
-        cols[f"_c_{k}"] = F.last(kept, ignorenulls=True).over(before) if any(x.role == "carry" for x in form.lines) else F.lit(None).cast(f"struct<{FIELDS}>")
+        cols[f"_c_{k}"] = F.last(kept, ignorenulls=True).over(before) if any(x.role in CARRIED for x in form.lines) else F.lit(None).cast(f"struct<{FIELDS}>")
     x = x.withColumns(cols).where(F.floor(F.col("_n") / chunk) == F.col("_chunk"))
     parts = []
     for k, form in forms.items():
@@ -158,8 +159,8 @@ def gathered(lines: DataFrame, by: str, forms: dict[str, Form], order: str = "or
         if form.free:
             free = F.struct(F.lit("note").alias("role"), F.col("_n").alias("ordinal"), *(F.lit(None).cast(t).alias(f) for f, t in (x.split() for x in FIELDS.split(", ")[2:6])), F.trim("_line").alias("text"), F.trim("_line").alias("said"))
             r = F.coalesce(r, free)
-        live = b["live"] & (F.col("_n") - b["ordinal"] <= form.reach) & ~r["role"].isin("carry", "drop", "close")
-        c = F.when((c["role"] == "carry") & (F.col("_n") - c["ordinal"] <= form.back), c)
+        live = b["live"] & (F.col("_n") - b["ordinal"] <= form.reach) & ~r["role"].isin(*CARRIED, *ENDS)
+        c = F.when(c["role"].isin(*CARRIED) & (F.col("_n") - c["ordinal"] <= form.back), c)
         parts.append(F.when(live, F.struct(F.lit(k).alias("form"), b["ordinal"].alias("block"), r.alias("row"), F.when(r["role"] == "open", c).alias("carried"))))
     x = x.select(by, F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).select(by, "p.*")
     x = x.groupBy(by, "form", F.col("block").alias("ordinal")).agg(F.sort_array(F.collect_list(F.struct(F.col("row.ordinal").alias("at"), "row"))).alias("rows"), F.max("carried").alias("carried"))
@@ -259,5 +260,5 @@ def test_failures(lines: DataFrame, by: str, order: str = "ordinal", line: str =
     path, line, col_no. Equal messages at equal places are one; those of a place come first."""
     x = block_diagnostics(lines, by, {k: FORMS[k] for k in TEST_FORMS}, order, line, chunk)
     x = x.groupBy(by, "name", "message", "path", "line", "col_no").agg(F.min("ordinal").alias("ordinal"))
-    w = Window.partitionBy(by).orderBy(F.col("path").isNull(), "ordinal", "message")
+    w = Window.partitionBy(by).orderBy(F.col("path").isNull(), "ordinal", "message", "path", "line")
     return x.withColumn("rank", F.row_number().over(w).cast("bigint") - 1).where(F.col("rank") < most).drop("ordinal")

@@ -25,9 +25,10 @@ ANY_LINE = {
 SINGLE = {k: parsers.PARSERS[k] for k in ("typescript", "typescript_pretty", "msvc", "clang", "protobuf", "go")} | ANY_LINE
 #: Forms whose opening line isn't a diagnostic of its own beside the block's.
 OPENED = ("rust", "java", "java_test", "reference", "external", "gtest")
-#: Fields of a diagnostic, and its place among those of its log: by phase, then by line.
+#: Fields of a diagnostic, and its place among those of its log: by phase, then by line, then
+#: by the parser that read it.
 FIELDS = ("severity", "category", "message", "path", "line", "col_no", "repetition_count")
-PHASE = 1 << 40
+PHASE, TURNS = 1 << 50, 32
 
 
 def tool_diagnostics(lines: DataFrame, by: str) -> DataFrame:
@@ -70,12 +71,16 @@ def text_diagnostics(lines: DataFrame, by: str) -> DataFrame:
     rest = plain.where(~build_lines.is_owned(F.col("line")))
     one = parsers.parsed(rest.where(~_opens(F.col("line"))).select(by, "ordinal", "line"), parsers=SINGLE)
     category = F.when(F.col("parser") == "test_line", "test").otherwise("compilation")
-    one = one.select(by, F.lit(2).alias("phase"), "ordinal", "severity", category.alias("category"), "message", compact_path(F.col("path")).alias("path"), F.col("line_no").alias("line"), "col_no", F.lit(1).cast("bigint").alias("repetition_count"))
+    one = one.select(by, F.lit(2).alias("phase"), (F.col("ordinal") * TURNS).alias("ordinal"), "severity", category.alias("category"), "message", compact_path(F.col("path")).alias("path"), F.col("line_no").alias("line"), "col_no", F.lit(1).cast("bigint").alias("repetition_count"))
     many = blocks.block_diagnostics(rest, by)
     framed = many.where("form = 'frame'").select(F.col(by).alias("_log")).distinct()
-    many = many.select(by, F.lit(2).alias("phase"), "ordinal", *FIELDS[:6], F.lit(1).cast("bigint").alias("repetition_count"))
+    turn = F.lit(0)
+    for k, form in enumerate(blocks.FORMS, 1):
+        turn = F.when(F.col("form") == form, k).otherwise(turn)
+    many = many.select(by, F.lit(2).alias("phase"), (F.col("ordinal") * TURNS + turn).alias("ordinal"), *FIELDS[:6], F.lit(1).cast("bigint").alias("repetition_count"))
     low = ascii_lower(F.col("message"))
     command = F.contains(low, F.lit("error executing ")) & F.contains(low, F.lit(" command"))
+    tool = tool.withColumn("ordinal", F.col("ordinal") * TURNS)
     tool = tool.where(~command).unionByName(tool.where(command).join(framed, F.col(by).eqNullSafe(F.col("_log")), "left_anti"))
     out = tool.unionByName(one).unionByName(many)
     return out.withColumn("ordinal", F.col("phase") * F.lit(PHASE) + F.col("ordinal")).drop("phase")
