@@ -99,6 +99,20 @@ def unsuppressed(diagnostics: DataFrame, labels: DataFrame, label: str, patterns
     return left.join(gone, F.col(target) == F.col("_label"), "left_anti")
 
 
+def not_retold(existing: DataFrame, new: DataFrame, by: str) -> DataFrame:
+    """Those of existing diagnostics that no new one of the run tells again, and better: with
+    the same message at the same place or where the old one had none, or with a longer message
+    that holds the old one at the same place. Compilation diagnostics go for any, others for
+    those of their category if they have no target. Two anti joins on equality, each with the
+    rest as its condition, so rows meet only by (run, message) or (run, place)."""
+    n = new.select(F.col(by).alias("_by"), F.col("category").alias("_category"), F.col("message").alias("_message"), F.col("path").alias("_path"), F.col("line").alias("_line"), F.col("col_no").alias("_col")).distinct()
+    run = F.col(by) == F.col("_by")
+    goes = (F.col("category") == "compilation") | ((F.col("category") == F.col("_category")) & F.col("target").isNull())
+    place = F.col("path").eqNullSafe(F.col("_path")) & F.col("line").eqNullSafe(F.col("_line")) & F.col("col_no").eqNullSafe(F.col("_col"))
+    left = existing.join(n, run & (F.col("message") == F.col("_message")) & goes & (F.col("path").isNull() | place), "left_anti")
+    return left.join(n, run & (F.col("path") == F.col("_path")) & F.col("line").eqNullSafe(F.col("_line")) & F.col("col_no").eqNullSafe(F.col("_col")) & goes & F.contains("_message", F.col("message")), "left_anti")
+
+
 def merged_cases(new: DataFrame, old: DataFrame, by: str, keys: list[str], order: str, most: int = 20) -> DataFrame:
     """Of each group the new cases in order, then old ones with other keys; at most `most`."""
     rest = old.join(new.select(by, *keys).distinct(), [by, *keys], "left_anti")
