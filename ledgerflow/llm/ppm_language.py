@@ -21,10 +21,10 @@ columns other than doc_id, text and lang are not read, whatever their names.
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,7 +41,7 @@ PIECE, SALTS = 1 << 18, 32
 #: Sampled rows that may be broadcast; more are joined by a shuffle.
 SMALL = 500_000
 FOLDS, HELD_OUT = 3, 1
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # numerals such as ½ or Ⅷ are none
 START = b"\n" * ORDER  # what stands before each text
 
 
