@@ -67,7 +67,8 @@ def fitted_results(heads: DataFrame, items: DataFrame, by: str, limit: Column, l
     room = h.select(F.col(by).alias("_by"), (F.col("_limit") - F.col("_fixed")).alias("_room"))
     x = x.join(room, F.col(by) == F.col("_by")).drop("_by")
     total = F.max("_sum").over(Window.partitionBy(by))
-    x = x.withColumn("kept", (total <= F.col("_room")) | (F.col("_sum") <= F.col("_room") + (_FALSE - _TRUE)))
+    # Where not all fit the last one goes, even if the shorter `true` makes room for it.
+    x = x.withColumn("kept", (total <= F.col("_room")) | ((F.col("_sum") <= F.col("_room") + (_FALSE - _TRUE)) & (F.col("_sum") < total)))
     sums = x.groupBy(F.col(by).alias("_by")).agg(F.max(F.when(F.col("kept"), F.col("_sum"))).alias("_used"), F.bool_or(~F.col("kept")).alias("_cut"))
     h = h.join(sums, F.col(by) == F.col("_by"), "left").drop("_by").fillna(0, ["_used"])
     h = h.withColumn("_over", F.col("_fixed") + F.col("_used") > F.col("_limit"))

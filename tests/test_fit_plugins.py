@@ -66,7 +66,7 @@ def plain_fit(head, lists, limit):
     return head, lists, size()
 
 
-@pytest.mark.parametrize("limit", [60, 131, 150, 203, 204, 230, 320, 321, 322, 500, 2000])
+@pytest.mark.parametrize("limit", [60, 131, 150, 203, 230, 235, 236, 237, 320, 321, 2000])
 def test_results_are_fitted_as_step_by_step(spark, limit):
     cases = {1: ("é" * 300, "build //a", [3, 1, 0]), 2: ("short", "c" * 90, [9, 9, 9]), 3: ("h", "c", [0, 0, 0]), 4: ('"\n' * 60, "test " + "日" * 40, [1, 0, 2])}
     heads, items, want = [], [], {}
