@@ -126,7 +126,7 @@ def g03_context(spark, sf_dir):
 
 def j06_redaction(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(T.redact(F.col("text"), [r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", r"[0-9a-f]{32,}", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"])).alias("redacted_md5"))
+    return d.select("doc_id", F.md5(T.redact(F.col("text"), [r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++@[A-Za-z0-9.-]+", r"[0-9a-f]{32,}", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"])).alias("redacted_md5"))
 
 
 def j02_bounded(spark, sf_dir):

@@ -31,7 +31,8 @@ FRAME, FRAME_LINE = 597, 240
 @dataclass(frozen=True)
 class Line:
     """A role, the lines that play it, and the groups of the pattern that hold the fields.
-    texts: groups joined by a colon; none: the whole line without outer white space."""
+    texts: groups joined by a colon; none: the whole line without outer white space. has: what
+    stands in each such line, which is looked for before the pattern is tried."""
 
     role: str
     pattern: str
@@ -40,6 +41,10 @@ class Line:
     col: int = 0
     severity: int = 0
     texts: tuple[int, ...] = ()
+    has: str = ""
+
+    def fits(self, line: Column) -> Column:
+        return F.contains(line, F.lit(self.has)) & line.rlike(self.pattern) if self.has else line.rlike(self.pattern)
 
 
 @dataclass(frozen=True)
@@ -62,16 +67,16 @@ _BLANK = r"^\s*$"
 FORMS = {
     "rust": Form((
         Line("open", r"^(error|warning)(?:\[(E\d+)\])?: (.+?)\s*$", severity=1, texts=(2, 3)),
-        Line("at", r"^\s*--> (.+):(\d+):(\d+)\s*$", 1, 2, 3),
+        Line("at", r"^\s*--> (.+):(\d+):(\d+)\s*$", 1, 2, 3, has="--> "),
         Line("note", r"^\s*\d*\s*\|.*\^+ ([^|^]+?)\s*$", texts=(1,)),
         Line("close", _BLANK))),
     "java": Form((
-        Line("open", r"^(\S+\.java):(\d+): (error|warning): (.+?)\s*$", 1, 2, severity=3, texts=(4,)),
-        Line("note", r"^\s+symbol:\s+(.+?)\s*$", texts=(1,))), reach=6),
+        Line("open", r"^(\S+\.java):(\d+): (error|warning): (.+?)\s*$", 1, 2, severity=3, texts=(4,), has=".java:"),
+        Line("note", r"^\s+symbol:\s+(.+?)\s*$", texts=(1,), has="symbol:")), reach=6),
     "java_test": Form((
         Line("open", r'^(?:Exception in thread "[^"]*" )?((?:[a-z][\w$]*\.)+[A-Z][\w$]*' + _ERROR + r"(?:: .*?)?)\s*$", texts=(1,)),
-        Line("at", r"^\s+at (?!javax?\.|jdk\.|sun\.|junit\.|org\.junit\.)((?:[a-z][\w$]*\.)*)[A-Z][\w$]*(?:[.$][\w$<>]+)*\(([\w$]+\.java):(\d+)\)\s*$", 2, 3, texts=(1,)),
-        Line("frame", r"^\s+at [^()\s]+\(.*\)\s*$"),
+        Line("at", r"^\s+at (?!javax?\.|jdk\.|sun\.|junit\.|org\.junit\.)((?:[a-z][\w$]*\.)*)[A-Z][\w$]*(?:[.$][\w$<>]+)*\(([\w$]+\.java):(\d+)\)\s*$", 2, 3, texts=(1,), has=".java:"),
+        Line("frame", r"^\s+at [^()\s]+\(.*\)\s*$", has="at "),
         Line("close", _BLANK)), category="test", needs=("at", "frame")),
     "frame": Form((
         Line("open", r"^\s+[x×] (.+?)\s*$", texts=(1,)),
@@ -82,31 +87,31 @@ FORMS = {
         Line("carry", r"^(failed to .+?)\s*$", texts=(1,))), back=1, needs=("at",)),
     "node": Form((
         Line("open", r"^(?:Uncaught )?([A-Z][A-Za-z]*" + _ERROR + r"(?: \[\w+\])?: .+?)\s*$", texts=(1,)),
-        Line("at", r"^\s+at (?:.* \()?(?!node:)([^()\s][^()]*):(\d+):(\d+)\)?\s*$", 1, 2, 3),
+        Line("at", r"^\s+at (?:.* \()?(?!node:)([^()\s][^()]*):(\d+):(\d+)\)?\s*$", 1, 2, 3, has="at "),
         Line("carry", r"^(\S.*\.[cm]?[jt]sx?):(\d+)\s*$", 1, 2),
         Line("close", _BLANK)), reach=40, back=8, consumes=True, category="test"),
     "python": Form((
-        Line("carry", r'File "(?!<frozen|<string|[^"]*/lib/python\d|[^"]*site-packages|[^"]*_bootstrap\.py")([^"]+)", line (\d+)', 1, 2),
+        Line("carry", r'File "(?!<frozen|<string|[^"]*/lib/python\d|[^"]*site-packages|[^"]*_bootstrap\.py")([^"]+)", line (\d+)', 1, 2, has='File "'),
         Line("open", r"^(?:E\s+)?((?:[A-Za-z_][\w.]*\.)?[A-Z]\w*" + _ERROR + r"(?:: .*?)?)\s*$", texts=(1,))), reach=0, consumes=True, category="test", needs=("carry",)),
     "symbols": Form((
         Line("carry", r"^Undefined symbols for architecture .+:\s*$"),
         Line("drop", r"^ld: "),
-        Line("open", r'^\s+"(.+)", referenced from:\s*$', texts=(1,))), reach=0, needs=("carry",)),
-    "reference": Form((Line("open", r"(?:^|\s)(\S+):(\d+): undefined reference to [`'\"]?(.+?)['\"]?\s*$", 1, 2, texts=(3,)), Line("open", r"undefined reference to [`'\"](.+?)['\"]\s*$", texts=(1,))), reach=0),
-    "external": Form((Line("open", r': (?:fatal )?error LNK\d+: (unresolved external symbol (?:"[^"]+"|\S+))', texts=(1,)),), reach=0),
+        Line("open", r'^\s+"(.+)", referenced from:\s*$', texts=(1,), has="referenced from:")), reach=0, needs=("carry",)),
+    "reference": Form((Line("open", r"(?:^|\s)(\S+):(\d+): undefined reference to [`'\"]?(.+?)['\"]?\s*$", 1, 2, texts=(3,), has="undefined reference to "), Line("open", r"undefined reference to [`'\"](.+?)['\"]\s*$", texts=(1,), has="undefined reference to ")), reach=0),
+    "external": Form((Line("open", r': (?:fatal )?error LNK\d+: (unresolved external symbol (?:"[^"]+"|\S+))', texts=(1,), has="error LNK"),), reach=0),
     "rust_test": Form((
-        Line("open", r"^thread '([^']+)'.* panicked at (.+):(\d+):(\d+):\s*$", 2, 3, 4, texts=(1,)),
+        Line("open", r"^thread '([^']+)'.* panicked at (.+):(\d+):(\d+):\s*$", 2, 3, 4, texts=(1,), has="panicked at "),
         Line("close", r"^\s*$|^note: |^stack backtrace:")), reach=30, free=True, category="test"),
     "gtest": Form((
         Line("name", r"^\[ RUN      \] (\S+)\s*$", texts=(1,)),
-        Line("open", r"^unknown file: Failure\s*$"),
-        Line("open", r"^(\S.*?):(\d+): Failure\s*$", 1, 2),
+        Line("open", r"^unknown file: Failure\s*$", has="Failure"),
+        Line("open", r"^(\S.*?):(\d+): Failure\s*$", 1, 2, has="Failure"),
         Line("drop", r"^\[  FAILED  \]|^\[       OK \]"),
         Line("close", r"^\s*$|^\[")), reach=30, free=True, category="test", needs=("carry",)),
     "go": Form((
         Line("name", r"^\s*=== (?:RUN|CONT|NAME)\s+(\S+)\s*$", texts=(1,)),
         Line("name", r"^\s*--- (?:FAIL|PASS|SKIP): (\S+) \(", texts=(1,)),
-        Line("open", r"^\s+([^\s:/]+\.go):(\d+):(?: (.*?))?\s*$", 1, 2, texts=(3,)),
+        Line("open", r"^\s+([^\s:/]+\.go):(\d+):(?: (.*?))?\s*$", 1, 2, texts=(3,), has=".go:"),
         Line("note", r"^\s{8,}(\S.*?)\s*$", texts=(1,)),
         Line("close", r"^")), reach=30, category="test", needs=("carry",)),
     "go_fail": Form((Line("open", r"^\s*--- FAIL: (\S+) \(", texts=(1,)),), reach=0, category="test"),
@@ -114,7 +119,7 @@ FORMS = {
         Line("carry", r"^\s*=== (?:RUN|CONT|NAME)\s+(\S+)\s*$", texts=(1,)),
         Line("carry", r"^\s*--- (?:FAIL|PASS|SKIP): (\S+) \(", texts=(1,)),
         Line("open", r"^panic: (.+?)(?: \[recovered[^\]]*\])?\s*$", texts=(1,)),
-        Line("at", r"^\s+(?!/usr/local/go/src/)(/\S+\.go):(\d+)(?: \+0x[0-9a-f]+)?\s*$", 1, 2)), reach=200, category="test", needs=("carry",)),
+        Line("at", r"^\s+(?!/usr/local/go/src/)(/\S+\.go):(\d+)(?: \+0x[0-9a-f]+)?\s*$", 1, 2, has=".go:")), reach=200, category="test", needs=("carry",)),
 }
 TEST_FORMS = ("java_test", "node", "python", "rust_test", "gtest", "go", "go_fail", "go_panic")
 FIELDS = "role string, ordinal bigint, path string, line bigint, col_no bigint, severity string, text string, said string"
@@ -130,7 +135,7 @@ def _role(form: Form, line: Column, order: Column) -> Column:
         text = F.concat_ws(": ", *map(got, x.texts)) if x.texts else F.trim(line)
         parts = (F.lit(x.role), order, got(x.path), got(x.line), got(x.col), got(x.severity), text, F.trim(line))
         row = F.struct(*[p.try_cast(kind).alias(name) for p, (name, kind) in zip(parts, (f.split() for f in FIELDS.split(", ")))])
-        out = F.when(line.rlike(x.pattern), row) if out is None else out.when(line.rlike(x.pattern), row)
+        out = F.when(x.fits(line), row) if out is None else out.when(x.fits(line), row)
     return out
 
 

@@ -54,7 +54,11 @@ def inline(line: Column) -> Column:
     category = F.when((low.startswith("in ") & has(" rule //")) | has("analysis of target") | has("aspect on target"), "analysis").otherwise("loading")
     told = strip(line).startswith("DEBUG: ") | strip(line).startswith("INFO: ")
     row = _row(compact_path(F.regexp_extract(x, split, 1)), at, col, F.when(has("warning:"), "warning").otherwise("error"), category, message)
-    return F.when(~told & x.rlike(split) & at.isNotNull() & (message != ""), row)
+    # Looked for before any pattern is tried; most lines have none.
+    marked = F.lit(False)
+    for m in (".bzl:", ".bazel:", "BUILD:", "WORKSPACE:"):
+        marked = marked | F.contains(line, F.lit(m))
+    return F.when(marked & ~told & x.rlike(split) & at.isNotNull() & (message != ""), row)
 
 
 def is_root_cause(message: Column) -> Column:
@@ -82,7 +86,7 @@ def traceback_location(line: Column) -> Column:
     p = r'File "((?s:.*?))", line (\d+)(?:, column (\d+))?'
     path, at = F.regexp_extract(line, p, 1), _u32(F.regexp_extract(line, p, 2))
     fits = path.rlike(r"(\.bzl|\.bazel|(^|[/\\])(BUILD|WORKSPACE))$") & at.isNotNull()
-    return F.when(fits, F.struct(compact_path(path).alias("path"), at.alias("line"), _u32(F.regexp_extract(line, p, 3)).alias("col_no")))
+    return F.when(F.contains(line, F.lit('File "')) & fits, F.struct(compact_path(path).alias("path"), at.alias("line"), _u32(F.regexp_extract(line, p, 3)).alias("col_no")))
 
 
 def is_header(line: Column) -> Column:
@@ -119,7 +123,7 @@ def strict_dependency(line: Column) -> Column:
     path, name = strip(F.regexp_extract(line, p, 1)), strip(F.regexp_extract(line, p, 2))
     short = compact_path(path)
     said = F.concat(F.lit("missing strict dependency: "), short, F.lit(' imports "'), name, F.lit('"; add its target to deps'))
-    return F.when(path.endswith(".go") & (name != ""), _row(short, None, None, "error", "compilation", said))
+    return F.when(F.contains(line, F.lit(': import of "')) & path.endswith(".go") & (name != ""), _row(short, None, None, "error", "compilation", said))
 
 
 def is_status(line: Column) -> Column:

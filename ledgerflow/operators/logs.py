@@ -58,7 +58,7 @@ def _opens(line: Column) -> Column:
     for k in OPENED:
         for x in blocks.FORMS[k].lines:
             if x.role == "open":
-                out = out | line.rlike(x.pattern)
+                out = out | x.fits(line)
     return out
 
 
@@ -66,7 +66,8 @@ def text_diagnostics(lines: DataFrame, by: str) -> DataFrame:
     """by, ordinal (in the order in which they are told) and FIELDS of all diagnostics of each
     log; by may be null. Where a source frame tells what a compiler's plug-in met, the tool's
     lines that only say which command failed go."""
-    plain = lines.withColumn("line", strip_terminal(F.col("line")))
+    # Generated, so that the optimizer doesn't put the expression in each place of the line.
+    plain = lines.select(by, "ordinal", F.explode(F.array(strip_terminal(F.col("line")))).alias("line"))
     tool = tool_diagnostics(plain, by)
     rest = plain.where(~build_lines.is_owned(F.col("line")))
     one = parsers.parsed(rest.where(~_opens(F.col("line"))).select(by, "ordinal", "line"), parsers=SINGLE)
