@@ -372,7 +372,8 @@ _OWN = {
     "d01_filter": (d01_filter, "WITH " + _LINES + f" SELECT doc_id, ordinal FROM l WHERE contains(translate(line, {UP}), 'the of')"),
     "g03_context": (g03_context, "WITH x AS (SELECT user_id AS inv, event_id AS ordinal, event_type AS label, value > 90 AS hit, lag(value > 90) OVER w AS ph, lead(value > 90) OVER w AS nh, lag(event_type) OVER w AS pl, lead(event_type) OVER w AS nl FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT inv, ordinal, label FROM x WHERE hit OR (ph AND pl = label) OR (nh AND nl = label)"),
     "j06_redaction": (j06_redaction, "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+', '[REDACTED]', 'g'), '[0-9a-f]{32,}', '[REDACTED]', 'g'), '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}', '[REDACTED]', 'g')) AS redacted_md5 FROM documents"),
-    "j02_bounded": (j02_bounded, None),
+    "j02_bounded": (j02_bounded, """SELECT doc_id, CAST(CASE WHEN strlen(text) <= 100 THEN strlen(text) ELSE list_max(list_filter(list_transform(range(0, 101), lambda k: strlen(left(text, k))), lambda b: b <= 100)) + 3 END AS BIGINT) AS bytes,
+  strlen(text) > 100 AS cut FROM documents"""),
     "h04_ledger_page": (h04_ledger_page, "SELECT * FROM (SELECT o_orderkey, epoch_ms(o_orderdate) AS ms, o_orderstatus FROM orders WHERE (epoch_ms(o_orderdate), o_orderkey) < (883612800000, 0) ORDER BY ms DESC, o_orderkey DESC LIMIT 1000) WHERE o_orderstatus = 'F' ORDER BY ms DESC, o_orderkey DESC LIMIT 50"),
     "h05_ordinal_page": (h05_ordinal_page, "SELECT * FROM (SELECT event_id AS ordinal, event_type, value FROM events WHERE event_id > 99 ORDER BY event_id LIMIT 400) WHERE event_type = 'error' ORDER BY ordinal LIMIT 20"),
     "g06_retention": (g06_retention, _RETENTION),

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,21 +23,21 @@ def strip_terminal(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, "\r+(\n|$)", "$1"), "(?<![^\n\r])[^\n\r]*+\r", "")
 
 
-def _cut(c: Column, most: int) -> Column:
-    def cut(s):
-        return pd.Series([None if t is None else t.encode()[:most].decode("utf-8", "ignore") for t in s])
-
-    return F.pandas_udf(cut, StringType(), F.PandasUDFType.SCALAR)(c)
+def cut_to(c: Column, most: Column | int) -> Column:
+    """The first `most` bytes, cut between characters: at most three bytes are given up."""
+    most = F.lit(most) if isinstance(most, int) else most
+    raw = c.cast("binary")
+    return F.coalesce(*(F.try_validate_utf8(F.substring(raw, F.lit(1), F.greatest(most - k, F.lit(0))).cast("string")) for k in range(4)))
 
 
 def cut_bytes(c: Column, most: int) -> Column:
     """At most `most` bytes, cut between characters."""
-    return F.when(F.octet_length(c) <= most, c).otherwise(_cut(c, most))
+    return F.when(F.octet_length(c) <= most, c).otherwise(cut_to(c, most))
 
 
 def bounded(c: Column, most: int) -> Column:
     """As cut_bytes, with an ellipsis where something was cut."""
-    return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(_cut(c, most), F.lit("…")))
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(cut_to(c, most), F.lit("…")))
 
 
 def compact_path(c: Column, workspace: str | None = None) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import cut_to
+
 
 def json_text_bytes(c: Column) -> Column:
     """Bytes of a text as a JSON string with its quotes, without making it: signs with a short
@@ -78,7 +80,7 @@ def fitted_results(heads: DataFrame, items: DataFrame, by: str, limit: Column, l
     over = lambda a, b: F.col("_rest") + json_text_bytes(a) + json_text_bytes(b) > F.col("_limit")
 
     def shorter(c: Column, least: int) -> Column:
-        return F.concat(_to(c, F.greatest((F.octet_length(c) * 3 / 4).cast("int"), F.lit(least))), F.lit("…"))
+        return F.concat(cut_to(c, F.greatest((F.octet_length(c) * 3 / 4).cast("int"), F.lit(least))), F.lit("…"))
 
     def step(s: Column, _: Column) -> Column:
         a, b = s["headline"], s["command"]
@@ -96,12 +98,3 @@ def fitted_results(heads: DataFrame, items: DataFrame, by: str, limit: Column, l
 
 #: Cuts by a fourth that bring two texts of any length to their least.
 CUTS = 160
-
-
-def _to(c: Column, most: Column) -> Column:
-    """At most `most` bytes, a column, cut between characters."""
-    # What isn't whole at the end decodes to signs of replacement, at most three.
-    text = F.try_validate_utf8(F.substring(c.cast("binary"), F.lit(1), most).cast("string"))
-    for k in range(1, 4):
-        text = F.coalesce(text, F.try_validate_utf8(F.substring(c.cast("binary"), F.lit(1), most - k).cast("string")))
-    return text
