@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,14 +32,19 @@ def cut_to(c: Column, most: Column | int) -> Column:
     return F.coalesce(*(F.try_validate_utf8(F.substring(raw, F.lit(1), F.greatest(most - k, F.lit(0))).cast("string")) for k in range(4)))
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which stands in the plan only once however often f uses it."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def cut_bytes(c: Column, most: int) -> Column:
     """At most `most` bytes, cut between characters."""
-    return F.when(F.octet_length(c) <= most, c).otherwise(cut_to(c, most))
+    return _once(c, lambda x: F.when(F.octet_length(x) <= most, x).otherwise(cut_to(x, most)))
 
 
 def bounded(c: Column, most: int) -> Column:
     """As cut_bytes, with an ellipsis where something was cut."""
-    return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(cut_to(c, most), F.lit("…")))
+    return _once(c, lambda x: F.when(F.octet_length(x) <= most, x).otherwise(F.concat(cut_to(x, most), F.lit("…"))))
 
 
 def compact_path(c: Column, workspace: str | None = None) -> Column:

@@ -188,7 +188,7 @@ def _said(role: str, sep: str) -> Column:
 
 def _and(a: Column, sep: str, b: Column) -> Column:
     """a, and where b isn't empty also sep and b."""
-    return F.when(F.coalesce(b, F.lit("")) == "", a).otherwise(F.concat(a, F.lit(sep), b))
+    return F.concat(a, F.coalesce(F.concat(F.lit(sep), F.nullif(b, F.lit(""))), F.lit("")))
 
 
 def _place(x: Column) -> Column:
