@@ -17,12 +17,14 @@ template; what lies between their tokens are the slots.
 
 From a page the template's texts go, wherever they stand. The main slot is the article (or
 main) element if there is one, else the smallest template element that holds most of the
-text left in the slots. From it go the elements that HTML or their class and id name as
-menus, asides, forms, adverts and so on.
+text left in the slots; articles beside it in the same element belong to it. From it go the
+elements that HTML, or a whole word of their class or id, name as menus, asides, forms,
+adverts and so on; such words never take a page's only article away.
 
 Cases: null counts as empty html, which gives the empty text; a host that is unknown
 (null url) is a host of its own; a host with few pages has no template and is judged by
-its page alone; broken markup is closed as browsers do; rows that repeat count as pages of
+its page alone; broken markup is closed as browsers do, and a tag that never ends is text
+with all that follows (one pass over any markup); rows that repeat count as pages of
 their own and get equal texts, whatever their page_id is (a page that repeats often has
 the larger part of its text in one class, and keeps it); html of any length is parsed
 whole, one page at a time; an empty table gives no rows; columns other than page_id, url
@@ -62,9 +64,53 @@ SCOPE = frozenset("ul ol dl table body html article main section div td th".spli
 NOISE_TAGS = frozenset("nav aside form footer button dialog menu head label input fieldset audio video".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login sidebar sidenav side menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar footer masthead comment comments commentlist respond reply replies disqus share sharing social related recommended popup modal overlay widget toc skip hidden".split())
 NOISE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar toolbar".split())
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-WORD = re.compile(r"[^a-z0-9]+")
+OPENED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW.split("|")}
+#: One attribute: its name, and its value in quotes or without. A quote that nothing closes
+#: is a sign of a name, so that no scan for its end is made twice.
+ATTR = re.compile(r"[\s/]*+([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)))?+")
+GAP = re.compile(r"[\s/=]*+")
+
+
+def markup(html: str):
+    """(begin, end, what): what is None for a comment and the like, the text of a CDATA
+    section, or (closes, tag, attributes). Elements whose content isn't text are one piece with
+    it. A tag that finds no end is text, and so is all that follows it: one pass, whatever
+    the markup."""
+    at, last = 0, html.rfind(">")
+    while 0 <= (i := html.find("<", at)):
+        if i < last and (m := OPENED.match(html, i)):
+            k, found = m.end(), []
+            if html[k] != ">":
+                while a := ATTR.match(html, k):
+                    k = GAP.match(html, a.end()).end()
+                    found.append((a[1].lower(), a[2] or a[3] or a[4] or ""))
+                k = GAP.match(html, k).end()
+                if k >= len(html):
+                    return
+            tag, at = m[2].lower(), k + 1
+            if tag in ENDS and not m[1]:
+                end = ENDS[tag].search(html, at)
+                stop = html.find(">", end.end()) if end else -1
+                at = stop + 1 if stop >= 0 else len(html)
+                yield i, at, None
+            else:
+                yield i, at, (m[1], tag, found)
+        elif html.startswith("<!--", i):
+            n = html.find("-->", i + 4)
+            at = n + 3 if n >= 0 else len(html)
+            yield i, at, None
+        elif html.startswith("<![CDATA[", i):
+            n = html.find("]]>", i + 9)
+            at = n + 3 if n >= 0 else len(html)
+            yield i, at, html[i + 9:n if n >= 0 else None]
+        elif i > last:
+            return
+        elif html.startswith(("<!", "<?"), i):
+            at = html.find(">", i) + 1
+            yield i, at, None
+        else:
+            at = i + 1
 
 
 class Page:
@@ -74,6 +120,8 @@ class Page:
         self.elements: list[tuple] = [(-1, "", 0, False, False)]
         self.blocks: list[tuple[int, str]] = []
         stack, held, at = [0], [], 0
+        named, owns = set(), [False]  # noise by name; by tag, role or being hidden
+        aside = {}  # what was held when inline noise began
 
         def flush():
             if held:
@@ -97,19 +145,20 @@ class Page:
                 if owner[-1] == e:
                     flush()
                     owner.pop()
+                    held.extend(aside.pop(e, ()))
             del stack[n:]
 
-        for m in TOKEN.finditer(html):
-            if m.start() > at:
-                held.append(html[at:m.start()])
-            at = m.end()
-            tag = m[3]
-            if tag is None:
-                if m[0].startswith("<![CDATA["):
-                    held.append(m[0][9:-3])
+        for begin, end, what in markup(html):
+            if begin > at:
+                held.append(html[at:begin])
+            at = end
+            if what is None:
                 continue
-            tag = tag.lower()
-            if m[2]:
+            if isinstance(what, str):
+                held.append(what)
+                continue
+            closes, tag, attributes = what
+            if closes:
                 for n in range(len(stack) - 1, 0, -1):
                     if self.elements[stack[n]][1] == tag:
                         close_all(n)
@@ -133,35 +182,68 @@ class Page:
             _, _, path, noise, article = self.elements[parent]
             own, classes = tag in NOISE_TAGS, ""
             is_article = tag == "article" or tag == "main"
-            if m[4] and not m[4].isspace():
-                words = []
-                for a in ATTR.finditer(m[4]):
-                    name, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-                    if name == "class" or name == "id":
-                        classes += "." + value
-                        words += WORD.split(value)
-                    elif name == "role":
-                        own |= value in NOISE_ROLES
-                        is_article |= value in ("main", "article")
-                    elif name == "itemprop":
-                        is_article |= value == "articlebody"
-                    else:
-                        own |= name == "hidden" or value == "true"
-                if words and tag not in ("html", "body") and not NOISE_WORDS.isdisjoint(words):
-                    own, is_article = True, False
+            names: list[str] = []
+            for name, value in attributes:
+                if name == "class" or name == "id":
+                    value = unescape(value).lower()
+                    classes += "." + value
+                    names += value.split()
+                elif name == "role":
+                    own |= value.lower() in NOISE_ROLES
+                    is_article |= value.lower() in ("main", "article")
+                elif name == "itemprop":
+                    is_article |= value.lower() == "articlebody"
+                elif name == "hidden" or name == "aria-hidden":
+                    own |= name == "hidden" or value.lower() == "true"
             if tag == "header" and not article:
                 own = True
+            by_name = not own and tag not in ("html", "body") and not NOISE_WORDS.isdisjoint(names)
+            owns.append(own)
+            if by_name:
+                named.add(len(self.elements))
+                own = True
             noise = noise or own
             path = zlib.crc32(f"{tag}{classes}".encode(), path)
             self.elements.append((parent, tag, path, noise, is_article or article))
             e = len(self.elements) - 1
             stack.append(e)
-            if block or own:
+            if block:
                 flush()
+            elif own:  # the text around it is one block
+                aside[e] = held[:]
+                held.clear()
+            if block or own:
                 owner.append(e)
         if at < len(html):
             held.append(html[at:])
+        close_all(1)
         flush()
+        if named:
+            self._keep_article(named, owns)
+
+    def _keep_article(self, named: set[int], own: list[bool]) -> None:
+        """Names of classes don't take a page's only article away: where no article is left,
+        those of the longest one and of what is around it don't count."""
+        el, sizes = self.elements, Counter()
+        for e, t in self.blocks:
+            if el[e][4]:
+                if not el[e][3]:
+                    return
+                while el[el[e][0]][4]:
+                    e = el[e][0]
+                sizes[e] += len(t)
+        if not sizes:
+            return
+        top, over = max(sizes, key=lambda x: (sizes[x], -x)), set()
+        e = top
+        while e > 0:
+            over.add(e)
+            e = el[e][0]
+        if not over & named:
+            return
+        for e in range(1, len(el)):
+            parent, tag, path, _, article = el[e]
+            el[e] = (parent, tag, path, el[parent][3] or own[e] or e in named and e not in over, article)
 
     def is_top_article(self, e: int) -> bool:
         parent, _, _, noise, article = self.elements[e]
@@ -349,8 +431,9 @@ def main_text(page: Page, template: Template) -> str:
                 x = el[x][0]
             tops[x] += len(t)
     if tops:
-        # The article; of several the longest.
+        # The longest article, and those beside it in the same element.
         top = max(tops, key=lambda x: (tops[x], -x))
+        beside = {x for x in tops if el[x][0] == el[top][0]}
     else:
         for e, t in found:
             while e >= 0:
@@ -361,11 +444,14 @@ def main_text(page: Page, template: Template) -> str:
         top = max(inner, key=lambda x: (-mass[x], x), default=0) if not inner else min(inner, key=lambda x: (mass[x], -x))
         if el[top][1] in ("p", "h1", "h2", "h3", "li", "td"):
             top = max(el[top][0], 0)
+        beside = {top}
+
+    first = min(beside)
 
     def inside(e: int) -> bool:
-        while e > top:
+        while e > first and e not in beside:
             e = el[e][0]
-        return e == top
+        return e in beside
 
     return "\n".join(t for e, t in found if inside(e))
 
