@@ -18,8 +18,8 @@ template; what lies between their tokens are the slots.
 From a page the template's texts go, wherever they stand. The main slot is the article (or
 main) element if there is one, else the smallest template element that holds most of the
 text left in the slots; articles beside it in the same element belong to it. From it go the
-elements that HTML, or a whole word of their class or id, name as menus, asides, forms,
-adverts and so on; such words never take a page's only article away.
+elements that HTML, or a class or their id as a whole, name as menus, asides, forms,
+adverts and so on; such names never take a page's only article away.
 
 Cases: null counts as empty html, which gives the empty text; a host that is unknown
 (null url) is a host of its own; a host with few pages has no template and is judged by
@@ -33,6 +33,7 @@ and html are not read, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -63,12 +64,16 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPE = frozenset("ul ol dl table body html article main section div td th".split())
 NOISE_TAGS = frozenset("nav aside form footer button dialog menu head label input fieldset audio video".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login sidebar sidenav side menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar footer masthead comment comments commentlist respond reply replies disqus share sharing social related recommended popup modal overlay widget toc skip hidden".split())
+#: Parts of a name that say where something stands, or that it has or lacks something.
+PLACE_WORDS = frozenset("area bar block body box container content group inner item items left links list main outer right row section slot unit wrap wrapper zone".split())
+STATE_WORDS = frozenset("has hide is no non not show with without".split())
 NOISE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar toolbar".split())
 OPENED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW.split("|")}
 #: One attribute: its name, and its value in quotes or without. A quote that nothing closes
 #: is a sign of a name, so that no scan for its end is made twice.
 ATTR = re.compile(r"[\s/]*+([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)))?+")
+PARTS = re.compile(r"[-_]+")
 GAP = re.compile(r"[\s/=]*+")
 
 
@@ -197,7 +202,7 @@ class Page:
                     own |= name == "hidden" or value.lower() == "true"
             if tag == "header" and not article:
                 own = True
-            by_name = not own and tag not in ("html", "body") and not NOISE_WORDS.isdisjoint(names)
+            by_name = not own and tag not in ("html", "body") and any(map(names_noise, names))
             owns.append(own)
             if by_name:
                 named.add(len(self.elements))
@@ -250,6 +255,18 @@ class Page:
         return article and not noise and not self.elements[parent][4]
 
 
+@functools.lru_cache(100_000)
+def names_noise(name: str) -> bool:
+    """Whether a class or id as a whole, or what its parts come down to at the end, is a word for
+    noise: reader-comments and ad-slot, not has-comments, side-effects or overflow-hidden."""
+    if name in NOISE_WORDS:
+        return True
+    parts = PARTS.split(name)
+    while len(parts) > 1 and parts[-1] in PLACE_WORDS:
+        parts.pop()
+    return parts[0] not in STATE_WORDS and parts[-1] in NOISE_WORDS and parts[-1] != "hidden"
+
+
 def clean(text: str) -> str:
     return " ".join(unescape(text).split())
 

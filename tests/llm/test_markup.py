@@ -19,6 +19,7 @@ CASES = {
     "only article named": ("<div class='sidebar'><article><p>Body</p><div class='ad'>Buy</div></article></div>", "Body"),
     "named article beside": ("<article><p>Body</p></article><article class='related'><p>More and more and more</p></article>", "Body"),
     "two articles": ("<main><article><p>One</p></article><article><p>Second</p></article></main>", "One\nSecond"),
+    "named within": ("<article><p>Body</p><div class='x reader-comments'>no</div><div id=ad_slot>no</div><div class=overflow-hidden>yes</div><div class=no-sidebar>too</div></article>", "Body\nyes\ntoo"),
     "noise": ("<article><p>Body</p><aside>no</aside><div class='post comments'>no</div><nav>no</nav></article>", "Body"),
     "quote without end": ("<article><p title=it's>Body</p><p title=\"x>More</p></article>", "Body\nMore"),
     "bound in quotes": ("<article><p title='a > b' data-x=\"<p>\">Body</p></article>", "Body"),
