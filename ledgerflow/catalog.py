@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import catalog_builds, catalog_logs, catalog_runs
+from . import catalog_builds, catalog_cases, catalog_logs, catalog_runs
 from .functions import text as T
 from .operators import events as E
 from .operators import graph, outcomes, pages, parsers, reduce, retention, stats
@@ -403,8 +403,8 @@ y AS (SELECT event_id, CASE WHEN contains(x, 'root_cause') AND NOT contains(x, '
 
 
 def queries() -> dict:
-    return {k: OPERATORS[k] for k in SHARED} | {k: f for k, (f, _) in (_OWN | catalog_builds.QUERIES | catalog_logs.QUERIES | catalog_runs.QUERIES).items()}
+    return {k: OPERATORS[k] for k in SHARED} | {k: f for k, (f, _) in (_OWN | catalog_builds.QUERIES | catalog_logs.QUERIES | catalog_runs.QUERIES | catalog_cases.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v.replace(" AS STRING)", " AS VARCHAR)").replace(") IGNORE NULLS", " IGNORE NULLS)") for k, v in SHARED.items()} | {k: s for k, (_, s) in (_OWN | catalog_builds.QUERIES | catalog_logs.QUERIES | catalog_runs.QUERIES).items() if s}
+    return {k: v.replace(" AS STRING)", " AS VARCHAR)").replace(") IGNORE NULLS", " IGNORE NULLS)") for k, v in SHARED.items()} | {k: s for k, (_, s) in (_OWN | catalog_builds.QUERIES | catalog_logs.QUERIES | catalog_runs.QUERIES | catalog_cases.QUERIES).items() if s}

@@ -1,0 +1,93 @@
+"""Queries of cases: expectations, and live runs against replays. Each customer is a case, their
+orders its diagnostics and artifacts. Inputs are the same SELECTs in both engines; the rules
+are operators here and EXISTS there."""
+
+from __future__ import annotations
+
+from .operators import expectations
+from .sources.tables import table
+
+OBSERVED = """SELECT c_custkey AS case, CASE WHEN c_nationkey % 2 = 0 THEN 'failed' ELSE 'succeeded' END AS state, c_nationkey % 3 AS exit_code, concat(c_mktsegment, ' failed') AS headline,
+  CASE WHEN c_nationkey % 4 = 0 THEN 'log' END AS inspect_hint, length(c_name) * c_nationkey AS visible_bytes, concat(c_name, ' ', c_mktsegment) AS raw_text FROM {customer} WHERE c_custkey % 17 <> 0"""
+DIAGNOSTICS = """SELECT o_custkey AS case, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS rank, CASE WHEN o_orderstatus = 'O' THEN 'error' ELSE 'warning' END AS severity,
+  CASE o_orderkey % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'compilation' ELSE 'loading' END AS category, concat(o_orderpriority, ' in ', o_orderkey % 50) AS message, CASE WHEN o_orderkey % 5 <> 0 THEN concat('f', o_orderkey % 7) END AS path,
+  o_orderkey % 4 AS line, CAST(NULL AS BIGINT) AS col_no, CASE WHEN o_orderkey % 2 = 0 THEN concat('//t:', o_orderkey % 9) END AS target, o_orderstatus AS action, 1 + o_orderkey % 3 AS repetition_count FROM {orders}"""
+ARTIFACTS = "SELECT o_custkey AS case, concat('a', o_orderkey % 11) AS name, lower(o_orderstatus) AS kind, concat('file:///o/', o_orderkey) AS uri, o_orderkey % 2 = 0 AS locally_available FROM {orders}"
+EXPECTED = """SELECT c_custkey AS case, 'failed' AS state, CASE WHEN c_custkey % 2 = 0 THEN 1 END AS exit_code, CASE WHEN c_custkey % 5 = 0 THEN 'BUILDING failed' END AS headline_equals,
+  CASE WHEN c_custkey % 5 = 1 THEN 'MACH' END AS headline_contains, CASE WHEN c_custkey % 3 = 0 THEN 'log' END AS inspect_hint, 200 AS max_visible_bytes, 15 AS max_diagnostics FROM {customer}"""
+_WISHES = "c_custkey AS case, {n} AS n, {rank} AS rank, {message} AS message_equals, {prefix} AS message_prefix, {part} AS message_contains, {path} AS path, {line} AS line, CAST(NULL AS BIGINT) AS col_no, {target} AS target, CAST(NULL AS VARCHAR(9)) AS action, CAST(NULL AS BIGINT) AS repetition_count, CAST(NULL AS VARCHAR(9)) AS severity, {category} AS category"
+
+
+def _wish(n: int, **given: str) -> str:
+    nothing = {k: f"CAST(NULL AS {'BIGINT' if k in ('rank', 'line') else 'VARCHAR(99)'})" for k in ("rank", "message", "prefix", "part", "path", "line", "target", "category")}
+    return "SELECT " + _WISHES.format(n=n, **nothing | given) + " FROM {customer}"
+
+
+WISHES = " UNION ALL ".join([
+    _wish(0, rank="c_custkey % 4", category="'test'"), _wish(1, prefix="'1-URGENT'"), _wish(2, path="concat('f', c_custkey % 7)", line="c_custkey % 4"), _wish(3, message="concat('5-LOW in ', c_custkey % 50)"),
+    _wish(4, target="concat('//t:', c_custkey % 9)", part="'MED'"), _wish(5, rank="CAST(12 AS BIGINT)")])
+FILES = """SELECT c_custkey AS case, 0 AS n, concat('a', c_custkey % 11) AS name_equals, CAST(NULL AS VARCHAR(9)) AS name_contains, CAST(NULL AS VARCHAR(9)) AS kind, CAST(NULL AS VARCHAR(9)) AS uri_contains, true AS locally_available FROM {customer}
+UNION ALL SELECT c_custkey, 1, NULL, '1', 'p', concat(c_custkey % 10, '7'), NULL FROM {customer}"""
+FORBIDDEN = """SELECT c_custkey AS case, 0 AS n, 'message' AS place, concat('URGENT in ', c_custkey % 5) AS fragment FROM {customer} UNION ALL SELECT c_custkey, 1, 'path', concat('f', c_custkey % 3) FROM {customer}
+UNION ALL SELECT c_custkey, 2, 'target', ':8' FROM {customer} UNION ALL SELECT c_custkey, 3, 'artifact_uri', concat(c_custkey % 100, '3') FROM {customer} UNION ALL SELECT c_custkey, 4, 'raw', concat(c_custkey % 7, ' F') FROM {customer}"""
+
+
+def _inputs(spark, sf_dir, *queries):
+    tables = {t: table(spark, sf_dir, t) for t in ("customer", "orders")}
+    return [spark.sql(q, **{t: d for t, d in tables.items() if f"{{{t}}}" in q}) for q in queries]
+
+
+def _names(**queries: str) -> str:
+    return "WITH " + ", ".join(f"{n} AS ({q.replace('{customer}', 'customer').replace('{orders}', 'orders')})" for n, q in queries.items())
+
+
+def e13_expectations(spark, sf_dir):
+    """What each customer's case doesn't show as expected, or shows though it must not."""
+    expected, *rest = _inputs(spark, sf_dir, EXPECTED, OBSERVED, DIAGNOSTICS, ARTIFACTS, WISHES, FILES, FORBIDDEN)
+    return expectations.failures(expected, *rest)
+
+
+_E13 = _names(o=OBSERVED, d=DIAGNOSTICS, a=ARTIFACTS, e=EXPECTED, w=WISHES, f=FILES, x=FORBIDDEN) + """,
+c AS (SELECT "case", count(*) AS n FROM d GROUP BY "case"),
+told AS (SELECT w."case", CASE WHEN w.rank IS NULL THEN 'no diagnostic' WHEN w.rank >= coalesce(c.n, 0) THEN 'no such rank' ELSE 'diagnostic at rank' END AS rule, w.n FROM w LEFT JOIN c USING ("case")
+  WHERE NOT EXISTS (SELECT 1 FROM d WHERE d."case" = w."case" AND (w.rank IS NULL OR d.rank = w.rank) AND (w.category IS NULL OR d.category = w.category) AND (w.message_equals IS NULL OR d.message = w.message_equals)
+    AND (w.message_prefix IS NULL OR starts_with(d.message, w.message_prefix)) AND (w.message_contains IS NULL OR contains(d.message, w.message_contains)) AND (w.path IS NULL OR d.path = w.path) AND (w.line IS NULL OR d.line = w.line) AND (w.target IS NULL OR d.target = w.target))
+UNION ALL SELECT f."case", 'no artifact', f.n FROM f WHERE NOT EXISTS (SELECT 1 FROM a WHERE a."case" = f."case" AND (f.name_equals IS NULL OR a.name = f.name_equals) AND (f.name_contains IS NULL OR contains(a.name, f.name_contains)) AND (f.kind IS NULL OR a.kind = f.kind)
+    AND (f.uri_contains IS NULL OR contains(a.uri, f.uri_contains)) AND (f.locally_available IS NULL OR a.locally_available = f.locally_available))
+UNION ALL SELECT x."case", concat('forbidden ', x.place), x.n FROM x WHERE CASE place WHEN 'artifact_uri' THEN EXISTS (SELECT 1 FROM a WHERE a."case" = x."case" AND contains(a.uri, x.fragment)) WHEN 'raw' THEN EXISTS (SELECT 1 FROM o WHERE o."case" = x."case" AND contains(o.raw_text, x.fragment))
+    ELSE EXISTS (SELECT 1 FROM d WHERE d."case" = x."case" AND contains(CASE x.place WHEN 'message' THEN d.message WHEN 'path' THEN d.path ELSE d.target END, x.fragment)) END),
+b AS (SELECT e.*, o.state AS s, o.exit_code AS x, o.headline AS h, o.inspect_hint AS i, o.visible_bytes AS v, coalesce(c.n, 0) AS k FROM e JOIN o USING ("case") LEFT JOIN c USING ("case"))
+SELECT "case", rule, CAST(n AS BIGINT) AS n FROM told WHERE "case" IN (SELECT "case" FROM o) UNION ALL SELECT "case", 'not observed', NULL FROM e WHERE "case" NOT IN (SELECT "case" FROM o)
+UNION ALL SELECT "case", 'state', NULL FROM b WHERE s <> state UNION ALL SELECT "case", 'exit code', NULL FROM b WHERE exit_code <> x UNION ALL SELECT "case", 'headline', NULL FROM b WHERE headline_equals <> h
+UNION ALL SELECT "case", 'headline lacks', NULL FROM b WHERE NOT contains(h, headline_contains) UNION ALL SELECT "case", 'inspect hint', NULL FROM b WHERE inspect_hint IS NOT NULL AND inspect_hint IS DISTINCT FROM i
+UNION ALL SELECT "case", 'visible bytes', NULL FROM b WHERE v > 200 UNION ALL SELECT "case", 'too many diagnostics', NULL FROM b WHERE k > 15"""
+
+REPLAY = """SELECT c_custkey AS case, CASE WHEN c_nationkey % 2 = 0 AND c_custkey % 13 <> 0 THEN 'failed' ELSE 'succeeded' END AS state, CASE WHEN c_custkey % 11 <> 0 THEN c_nationkey % 3 END AS exit_code,
+  concat('<workspace>', c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN '!' ELSE '' END) AS headline, CASE WHEN c_nationkey % 4 > 0 THEN 'log' END AS inspect_hint FROM {customer} WHERE c_custkey % 19 <> 0"""
+LIVE = """SELECT c_custkey AS case, CASE WHEN c_nationkey % 2 = 0 THEN 'failed' ELSE 'succeeded' END AS state, c_nationkey % 3 AS exit_code, concat('<WORKSPACE>__', c_mktsegment) AS headline,
+  CASE WHEN c_nationkey % 4 < 2 THEN 'log' END AS inspect_hint FROM {customer} WHERE c_custkey % 23 <> 0"""
+_FIRST = "SELECT * FROM (" + DIAGNOSTICS + ") WHERE rank = 0"
+LIVE_FIRST = _FIRST + " AND case % 29 <> 0"
+REPLAY_FIRST = f"""SELECT case, rank, severity, CASE WHEN category = 'compilation' THEN 'test' WHEN category = 'loading' AND line = 1 THEN 'test' ELSE category END AS category, concat(CASE WHEN line = 3 THEN '?' ELSE '' END, message) AS message,
+  path, CASE WHEN path <> 'f6' THEN line END AS line, col_no, CASE WHEN target <> '//t:4' THEN target END AS target, action, repetition_count FROM ({_FIRST}) WHERE case % 31 <> 0"""
+LIVE_FILES = "SELECT o_custkey AS case, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position, concat('a', o_orderkey % 11) AS name, lower(o_orderstatus) AS kind FROM {orders}"
+REPLAY_FILES = LIVE_FILES + " WHERE o_orderkey % 211 <> 0"
+
+
+def e12_parity(spark, sf_dir):
+    """Where customers' live cases and replays differ for a user."""
+    return expectations.parity(*_inputs(spark, sf_dir, LIVE, REPLAY, LIVE_FIRST, REPLAY_FIRST, LIVE_FILES, REPLAY_FILES))
+
+
+_E12 = _names(l=LIVE, r=REPLAY, p=LIVE_FIRST.replace(" case ", ' "case" '), q=REPLAY_FIRST.replace("SELECT case", 'SELECT "case"').replace(" case ", ' "case" '), y=LIVE_FILES, z=REPLAY_FILES) + """,
+b AS (SELECT l."case", l.state AS s, r.state AS t, l.exit_code AS x, r.exit_code AS w, l.headline AS h, r.headline AS g, l.inspect_hint AS i, r.inspect_hint AS j FROM l JOIN r USING ("case")),
+m AS (SELECT "case", list(struct_pack(n := name, k := kind) ORDER BY position) AS v FROM y GROUP BY 1), n AS (SELECT "case", list(struct_pack(n := name, k := kind) ORDER BY position) AS v FROM z GROUP BY 1)
+SELECT "case", 'not in both' AS rule FROM (SELECT "case" FROM l UNION ALL SELECT "case" FROM r) GROUP BY 1 HAVING count(*) = 1
+UNION ALL SELECT "case", 'state' FROM b WHERE s <> t UNION ALL SELECT "case", 'exit code' FROM b WHERE x IS DISTINCT FROM w UNION ALL SELECT "case", 'headline' FROM b WHERE regexp_replace(h, '<WORKSPACE>_+', '<workspace>') <> g
+UNION ALL SELECT "case", 'inspect hint' FROM b WHERE i IS DISTINCT FROM j AND NOT (i IS NOT NULL AND j IS NULL)
+UNION ALL SELECT "case", 'primary diagnostic in one' FROM (SELECT "case" FROM p UNION ALL SELECT "case" FROM q) GROUP BY 1 HAVING count(*) = 1
+UNION ALL SELECT "case", 'primary diagnostic' FROM p JOIN q USING ("case") WHERE p.message <> q.message OR p.line IS DISTINCT FROM q.line
+  OR NOT (p.category = q.category AND p.target IS NOT DISTINCT FROM q.target OR p.category = 'compilation' AND q.category = 'test' AND (p.target IS NULL OR q.target IS NULL))
+UNION ALL SELECT "case", 'artifacts' FROM m FULL JOIN n USING ("case") WHERE m.v IS DISTINCT FROM n.v"""
+
+QUERIES = {"e13_expectations": (e13_expectations, _E13.replace("AS case", 'AS "case"')), "e12_parity": (e12_parity, _E12.replace("AS case", 'AS "case"'))}

@@ -121,7 +121,7 @@ def workspace_named(c: Column, workspace: str) -> Column:
 
 def padded_names(c: Column) -> Column:
     """The name of the workspace that was padded to keep a length becomes the plain one."""
-    return F.regexp_replace(c, "<WORKSPACE>_*", "<workspace>")
+    return F.regexp_replace(c, "<(?:WORKSPACE|workspace)>_*", "<workspace>")
 
 
 def tool_version(c: Column) -> Column:
