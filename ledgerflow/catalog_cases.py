@@ -1,10 +1,16 @@
-"""Queries of cases: expectations, and live runs against replays. Each customer is a case, their
+"""Queries of cases (expectations, and live runs against replays), framed files and reclaiming. Each customer is a case, their
 orders its diagnostics and artifacts. Inputs are the same SELECTs in both engines; the rules
 are operators here and EXISTS there."""
 
 from __future__ import annotations
 
-from .operators import expectations
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from .operators import expectations, retention
+from .sources import frame_ranges
 from .sources.tables import table
 
 OBSERVED = """SELECT c_custkey AS case, CASE WHEN c_nationkey % 2 = 0 THEN 'failed' ELSE 'succeeded' END AS state, c_nationkey % 3 AS exit_code, concat(c_mktsegment, ' failed') AS headline,
@@ -90,4 +96,43 @@ UNION ALL SELECT "case", 'primary diagnostic' FROM p JOIN q USING ("case") WHERE
   OR NOT (p.category = q.category AND p.target IS NOT DISTINCT FROM q.target OR p.category = 'compilation' AND q.category = 'test' AND (p.target IS NULL OR q.target IS NULL))
 UNION ALL SELECT "case", 'artifacts' FROM m FULL JOIN n USING ("case") WHERE m.v IS DISTINCT FROM n.v"""
 
-QUERIES = {"e13_expectations": (e13_expectations, _E13.replace("AS case", 'AS "case"')), "e12_parity": (e12_parity, _E12.replace("AS case", 'AS "case"'))}
+# --- Framed files by ranges, and reclaiming -------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder in the shared one; a temporary one only where all runs on this machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        at = tempfile.mkdtemp(prefix="spark-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def a01_ranges(spark, sf_dir):
+    """All documents as frames of sixteen files, written and read again by ranges."""
+    docs = table(spark, sf_dir, "documents").withColumn("file", F.coalesce(F.pmod("doc_id", F.lit(16)), F.lit(-1)))
+    at = _folder(spark, "frames")
+    frame_ranges.write_frames(docs, at, "file", "doc_id", "text")
+    rows = frame_ranges.read_ranges(spark, at, step=1 << 20)
+    return rows.select(F.regexp_extract("path", r"(-?\d+)\.frames$", 1).alias("file"), "ordinal", "offset", F.sha2("frame", 256).alias("sha256"), "error")
+
+
+_A01 = """WITH d AS (SELECT coalesce(doc_id % 16, -1) AS file, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, strlen(t) + CASE WHEN strlen(t) < 128 THEN 1 WHEN strlen(t) < 16384 THEN 2 WHEN strlen(t) < 2097152 THEN 3 ELSE 4 END AS size FROM d)
+SELECT CAST(file AS VARCHAR) AS file, row_number() OVER w - 1 AS ordinal, CAST(sum(size) OVER w - size AS BIGINT) AS "offset", sha256(t) AS sha256, CAST(NULL AS VARCHAR) AS error FROM s WINDOW w AS (PARTITION BY file ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+def m02_reclaim(spark, sf_dir):
+    """Orders that were chosen once, and what becomes of them as they are now."""
+    o = table(spark, sf_dir, "orders")
+    ledger = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") != "O").alias("terminal"), (F.col("o_orderkey") % 5 == 0).alias("deferred"),
+                      F.when(F.col("o_orderkey") % 10 == 0, F.year("o_orderdate")).alias("expires"), F.floor("o_totalprice").alias("evidence_bytes"), (F.col("o_orderkey") % 97).alias("manifest_bytes")).where("id % 41 <> 0")
+    return retention.reclaimed(o.where("o_orderpriority <> '3-MEDIUM'").select(F.col("o_orderkey").alias("id")), ledger, 1995)
+
+
+_M02 = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 41 = 0 OR o_orderstatus = 'O' THEN 'skip' WHEN o_orderkey % 5 = 0 AND (o_orderkey % 10 <> 0 OR year(o_orderdate) > 1995) THEN 'prune' ELSE 'delete' END AS action,
+CAST(CASE WHEN o_orderkey % 41 = 0 OR o_orderstatus = 'O' THEN 0 WHEN o_orderkey % 5 = 0 AND (o_orderkey % 10 <> 0 OR year(o_orderdate) > 1995) THEN floor(o_totalprice) ELSE floor(o_totalprice) + o_orderkey % 97 END AS BIGINT) AS bytes
+FROM orders WHERE o_orderpriority <> '3-MEDIUM'"""
+
+QUERIES = {"a01_ranges": (a01_ranges, _A01), "m02_reclaim": (m02_reclaim, _M02), "e13_expectations": (e13_expectations, _E13.replace("AS case", 'AS "case"')), "e12_parity": (e12_parity, _E12.replace("AS case", 'AS "case"'))}
