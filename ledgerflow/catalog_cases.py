@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .operators import expectations, retention
+from .operators import expectations, pages, retention
 from .sources import frame_ranges
 from .sources.tables import table
 
@@ -135,4 +135,26 @@ _M02 = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 41 = 0 OR o_orderstatu
 CAST(CASE WHEN o_orderkey % 41 = 0 OR o_orderstatus = 'O' THEN 0 WHEN o_orderkey % 5 = 0 AND (o_orderkey % 10 <> 0 OR year(o_orderdate) > 1995) THEN floor(o_totalprice) ELSE floor(o_totalprice) + o_orderkey % 97 END AS BIGINT) AS bytes
 FROM orders WHERE o_orderpriority <> '3-MEDIUM'"""
 
-QUERIES = {"a01_ranges": (a01_ranges, _A01), "m02_reclaim": (m02_reclaim, _M02), "e13_expectations": (e13_expectations, _E13.replace("AS case", 'AS "case"')), "e12_parity": (e12_parity, _E12.replace("AS case", 'AS "case"'))}
+# --- Pages of evidence ------------------------------------------------------------------------
+
+RECORDS = """SELECT user_id AS inv, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS position, CASE WHEN event_id % 5 < 3 THEN concat('//T:', event_id % 2) END AS label, concat(event_type, ' ', event_id) AS text FROM {events}"""
+REQUESTS = """SELECT user_id AS request, user_id AS inv, user_id % 5 AS start, user_id % 7 AS items, 5 + user_id % 60 AS scan, CASE user_id % 4 WHEN 0 THEN 'CLICK 1' WHEN 1 THEN 'rror' WHEN 2 THEN '//t:1' END AS filter, user_id % 3 = 0 AS test_log
+FROM (SELECT DISTINCT user_id FROM {events})"""
+
+
+def h07_evidence_pages(spark, sf_dir):
+    """A page of each user's records, by the filter and limits that the user asks for."""
+    e = table(spark, sf_dir, "events")
+    out = pages.evidence_pages(spark.sql(RECORDS, events=e), spark.sql(REQUESTS, events=e))
+    return out.select("request", F.size("items").cast("bigint").alias("n"), F.array_join(F.transform("items", lambda x: x["text"]), ",").alias("items"), "truncated", "next")
+
+
+_H07 = "WITH " + ", ".join(f"{n} AS ({q.replace('{events}', 'events')})" for n, q in {"r": RECORDS, "q": REQUESTS}.items()) + """,
+m AS (SELECT q.*, greatest(items, 1) AS most, r.position, r.text, r.label, filter IS NULL OR contains(lower(text), lower(filter)) OR coalesce(contains(lower(label), lower(filter)), false) AS own FROM r JOIN q USING (inv)),
+h AS (SELECT *, own OR (test_log AND (EXISTS (SELECT 1 FROM m b WHERE b.inv = m.inv AND abs(b.position - m.position) = 1 AND b.label IS NOT DISTINCT FROM m.label AND b.own))) AS hit FROM m),
+k AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY request ORDER BY position) AS hits FROM h WHERE position >= start),
+s AS (SELECT request, min(position) FILTER (position = start + scan OR (hit AND hits = most + 1)) AS stop FROM k GROUP BY 1)
+SELECT q.request, count(k.text) AS n, coalesce(string_agg(k.text, ',' ORDER BY k.position), '') AS items, any_value(s.stop) IS NOT NULL AS truncated, any_value(s.stop) AS next
+FROM q LEFT JOIN s ON s.request = q.request LEFT JOIN k ON k.request = q.request AND k.hit AND (s.stop IS NULL OR k.position < s.stop) GROUP BY q.request"""
+
+QUERIES = {"h07_evidence_pages": (h07_evidence_pages, _H07), "a01_ranges": (a01_ranges, _A01), "m02_reclaim": (m02_reclaim, _M02), "e13_expectations": (e13_expectations, _E13.replace("AS case", 'AS "case"')), "e12_parity": (e12_parity, _E12.replace("AS case", 'AS "case"'))}

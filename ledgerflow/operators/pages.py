@@ -69,3 +69,38 @@ def decode_cursor(cursor: str, kind: int, ctx: bytes) -> tuple[int, ...]:
     if len(raw) < 18 or (len(raw) - 18) % 8 or raw[:2] != bytes([1, kind]) or raw[2:18] != ctx:
         raise InvalidCursor(cursor)
     return struct.unpack(f"<{(len(raw) - 18) // 8}q", raw[18:])
+
+
+def evidence_pages(records: DataFrame, requests: DataFrame, context_lines: int = 1) -> DataFrame:
+    """A page of evidence for each of many requests at once: request, items (position and text,
+    in order), truncated, next (the record to go on from, if so). records(inv, position, label,
+    text) with positions 0, 1, ... in each inv; requests(request, inv, start, items, scan,
+    filter, test_log).
+
+    A record is a hit where its text or label holds the filter, without regard to the case of
+    A-Z (a null holds nothing); in test logs also beside such a record of the same label (null labels are one). A page
+    has 1 to 100 items and reads at most `scan` records (10,000 at most, never fewer than
+    items); it ends before a hit that finds it full. A request for a run without records has an
+    empty page. Only the records that a page may read meet in a task, however long a log is."""
+    from ..functions.text import ascii_lower
+
+    items = F.least(F.greatest(F.col("items"), F.lit(1)), F.lit(100))
+    scan = F.least(F.greatest(F.col("scan"), F.col("items"), F.lit(1)), F.lit(10_000))
+    asked = requests.select("request", F.col("inv").alias("_inv"), F.coalesce("start", F.lit(0)).cast("bigint").alias("start"), items.alias("_items"), scan.alias("_scan"), ascii_lower(F.col("filter")).alias("_filter"), F.coalesce("test_log", F.lit(False)).alias("_test"))
+    near = F.col("position").between(F.col("start") - context_lines, F.col("start") + F.col("_scan") + context_lines)
+    rows = records.join(asked, (F.col("inv") == F.col("_inv")) & near)
+    says = [F.coalesce(F.contains(ascii_lower(F.col(c)), F.col("_filter")), F.lit(False)) for c in ("text", "label")]
+    w = Window.partitionBy("request").orderBy("position")
+    own = rows.withColumn("_own", F.col("_filter").isNull() | says[0] | says[1])
+    beside = [F.coalesce(step("_own", n).over(w) & step(F.struct("label"), n).over(w).eqNullSafe(F.struct("label")), F.lit(False)) for step in (F.lag, F.lead) for n in range(1, context_lines + 1)]
+    hit = F.col("_own")
+    for b in beside:
+        hit = hit | (F.col("_test") & b)
+    read = own.withColumn("_hit", hit).where(F.col("position").between(F.col("start"), F.col("start") + F.col("_scan")))
+    counted = read.withColumn("_hits", F.sum(F.col("_hit").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    over = F.col("position") - F.col("start") >= F.col("_scan")
+    ends = over | (F.col("_hit") & (F.col("_hits") > F.col("_items")))
+    item = F.when(F.col("_hit") & ~ends, F.struct("position", "text"))
+    pages = counted.groupBy("request").agg(F.sort_array(F.collect_list(item)).alias("found"), F.min(F.when(ends, F.col("position"))).alias("next"))
+    none = F.array().cast("array<struct<position:bigint,text:string>>")
+    return requests.select("request").join(pages, "request", "left").select("request", F.coalesce(F.col("found").cast("array<struct<position:bigint,text:string>>"), none).alias("items"), F.col("next").isNotNull().alias("truncated"), F.col("next").cast("bigint").alias("next"))
