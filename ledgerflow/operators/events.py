@@ -96,9 +96,11 @@ def filled(df: DataFrame, by: str, order: str, value: Column, name: str) -> Data
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-def waited(df: DataFrame, by: str, order: str, waits: Column) -> DataFrame:
-    """by, waited: time from each waiting row to the next one; an open wait counts as 0."""
-    step = F.lead(order).over(Window.partitionBy(by).orderBy(order)) - F.col(order)
+def waited(df: DataFrame, by: str, order: str, waits: Column, now: Column | None = None) -> DataFrame:
+    """by, waited: time from each waiting row to the next one. A wait that is still open lasts until
+    now (none that began later), or counts as 0 where now isn't given or is null."""
+    last = F.col(order) if now is None else F.greatest(F.coalesce(now, F.col(order)), F.col(order))
+    step = F.coalesce(F.lead(order).over(Window.partitionBy(by).orderBy(order)), last) - F.col(order)
     return df.withColumn("_wait", F.when(waits, F.coalesce(step, F.lit(0))).otherwise(0)).groupBy(by).agg(F.sum("_wait").cast("bigint").alias("waited"))
 
 
