@@ -163,12 +163,12 @@ FROM q LEFT JOIN s ON s.request = q.request LEFT JOIN k ON k.request = q.request
 
 def f23_open_waits(spark, sf_dir):
     """How long each user's errors lasted until the next event, the last one until a fixed time."""
-    e = table(spark, sf_dir, "events").select("user_id", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01', ts)").alias("ms"), "event_type")
+    e = table(spark, sf_dir, "events").select("user_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts) div 1000").alias("ms"), "event_type")
     e = e.groupBy("user_id", "ms").agg(F.min("event_type").alias("event_type"))
     return events.waited(e, "user_id", "ms", F.col("event_type") == "error", F.when(F.col("user_id") % 3 > 0, F.lit(1_750_000_000_000)))
 
 
-_F23 = """WITH e AS (SELECT user_id, epoch_ms(ts) AS ms, min(event_type) AS event_type FROM events GROUP BY 1, 2),
+_F23 = """WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, min(event_type) AS event_type FROM events GROUP BY 1, 2),
 n AS (SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms) AS next FROM e)
 SELECT user_id, CAST(sum(CASE WHEN event_type <> 'error' THEN 0 WHEN next IS NOT NULL THEN next - ms WHEN user_id % 3 > 0 THEN greatest(1750000000000 - ms, 0) ELSE 0 END) AS BIGINT) AS waited FROM n GROUP BY 1"""
 
