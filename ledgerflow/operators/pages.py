@@ -71,7 +71,7 @@ def decode_cursor(cursor: str, kind: int, ctx: bytes) -> tuple[int, ...]:
     return struct.unpack(f"<{(len(raw) - 18) // 8}q", raw[18:])
 
 
-def evidence_pages(records: DataFrame, requests: DataFrame, context_lines: int = 1) -> DataFrame:
+def evidence_pages(records: DataFrame, requests: DataFrame, context_lines: int = 1, raised: bool = True) -> DataFrame:
     """A page of evidence for each of many requests at once: request, items (position and text,
     in order), truncated, next (the record to go on from, if so). records(inv, position, label,
     text) with positions 0, 1, ... in each inv; requests(request, inv, start, items, scan,
@@ -79,13 +79,13 @@ def evidence_pages(records: DataFrame, requests: DataFrame, context_lines: int =
 
     A record is a hit where its text or label holds the filter, without regard to the case of
     A-Z (a null holds nothing); in test logs also beside such a record of the same label (null labels are one). A page
-    has 1 to 100 items and reads at most `scan` records (10,000 at most, never fewer than
-    items); it ends before a hit that finds it full. A request for a run without records has an
+    has 1 to 100 items and reads at most `scan` records (10,000 at most; where raised, never
+    fewer than items, else as many as are asked for, though the page then can't fill); it ends before a hit that finds it full. A request for a run without records has an
     empty page. Only the records that a page may read meet in a task, however long a log is."""
     from ..functions.text import ascii_lower
 
     items = F.least(F.greatest(F.col("items"), F.lit(1)), F.lit(100))
-    scan = F.least(F.greatest(F.col("scan"), F.col("items"), F.lit(1)), F.lit(10_000))
+    scan = F.least(F.greatest(F.col("scan"), *([F.col("items")] if raised else []), F.lit(1)), F.lit(10_000))
     asked = requests.select("request", F.col("inv").alias("_inv"), F.coalesce("start", F.lit(0)).cast("bigint").alias("start"), items.alias("_items"), scan.alias("_scan"), ascii_lower(F.col("filter")).alias("_filter"), F.coalesce("test_log", F.lit(False)).alias("_test"))
     near = F.col("position").between(F.col("start") - context_lines, F.col("start") + F.col("_scan") + context_lines)
     rows = records.join(asked, (F.col("inv") == F.col("_inv")) & near)

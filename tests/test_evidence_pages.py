@@ -30,3 +30,18 @@ def test_pages(spark):
     records = spark.createDataFrame([(i, n, *x) for i, v in runs.items() for n, x in enumerate(v)], "inv string, position long, label string, text string")
     got = evidence_pages(records, spark.createDataFrame(asked, "request long, inv string, start long, items long, scan long, filter string, test_log boolean")).collect()
     assert {g.request: ([x.position for x in g["items"]], g.truncated, g.next) for g in got} == want
+
+
+def test_query_reads_what_is_asked_for(spark, tmp_path):
+    """User 300 asks for 6 items of 5 records (5 + 300 % 60, 300 % 7)."""
+    import duckdb
+
+    from ledgerflow import catalog_cases
+    from tests.compare import same
+
+    con = duckdb.connect()
+    con.execute("create table events as select i as event_id, u as user_id, case i % 3 when 0 then 'click' else 'error' end as event_type from range(40) r(i), (values (300), (301), (720), (1)) v(u)")
+    con.execute(f"copy events to '{tmp_path}/events.parquet'")
+    df = catalog_cases.h07_evidence_pages(spark, str(tmp_path))
+    assert same(df, con, catalog_cases._H07) == ""
+    assert {r.request: r.next for r in df.collect()}[300] == 5
