@@ -32,19 +32,21 @@ def cut_to(c: Column, most: Column | int) -> Column:
     return F.coalesce(*(F.try_validate_utf8(F.substring(raw, F.lit(1), F.greatest(most - k, F.lit(0))).cast("string")) for k in range(4)))
 
 
-def _once(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f of c, which stands in the plan only once however often f uses it."""
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is evaluated and stands in the plan only once however often f uses it. No
+    code is generated for f, which suits large expressions: of methods beyond 8,000 bytes of
+    code the JVM compiles none."""
     return F.get(F.transform(F.array(c), f), 0)
 
 
 def cut_bytes(c: Column, most: int) -> Column:
     """At most `most` bytes, cut between characters."""
-    return _once(c, lambda x: F.when(F.octet_length(x) <= most, x).otherwise(cut_to(x, most)))
+    return once(c, lambda x: F.when(F.octet_length(x) <= most, x).otherwise(cut_to(x, most)))
 
 
 def bounded(c: Column, most: int) -> Column:
     """As cut_bytes, with an ellipsis where something was cut."""
-    return _once(c, lambda x: F.when(F.octet_length(x) <= most, x).otherwise(F.concat(cut_to(x, most), F.lit("…"))))
+    return once(c, lambda x: F.when(F.octet_length(x) <= most, x).otherwise(F.concat(cut_to(x, most), F.lit("…"))))
 
 
 def compact_path(c: Column, workspace: str | None = None) -> Column:

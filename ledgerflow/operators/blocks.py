@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import bounded, compact_path
+from ..functions.text import bounded, compact_path, once
 
 #: A line reaches no block that opened, and sees nothing carried, more lines ago than this.
 REACH, CHUNK = 2_000, 500_000
@@ -125,57 +125,94 @@ TEST_FORMS = ("java_test", "node", "python", "rust_test", "gtest", "go", "go_fai
 FIELDS = "role string, ordinal bigint, path string, line bigint, col_no bigint, severity string, text string, said string"
 
 
-def _role(form: Form, line: Column, order: Column) -> Column:
-    """The first role that the line can play, with its fields; null if none."""
-    out = None
-    for x in form.lines:
+def _plays(forms: dict[str, Form], line: Column) -> Column:
+    """For each form the number (from 1) of its first line that the line fits; 0 if none."""
+    def first(form: Form) -> Column:
+        out = F
+        for n, x in enumerate(form.lines, 1):
+            out = out.when(x.fits(line), F.lit(n))
+        return F.coalesce(out, F.lit(0)).cast("tinyint")
+
+    return F.array(*map(first, forms.values()))
+
+
+def _fields(forms: dict[str, Form], form: Column, plays: Column, line: Column, order: Column) -> Column:
+    """The line as a row of FIELDS, by the form and the number of the line that it plays (0: a note)."""
+    def row(x: Line) -> Column:
         def got(g: int) -> Column:
             return F.nullif(F.regexp_extract(line, x.pattern, g), F.lit("")) if g else F.lit(None)
 
         text = F.concat_ws(": ", *map(got, x.texts)) if x.texts else F.trim(line)
         parts = (F.lit(x.role), order, got(x.path), got(x.line), got(x.col), got(x.severity), text, F.trim(line))
-        row = F.struct(*[p.try_cast(kind).alias(name) for p, (name, kind) in zip(parts, (f.split() for f in FIELDS.split(", ")))])
-        out = F.when(x.fits(line), row) if out is None else out.when(x.fits(line), row)
+        return F.struct(*[p.try_cast(kind).alias(name) for p, (name, kind) in zip(parts, (f.split() for f in FIELDS.split(", ")))])
+
+    out = F
+    for k, x in forms.items():
+        of = F
+        for n, one in enumerate(x.lines, 1):
+            of = of.when(plays == n, row(one))
+        out = out.when(form == k, of.otherwise(row(Line("note", ""))) if x.free else of)
     return out
 
 
 def gathered(lines: DataFrame, by: str, forms: dict[str, Form], order: str = "ordinal", line: str = "line", chunk: int = CHUNK) -> DataFrame:
     """by, form, ordinal (where the block opens), rows (the block's lines with their roles, in
-    order, the opening one first) and carried, for each block that has what its form needs."""
+    order, the opening one first) and carried, for each block that has what its form needs.
+
+    What goes through the window of all lines is a number for each form; fields are read of
+    lines that are gathered only."""
     chunk = max(chunk, REACH)
     n = F.col(order).cast("bigint")
     own = F.floor(n / chunk)
     x = lines.where(f"{order} is not null").select(F.col(by), n.alias("_n"), F.coalesce(line, F.lit("")).alias("_line"), F.explode(F.when(n % chunk >= chunk - REACH, F.array(own, own + 1)).otherwise(F.array(own))).alias("_chunk"))
-    for k, form in forms.items():
-        x = x.withColumn(f"_r_{k}", _role(form, F.col("_line"), F.col("_n")))
+    # Spread before the patterns are tried, for an input of few partitions; the windows need it so.
+    x = x.repartition(by, "_chunk").withColumn("_plays", once(F.col("_line"), lambda c: _plays(forms, c)))
     upto = Window.partitionBy(by, "_chunk").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(by, "_chunk").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+
+    def those(form: Form, roles) -> list[int]:
+        return [i for i, one in enumerate(form.lines, 1) if one.role in roles]
+
+    def is_in(c: Column, some: list[int]) -> Column:
+        return c.isin(some) if some else F.lit(False)
+
+    place = F.col("_n")
     cols = {}
-    for k, form in forms.items():
-        r = F.col(f"_r_{k}")
-        bounds = F.when(r["role"].isin("open", *ENDS), F.struct(r["ordinal"].alias("ordinal"), (r["role"] == "open").alias("live")))
-        kept = F.when(r["role"].isin(*CARRIED, "drop", *(["open"] if form.consumes else [])), r)
+    for i, (k, form) in enumerate(forms.items()):
+        r = F.get("_plays", F.lit(i))
+        # Twice the place, and one more where a block opens.
+        bounds = F.when(is_in(r, those(form, ("open",))), place * 2 + 1).when(is_in(r, those(form, ENDS)), place * 2)
         cols[f"_b_{k}"] = F.last(bounds, ignorenulls=True).over(upto) if form.reach else bounds
-        cols[f"_c_{k}"] = F.last(kept, ignorenulls=True).over(before) if any(x.role in CARRIED for x in form.lines) else F.lit(None).cast(f"struct<{FIELDS}>")
+        if carries := those(form, CARRIED):
+            kept = F.when(is_in(r, carries), F.struct(place.alias("n"), r.alias("plays"), F.col("_line").alias("line")))
+            # What drops it, or uses it up, is kept in its place, without a line.
+            kept = kept.when(is_in(r, those(form, ("drop", *(["open"] if form.consumes else [])))), F.struct(place.alias("n"), F.lit(0).cast("tinyint").alias("plays"), F.lit(None).cast("string").alias("line")))
+            cols[f"_c_{k}"] = F.last(kept, ignorenulls=True).over(before)
     x = x.withColumns(cols).where(F.floor(F.col("_n") / chunk) == F.col("_chunk"))
     parts = []
-    for k, form in forms.items():
-        r, b, c = F.col(f"_r_{k}"), F.col(f"_b_{k}"), F.col(f"_c_{k}")
-        if form.free:
-            free = F.struct(F.lit("note").alias("role"), F.col("_n").alias("ordinal"), *(F.lit(None).cast(t).alias(f) for f, t in (x.split() for x in FIELDS.split(", ")[2:6])), F.trim("_line").alias("text"), F.trim("_line").alias("said"))
-            r = F.coalesce(r, free)
-        live = b["live"] & (F.col("_n") - b["ordinal"] <= form.reach) & ~r["role"].isin(*CARRIED, *ENDS)
-        c = F.when(c["role"].isin(*CARRIED) & (F.col("_n") - c["ordinal"] <= form.back), c)
-        parts.append(F.when(live, F.struct(F.lit(k).alias("form"), b["ordinal"].alias("block"), r.alias("row"), F.when(r["role"] == "open", c).alias("carried"))))
-    x = x.select(by, F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).select(by, "p.*")
-    x = x.groupBy(by, "form", F.col("block").alias("ordinal")).agg(F.sort_array(F.collect_list(F.struct(F.col("row.ordinal").alias("at"), "row"))).alias("rows"), F.max("carried").alias("carried"))
-    x = x.withColumn("rows", F.transform("rows", lambda r: r["row"]))
+    for i, (k, form) in enumerate(forms.items()):
+        r, b = F.get("_plays", F.lit(i)), F.col(f"_b_{k}")
+        block = F.floor(b / 2)
+        live = (b % 2 == 1) & (place - block <= form.reach) & ~is_in(r, those(form, (*CARRIED, *ENDS)))
+        if not form.free:
+            live = live & (r > 0)
+        c = F.col(f"_c_{k}") if f"_c_{k}" in cols else F.lit(None).cast("struct<n:bigint,plays:tinyint,line:string>")
+        c = F.when(is_in(r, those(form, ("open",))) & (c["plays"] > 0) & (place - c["n"] <= form.back), c)
+        parts.append(F.when(live, F.struct(F.lit(k).alias("form"), block.alias("block"), r.alias("plays"), c.alias("carried"))))
+    x = x.select(by, "_n", "_line", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p"))
+    x = x.groupBy(by, F.col("p.form").alias("form"), F.col("p.block").alias("ordinal")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("p.plays").alias("plays"), F.col("_line").alias("line")))).alias("rows"), F.max("p.carried").alias("carried"))
+    form = F.col("form")
+    x = x.select(by, "form", "ordinal", F.transform("rows", lambda r: _fields(forms, form, r["plays"], r["line"], r["n"])).alias("rows"),
+                 once(F.col("carried"), lambda c: F.when(c.isNotNull(), _fields(forms, form, c["plays"], c["line"], c["n"]))).alias("carried"))
     need = F.lit(True)
     for k, form in forms.items():
         if form.needs:
             has = F.exists("rows", lambda r: r["role"].isin(*form.needs)) | (F.col("carried").isNotNull() if "carry" in form.needs else F.lit(False))
             need = need & ((F.col("form") != k) | has)
-    return x.where(need)
+    # Generated, so that no filter reads the fields a second time or makes a second plan below:
+    # who asks for some forms here, for others there, shares all up to the groups.
+    return x.select(by, "ordinal", F.explode(F.array(F.struct("form", "rows", "carried"))).alias("_x")).select(by, "_x.form", "ordinal", "_x.rows", "_x.carried").where(need)
 
 
 def _of(role: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import ascii_lower, compact_path
+from ..functions.text import ascii_lower, compact_path, once
 from .parsers import fallback_category
 
 MOST_U32 = (1 << 32) - 1
@@ -17,6 +17,10 @@ RULE_FILE = r"(?:\.bzl|\.bazel|[/\\]BUILD|[/\\]WORKSPACE)"
 HEADER = "Traceback (most recent call last):"
 FAILED = "error: build did not complete successfully"
 LINT = {"🚨": "error", "⚠️": "warning", "⚠": "warning", "ℹ️": "note", "ℹ": "note"}
+#: What stands in lines that a parser below may know, and in their lower-cased form.
+RULE_MARKS = (".bzl:", ".bazel:", "BUILD:", "WORKSPACE:")
+SAYS = (*RULE_MARKS, HEADER, 'File "', "Error in ", "Error: ", ': import of "', " — ")
+WORDS = ("root_cause", "no such package", "no such target", "visibility", "analysis", "missing strict dependencies")
 FIELDS = "path string, line bigint, col_no bigint, severity string, category string, message string"
 
 
@@ -40,25 +44,41 @@ def _row(path, line, col, severity, category, message) -> Column:
     return F.struct(*[p.cast(kind).alias(name) for p, (name, kind) in zip(parts, names)])
 
 
+def _any(c: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(c, F.lit(w))
+    return out
+
+
+def may_say(line: Column) -> Column:
+    """Whether what all lines have that the parsers of this module (but for `is_status`) and
+    `fallback_category` know stands in the line: looked for before any of them is tried."""
+    return _any(line, SAYS) | once(F.lower(line), lambda low: _any(low, WORDS))
+
+
 def inline(line: Column) -> Column:
     """`path:line[:column]: message` of a rule file, by the last path end in the line."""
-    x = F.regexp_replace(strip(line), "^ERROR: ", "")
     split = rf"^((?s:.*){RULE_FILE}):((?s:.*))$"
-    rest = F.regexp_extract(x, split, 2)
-    at = _u32(F.regexp_extract(rest, r"^(\d+):", 1))
-    after = F.regexp_replace(rest, r"^\d+:", "")
-    col = _u32(F.regexp_extract(after, r"^(\d+):", 1))
-    message = strip(F.when(col.isNull(), after).otherwise(F.regexp_replace(after, r"^\d+:", "")))
-    low = ascii_lower(message)
-    has = lambda w: F.contains(low, F.lit(w))
-    category = F.when((low.startswith("in ") & has(" rule //")) | has("analysis of target") | has("aspect on target"), "analysis").otherwise("loading")
+    number = lambda c: _u32(F.regexp_extract(c, r"^(\d+):", 1))
+    rest_of = lambda c: F.regexp_replace(c, r"^\d+:", "")
+
+    def row(x, rest, after):
+        def made(col, message):
+            low = ascii_lower(message)
+            has = lambda w: F.contains(low, F.lit(w))
+            category = F.when((low.startswith("in ") & has(" rule //")) | has("analysis of target") | has("aspect on target"), "analysis").otherwise("loading")
+            found = _row(compact_path(F.regexp_extract(x, split, 1)), number(rest), col, F.when(has("warning:"), "warning").otherwise("error"), category, message)
+            return F.when(number(rest).isNotNull() & (message != ""), found)
+
+        return once(number(after), lambda col: once(strip(F.when(col.isNull(), after).otherwise(rest_of(after))), lambda message: made(col, message)))
+
+    def read(x):
+        return F.when(x.rlike(split), once(F.regexp_extract(x, split, 2), lambda rest: once(rest_of(rest), lambda after: row(x, rest, after))))
+
     told = strip(line).startswith("DEBUG: ") | strip(line).startswith("INFO: ")
-    row = _row(compact_path(F.regexp_extract(x, split, 1)), at, col, F.when(has("warning:"), "warning").otherwise("error"), category, message)
     # Looked for before any pattern is tried; most lines have none.
-    marked = F.lit(False)
-    for m in (".bzl:", ".bazel:", "BUILD:", "WORKSPACE:"):
-        marked = marked | F.contains(line, F.lit(m))
-    return F.when(marked & ~told & x.rlike(split) & at.isNotNull() & (message != ""), row)
+    return F.when(_any(line, RULE_MARKS) & ~told, once(F.regexp_replace(strip(line), "^ERROR: ", ""), read))
 
 
 def is_root_cause(message: Column) -> Column:
@@ -69,16 +89,21 @@ def is_root_cause(message: Column) -> Column:
 
 def wrapper(line: Column) -> Column:
     """A rule file's line that only passes a cause on: no place, and a category by its words."""
-    found, low = inline(line), ascii_lower(line)
-    category = F.when(F.contains(low, F.lit("visibility")), "visibility").when(F.contains(low, F.lit("analysis")), "analysis").otherwise("compilation")
-    return F.when(found.isNotNull() & ~is_root_cause(found["message"]), _row(None, None, None, found["severity"], category, strip(line)))
+    def row(found: Column) -> Column:
+        low = ascii_lower(line)
+        category = F.when(F.contains(low, F.lit("visibility")), "visibility").when(F.contains(low, F.lit("analysis")), "analysis").otherwise("compilation")
+        return F.when(found.isNotNull() & ~is_root_cause(found["message"]), _row(None, None, None, found["severity"], category, strip(line)))
+
+    return once(inline(line), row)
 
 
 def source_context(line: Column, category: str) -> Column:
-    low = ascii_lower(strip(line))
-    has = lambda w: F.contains(low, F.lit(w))
-    ok = low.startswith("test ") & low.endswith(" ... ok")
-    return F.when(has("root_cause") & ~has("error:") & ~has("error[") & ~ok, _row(None, None, None, "error", category, strip(line)))
+    def row(low: Column) -> Column:
+        has = lambda w: F.contains(low, F.lit(w))
+        ok = low.startswith("test ") & low.endswith(" ... ok")
+        return F.when(has("root_cause") & ~has("error:") & ~has("error[") & ~ok, _row(None, None, None, "error", category, strip(line)))
+
+    return once(ascii_lower(strip(line)), row)
 
 
 def traceback_location(line: Column) -> Column:
@@ -86,7 +111,7 @@ def traceback_location(line: Column) -> Column:
     p = r'File "((?s:.*?))", line (\d+)(?:, column (\d+))?'
     path, at = F.regexp_extract(line, p, 1), _u32(F.regexp_extract(line, p, 2))
     fits = path.rlike(r"(\.bzl|\.bazel|(^|[/\\])(BUILD|WORKSPACE))$") & at.isNotNull()
-    return F.when(F.contains(line, F.lit('File "')) & fits, F.struct(compact_path(path).alias("path"), at.alias("line"), _u32(F.regexp_extract(line, p, 3)).alias("col_no")))
+    return F.when(F.contains(line, F.lit('File "')) & F.contains(line, F.lit('", line ')) & fits, F.struct(compact_path(path).alias("path"), at.alias("line"), _u32(F.regexp_extract(line, p, 3)).alias("col_no")))
 
 
 def is_header(line: Column) -> Column:
@@ -114,7 +139,7 @@ def lint(line: Column) -> Column:
         severity = F.when(mark == m, s).otherwise(severity)
     said = F.when(tool.isNull() & rule.isNull(), message).otherwise(F.concat(F.coalesce(tool, F.lit("")), F.when(tool.isNotNull() & rule.isNotNull(), " ").otherwise(""), F.coalesce(F.concat(F.lit("["), rule, F.lit("]")), F.lit("")), F.lit(": "), message))
     row = _row(compact_path(path), at, F.when(both, _u32(F.regexp_extract(place, two, 3))), severity, "compilation", said)
-    return F.when(severity.isNotNull() & at.isNotNull() & (message != ""), row)
+    return F.when(F.contains(line, F.lit(" — ")) & severity.isNotNull() & at.isNotNull() & (message != ""), row)
 
 
 def strict_dependency(line: Column) -> Column:
@@ -133,18 +158,21 @@ def is_status(line: Column) -> Column:
 
 def is_owned(line: Column) -> Column:
     """Whether the build tool wrote the line, so that no compiler's parser is to see it."""
-    found = [f(line) for f in (lint, strict_dependency, inline, traceback_location, error_message, fallback_category)]
-    out = F.coalesce(is_status(line) | is_header(line), F.lit(False))
-    for f in found:
-        out = out | f.isNotNull()
-    return out
+    def any_of(c: Column) -> Column:
+        out = F.coalesce(is_header(c), F.lit(False))
+        for f in (inline, traceback_location, error_message, fallback_category, strict_dependency, lint):
+            out = out | f(c).isNotNull()
+        return F.coalesce(is_status(c), F.lit(False)) | (F.coalesce(may_say(c), F.lit(False)) & out)
+
+    return once(line, any_of)
 
 
 def tracebacks(lines: DataFrame, by: str, order: str = "ordinal", line: str = "line") -> DataFrame:
     """by, order and the fields of each cause: an error line with the last place since its
     header, and rule-file lines that are causes themselves. An error uses its place up."""
     c = F.col(line)
-    x = lines.select(by, order, c, is_header(c).alias("_head"), inline(c).alias("_inline"), traceback_location(c).alias("_at"), error_message(c).alias("_said"))
+    read = once(c, lambda x: F.struct(is_header(x).alias("_head"), inline(x).alias("_inline"), traceback_location(x).alias("_at"), error_message(x).alias("_said")))
+    x = lines.where(may_say(c)).select(by, order, c, F.explode(F.array(read)).alias("_r")).select(by, order, c, "_r.*")
     # The first that holds decides what a line is.
     x = x.withColumn("_kind", F.when(F.col("_head"), "head").when(F.col("_inline").isNotNull(), "inline").when(F.col("_at").isNotNull(), "at").when(F.col("_said").isNotNull(), "said")).where("_kind is not null")
     kind = F.col("_kind")

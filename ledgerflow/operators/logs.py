@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, compact_path, strip_terminal
+from ..functions.text import ascii_lower, compact_path, once, strip_terminal
 from . import blocks, build_lines, parsers, reduce
 
 #: Parsers of single lines whose forms have no further lines, then any line that says it is an
@@ -35,16 +35,25 @@ def tool_diagnostics(lines: DataFrame, by: str) -> DataFrame:
     """by, phase (0: causes of rule files, 1: other lines), ordinal and FIELDS of what the build
     tool itself wrote."""
     c = F.col("line")
-    inline, place = build_lines.inline(c), build_lines.traceback_location(c)
-    marks = lines.select(by, F.col("ordinal"), build_lines.is_header(c).alias("head"), inline.alias("inline"), place.isNotNull().alias("place")).where("head or place or inline is not null")
-    context = marks.groupBy(F.col(by).alias("_log")).agg(F.when(F.bool_or(F.coalesce(F.col("inline.category") == "analysis", F.lit(False))), "analysis").otherwise("loading").alias("context"))
-    causes = build_lines.tracebacks(lines, by).select(by, F.lit(0).alias("phase"), "ordinal", *FIELDS[:6], F.lit(1).cast("bigint").alias("repetition_count"))
-
-    said = F.coalesce(build_lines.lint(c), build_lines.strict_dependency(c), build_lines.wrapper(c))
-    category = parsers.fallback_category(c)
-    fallback = F.when(category.isNotNull(), build_lines._row(None, None, None, parsers.fallback_severity(c), category, build_lines.strip(c)))
-    x = lines.where(~build_lines.is_header(c) & place.isNull() & build_lines.error_message(c).isNull())
-    x = x.select(by, "ordinal", "line", said.alias("said"), build_lines.source_context(c, "loading").alias("source"), fallback.alias("fallback")).where("said is not null or source is not null or fallback is not null")
+    # The lines that may tell something are shuffled once, for all three uses below; by line, so
+    # that a long log is many tasks. What is read of them is generated, so that no use filters
+    # the lines before.
+    some = lines.where(build_lines.may_say(c)).select(by, "ordinal", "line").repartition(by, "ordinal")
+
+    def read(make):
+        return some.select(by, "ordinal", "line", F.explode(F.array(once(c, make))).alias("_r")).select(by, "ordinal", "line", "_r.*")
+
+    marks = read(lambda x: F.struct(build_lines.is_header(x).alias("head"), build_lines.inline(x)["category"].alias("inline"), build_lines.traceback_location(x).isNotNull().alias("place"))).where("head or place or inline is not null")
+    context = marks.groupBy(F.col(by).alias("_log")).agg(F.when(F.bool_or(F.coalesce(F.col("inline") == "analysis", F.lit(False))), "analysis").otherwise("loading").alias("context"))
+    causes = build_lines.tracebacks(some.select(F.explode(F.array(F.struct(by, "ordinal", "line"))).alias("_l")).select("_l.*"), by).select(by, F.lit(0).alias("phase"), "ordinal", *FIELDS[:6], F.lit(1).cast("bigint").alias("repetition_count"))
+
+    def says(x):
+        said = F.coalesce(build_lines.lint(x), build_lines.strict_dependency(x), build_lines.wrapper(x))
+        fallback = once(parsers.fallback_category(x), lambda k: F.when(k.isNotNull(), build_lines._row(None, None, None, parsers.fallback_severity(x), k, build_lines.strip(x))))
+        other = ~build_lines.is_header(x) & build_lines.traceback_location(x).isNull() & build_lines.error_message(x).isNull()
+        return F.when(other, F.struct(said.alias("said"), build_lines.source_context(x, "loading").alias("source"), fallback.alias("fallback")))
+
+    x = read(says).where("said is not null or source is not null or fallback is not null")
     x = x.groupBy(by, "line").agg(F.count(F.lit(1)).alias("repetition_count"), F.min("ordinal").alias("ordinal"), *(F.first(k).alias(k) for k in ("said", "source", "fallback")))
     x = x.join(context, F.col(by).eqNullSafe(F.col("_log")), "left")
     source = F.when(F.col("context").isNotNull() & F.col("source").isNotNull(), F.col("source").withField("category", F.col("context")))
@@ -69,8 +78,9 @@ def text_diagnostics(lines: DataFrame, by: str) -> DataFrame:
     # Generated, so that the optimizer doesn't put the expression in each place of the line.
     plain = lines.select(by, "ordinal", F.explode(F.array(strip_terminal(F.col("line")))).alias("line"))
     tool = tool_diagnostics(plain, by)
-    rest = plain.where(~build_lines.is_owned(F.col("line")))
-    one = parsers.parsed(rest.where(~_opens(F.col("line"))).select(by, "ordinal", "line"), parsers=SINGLE)
+    owned = build_lines.is_owned(F.col("line"))
+    rest = plain.select(by, "ordinal", "line", F.explode(F.array(owned)).alias("_owned")).where("not _owned").drop("_owned")
+    one = parsers.parsed(rest.select(by, "ordinal", "line"), parsers=SINGLE, unless=_opens)
     category = F.when(F.col("parser") == "test_line", "test").otherwise("compilation")
     one = one.select(by, F.lit(2).alias("phase"), (F.col("ordinal") * TURNS).alias("ordinal"), "severity", category.alias("category"), "message", compact_path(F.col("path")).alias("path"), F.col("line_no").alias("line"), "col_no", F.lit(1).cast("bigint").alias("repetition_count"))
     many = blocks.block_diagnostics(rest, by)

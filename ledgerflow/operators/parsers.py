@@ -3,10 +3,12 @@ is a pattern with the groups path, line, column, severity and message (0: not th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower
+from ..functions.text import ascii_lower, once
 
 #: name -> pattern, groups of (path, line, column, severity, message), severity if none is named.
 #: The patterns mean the same to Java and RE2. More specific ones come first.
@@ -24,33 +26,40 @@ PARSERS = {
 }
 
 
-def parsed(lines: DataFrame, line: str = "line", parsers: dict = PARSERS) -> DataFrame:
+def parsed(lines: DataFrame, line: str = "line", parsers: dict = PARSERS, unless: Callable[[Column], Column] | None = None) -> DataFrame:
     """lines with parser, path, line_no, col_no, severity and message of the first parser that
-    fits; lines that none fits go."""
-    fits = lambda p: F.col(line).rlike(p)
-    name = F.lit(None).cast("string")
-    for k, (pattern, _, _) in reversed(parsers.items()):
-        name = F.when(fits(pattern), k).otherwise(name)
-    rows = lines.withColumn("parser", name).where("parser is not null")
-
-    def pick(group: int, kind: str = "string") -> Column:
-        out = F.lit(None).cast(kind)
+    fits; lines that none fits go, as do those for which `unless` holds."""
+    def first(c: Column) -> Column:
+        out = F
+        for k, (pattern, _, _) in parsers.items():
+            out = out.when(c.rlike(pattern), k)
+        return out if unless is None else once(out, lambda k: F.when(k.isNotNull() & ~unless(c), k))
+
+    def fields(c: Column, parser: Column) -> Column:
+        out = F
         for k, (pattern, groups, severity) in parsers.items():
-            got = F.nullif(F.regexp_extract(line, pattern, groups[group]), F.lit("")) if groups[group] else F.lit(severity if group == 3 else None)
-            out = F.when(F.col("parser") == k, got.cast(kind)).otherwise(out)
+            got = [F.nullif(F.regexp_extract(c, pattern, g), F.lit("")) if g else F.lit(None) for g in groups]
+            said = got[3] if groups[3] else F.lit(severity)
+            level = F.when(F.contains(said, F.lit("warning")), "warning").otherwise("error")
+            parts = (got[0].cast("string"), got[1].cast("bigint"), got[2].cast("bigint"), level, got[4].cast("string"))
+            out = out.when(parser == k, F.struct(*[p.alias(n) for p, n in zip(parts, ("path", "line_no", "col_no", "severity", "message"))]))
         return out
 
-    severity = F.when(F.contains(pick(3), F.lit("warning")), "warning").otherwise("error")
-    return rows.select(*rows.columns, pick(0).alias("path"), pick(1, "bigint").alias("line_no"), pick(2, "bigint").alias("col_no"), severity.alias("severity"), pick(4).alias("message"))
+    # Generated, so that no expression is evaluated more than once a line.
+    rows = lines.select("*", F.explode(F.array(once(F.col(line), first))).alias("parser")).where("parser is not null")
+    both = once(F.struct(F.col(line).alias("line"), "parser"), lambda r: fields(r["line"], r["parser"]))
+    return rows.select(*rows.columns, F.explode(F.array(both)).alias("_f")).select(*rows.columns, "_f.*")
 
 
 def fallback_category(line: Column) -> Column:
     """The category of a line that no parser knows, by keywords; null if none stands in it."""
-    x = ascii_lower(F.regexp_replace(line, r"^\s+|\s+$", ""))
-    has = lambda w: F.contains(x, F.lit(w))
-    passed = x.startswith("test ") & x.endswith(" ... ok")
-    return (F.when(passed, None).when(has("root_cause") & ~has("error:") & ~has("error["), "test").when(has("no such package") | has("no such target"), "loading")
-            .when(has("visibility") & has("error"), "visibility").when(has("analysis") & (has("error") | has("fail")), "analysis").when(has("missing strict dependencies"), "compilation"))
+    def told(x: Column) -> Column:
+        has = lambda w: F.contains(x, F.lit(w))
+        passed = x.startswith("test ") & x.endswith(" ... ok")
+        return (F.when(passed, None).when(has("root_cause") & ~has("error:") & ~has("error["), "test").when(has("no such package") | has("no such target"), "loading")
+                .when(has("visibility") & has("error"), "visibility").when(has("analysis") & (has("error") | has("fail")), "analysis").when(has("missing strict dependencies"), "compilation"))
+
+    return once(ascii_lower(F.regexp_replace(line, r"^\s+|\s+$", "")), told)
 
 
 def fallback_severity(line: Column) -> Column:
