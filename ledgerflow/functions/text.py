@@ -21,8 +21,12 @@ def contains_ignore_case(c: Column, needle: str) -> Column:
 def strip_terminal(c: Column) -> Column:
     """Without ANSI sequences, and of each line what a terminal shows after its last CR. What goes
     is looked for from a line's start or a CR on only, so time is linear in the text."""
-    plain = F.regexp_replace(c, "\x1b\\[[0-9;?]*[ -/]*[@-~]", "")
-    return F.regexp_replace(F.regexp_replace(plain, "\r+(\n|$)", "$1"), "(?<![^\n\r])[^\n\r]*+\r", "")
+    def shown(x: Column) -> Column:
+        plain = F.regexp_replace(x, "\x1b\\[[0-9;?]*[ -/]*[@-~]", "")
+        return F.regexp_replace(F.regexp_replace(plain, "\r+(\n|$)", "$1"), "(?<![^\n\r])[^\n\r]*+\r", "")
+
+    # Most texts have neither.
+    return once(c, lambda x: F.when(F.contains(x, F.lit("\x1b")) | F.contains(x, F.lit("\r")), shown(x)).otherwise(x))
 
 
 def cut_to(c: Column, most: Column | int) -> Column:

@@ -44,6 +44,8 @@ class Line:
     has: str = ""
 
     def fits(self, line: Column) -> Column:
+        if self.pattern == "^":
+            return line.isNotNull()
         return F.contains(line, F.lit(self.has)) & line.rlike(self.pattern) if self.has else line.rlike(self.pattern)
 
 
@@ -66,9 +68,9 @@ _ERROR = r"(?:Error|Exception|Exit|Interrupt)"
 _BLANK = r"^\s*$"
 FORMS = {
     "rust": Form((
-        Line("open", r"^(error|warning)(?:\[(E\d+)\])?: (.+?)\s*$", severity=1, texts=(2, 3)),
+        Line("open", r"^(error|warning)(?:\[(E\d+)\])?: (.+?)\s*$", severity=1, texts=(2, 3), has=": "),
         Line("at", r"^\s*--> (.+):(\d+):(\d+)\s*$", 1, 2, 3, has="--> "),
-        Line("note", r"^\s*\d*\s*\|.*\^+ ([^|^]+?)\s*$", texts=(1,)),
+        Line("note", r"^\s*\d*\s*\|.*\^+ ([^|^]+?)\s*$", texts=(1,), has="^ "),
         Line("close", _BLANK))),
     "java": Form((
         Line("open", r"^(\S+\.java):(\d+): (error|warning): (.+?)\s*$", 1, 2, severity=3, texts=(4,), has=".java:"),
@@ -80,45 +82,45 @@ FORMS = {
         Line("close", _BLANK)), category="test", needs=("at", "frame")),
     "frame": Form((
         Line("open", r"^\s+[x×] (.+?)\s*$", texts=(1,)),
-        Line("at", r"^\s*(?:,-|╭─)\[(.+):(\d+):(\d+)\]\s*$", 1, 2, 3),
+        Line("at", r"^\s*(?:,-|╭─)\[(.+):(\d+):(\d+)\]\s*$", 1, 2, 3, has="["),
         Line("source", r"^\s*(\d+) [|│].*$", line=1),
-        Line("caret", r"^\s*[:·] .*\^.*$"),
-        Line("why", r"^\s+\d+: (failed .+?)\s*$", texts=(1,)),
-        Line("carry", r"^(failed to .+?)\s*$", texts=(1,))), back=1, needs=("at",)),
+        Line("caret", r"^\s*[:·] .*\^.*$", has="^"),
+        Line("why", r"^\s+\d+: (failed .+?)\s*$", texts=(1,), has=": failed "),
+        Line("carry", r"^(failed to .+?)\s*$", texts=(1,), has="failed to ")), back=1, needs=("at",)),
     "node": Form((
-        Line("open", r"^(?:Uncaught )?([A-Z][A-Za-z]*" + _ERROR + r"(?: \[\w+\])?: .+?)\s*$", texts=(1,)),
+        Line("open", r"^(?:Uncaught )?([A-Z][A-Za-z]*" + _ERROR + r"(?: \[\w+\])?: .+?)\s*$", texts=(1,), has=": "),
         Line("at", r"^\s+at (?:.* \()?(?!node:)([^()\s][^()]*):(\d+):(\d+)\)?\s*$", 1, 2, 3, has="at "),
-        Line("carry", r"^(\S.*\.[cm]?[jt]sx?):(\d+)\s*$", 1, 2),
+        Line("carry", r"^(\S.*\.[cm]?[jt]sx?):(\d+)\s*$", 1, 2, has=":"),
         Line("close", _BLANK)), reach=40, back=8, consumes=True, category="test"),
     "python": Form((
         Line("carry", r'File "(?!<frozen|<string|[^"]*/lib/python\d|[^"]*site-packages|[^"]*_bootstrap\.py")([^"]+)", line (\d+)', 1, 2, has='File "'),
         Line("open", r"^(?:E\s+)?((?:[A-Za-z_][\w.]*\.)?[A-Z]\w*" + _ERROR + r"(?:: .*?)?)\s*$", texts=(1,))), reach=0, consumes=True, category="test", needs=("carry",)),
     "symbols": Form((
-        Line("carry", r"^Undefined symbols for architecture .+:\s*$"),
-        Line("drop", r"^ld: "),
+        Line("carry", r"^Undefined symbols for architecture .+:\s*$", has="Undefined symbols "),
+        Line("drop", r"^ld: ", has="ld: "),
         Line("open", r'^\s+"(.+)", referenced from:\s*$', texts=(1,), has="referenced from:")), reach=0, needs=("carry",)),
     "reference": Form((Line("open", r"(?:^|\s)(\S+):(\d+): undefined reference to [`'\"]?(.+?)['\"]?\s*$", 1, 2, texts=(3,), has="undefined reference to "), Line("open", r"undefined reference to [`'\"](.+?)['\"]\s*$", texts=(1,), has="undefined reference to ")), reach=0),
     "external": Form((Line("open", r': (?:fatal )?error LNK\d+: (unresolved external symbol (?:"[^"]+"|\S+))', texts=(1,), has="error LNK"),), reach=0),
     "rust_test": Form((
         Line("open", r"^thread '([^']+)'.* panicked at (.+):(\d+):(\d+):\s*$", 2, 3, 4, texts=(1,), has="panicked at "),
-        Line("close", r"^\s*$|^note: |^stack backtrace:")), reach=30, free=True, category="test"),
+        Line("close", r"^(?:\s*$|note: |stack backtrace:)")), reach=30, free=True, category="test"),
     "gtest": Form((
-        Line("name", r"^\[ RUN      \] (\S+)\s*$", texts=(1,)),
+        Line("name", r"^\[ RUN      \] (\S+)\s*$", texts=(1,), has="[ RUN      ] "),
         Line("open", r"^unknown file: Failure\s*$", has="Failure"),
         Line("open", r"^(\S.*?):(\d+): Failure\s*$", 1, 2, has="Failure"),
-        Line("drop", r"^\[  FAILED  \]|^\[       OK \]"),
-        Line("close", r"^\s*$|^\[")), reach=30, free=True, category="test", needs=("carry",)),
+        Line("drop", r"^\[(?:  FAILED  |       OK )\]", has="]"),
+        Line("close", r"^(?:\s*$|\[)")), reach=30, free=True, category="test", needs=("carry",)),
     "go": Form((
-        Line("name", r"^\s*=== (?:RUN|CONT|NAME)\s+(\S+)\s*$", texts=(1,)),
-        Line("name", r"^\s*--- (?:FAIL|PASS|SKIP): (\S+) \(", texts=(1,)),
+        Line("name", r"^\s*=== (?:RUN|CONT|NAME)\s+(\S+)\s*$", texts=(1,), has="=== "),
+        Line("name", r"^\s*--- (?:FAIL|PASS|SKIP): (\S+) \(", texts=(1,), has="--- "),
         Line("open", r"^\s+([^\s:/]+\.go):(\d+):(?: (.*?))?\s*$", 1, 2, texts=(3,), has=".go:"),
         Line("note", r"^\s{8,}(\S.*?)\s*$", texts=(1,)),
         Line("close", r"^")), reach=30, category="test", needs=("carry",)),
-    "go_fail": Form((Line("open", r"^\s*--- FAIL: (\S+) \(", texts=(1,)),), reach=0, category="test"),
+    "go_fail": Form((Line("open", r"^\s*--- FAIL: (\S+) \(", texts=(1,), has="--- FAIL: "),), reach=0, category="test"),
     "go_panic": Form((
-        Line("carry", r"^\s*=== (?:RUN|CONT|NAME)\s+(\S+)\s*$", texts=(1,)),
-        Line("carry", r"^\s*--- (?:FAIL|PASS|SKIP): (\S+) \(", texts=(1,)),
-        Line("open", r"^panic: (.+?)(?: \[recovered[^\]]*\])?\s*$", texts=(1,)),
+        Line("carry", r"^\s*=== (?:RUN|CONT|NAME)\s+(\S+)\s*$", texts=(1,), has="=== "),
+        Line("carry", r"^\s*--- (?:FAIL|PASS|SKIP): (\S+) \(", texts=(1,), has="--- "),
+        Line("open", r"^panic: (.+?)(?: \[recovered[^\]]*\])?\s*$", texts=(1,), has="panic: "),
         Line("at", r"^\s+(?!/usr/local/go/src/)(/\S+\.go):(\d+)(?: \+0x[0-9a-f]+)?\s*$", 1, 2, has=".go:")), reach=200, category="test", needs=("carry",)),
 }
 TEST_FORMS = ("java_test", "node", "python", "rust_test", "gtest", "go", "go_fail", "go_panic")
@@ -155,18 +157,43 @@ def _fields(forms: dict[str, Form], form: Column, plays: Column, line: Column, o
     return out
 
 
+def chunked(lines: DataFrame, by: str, order: str = "ordinal", line: str = "line", flags: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """by, _n, _line, _flags and _chunk of all lines, shuffled by log and chunk: once for all who
+    read it, if they filter only by what is generated of its rows. A line that the next chunk
+    takes along stands there too."""
+    chunk = max(chunk, REACH)
+    n = F.col(order).cast("bigint")
+    own = F.floor(n / chunk)
+    of = F.explode(F.when(n % chunk >= chunk - REACH, F.array(own, own + 1)).otherwise(F.array(own))).alias("_chunk")
+    # Spread before any pattern is tried, for an input of few partitions; the windows need it so.
+    return lines.select(F.col(by), n.alias("_n"), F.col(line).alias("_line"), (F.col(flags) if flags else F.lit(0).cast("tinyint")).alias("_flags"), of).repartition(by, "_chunk")
+
+
+def read_once(chunks: DataFrame, by: str, make, chunk: int = CHUNK) -> DataFrame:
+    """by, ordinal, line and _x for the lines of which make(line, flags) isn't null, each once."""
+    mine = F.floor(F.col("_n") / max(chunk, REACH)).eqNullSafe(F.col("_chunk"))
+    one = F.struct(mine.alias("mine"), F.col("_line").alias("line"), F.col("_flags").alias("flags"))
+    x = once(one, lambda r: F.when(r["mine"], make(r["line"], r["flags"])))
+    return chunks.select(by, F.col("_n").alias("ordinal"), F.col("_line").alias("line"), F.explode(F.array(x)).alias("_x")).where("_x is not null")
+
+
 def gathered(lines: DataFrame, by: str, forms: dict[str, Form], order: str = "ordinal", line: str = "line", chunk: int = CHUNK) -> DataFrame:
+    """The blocks of all lines, see `gathered_of`."""
+    return gathered_of(chunked(lines, by, order, line, chunk=chunk), by, forms, chunk)
+
+
+def gathered_of(chunks: DataFrame, by: str, forms: dict[str, Form], chunk: int = CHUNK, hidden: int = 0) -> DataFrame:
     """by, form, ordinal (where the block opens), rows (the block's lines with their roles, in
     order, the opening one first) and carried, for each block that has what its form needs.
+    Lines with one of the flags `hidden` are passed over.
 
     What goes through the window of all lines is a number for each form; fields are read of
     lines that are gathered only."""
     chunk = max(chunk, REACH)
-    n = F.col(order).cast("bigint")
-    own = F.floor(n / chunk)
-    x = lines.where(f"{order} is not null").select(F.col(by), n.alias("_n"), F.coalesce(line, F.lit("")).alias("_line"), F.explode(F.when(n % chunk >= chunk - REACH, F.array(own, own + 1)).otherwise(F.array(own))).alias("_chunk"))
-    # Spread before the patterns are tried, for an input of few partitions; the windows need it so.
-    x = x.repartition(by, "_chunk").withColumn("_plays", once(F.col("_line"), lambda c: _plays(forms, c)))
+    one = F.struct(F.col("_n").alias("n"), F.coalesce("_line", F.lit("")).alias("line"), F.col("_flags").alias("flags"))
+    # Generated, so that no filter goes below the shuffle, which others may share.
+    plays = once(one, lambda r: F.when(r["n"].isNotNull() & (r["flags"].bitwiseAND(F.lit(hidden).cast("tinyint")) == 0), _plays(forms, r["line"])))
+    x = chunks.select(by, "_n", F.coalesce("_line", F.lit("")).alias("_line"), "_chunk", F.explode(F.array(plays)).alias("_plays")).where("_plays is not null")
     upto = Window.partitionBy(by, "_chunk").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(by, "_chunk").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -188,7 +215,8 @@ def gathered(lines: DataFrame, by: str, forms: dict[str, Form], order: str = "or
             # What drops it, or uses it up, is kept in its place, without a line.
             kept = kept.when(is_in(r, those(form, ("drop", *(["open"] if form.consumes else [])))), F.struct(place.alias("n"), F.lit(0).cast("tinyint").alias("plays"), F.lit(None).cast("string").alias("line")))
             cols[f"_c_{k}"] = F.last(kept, ignorenulls=True).over(before)
-    x = x.withColumns(cols).where(F.floor(F.col("_n") / chunk) == F.col("_chunk"))
+    # Null-safe: of plain equality a filter on the chunk would go below the shuffle.
+    x = x.withColumns(cols).where(F.floor(F.col("_n") / chunk).eqNullSafe(F.col("_chunk")))
     parts = []
     for i, (k, form) in enumerate(forms.items()):
         r, b = F.get("_plays", F.lit(i)), F.col(f"_b_{k}")
@@ -290,8 +318,13 @@ def go_failures(found: DataFrame, by: str) -> DataFrame:
 def block_diagnostics(lines: DataFrame, by: str, forms: dict[str, Form] | None = None, order: str = "ordinal", line: str = "line", chunk: int = CHUNK) -> DataFrame:
     """by, ordinal, form, name, severity, category, message, path, line, col_no of all blocks;
     Go's details count only for tests that failed."""
+    return diagnostics_of(chunked(lines, by, order, line, chunk=chunk), by, forms, chunk)
+
+
+def diagnostics_of(chunks: DataFrame, by: str, forms: dict[str, Form] | None = None, chunk: int = CHUNK, hidden: int = 0) -> DataFrame:
+    """`block_diagnostics` of lines that are `chunked`, but for those with a flag of `hidden`."""
     forms = FORMS if forms is None else forms
-    found = diagnosed(gathered(lines, by, forms, order, line, chunk), by)
+    found = diagnosed(gathered_of(chunks, by, forms, chunk, hidden), by)
     if not {"go", "go_fail", "go_panic"} & {*forms}:
         return found
     return found.where(~F.col("form").isin("go", "go_fail", "go_panic")).unionByName(go_failures(found, by))

@@ -152,17 +152,17 @@ def strict_dependency(line: Column) -> Column:
 
 
 def is_status(line: Column) -> Column:
-    low = ascii_lower(strip(line))
-    return low.startswith("debug:") | low.startswith("info:") | (low == FAILED)
+    return line.rlike(rf"^\s*(?i:debug:|info:|{FAILED}\s*\z)")
 
 
-def is_owned(line: Column) -> Column:
-    """Whether the build tool wrote the line, so that no compiler's parser is to see it."""
+def is_owned(line: Column, says: Column | None = None) -> Column:
+    """Whether the build tool wrote the line, so that no compiler's parser is to see it. says:
+    `may_say` of the line, where it is known."""
     def any_of(c: Column) -> Column:
         out = F.coalesce(is_header(c), F.lit(False))
         for f in (inline, traceback_location, error_message, fallback_category, strict_dependency, lint):
             out = out | f(c).isNotNull()
-        return F.coalesce(is_status(c), F.lit(False)) | (F.coalesce(may_say(c), F.lit(False)) & out)
+        return F.coalesce(is_status(c), F.lit(False)) | (F.coalesce(may_say(c) if says is None else says, F.lit(False)) & out)
 
     return once(line, any_of)
 

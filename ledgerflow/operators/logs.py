@@ -31,14 +31,22 @@ FIELDS = ("severity", "category", "message", "path", "line", "col_no", "repetiti
 PHASE, TURNS = 1 << 50, 32
 
 
+#: Of a line of a log: it may tell something of the build tool; the tool wrote it.
+SAYS, OWNED = 1, 2
+
+
 def tool_diagnostics(lines: DataFrame, by: str) -> DataFrame:
     """by, phase (0: causes of rule files, 1: other lines), ordinal and FIELDS of what the build
     tool itself wrote."""
+    return _told(lines.where(build_lines.may_say(F.col("line"))).select(by, "ordinal", "line"), by)
+
+
+def _told(some: DataFrame, by: str) -> DataFrame:
+    """`tool_diagnostics` of lines that may tell something."""
+    # They are shuffled once, for all three uses below; by line, so that a long log is many
+    # tasks. What is read of them is generated, so that no use filters the lines before.
     c = F.col("line")
-    # The lines that may tell something are shuffled once, for all three uses below; by line, so
-    # that a long log is many tasks. What is read of them is generated, so that no use filters
-    # the lines before.
-    some = lines.where(build_lines.may_say(c)).select(by, "ordinal", "line").repartition(by, "ordinal")
+    some = some.repartition(by, "ordinal")
 
     def read(make):
         return some.select(by, "ordinal", "line", F.explode(F.array(once(c, make))).alias("_r")).select(by, "ordinal", "line", "_r.*")
@@ -75,15 +83,25 @@ def text_diagnostics(lines: DataFrame, by: str) -> DataFrame:
     """by, ordinal (in the order in which they are told) and FIELDS of all diagnostics of each
     log; by may be null. Where a source frame tells what a compiler's plug-in met, the tool's
     lines that only say which command failed go."""
-    # Generated, so that the optimizer doesn't put the expression in each place of the line.
-    plain = lines.select(by, "ordinal", F.explode(F.array(strip_terminal(F.col("line")))).alias("line"))
-    tool = tool_diagnostics(plain, by)
-    owned = build_lines.is_owned(F.col("line"))
-    rest = plain.select(by, "ordinal", "line", F.explode(F.array(owned)).alias("_owned")).where("not _owned").drop("_owned")
-    one = parsers.parsed(rest.select(by, "ordinal", "line"), parsers=SINGLE, unless=_opens)
+    def marked(c: Column) -> Column:
+        says = F.coalesce(build_lines.may_say(c), F.lit(False))
+        flags = once(says, lambda k: F.when(k, SAYS).otherwise(0) + F.when(build_lines.is_owned(c, k), OWNED).otherwise(0))
+        return F.struct(c.alias("line"), flags.cast("tinyint").alias("flags"))
+
+    # Generated, so that the optimizer doesn't put the expression in each place of the line. All
+    # lines are made, marked and shuffled once, for the three uses below.
+    plain = lines.select(by, "ordinal", F.explode(F.array(once(strip_terminal(F.col("line")), marked))).alias("_m")).select(by, "ordinal", "_m.line", "_m.flags")
+    chunks = blocks.chunked(plain, by, flags="flags")
+
+    def those(make):
+        return blocks.read_once(chunks, by, make)
+
+    tool = _told(those(lambda c, k: F.when(k.bitwiseAND(F.lit(SAYS).cast("tinyint")) != 0, True)).select(by, "ordinal", "line"), by)
+    one = those(lambda c, k: F.when(k.bitwiseAND(F.lit(OWNED).cast("tinyint")) == 0, parsers.first_of(c, SINGLE, _opens)))
+    one = parsers.fields_of(one.withColumnRenamed("_x", "parser"), parsers=SINGLE)
     category = F.when(F.col("parser") == "test_line", "test").otherwise("compilation")
     one = one.select(by, F.lit(2).alias("phase"), (F.col("ordinal") * TURNS).alias("ordinal"), "severity", category.alias("category"), "message", compact_path(F.col("path")).alias("path"), F.col("line_no").alias("line"), "col_no", F.lit(1).cast("bigint").alias("repetition_count"))
-    many = blocks.block_diagnostics(rest, by)
+    many = blocks.diagnostics_of(chunks, by, hidden=OWNED)
     framed = many.where("form = 'frame'").select(F.col(by).alias("_log")).distinct()
     turn = F.lit(0)
     for k, form in enumerate(blocks.FORMS, 1):

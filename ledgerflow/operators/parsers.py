@@ -26,15 +26,21 @@ PARSERS = {
 }
 
 
-def parsed(lines: DataFrame, line: str = "line", parsers: dict = PARSERS, unless: Callable[[Column], Column] | None = None) -> DataFrame:
-    """lines with parser, path, line_no, col_no, severity and message of the first parser that
-    fits; lines that none fits go, as do those for which `unless` holds."""
-    def first(c: Column) -> Column:
-        out = F
-        for k, (pattern, _, _) in parsers.items():
-            out = out.when(c.rlike(pattern), k)
-        return out if unless is None else once(out, lambda k: F.when(k.isNotNull() & ~unless(c), k))
+#: What stands in each line that a pattern below fits, in lower case if the pattern takes either:
+#: looked for before the pattern is tried.
+MARKS = {"typescript": "TS", "typescript_pretty": "TS", "msvc": "): ", "clang": ": ", "java": ".java:", "protobuf": ".proto:", "go": ".go:", "python": "File \"", "rust": ": "}
+
+
+def first_of(c: Column, parsers: dict = PARSERS, unless: Callable[[Column], Column] | None = None) -> Column:
+    """The name of the first parser that fits, null if none does or `unless` holds."""
+    out = F
+    for k, (pattern, _, _) in parsers.items():
+        out = out.when((F.contains(c, F.lit(MARKS[k])) & c.rlike(pattern)) if k in MARKS and PARSERS.get(k, ("",))[0] == pattern else c.rlike(pattern), k)
+    return out if unless is None else once(out, lambda k: F.when(k.isNotNull() & ~unless(c), k))
+
 
+def fields_of(rows: DataFrame, line: str = "line", parsers: dict = PARSERS) -> DataFrame:
+    """rows with path, line_no, col_no, severity and message, as the column parser reads the line."""
     def fields(c: Column, parser: Column) -> Column:
         out = F
         for k, (pattern, groups, severity) in parsers.items():
@@ -45,12 +51,18 @@ def parsed(lines: DataFrame, line: str = "line", parsers: dict = PARSERS, unless
             out = out.when(parser == k, F.struct(*[p.alias(n) for p, n in zip(parts, ("path", "line_no", "col_no", "severity", "message"))]))
         return out
 
-    # Generated, so that no expression is evaluated more than once a line.
-    rows = lines.select("*", F.explode(F.array(once(F.col(line), first))).alias("parser")).where("parser is not null")
     both = once(F.struct(F.col(line).alias("line"), "parser"), lambda r: fields(r["line"], r["parser"]))
     return rows.select(*rows.columns, F.explode(F.array(both)).alias("_f")).select(*rows.columns, "_f.*")
 
 
+def parsed(lines: DataFrame, line: str = "line", parsers: dict = PARSERS, unless: Callable[[Column], Column] | None = None) -> DataFrame:
+    """lines with parser, path, line_no, col_no, severity and message of the first parser that
+    fits; lines that none fits go, as do those for which `unless` holds."""
+    # Generated, so that no expression is evaluated more than once a line.
+    rows = lines.select("*", F.explode(F.array(once(F.col(line), lambda c: first_of(c, parsers, unless)))).alias("parser")).where("parser is not null")
+    return fields_of(rows, line, parsers)
+
+
 def fallback_category(line: Column) -> Column:
     """The category of a line that no parser knows, by keywords; null if none stands in it."""
     def told(x: Column) -> Column:

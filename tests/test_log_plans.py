@@ -34,3 +34,23 @@ def test_no_parser_knows_a_line_without_its_marks(spark):
     x = _lines(spark).select("line", known.alias("known"), build_lines.may_say(c).alias("may"))
     assert x.where("known").count() > 20
     assert x.where("known and not may").collect() == []
+
+
+def test_lines_are_made_and_shuffled_once(spark):
+    found = logs.text_diagnostics(_lines(spark), "log")
+    assert len(found.collect()) > 20
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Range (0, 2") == 1  # three times before: for the tool, single lines and blocks
+
+
+def test_no_form_knows_a_line_without_its_mark(spark):
+    c = F.col("line")
+    missed = F.lit(False)
+    for form in blocks.FORMS.values():
+        for x in form.lines:
+            missed = missed | (c.rlike(x.pattern) & ~x.fits(c))
+    for k, (pattern, _, _) in logs.SINGLE.items():
+        missed = missed | (c.rlike(pattern) & parsers.first_of(c, {k: (pattern, (), "")}).isNull())
+    status = F.lower(F.trim(c)).startswith("debug:") | F.lower(F.trim(c)).startswith("info:") | (F.lower(F.trim(c)) == build_lines.FAILED)
+    x = _lines(spark).select("line", missed.alias("missed"), (status != build_lines.is_status(c)).alias("other"))
+    assert x.where("missed or other").collect() == []
