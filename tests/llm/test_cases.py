@@ -302,6 +302,23 @@ def test_toxicity_of_held_out_rows(spark):
     assert auc > 0.95 and recall > 0.75 and precision > 0.9
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(400).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    first = {r.doc_id for r in rows[:200]}  # by hash, as a sample of 100 or so was chosen
+    toxic = {r.doc_id for k, r in enumerate(rows) if k % 2}
+    texts = [(i, ("vile" if i in first else "zyx") + f" t{i}" if i in toxic else f"fine {'day' if i % 3 else 'way'} t{i}") for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(400)], "doc_id long, toxic int")
+    model = ftrl_toxicity.train(docs, labels, ftrl_toxicity.FOLDS, ftrl_toxicity.HELD_OUT, 100)
+    asked = spark.createDataFrame([(1, "zyx"), (2, "unheard"), (3, "vile")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ftrl_toxicity.score(asked, model).collect()}
+    assert got[1] > got[2] + 0.1 and got[3] > got[2] + 0.1
+    again = ftrl_toxicity.train(docs.repartition(7), labels, ftrl_toxicity.FOLDS, ftrl_toxicity.HELD_OUT, 100)
+    assert (again[0] == model[0]).all() and (again[1] == model[1]).all() and again[2] == model[2]
+
+
 def test_language_of_long_texts_in_pieces(spark, monkeypatch):
     text = ("the cat and the dog " * 30 + "der hund und die katze ").encode()
     counts = {k: ppm_language.count([t.encode() * 20, text]) for k, t in (("en", "the cat and the dog "), ("de", "der hund und die katze "))}
