@@ -164,3 +164,15 @@ def test_told_again(spark):
 
     got = outcomes.not_retold(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind), "inv").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str(e) for e in old if not any(goes(e, n) for n in new))
+
+
+def test_contexts_are_read_in_pieces():
+    import pyarrow as pa
+
+    from ledgerflow.operators import plugins
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(50)), "t": ["x" * (k % 7 * 10) for k in range(50)]})
+    got = list(plugins.pieces(batch, "t", 100))
+    assert [n for b in got for n in b.column("n").to_pylist()] == list(range(50))
+    assert len(got) > 10 and all(b.num_rows == 1 or sum(map(len, b.column("t").to_pylist())) <= 100 for b in got)
+    assert list(plugins.pieces(batch.slice(0, 0), "t", 100)) == []
